@@ -282,13 +282,13 @@ def link_checks(elements: DataFrame) -> DataFrame:
         .groupBy("url", F.lower("label").alias("text"), "href")
         .agg(F.min("ordinal").alias("ordinal"))
     )
-    order = Window.partitionBy("url", "text").orderBy("ordinal", "href")
-    heads = pairs.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= TARGET_SAMPLES)
-    samples = heads.groupBy("url", "text").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "href"))).getField("href").alias("samples"), F.min("ordinal").alias("first")
+    # every target of one text comes from one document, so the list is bounded by that document
+    targets = F.array_sort(F.collect_list(F.struct("ordinal", "href")))
+    several = (
+        pairs.groupBy("url", "text")
+        .agg(F.count("*").alias("n"), F.slice(targets, 1, TARGET_SAMPLES).getField("href").alias("samples"))
+        .filter(F.col("n") > 1)
     )
-    counts = pairs.groupBy("url", "text").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    several = counts.join(samples, ["url", "text"])
     same = page_level(
         several,
         "link-same-text-different-targets",

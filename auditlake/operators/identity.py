@@ -7,7 +7,7 @@ regrouped, and the work is done once per *distinct* chain.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,13 +167,16 @@ def inferred_label(body_classes: Column) -> Column:
 # ---------------------------------------------------------------- signatures
 
 
+def _matches(pattern: str) -> Callable[[Column], Column]:
+    return lambda token: token.rlike(pattern)
+
+
 def chain_vendor(chain: Column) -> Column:
     """Vendor recognised from class and id tokens, inner nodes first."""
 
     def of_node(n: Column) -> Column:
         tokens = F.concat(F.coalesce(n["classes"], F.array().cast("array<string>")), F.filter(F.array(n["id"]), lambda x: x.isNotNull() & (x != "")))
-        hits = [F.when(F.exists(tokens, lambda t, p=p: t.rlike(p)), F.lit(v)) for v, p in CHAIN_VENDORS]
-        return F.coalesce(*hits)
+        return F.coalesce(*[F.when(F.exists(tokens, _matches(p)), F.lit(v)) for v, p in CHAIN_VENDORS])
 
     return F.get(F.filter(F.transform(chain, of_node), lambda v: v.isNotNull()), 0)
 

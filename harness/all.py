@@ -2,3 +2,4 @@
 
 from . import urls_queries  # noqa: F401
 from . import audit_queries  # noqa: F401
+from . import run_queries  # noqa: F401

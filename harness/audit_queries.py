@@ -10,6 +10,7 @@ from auditlake.dims.criteria import CRITERIA
 from auditlake.operators import checks_static as S
 from auditlake.operators import evidence as H
 from auditlake.operators import findings as I
+from auditlake.plans.corpus import audit_inputs
 from auditlake.operators import structure as ST
 from auditlake.operators.observations import CHECK_META
 from auditlake.sources import html_flat
@@ -17,8 +18,6 @@ from auditlake.sources import html_flat
 from .core import block, derived, query, shared, table, values
 from .urls_queries import pages, url_pool
 
-from auditlake.operators import discovery as D
-
 # ---------------------------------------------------------------- dimensions
 block("dim_criteria", values([(c[0], c[1], c[2], c[3], c[4], c[5], c[6]) for c in CRITERIA], "criterion, title, level, principle, automation, baseline, plain_language"))
 block(
@@ -172,17 +171,7 @@ block("site0", "SELECT DISTINCT site_id, CASE WHEN site_id LIKE 'blog.%' THEN 'p
 
 def corpus_audit(spark, sf):
     """Evidence, templates and sites of the crawl corpus; URL patterns stand in for templates."""
-    p = pages(spark, sf)
-    patterns = D.url_patterns(url_pool(spark, sf))
-    keyed = D.pattern_groups(p, patterns).withColumnRenamed("pattern", "fingerprint")
-    el = elements(spark, sf, HEAD_TAGS + ["main", "nav", "title", "a"])
-    obs = S.union(
-        S.heading_checks(p, el), S.landmark_checks(p, el), S.title_checks(p, el), S.skip_link_check(p, el), S.link_checks(el)
-    )
-    ev = H.to_evidence(obs, keyed)
-    templates = keyed.groupBy("fingerprint").agg(F.count("*").alias("page_count"))
-    tier = F.when(F.col("site_id").startswith("blog."), "primary").otherwise("secondary")
-    return ev, templates, p.select("site_id", tier.alias("tier")).dropDuplicates()
+    return audit_inputs(table(spark, sf, "pages"), url_pool(spark, sf).select("url"))
 
 
 @query("h1_evidence_ids", "SELECT id, check_id, page_url, site_id, fingerprint FROM ev0")

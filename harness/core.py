@@ -76,6 +76,10 @@ def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
     text = SHARED[name]
     inputs = {t: table(spark, sf, t) for t in TABLES if "{" + t + "}" in text}
     inputs |= {s: derived(spark, sf, s) for s in SHARED if "{" + s + "}" in text}
+    # other braces in the text (JSON literals) are not placeholders
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in inputs:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
     return spark.sql(text, **inputs)
 
 

@@ -196,15 +196,43 @@ def signature_input() -> Column:
     nodes = F.slice("lineage", 1, CHAIN_NODES)
     closest = F.array_position(F.transform(nodes, lambda n: n["landmark"]), True).cast("int")
     kept = F.when(closest > 0, F.slice(nodes, F.lit(1), closest)).otherwise(nodes)
+    # named_struct, not aliases: those are dropped next to an explode in the same select
     chain = F.transform(
         kept,
-        lambda n: F.struct(
-            n["tag"].alias("tag"),
-            F.slice(F.array_distinct(n["classes"]), 1, CHAIN_CLASSES).alias("classes"),
-            n["id"].alias("id"),
-            n["role"].alias("role"),
-            n["test_attr"].alias("testAttr"),
-            F.when(n["landmark"], F.lit(True)).alias("landmark"),
+        lambda n: F.named_struct(
+            F.lit("tag"), n["tag"],
+            F.lit("classes"), F.slice(F.array_distinct(n["classes"]), 1, CHAIN_CLASSES),
+            F.lit("id"), n["id"],
+            F.lit("role"), n["role"],
+            F.lit("testAttr"), n["test_attr"],
+            F.lit("landmark"), F.when(n["landmark"], F.lit(True)),
         ),
+    )
+    return F.to_json(F.named_struct(F.lit("chain"), chain, F.lit("vendor"), F.col("vendor")))
+
+
+def flat_skeleton(elements: DataFrame, key: str = "url") -> DataFrame:
+    """Skeleton from a flat tag stream: everything after the body tag at depth 0, same skips and limit."""
+    skip = ["script", "style", "noscript", "svg", "path", "br", "template"]
+    body = elements.filter(F.col("tag") == "body").groupBy(key).agg(F.min("ordinal").alias("_body"))
+    nodes = elements.filter(~F.col("tag").isin(skip)).join(body, key).filter(F.col("ordinal") > F.col("_body"))
+    order = Window.partitionBy(key).orderBy("ordinal")
+    first = nodes.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= SKELETON_NODES)
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "tag", class_list().alias("classes"))))
+    return first.groupBy(key).agg(
+        F.transform(ordered, lambda n: F.struct(F.lit(0).alias("depth"), n["tag"].alias("tag"), n["classes"].alias("classes"))).alias("skeleton")
+    )
+
+
+def page_material(elements: DataFrame, flat: bool = False) -> DataFrame:
+    """Everything a fingerprint needs, one row per page (input of D7)."""
+    body = elements.filter(F.col("tag") == "body").groupBy("url").agg(F.min_by(class_list(), "ordinal").alias("body_classes"))
+    frame = flat_skeleton(elements) if flat else skeleton(elements)
+    joined = shape_counts(elements).join(body, "url", "left").join(landmarks(elements), "url", "left").join(frame, "url", "left")
+    none = F.array().cast("array<string>")
+    no_nodes = F.array().cast("array<struct<depth:int,tag:string,classes:array<string>>>")
+    return (
+        joined.withColumn("body_classes", F.coalesce("body_classes", none))
+        .withColumn("landmarks", F.coalesce("landmarks", none))
+        .withColumn("skeleton", F.coalesce("skeleton", no_nodes))
     )
-    return F.to_json(F.struct(chain.alias("chain"), F.col("vendor").alias("vendor")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ ENTITIES = [
 ]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times, so expression trees stay small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def half_up(value: Column, digits: int) -> Column:
     """Half-up rounding on binary doubles (Spark's ``round`` goes through decimals)."""
     scale = float(10**digits)

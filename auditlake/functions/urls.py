@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # URL vocabularies and patterns.
 TRACKING_KEY = r"(?i)^(utm_|fbclid|gclid|mc_cid|mc_eid|_ga)"
 SKIP_EXTENSION = (
@@ -34,11 +36,6 @@ _WEB = r"(?i)^https?://(?:[^/?#@]*@)?[^/?#@\s<>^|\\]+"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times, so expression trees stay small."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _split(raw: Column) -> Column:
     flat = F.regexp_replace(F.trim(raw), r"[\t\r\n]", "")
     return F.split(F.regexp_replace(flat, _SPLIT, f"$1{_SEP}$2{_SEP}$3{_SEP}$4"), _SEP)
@@ -94,7 +91,7 @@ def _without_dots(raw_path: Column) -> Column:
         tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
         return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
 
-    resolved = F.regexp_replace(_bind(F.split(F.substr(raw_path, F.lit(2)), "/"), fold), r"^/+$", "/")
+    resolved = F.regexp_replace(bind(F.split(F.substr(raw_path, F.lit(2)), "/"), fold), r"^/+$", "/")
     return F.when(raw_path.rlike(r"/\.\.?(/|$)"), resolved).otherwise(raw_path)
 
 
@@ -108,12 +105,12 @@ def _without_tracking(raw_query: Column) -> Column:
         return F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit(""))
 
     tracked = raw_query.rlike(r"(?i)[?&](utm_|fbclid|gclid|mc_cid|mc_eid|_ga)")
-    return F.when(tracked, _bind(pairs, rebuild)).otherwise(raw_query)
+    return F.when(tracked, bind(pairs, rebuild)).otherwise(raw_query)
 
 
 def _full_path(raw_path: Column) -> Column:
     full = F.replace(F.when(raw_path == "", F.lit("/")).otherwise(raw_path), F.lit("\\"), F.lit("/"))
-    return _bind(full, _without_dots)
+    return bind(full, _without_dots)
 
 
 def _strip_slash(p: Column) -> Column:
@@ -136,10 +133,10 @@ def _rooted(raw: Column, base: Column | None, build: Callable[[Column, Column, C
         return build(origin(F.concat(r[0], F.lit(":"), r[1])), r[2], r[3])
 
     if base is None:
-        return _bind(_split(raw), absolute)
-    return _bind(
+        return bind(_split(raw), absolute)
+    return bind(
         _split(raw),
-        lambda r: F.when(r[0] != "", absolute(r)).otherwise(_bind(_split(base), lambda b: build(*_on_base(r, b)))),
+        lambda r: F.when(r[0] != "", absolute(r)).otherwise(bind(_split(base), lambda b: build(*_on_base(r, b)))),
     )
 
 
@@ -147,7 +144,7 @@ def canonical(raw: Column, base: Column | None = None) -> Column:
     """Canonical http(s) URL of ``raw`` resolved against ``base``, or null (B1)."""
 
     def build(start: Column, raw_path: Column, raw_query: Column) -> Column:
-        return F.concat(start, _bind(_full_path(raw_path), _strip_slash), _without_tracking(raw_query))
+        return F.concat(start, bind(_full_path(raw_path), _strip_slash), _without_tracking(raw_query))
 
     return _rooted(raw, base, build)
 

@@ -1,27 +1,35 @@
-"""Lineage cuts for the fixpoint loops, on reliable storage."""
+"""Materialised stage boundaries on shared storage.
+
+Fixpoint loops and tables read by several branches are written once, as
+columnar files under the checkpoint folder, and read back: later stages prune
+columns, and losing an executor never replays what came before.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints: the one the cluster names, else (local mode only) a fresh one."""
+    """Folder for materialised tables: the one the cluster names, else (local mode only) a fresh one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-        named = tempfile.mkdtemp(prefix="auditlake-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
-    return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed copy of ``df``; survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the checkpoint folder and read back; its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -155,10 +155,7 @@ def tab_order(stops: DataFrame, limit: int = TAB_STOPS) -> DataFrame:
 
 def with_contrast(samples: DataFrame) -> DataFrame:
     """Add ``ratio`` to ``(color, bg_chain)`` rows; null when the colour cannot be read."""
-    staged = samples.withColumn("_bg", colour.effective_background(F.col("bg_chain"))).withColumn("_raw", colour.parse(F.col("color")))
-    blended = staged.withColumn("_fg", F.when(F.col("_raw").isNotNull(), colour.blend(F.col("_raw"), F.col("_bg"))))
-    ratio = F.when(F.col("_fg").isNotNull(), colour.contrast_ratio(F.col("_fg"), F.col("_bg")))
-    return blended.withColumn("ratio", ratio).drop("_bg", "_raw", "_fg")
+    return samples.withColumn("ratio", colour.text_contrast(F.col("color"), F.col("bg_chain")))
 
 
 def hover_contrast_check(samples: DataFrame) -> DataFrame:

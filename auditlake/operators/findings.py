@@ -79,24 +79,50 @@ def impact_score(impact: Column) -> Column:
 
 
 def group_evidence(evidence: DataFrame) -> DataFrame:
-    """One row per dedupe key with counts and extremes."""
+    """One row per dedupe key with counts and extremes.
+
+    Distinct counts run on two-column projections of their own: counted next to
+    the other aggregates they would multiply every wide row. The first row of a
+    group carries its record as text, parsed once per group.
+    """
     component = F.when(F.col("component_signature") != "", F.col("component_signature"))
-    order = F.struct(*FIRST)
-    first = F.min(
-        F.struct(*FIRST, "component_signature", F.get_json_object("data", "$.axeRule").alias("rule"),
-                 F.get_json_object("data", "$.axeDescription").alias("rule_text"), F.get_json_object("data", "$.helpUrl").alias("help_url"), "observation")
-    )
-    keyed = evidence.withColumn("key", dedupe_key()).withColumn("_component", component)
+    keyed = evidence.withColumn("key", dedupe_key())
     grouped = keyed.groupBy("key").agg(
-        first.alias("first"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("criteria")))).alias("criteria"),
-        F.countDistinct("page_url").alias("page_count"),
-        F.countDistinct("_component").alias("component_count"),
-        F.min_by("_component", F.when(F.col("_component").isNotNull(), order)).alias("first_component"),
+        F.min(F.struct(*FIRST, "component_signature", "data", "observation")).alias("_first"),
+        F.min(F.when(component.isNotNull(), F.struct(*FIRST, "component_signature"))).alias("_named"),
         F.max(impact_score(F.coalesce("engine_impact", F.lit("moderate")))).alias("user_impact"),
         F.count("*").alias("evidence_count"),
     )
-    return grouped.withColumn("finding_id", finding_id(F.col("key")))
+    # a handful of distinct criteria lists per key, whatever the size of the group
+    lists = keyed.select("key", "criteria").dropDuplicates()
+    criteria = lists.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("criteria")))).alias("criteria"))
+    pages = keyed.select("key", "page_url").dropDuplicates().groupBy("key").agg(F.count("*").alias("page_count"))
+    named = keyed.select("key", component.alias("c")).filter(F.col("c").isNotNull()).dropDuplicates()
+    components = named.groupBy("key").agg(F.count("*").alias("component_count"))
+
+    def field(name: str) -> Column:
+        return F.get_json_object("_first.data", f"$.{name}")
+
+    first = F.struct(
+        "_first.check_id", "_first.component_signature", "_first.observation",
+        field("axeRule").alias("rule"), field("axeDescription").alias("rule_text"), field("helpUrl").alias("help_url"),
+    )
+    return (
+        grouped.join(criteria, "key")
+        .join(pages, "key")
+        .join(components, "key", "left")
+        .select(
+            "key",
+            finding_id(F.col("key")).alias("finding_id"),
+            first.alias("first"),
+            "criteria",
+            "page_count",
+            F.coalesce("component_count", F.lit(0).cast("bigint")).alias("component_count"),
+            F.col("_named.component_signature").alias("first_component"),
+            "user_impact",
+            "evidence_count",
+        )
+    )
 
 
 def component_label() -> Column:
@@ -108,11 +134,8 @@ def component_label() -> Column:
 
 def bridge(evidence: DataFrame, column: str) -> DataFrame:
     """Distinct non-empty values of a column per finding."""
-    return (
-        evidence.filter(F.coalesce(column, F.lit("")) != "")
-        .select(finding_id(dedupe_key()).alias("finding_id"), column)
-        .dropDuplicates()
-    )
+    pairs = evidence.filter(F.coalesce(column, F.lit("")) != "").select(dedupe_key().alias("key"), column).dropDuplicates()
+    return pairs.select(finding_id(F.col("key")).alias("finding_id"), column)
 
 
 def extrapolated_occurrences(finding_templates: DataFrame, templates: DataFrame) -> DataFrame:
@@ -124,10 +147,13 @@ def extrapolated_occurrences(finding_templates: DataFrame, templates: DataFrame)
     )
 
 
-def total_pages(evidence: DataFrame, templates: DataFrame) -> Column:
-    """Scalar: pages over all templates, else the number of evidence rows (I4)."""
-    pages = templates.agg(F.sum("page_count")).scalar()
-    return F.coalesce(F.nullif(pages, F.lit(0)), evidence.agg(F.count("*")).scalar())
+def total_pages(evidence: DataFrame, templates: DataFrame) -> int:
+    """Pages over all templates, else the number of evidence rows (I4).
+
+    One number, read once: as a scalar subquery it would be evaluated again at
+    every place the severity formula mentions it.
+    """
+    return templates.agg(F.sum("page_count")).first()[0] or evidence.count()
 
 
 def text_key(check_id: Column) -> Column:
@@ -137,21 +163,27 @@ def text_key(check_id: Column) -> Column:
 
 def cite(evidence: DataFrame, limit: int = CITATIONS) -> DataFrame:
     """First evidence ids of every finding (I12); the cut happens before the shuffle."""
-    keyed = evidence.select(finding_id(dedupe_key()).alias("finding_id"), *FIRST)
-    order = Window.partitionBy("finding_id").orderBy(*FIRST)
+    keyed = evidence.select(dedupe_key().alias("key"), *FIRST)
+    order = Window.partitionBy("key").orderBy(*FIRST)
     ranked = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.select("finding_id", "rank", F.col("id").alias("evidence_id"))
+    return ranked.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"))
 
 
 def criteria_facts(groups: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Per finding: may a machine say fail (I6), and the legal weight (I8)."""
+    """Add ``can_fail`` (I6) and ``legal_exposure`` (I8).
+
+    The criteria are a closed list of a few dozen rows, so they travel as two
+    small maps in a scalar subquery and no join is needed.
+    """
     weight = F.when(~F.col("baseline"), 1).when(F.col("level") == "A", 5).otherwise(4)
-    facts = F.broadcast(criteria.select("criterion", (F.col("automation") == "deterministic").alias("det"), weight.alias("weight")))
+    provable = criteria.filter("automation = 'deterministic'").agg(F.collect_set("criterion")).scalar()
+    weights = criteria.agg(F.map_from_entries(F.collect_list(F.struct("criterion", weight)))).scalar()
+    known = groups.select("*", provable.alias("_provable"), weights.alias("_weights"))
+    heaviest = F.array_max(F.transform("criteria", lambda c: F.element_at("_weights", c)))
     return (
-        groups.select("finding_id", F.explode_outer("criteria").alias("criterion"))
-        .join(facts, "criterion", "left")
-        .groupBy("finding_id")
-        .agg(F.bool_or(F.coalesce("det", F.lit(False))).alias("can_fail"), F.coalesce(F.max("weight"), F.lit(2)).alias("legal_exposure"))
+        known.withColumn("can_fail", F.arrays_overlap("criteria", "_provable"))
+        .withColumn("legal_exposure", F.coalesce(heaviest, F.lit(2)))
+        .drop("_provable", "_weights")
     )
 
 
@@ -222,9 +254,8 @@ def analyse(
     )
     check = F.col("first.check_id")
     joined = (
-        groups.join(extrapolated_occurrences(finding_templates, templates), "finding_id", "left")
+        criteria_facts(groups, criteria).join(extrapolated_occurrences(finding_templates, templates), "finding_id", "left")
         .join(primary, "finding_id", "left")
-        .join(criteria_facts(groups, criteria), "finding_id")
         .withColumn("text_key", text_key(check))
         .join(F.broadcast(texts), "text_key", "left")
     )
@@ -233,7 +264,7 @@ def analyse(
     scored = (
         joined.withColumn("occurrence_count", occurrences)
         .withColumn("trust", trust)
-        .withColumn("reach", reach_score(F.col("occurrence_count"), total_pages(evidence, templates), F.coalesce("primary", F.lit(False))))
+        .withColumn("reach", reach_score(F.col("occurrence_count"), F.lit(total_pages(evidence, templates)), F.coalesce("primary", F.lit(False))))
         .withColumn("score", severity_score(F.col("user_impact"), F.col("reach"), F.col("legal_exposure")))
     )
     undecided = check.startswith("axe-incomplete:")

@@ -66,7 +66,7 @@ def _meta(check_id: str) -> list[Column]:
 def _json(data: dict[str, Column] | None) -> Column:
     if not data:
         return F.lit("{}")
-    return F.to_json(F.struct(*[c.alias(k) for k, c in data.items()]))
+    return F.to_json(F.named_struct(*[x for k, c in data.items() for x in (F.lit(k), c)]))
 
 
 def page_level(rows: DataFrame, check_id: str, observation: Column, data=None, selector="body", ordinal=0, signature="document") -> DataFrame:
@@ -85,23 +85,34 @@ def page_level(rows: DataFrame, check_id: str, observation: Column, data=None, s
 
 def hit(check_id: str, when: Column, observation: Column, data=None) -> Column:
     """A possible observation on an element; null unless ``when`` holds."""
-    return F.when(when, F.struct(*_meta(check_id), observation.alias("observation"), _json(data).alias("data")))
+    criteria, impact = CHECK_META[check_id]
+    return F.when(
+        when,
+        F.named_struct(
+            F.lit("check_id"), F.lit(check_id),
+            F.lit("criteria"), F.array(*[F.lit(c) for c in criteria.split()]),
+            F.lit("engine_impact"), F.lit(impact),
+            F.lit("observation"), observation,
+            F.lit("data"), _json(data),
+        ),
+    )
 
 
 def on_elements(rows: DataFrame, hits: list[Column], chars: int = 200) -> DataFrame:
     """Element rows to observations: all ``hits`` of a family in one pass.
 
-    Selector and chain are built only for the elements that hit.
+    Selector and chain are built after the explode, so only for elements that
+    hit. The hits are exploded without a filter column in between: a filter
+    would be pushed down and evaluate them twice.
     """
-    found = rows.withColumn("_hits", F.filter(F.array(*hits), lambda h: h.isNotNull())).filter(F.size("_hits") > 0)
     tree = "lineage" in rows.columns
-    located = found.select(
+    located = rows.select(
         "url",
         "ordinal",
         (css_path() if tree else F.col("selector")).alias("selector"),
         (signature_input() if tree else F.lit("unknown")).alias("component_signature"),
         (snippet(F.col("html"), chars) if tree else F.lit("")).alias("html"),
-        F.explode("_hits").alias("h"),
+        F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"),
     )
     return located.select("url", "ordinal", "h.check_id", "h.criteria", "h.engine_impact", "selector", "component_signature", "html", "h.observation", "h.data")
 

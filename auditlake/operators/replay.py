@@ -14,18 +14,20 @@ def replay_signatures(evidence: DataFrame, stable: DataFrame, ids: DataFrame | N
     """Evidence with recomputed signatures and a ``changed`` mark (M1).
 
     The raw chain decides where it was recorded; older rows are re-derived from
-    their composed signature.
+    their composed signature. The two are split before the join: rows without a
+    chain would all meet on the same null key.
     """
-    computed = component_signatures(evidence.select("signature_input"), stable, ids)
+    has_chain = F.coalesce("signature_input", F.lit("")) != ""
+    recorded, legacy = evidence.filter(has_chain), evidence.filter(~has_chain)
+    computed = component_signatures(recorded.select("signature_input"), stable, ids)
     prefix = F.when(is_consent_marked(F.col("data")), F.lit(CONSENT_PREFIX)).otherwise(F.lit(""))
-    joined = evidence.join(computed, "signature_input", "left")
-    recorded = F.coalesce("signature_input", F.lit("")) != ""
-    fresh = F.when(recorded, F.concat(prefix, "signature")).otherwise(rederive(F.col("component_signature")))
+    fresh = recorded.join(computed, "signature_input").withColumn("_new", F.concat(prefix, "signature")).drop("signature")
+    older = legacy.withColumn("_new", rederive(F.col("component_signature")))
     return (
-        joined.withColumn("_new", fresh)
+        fresh.unionByName(older)
         .withColumn("changed", F.col("_new") != F.col("component_signature"))
         .withColumn("component_signature", F.col("_new"))
-        .drop("_new", "signature")
+        .drop("_new")
     )
 
 

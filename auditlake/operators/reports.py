@@ -21,28 +21,24 @@ def _capital(c: str) -> Column:
 
 
 def synopsis(findings: DataFrame, evidence: DataFrame, templates: DataFrame, sites: DataFrame, pages_discovered: Column, pages_scanned: Column) -> DataFrame:
-    """Run metrics, bands and verdicts as ``(section, metric, value)``."""
-    n = findings.agg(F.count("*")).scalar()
-    total = evidence.agg(F.count("*")).scalar()
-    spark = findings.sparkSession
-    wide = spark.range(1).select(
-        sites.agg(F.count("*")).scalar().cast("double").alias("sites"),
-        pages_discovered.cast("double").alias("pages_discovered"),
-        templates.agg(F.count("*")).scalar().cast("double").alias("templates"),
-        pages_scanned.cast("double").alias("pages_scanned"),
-        total.cast("double").alias("evidence"),
-        n.cast("double").alias("findings"),
-        F.when(n > 0, half_up(total / n, 1)).otherwise(F.lit(1.0)).alias("dedupe_ratio"),
-    )
-    metrics = wide.unpivot([], wide.columns, "metric", "value").select(F.lit("run").alias("section"), "metric", "value")
-    facets = findings.agg(
+    """Run metrics, bands and verdicts as ``(section, metric, value)`` (R1); findings are read once."""
+    counted = findings.agg(
+        F.count("*").cast("double").alias("findings"),
         *[F.count_if(F.col("band") == b).cast("double").alias(b) for b in BANDS],
         F.count_if(F.col("verdict") == "fail").cast("double").alias("fail"),
         F.count_if(F.col("verdict") == "needs-review").cast("double").alias("needs-review"),
     )
-    tall = facets.unpivot([], facets.columns, "metric", "value")
-    section = F.when(F.col("metric").isin(BANDS), "band").otherwise("verdict")
-    return metrics.unionByName(tall.select(section.alias("section"), "metric", "value"))
+    wide = counted.select(
+        "*",
+        sites.agg(F.count("*")).scalar().cast("double").alias("sites"),
+        pages_discovered.cast("double").alias("pages_discovered"),
+        templates.agg(F.count("*")).scalar().cast("double").alias("templates"),
+        pages_scanned.cast("double").alias("pages_scanned"),
+        evidence.agg(F.count("*")).scalar().cast("double").alias("evidence"),
+    ).withColumn("dedupe_ratio", F.when(F.col("findings") > 0, half_up(F.col("evidence") / F.col("findings"), 1)).otherwise(F.lit(1.0)))
+    tall = wide.unpivot([], wide.columns, "metric", "value")
+    section = F.when(F.col("metric").isin(BANDS), "band").when(F.col("metric").isin("fail", "needs-review"), "verdict").otherwise("run")
+    return tall.select(section.alias("section"), "metric", "value")
 
 
 def site_labels(finding_sites: DataFrame, sites: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from auditlake.dims.criteria import CRITERIA
 from auditlake.operators import checks_static as S
 from auditlake.operators import evidence as H
 from auditlake.operators import findings as I
+from auditlake.lineage import cut
 from auditlake.plans.corpus import audit_inputs
 from auditlake.operators import structure as ST
 from auditlake.operators.observations import CHECK_META
@@ -323,14 +324,16 @@ finding_blocks("l", "ev1", "tpl1", "site1")
 
 def log_audit(spark, sf):
     """Evidence, templates and sites of the derived log."""
-    raw = derived(spark, sf, "evidence_raw")
+    raw = cut(derived(spark, sf, "evidence_raw"))
     ev = raw.withColumn("criteria", F.filter(F.split("criteria_text", " "), lambda c: c != "")).drop("criteria_text")
     templates = derived(spark, sf, "template_raw").groupBy("fingerprint").agg(F.count("*").alias("page_count"))
     return ev, templates, derived(spark, sf, "site_raw")
 
 
-def log_findings(spark, sf):
-    return I.analyse(*log_audit(spark, sf))
+def log_findings(spark, sf, stored=False):
+    """Analysis of the derived log; ``stored`` materialises the findings for plans that read them more than once."""
+    found = I.analyse(*log_audit(spark, sf))
+    return found._replace(findings=cut(found.findings)) if stored else found
 
 
 @query("i1_dedupe_keys", "SELECT key, count(*) AS n FROM l_keyed GROUP BY key")
@@ -358,7 +361,7 @@ def _(spark, sf):
 @query("i4_total_pages", "SELECT sum(page_count)::BIGINT AS total FROM tpl1")
 def _(spark, sf):
     ev, templates, _sites = log_audit(spark, sf)
-    return spark.range(1).select(I.total_pages(ev, templates).alias("total"))
+    return spark.range(1).select(F.lit(I.total_pages(ev, templates)).cast("bigint").alias("total"))
 
 
 @query("i5_confidence", "SELECT finding_id, confidence FROM l_finding")
@@ -369,7 +372,7 @@ def _(spark, sf):
 @query("i6_i8_criteria_facts", "SELECT finding_id, can_fail, legal::INTEGER AS legal_exposure FROM l_scored")
 def _(spark, sf):
     g = I.group_evidence(log_audit(spark, sf)[0])
-    return I.criteria_facts(g, dims.criteria(spark))
+    return I.criteria_facts(g, dims.criteria(spark)).select("finding_id", "can_fail", "legal_exposure")
 
 
 @query("i7_verdicts", "SELECT verdict, count(*) AS n FROM l_finding GROUP BY verdict")
@@ -411,7 +414,7 @@ block("l_ranked", "SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'fail
 
 @query("i14_ranking", "SELECT priority, finding_id, verdict, score FROM l_ranked")
 def _(spark, sf):
-    return I.with_priority(log_findings(spark, sf).findings).select("priority", "finding_id", "verdict", "score")
+    return I.with_priority(log_findings(spark, sf, stored=True).findings).select("priority", "finding_id", "verdict", "score")
 
 
 @query(

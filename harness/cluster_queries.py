@@ -367,3 +367,51 @@ def _(spark, sf):
     labelled = E.labelled(lang_templates(spark, sf), structural(spark, sf))
     sites = p.select("site_id", F.col("site_id").alias("label")).dropDuplicates()
     return R.template_listing(labelled, p, lang_samples(spark, sf), sites)
+
+
+# ---------------------------------------------------------------- labels from body classes, recorded chains
+shared(
+    "body_class",
+    """SELECT p_partkey AS k, CASE p_partkey % 10 WHEN 0 THEN 'path-frontpage' WHEN 1 THEN 'x node--type-article' WHEN 2 THEN 'page-node-type-event' WHEN 3 THEN 'page-contatti'
+        WHEN 4 THEN 'single-post' WHEN 5 THEN 'has-search page-x' WHEN 6 THEN 'views-row' WHEN 7 THEN 'category-a' ELSE 'plain' END AS body_text,
+      CAST(CASE WHEN p_partkey % 20 = 8 THEN 1 ELSE 0 END AS BIGINT) AS tables, CAST(CASE WHEN p_partkey % 20 = 18 THEN 3 ELSE 0 END AS BIGINT) AS articles, CAST(CASE WHEN p_partkey % 20 = 9 THEN 2 ELSE 0 END AS BIGINT) AS forms,
+      CAST(p_partkey % 3 AS BIGINT) AS lists, p_partkey % 40 = 19 AS has_sidebar FROM {part}""",
+)
+
+
+@query(
+    "d8_template_labels",
+    """SELECT k, CASE k % 10 WHEN 0 THEN 'Homepage' WHEN 1 THEN 'Scheda article' WHEN 2 THEN 'Scheda event' WHEN 3 THEN 'Pagina contatti' WHEN 4 THEN 'Scheda post' WHEN 5 THEN 'Risultati di ricerca'
+      WHEN 6 THEN 'Elenco' WHEN 7 THEN 'Categoria' ELSE CASE WHEN k % 20 = 8 THEN 'Pagina con tabelle' WHEN k % 20 = 18 THEN 'Elenco' WHEN k % 20 = 9 THEN 'Pagina con form'
+      WHEN k % 40 = 19 THEN 'Contenuto con sidebar' ELSE 'Pagina di contenuto' END END AS label FROM body_class""",
+)
+def _(spark, sf):
+    rows = derived(spark, sf, "body_class").withColumn("landmarks", F.array(F.lit("nav"), F.lit("main")))
+    return rows.select("k", ID.inferred_label(F.split("body_text", " ")).alias("label"))
+
+
+def chains(spark, sf):
+    """Recorded chains as JSON text, one per part."""
+    k = F.col("p_partkey")
+    inner = F.when(k % 6 == 0, '{"tag":"A","classes":["aBcDeF","card-link"]}').when(k % 6 == 1, '{"tag":"a","classes":[],"role":"button"}').when(
+        k % 6 == 2, F.concat(F.lit('{"tag":"a","classes":["gm-x"],"id":"n'), k, F.lit('"}'))
+    ).when(k % 6 == 3, '{"tag":"input","classes":[],"testAttr":"data-cy=q"}').when(k % 6 == 4, '{"tag":"div","classes":["rare"]}')
+    inner = inner.otherwise('{"tag":"span","classes":[],"id":":r1:"}')
+    top = F.when(k % 2 == 0, ',{"tag":"header","classes":["site-head"],"landmark":true}').otherwise(',{"tag":"section","classes":["rare"]}')
+    chain = F.concat(F.lit('{"chain":['), inner, F.lit(',{"tag":"div","classes":["rare"]},{"tag":"div","classes":[],"id":"list"}'), top, F.lit("]}"))
+    text = F.when(k % 25 == 0, "document").when(k % 26 == 1, '{"chain":[]}').otherwise(chain)
+    return table(spark, sf, "part").select(k.alias("k"), text.alias("signature_input"), F.when(k % 9 == 0, '{"__consentBanner":true}').otherwise("{}").alias("data"))
+
+
+@query(
+    "d9_d12_recorded_chains",
+    """SELECT p_partkey AS k, CASE WHEN k % 9 = 0 THEN 'banner-consenso > ' ELSE '' END || CASE WHEN k % 25 = 0 THEN 'document' WHEN k % 26 = 1 THEN 'unknown' WHEN k % 6 = 2 THEN 'terze-parti:Google Maps'
+      ELSE CASE WHEN k % 2 = 0 THEN 'header.site-head > ' ELSE 'body > ' END || 'div#list > ' || CASE k % 6 WHEN 0 THEN 'a.card-link' WHEN 1 THEN 'a[button]' WHEN 3 THEN 'input[data-cy=q]' WHEN 4 THEN 'div' ELSE 'span' END END AS signature
+    FROM (SELECT *, p_partkey AS k FROM part)""",
+)
+def _(spark, sf):
+    from auditlake.operators import evidence as H
+
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "token string")
+    out = H.resolve_signatures(chains(spark, sf), words("card-link", "site-head"), words("list"))
+    return out.select("k", F.col("component_signature").alias("signature"))

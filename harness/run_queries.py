@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake import dims
-from auditlake.operators import clusters as E
+from auditlake.lineage import cut
+from auditlake.operators import findings as I
 from auditlake.operators import quality as J
 from auditlake.operators import replay as M
 from auditlake.operators import reports as R
@@ -25,7 +25,8 @@ block(
 
 
 def scanned(ev):
-    return ev.agg(F.countDistinct("page_url")).scalar()
+    """Pages scanned, read once as a number: the gates mention it in several places."""
+    return F.lit(ev.select("page_url").distinct().count())
 
 
 @query("j1_identifier_spread", "SELECT token, pages, weak FROM l_spread")
@@ -51,8 +52,8 @@ block(
     GROUP BY title, tags""",
 )
 def _(spark, sf):
-    ev, templates, sites = log_audit(spark, sf)
-    findings = log_findings(spark, sf).findings
+    ev = log_audit(spark, sf)[0]
+    findings = log_findings(spark, sf, stored=True).findings
     return J.duplicate_groups(findings, J.identifier_spread(ev, scanned(ev))).select("title", "skeleton")
 
 
@@ -119,7 +120,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev, templates, sites = log_audit(spark, sf)
     pages = derived(spark, sf, "template_raw")
-    issues = J.self_check(log_findings(spark, sf).findings, ev, templates, pages, pages.agg(F.count("*")).scalar(), scanned(ev))
+    issues = J.self_check(log_findings(spark, sf, stored=True).findings, ev, templates, pages, pages.agg(F.count("*")).scalar(), scanned(ev))
     return issues.select("kind", "severity")
 
 
@@ -148,7 +149,7 @@ def _(spark, sf):
     FROM l_cand""",
 )
 def _(spark, sf):
-    audit = log_findings(spark, sf)
+    audit = log_findings(spark, sf, stored=True)
     ev = log_audit(spark, sf)[0].withColumn("html", F.lit(""))
     rows = T.pack_rows(audit.findings, audit.citations, ev)
     details = F.array_join(F.transform("criteria_details", lambda c: F.concat_ws("/", c["title"], c["level"], c["automation"])), ";")
@@ -161,7 +162,7 @@ def _(spark, sf):
       ceil(total / 12.0)::INTEGER AS pack_total, ((rn - 1) % 12 + 1)::INTEGER AS position FROM l_cand""",
 )
 def _(spark, sf):
-    return T.packs(T.candidates(log_findings(spark, sf).findings))
+    return T.packs(T.candidates(log_findings(spark, sf, stored=True).findings))
 
 
 # answers and decisions keyed by the finding's place in the id order
@@ -208,14 +209,14 @@ block("answer_last", "SELECT finding_id, arg_max(verdict, (file, position)) AS t
     FROM l_finding LEFT JOIN answer_last USING (finding_id)""",
 )
 def _(spark, sf):
-    findings = log_findings(spark, sf).findings
+    findings = log_findings(spark, sf, stored=True).findings
     merged, _refused = T.apply_triage(findings, answers(spark, sf, findings))
     return merged.select("finding_id", "verdict", "confidence", "title", "description", "remediation", "owner", "effort", "ai_generated", "promoted")
 
 
 @query("t4_refused_verdicts", "SELECT finding_id, tv AS asked, 'needs-review' AS cap FROM l_finding JOIN answer_last USING (finding_id) WHERE tv = 'fail' AND NOT can_fail")
 def _(spark, sf):
-    findings = log_findings(spark, sf).findings
+    findings = log_findings(spark, sf, stored=True).findings
     return T.apply_triage(findings, answers(spark, sf, findings))[1]
 
 
@@ -227,7 +228,7 @@ def _(spark, sf):
     FROM l_finding f WHERE verdict = 'needs-review'""".replace("SELECT count(DISTINCT page_url)", "SELECT least(count(DISTINCT page_url), 5)::INTEGER"),
 )
 def _(spark, sf):
-    audit = log_findings(spark, sf)
+    audit = log_findings(spark, sf, stored=True)
     queue = T.review_queue(audit.findings, audit.citations, log_audit(spark, sf)[0])
     return queue.select("finding_id", "score", F.size("pages").alias("n_pages"), F.array_join("notes.observation", "|").alias("notes"), "screenshot")
 
@@ -250,7 +251,7 @@ def reviewed(spark, sf):
 
     from .core import table
 
-    findings = log_findings(spark, sf).findings
+    findings = log_findings(spark, sf, stored=True).findings
     numbered = findings.select("finding_id").withColumn("k", F.row_number().over(Window.orderBy("finding_id")))
     kinds = F.array(*[F.lit(o) for o in [*T.OUTCOMES, "boh"]])
     log = table(spark, sf, "labels").join(numbered, F.col("k") == F.col("doc_id") % 170 + 20).select(
@@ -290,7 +291,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev, templates, sites = log_audit(spark, sf)
     pages = derived(spark, sf, "template_raw")
-    return R.synopsis(log_findings(spark, sf).findings, ev, templates, sites, pages.agg(F.count("*")).scalar(), scanned(ev))
+    return R.synopsis(log_findings(spark, sf, stored=True).findings, ev, templates, sites, pages.agg(F.count("*")).scalar(), scanned(ev))
 
 
 @query(
@@ -306,7 +307,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev, _templates, sites = log_audit(spark, sf)
-    a = log_findings(spark, sf)
+    a = log_findings(spark, sf, stored=True)
     return R.backlog(a.findings, a.citations, ev, a.sites, sites)
 
 
@@ -384,7 +385,7 @@ def _(spark, sf):
       floor(confidence * 100 + 0.5::DOUBLE)::INTEGER AS confidence FROM l_finding f""",
 )
 def _(spark, sf):
-    a = log_findings(spark, sf)
+    a = log_findings(spark, sf, stored=True)
     rows = R.comparison_rows(a.findings, a.citations, log_audit(spark, sf)[0])
     return rows.select("finding_id", "title", "component", "band", "score", "verdict", "occurrence_count", "pages", "owner", "confidence")
 
@@ -440,7 +441,8 @@ def _(spark, sf):
 @query("m2_replayed_findings", "SELECT finding_id, title, verdict, score, occurrence_count, page_count, component FROM r_finding")
 def _(spark, sf):
     _ev, templates, sites = log_audit(spark, sf)
-    found = M.replay(stored_evidence(spark, sf), templates, sites, no_tokens(spark)).findings
+    replayed = cut(M.replay_signatures(stored_evidence(spark, sf), no_tokens(spark)).drop("changed"))
+    found = I.analyse(replayed, templates, sites).findings
     return found.select("finding_id", "title", "verdict", "score", "occurrence_count", "page_count", "component")
 
 
@@ -455,7 +457,7 @@ def _(spark, sf):
 def _(spark, sf):
     _ev, templates, sites = log_audit(spark, sf)
     after = M.replay(stored_evidence(spark, sf), templates, sites, no_tokens(spark)).findings
-    return M.run_diff(log_findings(spark, sf).findings, after)
+    return M.run_diff(log_findings(spark, sf, stored=True).findings, after)
 
 
 # a scan log as JSON lines, one per order; every 17th line was cut mid-write
@@ -540,3 +542,37 @@ def _(spark, sf):
     from auditlake.operators import evidence as H
 
     return H.screenshot_requests(log_audit(spark, sf)[0]).select("page_url", "component_signature")
+
+
+# ---------------------------------------------------------------- triage answer files, one per ten labels
+def answer_files(spark, sf):
+    from .core import table
+
+    k = F.col("doc_id")
+    verdict = F.when(k % 23 == 0, "maybe").when(F.col("quality") == 1, "fail").otherwise("pass")
+    one = F.format_string(
+        '{"id":"f%d","verdict":"%s","confidence":0.5,"title":"T","description":"D","remediation":"R","owner":"cms","effort":"basso","rationale":"x"}',
+        k.cast("bigint"), verdict,
+    )
+    n = F.floor(k / 10)
+    # a file holds at most ten answers by construction
+    files = table(spark, sf, "labels").groupBy(n.alias("n")).agg(F.array_sort(F.collect_list(F.struct(k, one.alias("o")))).getField("o").alias("os"))
+    body = F.concat(F.lit('{"schemaVersion":"1.0","packId":"pack-'), "n", F.lit('","findings":['), F.array_join("os", ","), F.lit("]}"))
+    fenced = F.when(F.col("n") % 3 == 0, F.concat(F.lit("  ```json\n"), body, F.lit("\n``` \n"))).when(
+        F.col("n") % 7 == 1, F.left(body, F.length(body) - 4)
+    )
+    return files.select(F.concat("n", F.lit(".json")).alias("file"), F.coalesce(fenced, body).alias("content"))
+
+
+block("answer_file", "SELECT floor(doc_id / 10)::BIGINT AS n, bool_or(doc_id % 23 = 0) AS odd FROM labels GROUP BY 1")
+block("answer_good", "SELECT n FROM answer_file WHERE NOT odd AND NOT (n % 7 = 1 AND n % 3 <> 0)")
+
+
+@query("a9_triage_answers", "SELECT n || '.json' AS file, 'f' || doc_id AS finding_id, CASE WHEN quality = 1 THEN 'fail' ELSE 'pass' END AS verdict FROM labels JOIN answer_good ON n = floor(doc_id / 10)")
+def _(spark, sf):
+    return T.parse_answers(answer_files(spark, sf))[0].select("file", "finding_id", "verdict")
+
+
+@query("a9_rejected_files", "SELECT n || '.json' AS file FROM answer_file WHERE n NOT IN (SELECT n FROM answer_good)")
+def _(spark, sf):
+    return T.parse_answers(answer_files(spark, sf))[1]

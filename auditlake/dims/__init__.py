@@ -6,6 +6,7 @@ Callers may pass their own version of any of them to the operators.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .catalogue import CHECKS, RULES
 from .criteria import CRITERIA
@@ -44,3 +45,8 @@ def vendor_rules(spark: SparkSession) -> DataFrame:
 def consent_platforms(spark: SparkSession) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate(CONSENT_PLATFORMS)]
     return spark.createDataFrame(rows, "platform_order int, platform string, attr string, value string, container string")
+
+
+def or_own(table: DataFrame | None, own: DataFrame) -> DataFrame:
+    """A caller's table as it is, sized by Spark; our own closed list with a broadcast hint."""
+    return table if table is not None else F.broadcast(own)

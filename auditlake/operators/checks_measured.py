@@ -261,7 +261,7 @@ def consent_banners(boxes: DataFrame, platforms: DataFrame | None = None) -> Dat
     ``boxes(url, ordinal, depth, selector, element_id, classes, test_id, shown,
     position, width, height, z_index, viewport_width, text, ...)``.
     """
-    table = F.broadcast(platforms if platforms is not None else dims.consent_platforms(boxes.sparkSession))
+    table = dims.or_own(platforms, dims.consent_platforms(boxes.sparkSession))
 
     def pair(attr: str, value: Column) -> Column:
         return F.struct(F.lit(attr).alias("attr"), value.alias("value"))

@@ -99,8 +99,8 @@ def tag_criteria(tags: Column) -> Column:
 
 def rules_to_criteria(results: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Add ``criteria``: from the tags, else from the override table, else empty (H7)."""
-    table = overrides if overrides is not None else dims.rule_criteria(results.sparkSession)
-    tagged = results.withColumn("_tagged", tag_criteria(F.col("tags"))).join(F.broadcast(table), "rule_id", "left")
+    table = dims.or_own(overrides, dims.rule_criteria(results.sparkSession))
+    tagged = results.withColumn("_tagged", tag_criteria(F.col("tags"))).join(table, "rule_id", "left")
     none = F.array().cast("array<string>")
     return tagged.withColumn(
         "criteria", F.when(F.size("_tagged") > 0, F.col("_tagged")).otherwise(F.coalesce("rule_criteria", none))

@@ -169,6 +169,16 @@ def cite(evidence: DataFrame, limit: int = CITATIONS) -> DataFrame:
     return ranked.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"))
 
 
+def cited_evidence(citations: DataFrame, evidence: DataFrame, *columns: str) -> DataFrame:
+    """Citations with columns of their evidence, one row per citation.
+
+    Only cited ids leave the evidence table; repeated ids are settled after the
+    join, on the few rows left.
+    """
+    seen = evidence.select(F.col("id").alias("evidence_id"), *columns)
+    return citations.join(seen, "evidence_id").dropDuplicates(["finding_id", "rank"])
+
+
 def criteria_facts(groups: DataFrame, criteria: DataFrame) -> DataFrame:
     """Add ``can_fail`` (I6) and ``legal_exposure`` (I8).
 
@@ -242,7 +252,7 @@ def analyse(
     """Findings of a run. ``templates(fingerprint, page_count)``, ``sites(site_id, tier)``."""
     spark = evidence.sparkSession
     criteria = criteria if criteria is not None else dims.criteria(spark)
-    texts = texts if texts is not None else dims.texts(spark)
+    texts = dims.or_own(texts, dims.texts(spark))
 
     groups = group_evidence(evidence)
     finding_templates = bridge(evidence, "fingerprint")
@@ -257,7 +267,7 @@ def analyse(
         criteria_facts(groups, criteria).join(extrapolated_occurrences(finding_templates, templates), "finding_id", "left")
         .join(primary, "finding_id", "left")
         .withColumn("text_key", text_key(check))
-        .join(F.broadcast(texts), "text_key", "left")
+        .join(texts, "text_key", "left")
     )
     occurrences = F.coalesce(F.nullif("occurrences", F.lit(0)), F.col("page_count"))
     trust = confidence(check, F.col("first.rule"), F.col("cat_confidence"), F.col("page_count"))

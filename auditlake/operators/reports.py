@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import half_up
-from .findings import BANDS, with_priority
+from .findings import BANDS, cited_evidence, with_priority
 
 # Report vocabulary.
 OUTCOME_FAIL, OUTCOME_REVIEW = "Non conforme", "Da verificare"
@@ -52,19 +52,19 @@ def site_labels(finding_sites: DataFrame, sites: DataFrame) -> DataFrame:
 
 def backlog(findings: DataFrame, citations: DataFrame, evidence: DataFrame, finding_sites: DataFrame, sites: DataFrame, criteria: DataFrame | None = None) -> DataFrame:
     """The 21-column backlog, in priority order (R2)."""
-    table = criteria if criteria is not None else dims.criteria(findings.sparkSession)
+    table = dims.or_own(criteria, dims.criteria(findings.sparkSession))
     by_level = (
         findings.select("finding_id", F.posexplode("criteria").alias("pos", "criterion"))
-        .join(F.broadcast(table.select("criterion", "level")), "criterion")
+        .join(table.select("criterion", "level"), "criterion")
         .groupBy("finding_id", "level")
         .agg(F.min("pos").alias("pos"))
     )
     levels = by_level.groupBy("finding_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("pos", "level"))).getField("level"), "/").alias("levels")
     )
-    first = citations.filter(F.col("rank") == 1).join(
-        evidence.select(F.col("id").alias("evidence_id"), "page_url").dropDuplicates(["evidence_id"]), "evidence_id"
-    ).select("finding_id", F.col("page_url").alias("sample_url"))
+    first = cited_evidence(citations.filter(F.col("rank") == 1), evidence, "page_url").select(
+        "finding_id", F.col("page_url").alias("sample_url")
+    )
     rows = (
         with_priority(findings)
         .join(levels, "finding_id", "left")
@@ -216,8 +216,7 @@ def results_by_facet(findings: DataFrame) -> DataFrame:
 
 def comparison_rows(findings: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rows a person judges next to their own audit, gravest first."""
-    seen = evidence.select(F.col("id").alias("evidence_id"), "page_url").dropDuplicates(["evidence_id"])
-    cited = citations.join(seen, "evidence_id").filter(F.coalesce("page_url", F.lit("")) != "")
+    cited = cited_evidence(citations, evidence, "page_url").filter(F.coalesce("page_url", F.lit("")) != "")
     pages = cited.groupBy("finding_id").agg(F.countDistinct("page_url").alias("pages"), F.min_by("page_url", "rank").alias("example"))
     return (
         findings.join(pages, "finding_id", "left")

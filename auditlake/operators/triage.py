@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from .findings import verdict_rank, with_priority
+from .findings import cited_evidence, verdict_rank, with_priority
 
 # Pack sizes, enumerations, outcomes.
 PACK_SIZE = 12
@@ -52,19 +52,18 @@ def packs(findings: DataFrame, size: int = PACK_SIZE) -> DataFrame:
 def pack_samples(citations: DataFrame, evidence: DataFrame, per_finding: int = PACK_SAMPLES) -> DataFrame:
     """First cited evidence of each finding, markup cut."""
     first = citations.filter(F.col("rank") <= per_finding)
-    seen = evidence.dropDuplicates(["id"])
-    return first.join(seen, F.col("evidence_id") == F.col("id")).select(
+    return cited_evidence(first, evidence, "page_url", "selector", "html", "observation", "data").select(
         "finding_id", "rank", "page_url", "selector", F.left("html", F.lit(PACK_HTML)).alias("html"), "observation", "data"
     )
 
 
 def pack_rows(findings: DataFrame, citations: DataFrame, evidence: DataFrame, criteria: DataFrame | None = None) -> DataFrame:
     """One self-contained row per candidate (T2): criterion details, cap, up to three samples."""
-    table = criteria if criteria is not None else dims.criteria(findings.sparkSession)
+    table = dims.or_own(criteria, dims.criteria(findings.sparkSession))
     chosen = candidates(findings)
     details = (
         chosen.select("finding_id", F.posexplode("criteria").alias("_pos", "criterion"))
-        .join(F.broadcast(table), "criterion", "left")
+        .join(table, "criterion", "left")
         .groupBy("finding_id")
         .agg(
             F.array_sort(
@@ -171,8 +170,8 @@ def apply_triage(findings: DataFrame, answers: DataFrame, order: list[str] | Non
 def review_queue(findings: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """What a person has to look at, gravest first, with a few pages and notes each (T5)."""
     waiting = findings.filter(F.col("verdict") == "needs-review")
-    seen = evidence.dropDuplicates(["id"]).select("id", "page_url", "observation", "selector", "screenshot")
-    cited = citations.join(waiting.select("finding_id"), "finding_id", "left_semi").join(seen, F.col("evidence_id") == F.col("id"))
+    open_citations = citations.join(waiting.select("finding_id"), "finding_id", "left_semi")
+    cited = cited_evidence(open_citations, evidence, "page_url", "observation", "selector", "screenshot")
     # at most 25 cited rows per finding from here on
     pages = cited.filter(F.coalesce("page_url", F.lit("")) != "").groupBy("finding_id", "page_url").agg(F.min("rank").alias("rank"))
     page_list = pages.groupBy("finding_id").agg(

@@ -13,7 +13,7 @@ from auditlake.operators import triage as T
 from auditlake.sources import logs
 
 from .audit_queries import flat_findings, log_audit, log_findings
-from .core import block, derived, query, shared
+from .core import ORACLES, block, derived, query, shared
 
 # ---------------------------------------------------------------- quality gates
 block("l_scanned", "SELECT count(DISTINCT page_url) AS n FROM ev1")
@@ -111,11 +111,14 @@ def _(spark, sf):
 
 @query(
     "j8_quality_gates",
-    """SELECT * FROM (VALUES ('duplicate-findings', 'bloccante'), ('unstable-signature', 'attenzione'), ('fragmented-check', 'attenzione'),
-      ('untranslated-text', 'attenzione')) AS t(kind, severity)
-    UNION ALL SELECT 'polluted-pages', CASE WHEN (expected - scanned)::DOUBLE / expected > 0.4 THEN 'bloccante' ELSE 'attenzione' END
-      FROM (SELECT (SELECT count(*) FROM template_raw) AS expected, (SELECT n FROM l_scanned) AS scanned)
-      WHERE expected > scanned AND (expected - scanned)::DOUBLE / expected >= 0.1""",
+    """SELECT 'duplicate-findings' AS kind, 'bloccante' AS severity FROM (SELECT count(*) AS n FROM (""" + ORACLES["j2_duplicate_findings"] + """)) WHERE n > 0
+    UNION ALL SELECT 'unstable-signature', CASE WHEN n > 5 THEN 'bloccante' ELSE 'attenzione' END FROM (SELECT count(*) AS n FROM (""" + ORACLES["j3_unstable_signatures"] + """)) WHERE n > 0
+    UNION ALL SELECT 'fragmented-check', 'attenzione' FROM (SELECT count(*) AS n FROM (""" + ORACLES["j6_fragmented_checks"] + """)) WHERE n > 0
+    UNION ALL SELECT 'untranslated-text', 'attenzione' FROM (SELECT count(*) AS n FROM (""" + ORACLES["j7_text_hygiene"] + """)) WHERE n > 0
+    UNION ALL SELECT 'mixed-clusters', CASE WHEN total >= 40 AND top > 0.5 * total AND sections >= 3 THEN 'bloccante' WHEN coherent THEN 'nota' ELSE 'attenzione' END
+      FROM (SELECT clusters, pages, coherent, largest_sections AS sections, total, (SELECT max(page_count) FROM tpl1 WHERE fingerprint LIKE 'mixed-%') AS top FROM (""" + ORACLES["j4_mixed_clusters"] + """))
+      WHERE (total >= 40 AND top > 0.5 * total AND sections >= 3) OR pages >= 0.5 * total
+    UNION ALL SELECT kind, severity FROM (""" + ORACLES["j5_coverage_loss"] + """)""",
 )
 def _(spark, sf):
     ev, templates, sites = log_audit(spark, sf)

@@ -16,6 +16,8 @@ from .structure import accessible_names, attr, nearest
 
 # Vocabularies and limits.
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+#: tags the checks report on: the ``detail`` a tree needs for them
+CHECK_TAGS = {*HEADINGS, "main", "nav", "a", "img", "input", "select", "textarea"}
 SKIP_TEXT = r"salta|skip|vai al contenuto|contenuto principale"
 GENERIC_LINK = (
     r"(?i)^(leggi (tutto|di piu.?|l.articolo)|continua|clicca (qui|qua)|qui|qua|questo link|link|scopri( di piu.?)?|vai|dettagli"

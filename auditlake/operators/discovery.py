@@ -27,16 +27,20 @@ def exclude_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
     return pages.join(rules, hit, "left_anti")
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """``pages(url, html, base_url)`` to distinct in-site edges ``(src, dst)`` (A4).
+def link_edges(pages: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """``pages(page_id, url, html, base_url)`` to distinct in-site edges ``(src, dst)`` (A4).
 
     The markup is scanned as raw text, so links in comments and scripts count.
-    Only the href strings leave the scan; the markup itself is never shuffled.
+    Only resolved links leave the scan; the markup itself is never shuffled,
+    so ``keep(page_id)``, the pages that count, is applied to links.
     """
     hrefs = F.regexp_extract_all("html", F.lit(U.HREF), F.lit(1))
     resolved = F.transform(hrefs, lambda h: U.canonical(h, F.col("url")))
     kept = F.filter(resolved, lambda u: U.same_origin(u, F.col("base_url")) & U.is_page(u))
-    return pages.select(F.col("url").alias("src"), F.explode(F.array_distinct(kept)).alias("dst")).dropDuplicates()
+    links = pages.select("page_id", F.col("url").alias("src"), F.explode(F.array_distinct(kept)).alias("dst"))
+    if keep is not None:
+        links = links.join(keep.select("page_id"), "page_id", "left_semi")
+    return links.select("src", "dst").dropDuplicates()
 
 
 def sitemap_urls(docs: DataFrame, sites: DataFrame, max_pages: int = MAX_PAGES_PER_SITE) -> DataFrame:

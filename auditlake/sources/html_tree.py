@@ -288,7 +288,7 @@ def _lineage(el: Element) -> list[dict]:
 
 def element_rows(url: str, source: str, vendor_rules=VENDOR_RULES, detail: set[str] | None = None) -> Iterator[tuple]:
     for el in parse(source, vendor_rules):
-        detailed = detail is None or el.tag in detail
+        detailed = detail is None or el.tag in detail or "role" in el.attrs
         text = None if el.texts is None else re.sub(r"\s+", " ", "".join(el.texts)).strip()
         yield (
             url, el.ordinal, el.parent.ordinal if el.parent else None, el.depth, el.last, el.tag, list(el.attrs.items()), text,
@@ -302,7 +302,7 @@ def element_tree(pages: DataFrame, vendor_rules=VENDOR_RULES, detail: set[str] |
     """``pages(url, html)`` to element rows.
 
     ``detail`` limits the wide columns (ancestor lineage, markup) to the tags a
-    caller needs. One page at a time is held in memory; batches are kept small
+    caller needs; elements with a role always carry them. One page at a time is held in memory; batches are kept small
     because markup is wide (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
     rules = list(vendor_rules)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditlake.lineage import cut
 from auditlake.operators import checks_static as S
 from auditlake.operators import evidence as H
 from auditlake.operators import identity as ID
@@ -96,8 +97,9 @@ def store_pages(spark, sf):
     return items.select(F.concat(F.lit("https://shop.example/it/c/"), page).alias("url"), html.alias("html"))
 
 
-def tree(spark, sf):
-    return html_tree.element_tree(store_pages(spark, sf))
+def tree(spark, sf, detail=None):
+    """Element rows, parsed once and stored: every family reads them several times."""
+    return cut(html_tree.element_tree(store_pages(spark, sf), detail=detail))
 
 
 block("shop_page", "SELECT n, n % 2 AS kind, 'https://shop.example/it/c/' || n AS url FROM (SELECT DISTINCT floor(p_partkey / 20)::BIGINT AS n FROM part)")
@@ -147,7 +149,7 @@ FAMILIES = {
 
 def _family(fn):
     def run(spark, sf):
-        e = tree(spark, sf)
+        e = tree(spark, sf, S.CHECK_TAGS)
         obs = fn(store_pages(spark, sf).select("url"), e)
         return obs.select("url", "check_id", F.array_join("criteria", " ").alias("criteria"), "engine_impact", "observation")
 
@@ -267,15 +269,13 @@ block(
 
 @query("d9_d12_signatures", "SELECT url, check_id, signature FROM shop_signature")
 def _(spark, sf):
-    from auditlake.lineage import cut
-
-    e = cut(tree(spark, sf))
+    e = tree(spark, sf, S.CHECK_TAGS)
     total = store_pages(spark, sf).agg(F.count("*")).scalar()
     classes = ID.stable_classes(ID.token_registry(ST.class_inventory(e)), total)
     ids = ID.stable_ids(ID.token_registry(ST.id_inventory(e)), total)
     obs = S.image_checks(e).unionByName(S.link_checks(e)).unionByName(S.form_checks(e))
     wanted = ["link-raw-url-text", "img-empty-alt-review", "img-alt-duplicates-caption", "form-search-no-submit"]
-    rows = obs.filter(F.col("check_id").isin(wanted)).withColumnRenamed("component_signature", "signature_input")
+    rows = cut(obs.filter(F.col("check_id").isin(wanted)).withColumnRenamed("component_signature", "signature_input"))
     return H.resolve_signatures(rows, classes, ids).select("url", "check_id", F.col("component_signature").alias("signature"))
 
 

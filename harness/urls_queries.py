@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls as U
+from auditlake.lineage import cut
 from auditlake.operators import discovery as D
 from auditlake.sources import corpus as C
 
@@ -92,7 +93,7 @@ def pages(spark, sf):
 
 def url_pool(spark, sf):
     """Corpus pages and catalogue URLs."""
-    return pages(spark, sf).unionByName(derived(spark, sf, "shop_url"))
+    return cut(pages(spark, sf).unionByName(derived(spark, sf, "shop_url")))
 
 
 @query("a1_page_scan", "SELECT page_id, url, length(html)::INTEGER AS html_chars FROM pages")
@@ -162,9 +163,9 @@ block(
 
 
 def edges(spark, sf):
-    p = pages(spark, sf)
-    raw = table(spark, sf, "pages").select("page_id", "html")
-    return D.link_edges(raw.join(p, "page_id").withColumn("base_url", U.origin(F.col("url"))))
+    own = U.canonical(F.col("url"))
+    raw = table(spark, sf, "pages").select("page_id", own.alias("url"), U.origin(own).alias("base_url"), "html")
+    return D.link_edges(raw, pages(spark, sf))
 
 
 @query("a4_link_edges", "SELECT src, dst FROM link_edge")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import half_up
+from ..lineage import cut
 from .identity import VENDOR_PREFIX
 
 # Grouping exceptions, thresholds, weights.
@@ -78,27 +79,57 @@ def impact_score(impact: Column) -> Column:
     )
 
 
-def group_evidence(evidence: DataFrame) -> DataFrame:
+# what a finding touches: kind of value and the evidence column it comes from
+TOUCHED = {"page": "page_url", "component": "component_signature", "template": "fingerprint", "site": "site_id"}
+
+
+def touches(evidence: DataFrame) -> DataFrame:
+    """Distinct ``(key, kind, value)``: pages, components, templates, sites and criteria per problem.
+
+    One narrow pass over the evidence serves every distinct count and bridge
+    table; the wide columns stay out of it.
+    """
+
+    def one(kind: str, value: Column) -> Column:
+        return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), value)
+
+    single = F.array(*[one(k, F.coalesce(c, F.lit(""))) for k, c in TOUCHED.items()])
+    listed = F.transform(F.coalesce("criteria", F.array().cast("array<string>")), lambda c: one("criterion", c))
+    rows = evidence.select(dedupe_key().alias("key"), F.explode(F.concat(single, listed)).alias("t")).select("key", "t.kind", "t.value")
+    return rows.filter((F.col("value") != "") | (F.col("kind") == "page")).dropDuplicates()
+
+
+def touched_values(touched: DataFrame, kind: str) -> DataFrame:
+    """Bridge table ``(finding_id, <column>)`` of one kind."""
+    rows = touched.filter((F.col("kind") == kind) & (F.col("value") != ""))
+    return rows.select(finding_id(F.col("key")).alias("finding_id"), F.col("value").alias(TOUCHED[kind]))
+
+
+def group_evidence(evidence: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """One row per dedupe key with counts and extremes.
 
-    Distinct counts run on two-column projections of their own: counted next to
-    the other aggregates they would multiply every wide row. The first row of a
-    group carries its record as text, parsed once per group.
+    Only extremes and a count are taken from the wide rows; distinct counts come
+    from ``touches``. The first row of a group carries its record as text,
+    parsed once per group.
     """
     component = F.when(F.col("component_signature") != "", F.col("component_signature"))
-    keyed = evidence.withColumn("key", dedupe_key())
-    grouped = keyed.groupBy("key").agg(
-        F.min(F.struct(*FIRST, "component_signature", "data", "observation")).alias("_first"),
-        F.min(F.when(component.isNotNull(), F.struct(*FIRST, "component_signature"))).alias("_named"),
-        F.max(impact_score(F.coalesce("engine_impact", F.lit("moderate")))).alias("user_impact"),
-        F.count("*").alias("evidence_count"),
+    grouped = (
+        evidence.withColumn("key", dedupe_key())
+        .groupBy("key")
+        .agg(
+            F.min(F.struct(*FIRST, "component_signature", "data", "observation")).alias("_first"),
+            F.min(F.when(component.isNotNull(), F.struct(*FIRST, "component_signature"))).alias("_named"),
+            F.max(impact_score(F.coalesce("engine_impact", F.lit("moderate")))).alias("user_impact"),
+            F.count("*").alias("evidence_count"),
+        )
+    )
+    touched = touched if touched is not None else touches(evidence)
+    # criteria are a closed list of a few dozen values, so the set per key is small
+    counts = touched.groupBy("key").agg(
+        F.count_if(F.col("kind") == "page").alias("page_count"),
+        F.count_if(F.col("kind") == "component").alias("component_count"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "criterion", F.col("value")))).alias("criteria"),
     )
-    # a handful of distinct criteria lists per key, whatever the size of the group
-    lists = keyed.select("key", "criteria").dropDuplicates()
-    criteria = lists.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("criteria")))).alias("criteria"))
-    pages = keyed.select("key", "page_url").dropDuplicates().groupBy("key").agg(F.count("*").alias("page_count"))
-    named = keyed.select("key", component.alias("c")).filter(F.col("c").isNotNull()).dropDuplicates()
-    components = named.groupBy("key").agg(F.count("*").alias("component_count"))
 
     def field(name: str) -> Column:
         return F.get_json_object("_first.data", f"$.{name}")
@@ -107,21 +138,16 @@ def group_evidence(evidence: DataFrame) -> DataFrame:
         "_first.check_id", "_first.component_signature", "_first.observation",
         field("axeRule").alias("rule"), field("axeDescription").alias("rule_text"), field("helpUrl").alias("help_url"),
     )
-    return (
-        grouped.join(criteria, "key")
-        .join(pages, "key")
-        .join(components, "key", "left")
-        .select(
-            "key",
-            finding_id(F.col("key")).alias("finding_id"),
-            first.alias("first"),
-            "criteria",
-            "page_count",
-            F.coalesce("component_count", F.lit(0).cast("bigint")).alias("component_count"),
-            F.col("_named.component_signature").alias("first_component"),
-            "user_impact",
-            "evidence_count",
-        )
+    return grouped.join(counts, "key").select(
+        "key",
+        finding_id(F.col("key")).alias("finding_id"),
+        first.alias("first"),
+        "criteria",
+        "page_count",
+        "component_count",
+        F.col("_named.component_signature").alias("first_component"),
+        "user_impact",
+        "evidence_count",
     )
 
 
@@ -249,14 +275,19 @@ def analyse(
     texts: DataFrame | None = None,
     review_threshold: float = REVIEW_THRESHOLD,
 ) -> Analysis:
-    """Findings of a run. ``templates(fingerprint, page_count)``, ``sites(site_id, tier)``."""
+    """Findings of a run. ``templates(fingerprint, page_count)``, ``sites(site_id, tier)``.
+
+    ``evidence`` should be a stored table: it is scanned for the extremes, for
+    what each problem touches, and for the citations.
+    """
     spark = evidence.sparkSession
     criteria = criteria if criteria is not None else dims.criteria(spark)
     texts = dims.or_own(texts, dims.texts(spark))
 
-    groups = group_evidence(evidence)
-    finding_templates = bridge(evidence, "fingerprint")
-    finding_sites = bridge(evidence, "site_id")
+    touched = cut(touches(evidence))
+    groups = group_evidence(evidence, touched)
+    finding_templates = touched_values(touched, "template")
+    finding_sites = touched_values(touched, "site")
     primary = (
         finding_sites.join(sites.filter(F.col("tier") == "primary").select("site_id"), "site_id", "left_semi")
         .select("finding_id", F.lit(True).alias("primary"))
@@ -317,7 +348,7 @@ def analyse(
         F.lit(False).alias("ai_generated"),
         "can_fail",
     )
-    return Analysis(findings, cite(evidence), bridge(evidence, "component_signature"), finding_templates, finding_sites)
+    return Analysis(findings, cite(evidence), touched_values(touched, "component"), finding_templates, finding_sites)
 
 
 def verdict_rank(value: Column) -> Column:

@@ -180,12 +180,20 @@ shared(
       CAST(1366 AS INT) AS viewport_width, 'Usiamo i Cookie' AS text, c_custkey % 5 = 0 AS aria_hidden_chain, c_custkey % 7 = 0 AS inert_chain, c_custkey % 3 <> 0 AS dismissed FROM {customer}
     UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 5, 1, '#didomi', 'didomi-host', 'box', '', true, 'static', 10.0E0, 10.0E0, 1, 1366, '', false, false, c_custkey % 9 <> 0 FROM {customer} WHERE c_custkey % 8 IN (4, 0)""",
 )
+# four controls per banner
 shared(
     "banner_control",
-    """SELECT 'c' || CAST(c_custkey AS STRING) AS url, CAST(CASE WHEN c_custkey % 8 = 4 THEN 5 ELSE 1 END AS INT) AS banner_ordinal, CAST(k AS INT) AS ordinal,
-      CASE WHEN (c_custkey + k) % 4 = 0 THEN '-1' WHEN (c_custkey + k) % 4 = 1 THEN '0' ELSE CAST(NULL AS STRING) END AS tabindex, (c_custkey + k) % 3 = 0 AS disabled, (c_custkey % 6) * 10.0E0 AS width, 20.0E0 * (c_custkey % 6) AS height, c_custkey % 10 <> 1 AS shown,
-      CASE WHEN k = 0 THEN ' Accetta   tutti ' ELSE CAST(NULL AS STRING) END AS aria_label, '' AS value, CASE WHEN k = 1 THEN 'OK, ho capito!' WHEN k = 2 THEN 'Preferenze' ELSE 'Rifiuta' END AS text
-    FROM {customer}, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t""",
+    " UNION ALL ".join(
+        f"""SELECT 'c' || CAST(c_custkey AS STRING) AS url, CAST(CASE WHEN c_custkey % 8 = 4 THEN 5 ELSE 1 END AS INT) AS banner_ordinal, CAST({k} AS INT) AS ordinal,
+      CASE WHEN (c_custkey + {k}) % 4 = 0 THEN '-1' WHEN (c_custkey + {k}) % 4 = 1 THEN '0' ELSE CAST(NULL AS STRING) END AS tabindex, (c_custkey + {k}) % 3 = 0 AS disabled,
+      (c_custkey % 6) * 10.0E0 AS width, 20.0E0 * (c_custkey % 6) AS height, c_custkey % 10 <> 1 AS shown, {label} AS aria_label, '' AS value, '{text}' AS text FROM {{customer}}"""
+        for k, label, text in [
+            (0, "' Accetta   tutti '", "Rifiuta"),
+            (1, "CAST(NULL AS STRING)", "OK, ho capito!"),
+            (2, "CAST(NULL AS STRING)", "Preferenze"),
+            (3, "CAST(NULL AS STRING)", "Rifiuta"),
+        ]
+    ),
 )
 
 

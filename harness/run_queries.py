@@ -168,8 +168,8 @@ def _(spark, sf):
     return T.packs(T.candidates(log_findings(spark, sf, stored=True).findings))
 
 
-# answers and decisions keyed by the finding's place in the id order
-block("l_numbered", "SELECT *, row_number() OVER (ORDER BY finding_id) AS k FROM l_finding")
+# answers and decisions keyed by the first two hex digits of the finding id
+block("l_numbered", "SELECT *, (strpos('0123456789abcdef', finding_id[1]) - 1) * 16 + strpos('0123456789abcdef', finding_id[2]) - 1 AS k FROM l_finding")
 block(
     "answer_log",
     """SELECT n.finding_id, 'f' || doc_id % 5 AS file, doc_id AS position, CASE quality * 2 + toxic WHEN 0 THEN 'needs-review' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' ELSE 'inapplicable' END AS verdict,
@@ -179,11 +179,9 @@ block(
 
 
 def answers(spark, sf, findings):
-    from pyspark.sql import Window
-
     from .core import table
 
-    numbered = findings.select("finding_id").withColumn("k", F.row_number().over(Window.orderBy("finding_id")))
+    numbered = findings.select("finding_id", F.conv(F.left("finding_id", F.lit(2)), 16, 10).cast("bigint").alias("k"))
     marks = table(spark, sf, "labels")
     code = F.col("quality") * 2 + F.col("toxic")
     return marks.join(numbered, F.col("k") == F.col("doc_id") % 150).select(
@@ -250,12 +248,10 @@ block(
 
 
 def reviewed(spark, sf):
-    from pyspark.sql import Window
-
     from .core import table
 
     findings = log_findings(spark, sf, stored=True).findings
-    numbered = findings.select("finding_id").withColumn("k", F.row_number().over(Window.orderBy("finding_id")))
+    numbered = findings.select("finding_id", F.conv(F.left("finding_id", F.lit(2)), 16, 10).cast("bigint").alias("k"))
     kinds = F.array(*[F.lit(o) for o in [*T.OUTCOMES, "boh"]])
     log = table(spark, sf, "labels").join(numbered, F.col("k") == F.col("doc_id") % 170 + 20).select(
         "finding_id",

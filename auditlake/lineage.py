@@ -1,35 +1,54 @@
 """Materialised stage boundaries on shared storage.
 
 Fixpoint loops and tables read by several branches are written once, as
-columnar files under the checkpoint folder, and read back: later stages prune
-columns, and losing an executor never replays what came before.
+columnar files under the folder the cluster names in ``spark.checkpoint.dir``,
+and read back: later stages prune columns, and losing an executor never replays
+what came before. Each application keeps its tables in one catalog database at
+that folder, so that ``release`` and ``release_all`` delete them by plain SQL.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for materialised tables: the one the cluster names, else (local mode only) a fresh one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names; where none is named, one in the (equally shared) warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+
+
+def _database(spark: SparkSession) -> str:
+    name = "cut_" + "".join(c if c.isalnum() else "_" for c in spark.conf.get("spark.app.id"))
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{ensure_checkpoint_dir(spark).rstrip('/')}/{name}'")
+        atexit.register(release_all, spark)
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back; its lineage ends there."""
+    """``df`` written to the shared folder and read back; its lineage ends there.
+
+    The table stays until ``release(result)`` or the end of the application.
+    """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{_database(spark)}.t{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(name)
+    stored = spark.table(name)
+    stored._cut_name = name
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no later plan reads."""
+    for df in stored:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._cut_name}")
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that ``cut`` has left for this application."""
+    with contextlib.suppress(Exception):  # the session may have ended already
+        spark.sql(f"DROP DATABASE IF EXISTS {_database(spark)} CASCADE")

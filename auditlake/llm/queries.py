@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, pii, urls
+from auditlake.lineage import cut
+
+from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +59,43 @@ def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_url_filter")
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf}/pages.parquet")).drop("row")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.tokenise(documents(spark, sf), vocabulary())
+    # the ids themselves are not asked for, so only their checksums travel on
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(cut(digests))
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learned = language.sample(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_syncmer_fingerprints")
+def op5_syncmer_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_edits(documents(spark, sf))
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf))
+
+
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    less = passages.remove_repeated(documents(spark, sf))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return less.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, rows
+from auditlake.lineage import cut
 
+from .common import rows
+
+# fixed values
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
     """A line without white space at its ends, A-Z in lower case."""
-    stripped = F.regexp_replace(line, rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++\z", "")
-    return F.translate(stripped, UPPER, LOWER)
+    stripped = F.btrim(line, F.lit(BLANK))
+    # lines of ASCII alone, where both mean the same, take the faster function
+    ascii_only = F.octet_length(stripped) == F.length(stripped)
+    return F.when(ascii_only, F.lower(stripped)).otherwise(F.translate(stripped, UPPER, LOWER))
 
 
 def _lines(text: str) -> Column:
@@ -47,7 +53,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
     base = rows(docs, doc_id="doc_id", text="text")
     # an id may be null or repeat: a row's text belongs to its key
     base = base.withColumn("text_key", F.xxhash64("text"))
-    narrow = base.select("doc_id", "text_key", line_hashes("text", min_chars).alias("keys"))
+    # the lines' hashes are stored, as two passes read them: 16 bytes a line
+    narrow = cut(base.select("doc_id", "text_key", line_hashes("text", min_chars).alias("keys")))
 
     once = narrow.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).filter("key IS NOT NULL")
     counted = once.groupBy("key.a", "key.b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
@@ -61,7 +68,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
     dropped = dropped.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     joined = base.join(dropped, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
     lines = _lines("text")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped")))
+    stay = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped")))
     kept = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return joined.withColumn("lines", lines).select(
         "row", "doc_id", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped")

@@ -42,9 +42,11 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def snippet(html: Column, limit: int) -> Column:
-    """Whitespace-collapsed markup, cut at ``limit`` characters with a marker."""
+def snippet(html: Column, limit: int | None = None) -> Column:
+    """Whitespace-collapsed markup (C12); a caller may cut it at ``limit`` characters, with a marker."""
     flat = F.regexp_replace(html, r"\s+", " ")
+    if limit is None:
+        return flat
     return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("..."))).otherwise(flat)
 
 

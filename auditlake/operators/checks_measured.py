@@ -17,24 +17,16 @@ from .observations import measured, page_level, union
 
 # Limits and thresholds.
 MAX_VISITS = 3
-TAB_STOPS = 60
 BACKWARD_PX = 80
 BACKWARD_JUMPS = 3
 CHUNK = 4096
-HOVER_CANDIDATES = 40
-HOVER_SIGNATURES = 12
 REST_FLOOR = 1.05
 REFLOW_VIEWPORT = 320
 REFLOW_SLACK = 2
 REFLOW_WIDTH = 40
-REFLOW_ROWS = 6
 CLIP_SLACK = 4
 CLIP_TEXT = 20
-CLIP_ROWS = 5
-BACKGROUND_ROWS = 5
 BANNER_TEXT = r"cookie|consenso|privacy|tracciamento|consent|gdpr"
-BANNER_BUTTONS = 25
-BANNER_BUTTON_TEXT = 60
 ACCEPT_TEXT = (
     r"(?i)^(accetta(\s+(tutti|tutto|e chiudi|i cookie|tutti i cookie))?|acconsento|ho capito|va bene|consenti(\s+(tutti|tutto))?"
     r"|autorizzo|procedi|continua|chiudi|ok,?\s*(ho capito)?|accept(\s+(all|cookies|and close|all cookies))?|allow(\s+all)?|agree|i agree"
@@ -66,17 +58,24 @@ def live_stops(stops: DataFrame) -> DataFrame:
     )
 
 
-def previous_value(rows: DataFrame, key: str, order: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
+def previous_value(rows: DataFrame, key: str, order: str, value: str, out: str, chunk: int = CHUNK, levels: int = 2) -> DataFrame:
     """``lag(value)`` per key without sorting a whole key in one task.
 
     Inside a chunk of the order range it is a plain lag; the first row of a
-    chunk takes the last value of the previous non-empty chunk.
+    chunk takes the last value of the previous non-empty chunk. Those ends are
+    found the same way, in chunks of chunks, so that a sparse order, where
+    nearly every row is a chunk of its own, meets in no single task either.
     """
     chunked = rows.withColumn("_c", F.floor(F.col(order) / F.lit(chunk)))
     inner = Window.partitionBy(key, "_c").orderBy(order)
     lagged = chunked.withColumn("_in", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
     ends = chunked.groupBy(key, "_c").agg(F.max_by(value, order).alias("_end"))
-    carried = ends.select(key, "_c", F.lag("_end").over(Window.partitionBy(key).orderBy("_c")).alias("_carry"))
+    if levels > 1:
+        ends = ends.withColumnRenamed("_c", "_at")
+        before = previous_value(ends, key, "_at", "_end", "_before", chunk, levels - 1)
+        carried = before.select(key, F.col("_at").alias("_c"), F.col("_before").alias("_carry"))
+    else:
+        carried = ends.select(key, "_c", F.lag("_end").over(Window.partitionBy(key).orderBy("_c")).alias("_carry"))
     return (
         lagged.join(carried, [key, "_c"])
         .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_in")))
@@ -116,7 +115,7 @@ def keyboard_checks(pages: DataFrame, stops: DataFrame) -> DataFrame:
     unmarked = measured(
         walked.filter(F.col("visible") & F.coalesce(no_outline, F.lit(False)) & no_shadow),
         "focus-not-visible",
-        F.concat(F.lit("Nessun segno di focus su "), F.col("tag"), F.lit(' "'), F.left("label", F.lit(40)), F.lit('".')),
+        F.concat(F.lit("Nessun segno di focus su "), F.col("tag"), F.lit(' "'), F.col("label"), F.lit('".')),
         {"outline": F.col("outline_style"), "boxShadow": F.col("box_shadow")},
         F.col("html"),
     )
@@ -142,15 +141,13 @@ def keyboard_checks(pages: DataFrame, stops: DataFrame) -> DataFrame:
     return union(trap, hidden, unmarked, forced, climbing, silent)
 
 
-def tab_order(stops: DataFrame, limit: int = TAB_STOPS) -> DataFrame:
-    """First stops of each walk, the trap included and nothing after it."""
-    order = Window.partitionBy("url").orderBy("idx")
-    return (
-        live_stops(stops)
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= limit)
-        .select("url", F.col("idx").alias("index"), "selector", "label", "component")
-    )
+def tab_order(stops: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stops of each walk, the trap included and nothing after it (G7); a caller may take the first ``limit`` (60 is usual)."""
+    walk = live_stops(stops)
+    if limit is not None:
+        order = Window.partitionBy("url").orderBy("idx")
+        walk = walk.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit)
+    return walk.select("url", F.col("idx").alias("index"), "selector", "label", "component")
 
 
 def with_contrast(samples: DataFrame) -> DataFrame:
@@ -158,18 +155,20 @@ def with_contrast(samples: DataFrame) -> DataFrame:
     return samples.withColumn("ratio", colour.text_contrast(F.col("color"), F.col("bg_chain")))
 
 
-def hover_contrast_check(samples: DataFrame) -> DataFrame:
+def hover_contrast_check(samples: DataFrame, candidates: int | None = None, signatures: int | None = None) -> DataFrame:
     """G9 on ``samples(url, ordinal, selector, signature, state, color, bg_chain, font_size, font_weight, painted)``.
 
-    Candidates are the first forty of a page, the first of each signature, at
-    most twelve signatures; each is a rest row and a hover row.
+    The first element of each signature of a page counts; each is a rest row and
+    a hover row. A caller may look at the first ``candidates`` elements (40 is
+    usual) and ``signatures`` (12 is usual) of a page only.
     """
     order = Window.partitionBy("url").orderBy("ordinal")
     rest_rows = samples.filter(F.col("state") == "rest")
-    first = rest_rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= HOVER_CANDIDATES).drop("_rn")
-    # at most forty rows per page from here on
-    one = first.withColumn("_s", F.row_number().over(Window.partitionBy("url", "signature").orderBy("ordinal"))).filter("_s = 1")
-    chosen = one.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= HOVER_SIGNATURES).drop("_s", "_k")
+    if candidates is not None:
+        rest_rows = rest_rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= candidates).drop("_rn")
+    chosen = rest_rows.withColumn("_s", F.row_number().over(Window.partitionBy("url", "signature").orderBy("ordinal"))).filter("_s = 1").drop("_s")
+    if signatures is not None:
+        chosen = chosen.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= signatures).drop("_k")
     rest = with_contrast(chosen).withColumnsRenamed({"ratio": "rest_ratio", "color": "rest_color"})
     hover = with_contrast(samples.filter(F.col("state") == "hover").select("url", "ordinal", "color", "bg_chain")).select(
         "url", "ordinal", F.col("ratio").alias("hover_ratio"), F.col("color").alias("hover_color")
@@ -201,19 +200,16 @@ def reflow_checks(boxes: DataFrame) -> DataFrame:
     outer = narrow.filter(F.col("visible") & (F.col("right") > limit) & (F.col("width") > REFLOW_WIDTH)).join(
         wide, ["url", "parent"], "left_anti"
     )
-    order = Window.partitionBy("url").orderBy("ordinal")
-    worst = outer.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= REFLOW_ROWS)
-
     def rounded(c: str) -> Column:
         return F.floor(F.col(c) + F.lit(0.5)).cast("int")
 
     over = rounded("right") - F.col("viewport")
     elements = measured(
-        worst,
+        outer,
         "reflow-overflowing-element",
         F.concat(F.lit("A 320px "), F.col("tag"), F.lit(" sporge di "), over.cast("string"), F.lit("px.")),
         {"overflowPx": over, "elementWidth": rounded("width")},
-        snippet(F.col("html"), 200),
+        snippet(F.col("html")),
     )
     bare = narrow.groupBy("url").agg(F.max("doc_width").alias("doc_width"), F.max("viewport").alias("viewport")).join(outer.select("url"), "url", "left_anti")
     page = page_level(
@@ -229,14 +225,12 @@ def spacing_check(boxes: DataFrame) -> DataFrame:
     """G11 on ``boxes(url, ordinal, selector, signature, html, overflow, overflow_y, text_length, scroll_height, client_height)``."""
     hides = F.col("overflow").isin("hidden", "clip") | (F.col("overflow_y") == "hidden")
     cut = boxes.filter(hides & (F.col("text_length") > CLIP_TEXT) & (F.col("scroll_height") > F.col("client_height") + CLIP_SLACK))
-    order = Window.partitionBy("url").orderBy("ordinal")
-    first = cut.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= CLIP_ROWS)
     return measured(
-        first,
+        cut,
         "text-spacing-clipped",
         F.concat(F.lit("Testo alto "), F.col("scroll_height").cast("string"), F.lit("px tagliato a "), F.col("client_height").cast("string"), F.lit("px.")),
         {"scrollHeight": F.col("scroll_height"), "clientHeight": F.col("client_height")},
-        snippet(F.col("html"), 200),
+        snippet(F.col("html")),
     )
 
 
@@ -244,14 +238,12 @@ def background_check(boxes: DataFrame) -> DataFrame:
     """G12 on ``boxes(url, ordinal, selector, signature, html, background_image, width, height, visible)``."""
     painted = ~F.coalesce(F.col("background_image"), F.lit("")).isin("", "none")
     large = boxes.filter(F.col("visible") & painted & (F.col("width") > 200) & (F.col("height") > 80))
-    order = Window.partitionBy("url").orderBy("ordinal")
-    first = large.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= BACKGROUND_ROWS)
     return measured(
-        first,
+        large,
         "bg-image-review",
         F.lit("Sfondo figurato ampio: può contenere informazione."),
-        {"backgroundImage": F.left("background_image", F.lit(160))},
-        snippet(F.col("html"), 200),
+        {"backgroundImage": F.col("background_image")},
+        snippet(F.col("html")),
     )
 
 
@@ -337,16 +329,14 @@ def exclude_polluted(evidence: DataFrame, reachability: DataFrame, page_column:
 
 
 def accept_candidates(controls: DataFrame) -> DataFrame:
-    """First clickable controls of a banner with their label and whether it reads like consent.
+    """Clickable controls of a banner with their label and whether it reads like consent.
 
     ``controls(url, banner_ordinal, ordinal, aria_label, value, text, width, height)``.
     """
     raw = F.coalesce(F.nullif("aria_label", F.lit("")), F.nullif("value", F.lit("")), F.nullif("text", F.lit("")), F.lit(""))
     label = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    order = Window.partitionBy("url", "banner_ordinal").orderBy("ordinal")
-    first = controls.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= BANNER_BUTTONS).drop("_rn")
     seen = (F.col("width") > 0) & (F.col("height") > 0)
-    return first.select(
-        "url", "banner_ordinal", "ordinal", F.left(label, F.lit(BANNER_BUTTON_TEXT)).alias("label"), seen.alias("visible"),
+    return controls.select(
+        "url", "banner_ordinal", "ordinal", label.alias("label"), seen.alias("visible"),
         (label.rlike(ACCEPT_TEXT) & (F.col("width") != 0) & (F.col("height") != 0)).alias("accepts"),
     )

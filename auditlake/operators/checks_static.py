@@ -2,7 +2,7 @@
 
 Every function takes element rows (tree or flat) and returns observation rows;
 ``pages(url)`` is needed where the absence of an element is the finding.
-Per-page windows stay inside one page and are cut to the first few rows.
+Per-page windows stay inside one page.
 """
 
 from __future__ import annotations
@@ -40,16 +40,15 @@ AUTOCOMPLETE_HINTS = [
     ("citta", "address-level2"),
     ("password", "current-password"),
 ]
-EMPTY_HEADINGS = 5
-SKIP_CANDIDATES = 5
 ALT_CHARS = 200
 RAW_URL_CHARS = 40
 SAME_TEXT_CHARS = 60
-TARGET_SAMPLES = 5
 
 
-def _first(rows: DataFrame, n: int) -> DataFrame:
-    """First ``n`` rows of each page in document order."""
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    """First ``n`` rows of each page in document order, or all of them."""
+    if n is None:
+        return rows
     order = Window.partitionBy("url").orderBy("ordinal")
     return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
 
@@ -81,7 +80,7 @@ def heading_checks(pages: DataFrame, elements: DataFrame) -> DataFrame:
         {"headingCount": F.coalesce("headings", F.lit(0))},
     )
     several = stats.filter(F.size("h1s") > 1).select("url", F.col("h1s")[1]["ordinal"].alias("ordinal"), "h1s")
-    quoted = F.array_join(F.transform("h1s", lambda h: F.left(h["text"], F.lit(40))), '", "')
+    quoted = F.array_join(F.transform("h1s", lambda h: h["text"]), '", "')
     many = on_elements(
         heads.join(several, ["url", "ordinal"]),
         [
@@ -102,15 +101,15 @@ def heading_checks(pages: DataFrame, elements: DataFrame) -> DataFrame:
                 "heading-skipped-level",
                 F.lit(True),
                 F.concat(
-                    F.lit("Da h"), F.col("from_level").cast("string"), F.lit(' ("'), F.left("from_text", F.lit(40)),
-                    F.lit('") si passa a h'), F.col("level").cast("string"), F.lit(' ("'), F.left("text", F.lit(40)), F.lit('").'),
+                    F.lit("Da h"), F.col("from_level").cast("string"), F.lit(' ("'), F.col("from_text"),
+                    F.lit('") si passa a h'), F.col("level").cast("string"), F.lit(' ("'), F.col("text"), F.lit('").'),
                 ),
                 {"from": F.col("from_level"), "to": F.col("level")},
             )
         ],
     )
     empty = on_elements(
-        _first(heads.filter(F.col("text") == ""), EMPTY_HEADINGS),
+        heads.filter(F.col("text") == ""),
         [hit("heading-empty", F.lit(True), F.concat(F.lit("Titolo "), F.col("tag"), F.lit(" vuoto.")))],
     )
     return union(no_h1, many, skipped, empty)
@@ -179,14 +178,14 @@ def title_checks(pages: DataFrame, elements: DataFrame) -> DataFrame:
     return union(missing, short)
 
 
-def skip_link_check(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """none of the first five in-page links skips to the content."""
-    local = _first(elements.filter((F.col("tag") == "a") & attr("href").startswith("#")), SKIP_CANDIDATES)
+def skip_link_check(pages: DataFrame, elements: DataFrame, among: int | None = None) -> DataFrame:
+    """no in-page link skips to the content; a caller may look ``among`` the first few only (5 is usual)."""
+    local = _first(elements.filter((F.col("tag") == "a") & attr("href").startswith("#")), among)
     skips = local.filter(F.lower("text").rlike(SKIP_TEXT)).select("url")
     return page_level(
         pages.select("url").join(skips, "url", "left_anti"),
         "skiplink-missing",
-        F.lit("Fra i primi collegamenti interni nessuno salta al contenuto."),
+        F.lit("Nessun collegamento interno salta al contenuto."),
     )
 
 
@@ -230,7 +229,7 @@ def image_checks(elements: DataFrame) -> DataFrame:
                 "img-alt-too-long",
                 told & (F.length("alt") > ALT_CHARS),
                 F.concat(F.lit("Alt di "), F.length("alt").cast("string"), F.lit(" caratteri.")),
-                {"src": F.col("src"), "altLength": F.length("alt"), "alt": F.left("alt", F.lit(120))},
+                {"src": F.col("src"), "altLength": F.length("alt"), "alt": F.col("alt")},
             ),
             hit(
                 "img-alt-duplicates-caption",
@@ -239,7 +238,6 @@ def image_checks(elements: DataFrame) -> DataFrame:
                 {"alt": F.col("alt")},
             ),
         ],
-        250,
     )
 
 
@@ -248,7 +246,7 @@ def _links(elements: DataFrame) -> DataFrame:
     if "context" in elements.columns:
         named = accessible_names(elements, is_link).withColumnRenamed("name", "label")
     else:
-        named = elements.filter(is_link).withColumn("label", F.left("text", F.lit(200)))
+        named = elements.filter(is_link).withColumn("label", F.col("text"))
     target = U.resolve(attr("href"), F.col("url"))
     return named.withColumn("label", F.trim(F.regexp_replace("label", r"\s+", " "))).withColumn("href", target)
 
@@ -267,14 +265,14 @@ def link_checks(elements: DataFrame) -> DataFrame:
             hit(
                 "link-new-window-unannounced",
                 opens & ~around.rlike(NEW_WINDOW),
-                F.concat(F.lit('"'), F.left("label", F.lit(60)), F.lit('" apre una finestra nuova senza dirlo.')),
+                F.concat(F.lit('"'), F.col("label"), F.lit('" apre una finestra nuova senza dirlo.')),
                 data,
             ),
             hit(
                 "link-raw-url-text",
                 told & F.col("label").rlike(r"(?i)^https?://") & (F.length("label") > RAW_URL_CHARS),
                 F.lit("Il testo è un indirizzo intero."),
-                {"text": F.left("label", F.lit(120)), "href": F.col("href")},
+                {"text": F.col("label"), "href": F.col("href")},
             ),
         ],
     )
@@ -288,7 +286,7 @@ def link_checks(elements: DataFrame) -> DataFrame:
     targets = F.array_sort(F.collect_list(F.struct("ordinal", "href")))
     several = (
         pairs.groupBy("url", "text")
-        .agg(F.count("*").alias("n"), F.slice(targets, 1, TARGET_SAMPLES).getField("href").alias("samples"))
+        .agg(F.count("*").alias("n"), targets.getField("href").alias("samples"))
         .filter(F.col("n") > 1)
     )
     same = page_level(
@@ -367,7 +365,7 @@ def form_checks(elements: DataFrame) -> DataFrame:
     )
     alone = searches.filter(F.col("_form").isNotNull()).join(served, ["url", "_form"], "left_anti")
     no_submit = on_elements(
-        alone, [hit("form-search-no-submit", F.lit(True), F.lit("La ricerca non ha un comando di invio."))], 250
+        alone, [hit("form-search-no-submit", F.lit(True), F.lit("La ricerca non ha un comando di invio."))]
     )
     return union(single, ungrouped, no_submit)
 

@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import half_up
-from ..lineage import cut
+from ..lineage import cut, release
 
 # Sampling defaults and labels.
 PROBES_PER_GROUP = 2
 SAMPLES_PER_TEMPLATE = 3
-MAX_SAMPLES = 8
-SCAN_ALL_UNDER = 40
-MIXED_CHARS = 48
 LANGUAGE_SHARE = 0.6
-SHAPE_MEMBERS = 30
 UNKNOWN = "unknown"
 MIXED = "mixed-"
 UNKNOWN_LABEL = "Pagine non classificate (sonda fallita)"
@@ -56,7 +52,8 @@ def assign_fingerprints(pages: DataFrame, probe_prints: DataFrame) -> DataFrame:
     )
     own = probe_prints.select("url", "group_key", F.col("fingerprint").alias("own"))
     joined = pages.join(kinds, "group_key", "left").join(own, ["url", "group_key"], "left")
-    mixed = F.left(F.concat(F.lit(MIXED), "pattern"), F.lit(MIXED_CHARS))
+    # the whole pattern names the group: cut ones would merge groups
+    mixed = F.concat(F.lit(MIXED), F.sha1("pattern"))
     fingerprint = (
         F.when(F.col("kinds") == 1, F.col("only"))
         .when(F.col("kinds") > 1, F.coalesce("own", mixed))
@@ -93,26 +90,32 @@ def labelled(template_rows: DataFrame, structural: DataFrame) -> DataFrame:
 def sample_size(
     template_rows: DataFrame,
     per_template: int = SAMPLES_PER_TEMPLATE,
-    cap: int = MAX_SAMPLES,
-    scan_all_under: int = SCAN_ALL_UNDER,
+    cap: int | None = None,
+    scan_all_under: int = 0,
 ) -> DataFrame:
-    """Add ``sample_size`` (E7): everything on a small run, else about the square root."""
+    """Add ``sample_size`` (E7): about the square root of a template's pages.
+
+    A caller may cap it (8 is usual) and ask for every page of a run of at most
+    ``scan_all_under`` pages (40 is usual); by default runs of all sizes behave
+    alike.
+    """
     total = template_rows.agg(F.sum("page_count")).scalar()
     n = F.col("page_count")
     uncertain = (F.col("fingerprint") == UNKNOWN) | F.col("fingerprint").startswith(MIXED)
-    root = F.least(F.ceil(F.sqrt(n.cast("double"))), F.lit(cap))
+    root = F.ceil(F.sqrt(n.cast("double")))
+    root = root if cap is None else F.least(root, F.lit(cap))
     bounded = F.greatest(F.lit(per_template), root) + F.when(uncertain, 1).otherwise(0)
     small = (F.lit(scan_all_under) > 0) & (total <= scan_all_under)
     return template_rows.withColumn("sample_size", F.when(small, n).otherwise(F.least(n, bounded)))
 
 
-def samples(pages: DataFrame, sized: DataFrame, cap: int = MAX_SAMPLES, scan_all_under: int = SCAN_ALL_UNDER) -> DataFrame:
+def samples(pages: DataFrame, sized: DataFrame) -> DataFrame:
     """Sampled ``(fingerprint, url)`` per template.
 
-    Two cuts: a constant one first, which limits every task before the shuffle,
-    then the template's own size on the few rows left.
+    Two cuts: first by the largest size asked for, which limits every task
+    before the shuffle, then by the template's own size on the rows left.
     """
-    most = max(cap, scan_all_under) + 1
+    most = sized.agg(F.max("sample_size")).first()[0] or 0
     few = representatives(pages.select("fingerprint", "url"), "fingerprint", most)
     return representatives(few.join(sized.select("fingerprint", "sample_size"), "fingerprint"), "fingerprint", F.col("sample_size")).select(
         "fingerprint", "url"
@@ -139,13 +142,11 @@ def dominant_language(pages: DataFrame) -> DataFrame:
 
 
 def neutral_shapes(pages: DataFrame) -> DataFrame:
-    """``(fingerprint, shape)`` from the first members: depth and first section, language aside."""
-    order = Window.partitionBy("fingerprint").orderBy("url")
-    first = pages.select("fingerprint", "url").withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= SHAPE_MEMBERS)
+    """``(fingerprint, shape)`` that all members share: depth and first section, language aside."""
     parts = F.filter(F.split(U.neutral_path(F.col("url")), "/"), lambda s: s != "")
     shape = F.concat(F.size(parts).cast("string"), F.lit(":"), F.coalesce(F.get(parts, 1), F.lit("")))
     return (
-        first.withColumn("shape", F.when(U.language(F.col("url")).isNotNull(), shape))
+        pages.select("fingerprint", "url").withColumn("shape", F.when(U.language(F.col("url")).isNotNull(), shape))
         .groupBy("fingerprint")
         .agg(F.countDistinct("shape").alias("k"), F.count_if(F.col("shape").isNull()).alias("gaps"), F.min("shape").alias("shape"))
         .filter((F.col("k") == 1) & (F.col("gaps") == 0))
@@ -181,14 +182,17 @@ def variant_edges(languages: DataFrame, shapes: DataFrame, pages: DataFrame | No
     return edges.unionByName(declared).dropDuplicates()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40, salts: int = 8) -> DataFrame:
     """``(node, component)`` with the smallest member as component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each
     node learns the smallest neighbour by a map-side-combined minimum and edges
     are rewired to it, which converges in a logarithmic number of rounds and
-    never gathers a neighbourhood.
+    never gathers a neighbourhood. A hub's edges are spread over ``salts`` join
+    keys, each with a copy of its smallest neighbour.
     """
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
     def star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -197,7 +201,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 4
         if not large:
             both = both.filter(F.col("v") < F.col("u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m"))
-        joined = both.join(low, "u")
+        joined = both.withColumn("_salt", salt.cast("int")).join(low.select("*", copies.alias("_salt")), ["u", "_salt"])
         if large:
             out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -207,7 +211,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 4
     links = cut(edges.select("a", "b").filter(F.col("a") != F.col("b")).dropDuplicates())
     state = None
     for _ in range(max_rounds):
-        links = cut(star(star(links, True), False))
+        before, links = links, cut(star(star(links, True), False))
+        release(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -6,14 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..lineage import cut
+from ..lineage import cut, release
 
 # Crawl defaults.
-MAX_PAGES_PER_SITE = 800
-MAX_DEPTH = 3
-MIN_LINK_PAGES = 60
 SITEMAP_NAMES = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
-MAX_SITEMAPS = 50
 COLLECTION_CHILDREN = 4
 COLLECTION_LEAF_SHARE = 0.85
 ROOT_CHILDREN = 15
@@ -22,9 +18,11 @@ ROOT_LEAF_SHARE = 0.9
 
 def exclude_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Drop pages whose URL matches one of their site's patterns anywhere (A2)."""
-    rules = sites.select(F.col("site_id").alias("_site"), F.explode("exclude").alias("_pattern"))
-    hit = (F.col("site_id") == F.col("_site")) & F.rlike("url", "_pattern")
-    return pages.join(rules, hit, "left_anti")
+    # one pattern and so one row per site: the pages of a large site can be split among tasks
+    whole = F.array_join(F.transform("exclude", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
+    rules = sites.filter(F.size("exclude") > 0).select(F.col("site_id").alias("_site"), whole.alias("_pattern"))
+    marked = pages.join(rules, F.col("site_id") == F.col("_site"), "left")
+    return marked.filter(F.col("_pattern").isNull() | ~F.rlike("url", "_pattern")).drop("_site", "_pattern")
 
 
 def link_edges(pages: DataFrame, keep: DataFrame | None = None) -> DataFrame:
@@ -43,12 +41,13 @@ def link_edges(pages: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return links.select("src", "dst").dropDuplicates()
 
 
-def sitemap_urls(docs: DataFrame, sites: DataFrame, max_pages: int = MAX_PAGES_PER_SITE) -> DataFrame:
+def sitemap_urls(docs: DataFrame, sites: DataFrame, max_pages: int | None = None, max_documents: int | None = None) -> DataFrame:
     """Sitemap documents ``docs(doc_url, body)`` to ``(site_id, url)``, following nested indexes (A3).
 
-    Documents are visited breadth first per site. At most ``MAX_SITEMAPS`` are
-    looked at, and no further one once ``max_pages`` URLs are known; the test
-    sits between documents, so the last one may overshoot.
+    Documents are visited breadth first per site, all of them by default. A
+    caller may stop after ``max_documents`` of a site (50 is usual), or open no
+    further one once ``max_pages`` URLs are known (800 is usual); that test sits
+    between documents, so the last one may overshoot.
     """
     starts = sites.select(
         "site_id", "base_url", F.posexplode(F.array(*[F.lit(n) for n in SITEMAP_NAMES])).alias("pos", "name")
@@ -62,8 +61,8 @@ def sitemap_urls(docs: DataFrame, sites: DataFrame, max_pages: int = MAX_PAGES_P
     order = Window.partitionBy("site_id").orderBy("rank")
     seen = cut(frontier.withColumn("seq", F.row_number().over(order).cast("long")))
     frontier = seen
-    # every level adds at least one document per live site, so the cap bounds the loop
-    for _ in range(MAX_SITEMAPS):
+    # a document is visited once per site, so the loop ends
+    while True:
         children = (
             frontier.join(index_links, "doc_url")
             .groupBy("site_id", "base_url", F.col("child").alias("doc_url"))
@@ -75,8 +74,9 @@ def sitemap_urls(docs: DataFrame, sites: DataFrame, max_pages: int = MAX_PAGES_P
         numbered = (
             children.join(known, "site_id")
             .withColumn("seq", F.row_number().over(level) + F.col("last"))
-            .filter(F.col("seq") <= MAX_SITEMAPS)
         )
+        if max_documents is not None:
+            numbered = numbered.filter(F.col("seq") <= max_documents)
         frontier = cut(numbered.select("site_id", "base_url", "doc_url", F.col("seq").alias("rank"), "seq"))
         if frontier.isEmpty():
             break
@@ -93,7 +93,9 @@ def sitemap_urls(docs: DataFrame, sites: DataFrame, max_pages: int = MAX_PAGES_P
         .groupBy("site_id", "url")
         .agg(F.min("seq").alias("seq"))
     )
-    # at most MAX_SITEMAPS rows per site reach this window
+    if max_pages is None:
+        return found.select("site_id", "url")
+    # one row per document of a site reaches this window
     per_doc = found.groupBy("site_id", "seq").agg(F.count("*").alias("n"))
     before = F.sum("n").over(
         Window.partitionBy("site_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,29 +121,38 @@ def exclude_errors(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link_reach(
-    seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES_PER_SITE
+    seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None
 ) -> DataFrame:
     """Breadth-first reach ``(site_id, url, depth)`` over recorded edges.
 
-    ``seeds(site_id, url)``, ``edges(site_id, src, dst)``. Pages at ``max_depth``
-    are kept and not expanded. The per-site cap takes the first pages by
-    (depth, url); expansion runs level by level, so pages past the cap could
-    only have led to pages past the cap.
+    ``seeds(site_id, url)``, ``edges(site_id, src, dst)``. All reachable pages
+    by default. A caller may stop at ``max_depth`` (3 is usual; those pages are
+    kept and not expanded) and keep the first ``max_pages`` of a site by
+    (depth, url); expansion runs level by level, so pages past that cap could
+    only have led to pages past the cap. The edges are stored once, as every
+    level reads them.
     """
-    cap = max(MIN_LINK_PAGES, max_pages // 4)
+    edges = cut(edges.select("site_id", F.col("src").alias("url"), "dst").repartition("site_id", "url"))
     frontier = cut(seeds.select("site_id", "url").dropDuplicates().withColumn("depth", F.lit(0)))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while depth != max_depth:
+        depth += 1
         step = (
-            frontier.join(edges.withColumnRenamed("src", "url"), ["site_id", "url"])
+            frontier.join(edges, ["site_id", "url"])
             .select("site_id", F.col("dst").alias("url"))
             .dropDuplicates()
         )
         fresh = step.join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
         frontier = cut(fresh.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier)
+    release(edges)
+    if max_pages is None:
+        return visited
     order = Window.partitionBy("site_id").orderBy("depth", "url")
-    return visited.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap).drop("_rn")
+    return visited.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_pages).drop("_rn")
 
 
 def merge_discoveries(from_sitemap: DataFrame, from_links: DataFrame) -> DataFrame:

@@ -9,10 +9,7 @@ from .. import dims
 from .identity import CONSENT_PREFIX, component_signatures
 
 # Limits, prefixes and impact defaults.
-ID_TEXT = 80
-RULE_HTML = 400
-UNDECIDED_NODES = 5
-SHOTS_PER_PAGE = 12
+SALTS = 8
 CONSENT_MARK = "__consentBanner"
 CONSENT_TEXT = "[banner di consenso] "
 OVERLAP = r"(?i)overlap(ped|s)\b"
@@ -29,8 +26,8 @@ RULE_RESULT_DDL = (
 
 
 def evidence_id(site_id: Column, url: Column, check_id: Column, selector: Column, observation: Column) -> Column:
-    """16 hex digits over site, page, check, selector and the start of the text (H1)."""
-    return F.left(F.sha1(F.concat_ws("|", site_id, url, check_id, selector, F.left(observation, F.lit(ID_TEXT)))), F.lit(16))
+    """16 hex digits over site, page, check, selector and the whole text (H1)."""
+    return F.left(F.sha1(F.concat_ws("|", site_id, url, check_id, selector, observation)), F.lit(16))
 
 
 def evidence_source(check_id: Column) -> Column:
@@ -53,11 +50,16 @@ def is_consent_marked(data: Column) -> Column:
 
 def resolve_signatures(rows: DataFrame, stable: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Add ``component_signature`` computed from ``signature_input``; consent rows get their prefix."""
-    computed = component_signatures(rows, stable, ids)
     prefix = F.when(is_consent_marked(F.col("data")), F.lit(CONSENT_PREFIX)).otherwise(F.lit(""))
-    return rows.join(computed, "signature_input", "left").withColumn(
-        "component_signature", F.concat(prefix, F.coalesce("signature", "signature_input"))
-    ).drop("signature")
+    # rows without a chain (nulls, "document", "unknown") need no lookup and would meet on one key
+    has_chain = F.coalesce(F.col("signature_input").startswith("{"), F.lit(False))
+    chained = rows.filter(has_chain)
+    # one chain may own a share of all rows: copies of its signature serve as many join keys
+    computed = component_signatures(chained, stable, ids).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = chained.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    found = salted.join(computed, ["signature_input", "_salt"], "left").drop("_salt")
+    plain = rows.filter(~has_chain).withColumn("signature", F.lit(None).cast("string"))
+    return found.unionByName(plain).withColumn("component_signature", F.concat(prefix, F.coalesce("signature", "signature_input"))).drop("signature")
 
 
 def to_evidence(observations: DataFrame, pages: DataFrame, stable: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
@@ -174,15 +176,16 @@ def blocked_by_overlap(checks: Column) -> Column:
     return F.coalesce(F.exists(checks, lambda c: F.coalesce(c["message"].rlike(OVERLAP), F.lit(False))), F.lit(False))
 
 
-def rule_observations(results: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def rule_observations(results: DataFrame, overrides: DataFrame | None = None, undecided: int | None = None) -> DataFrame:
     """Rule-engine log to observation rows.
 
-    ``results`` has the columns of ``RULE_RESULT_DDL``. Of an undecided rule only
-    the first five nodes of a page count; the overlap filter comes after the cut.
+    ``results`` has the columns of ``RULE_RESULT_DDL``. A caller may count the
+    first ``undecided`` nodes of an undecided rule on a page only (5 is usual);
+    the overlap filter comes after that cut.
     """
     rows = rules_to_criteria(results, overrides)
     failed = F.col("outcome") == "violation"
-    nodes = F.when(failed, F.col("nodes")).otherwise(F.slice("nodes", 1, UNDECIDED_NODES))
+    nodes = F.col("nodes") if undecided is None else F.when(failed, F.col("nodes")).otherwise(F.slice("nodes", 1, undecided))
     flat = rows.select("*", F.posexplode(nodes).alias("ordinal", "node")).withColumnRenamed("page_url", "url")
     kept = flat.filter(failed | (F.col("rule_id") != "color-contrast") | ~blocked_by_overlap(F.col("node.any")))
     checks = F.col("node.any")
@@ -222,7 +225,7 @@ def rule_observations(results: DataFrame, overrides: DataFrame | None = None) ->
         F.coalesce("impact", F.when(failed, F.lit("moderate")).otherwise(F.lit("minor"))).alias("engine_impact"),
         F.col("node.target").alias("selector"),
         F.coalesce("node.component_signature", F.lit("unknown")).alias("component_signature"),
-        F.left(F.coalesce("node.html", F.lit("")), F.lit(RULE_HTML)).alias("html"),
+        F.coalesce("node.html", F.lit("")).alias("html"),
         F.when(failed, text).otherwise(F.concat(text, F.lit(UNDECIDED_SUFFIX))).alias("observation"),
         data.alias("data"),
     )
@@ -233,27 +236,36 @@ def _quote(text: Column) -> Column:
     return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
 
 
-def mark_consent(observations: DataFrame) -> DataFrame:
-    """Rows measured inside the consent banner carry a mark and a text prefix."""
+def mark_consent(observations: DataFrame, banners: DataFrame) -> DataFrame:
+    """Rows measured inside a consent banner carry a mark and a text prefix.
+
+    ``banners(url, ordinal, last)``: the banner's element and the last one inside
+    it, one banner a page; ``observations`` keep their own ``ordinal``.
+    """
+    scope = banners.select("url", F.col("ordinal").alias("_from"), F.col("last").alias("_to"))
+    placed = observations.join(scope, "url", "left")
+    inside = F.coalesce(F.col("ordinal").between(F.col("_from"), F.col("_to")), F.lit(False))
     body = F.substr("data", F.lit(2))
     mark = F.when(F.trim("data") == "{}", F.lit(f'{{"{CONSENT_MARK}":true}}')).otherwise(
         F.concat(F.lit(f'{{"{CONSENT_MARK}":true,'), body)
     )
-    return observations.withColumn("data", mark).withColumn("observation", F.concat(F.lit(CONSENT_TEXT), "observation"))
+    return placed.select(
+        *[c for c in observations.columns if c not in ("data", "observation")],
+        F.when(inside, mark).otherwise(F.col("data")).alias("data"),
+        F.when(inside, F.concat(F.lit(CONSENT_TEXT), "observation")).otherwise(F.col("observation")).alias("observation"),
+    )
 
 
-def screenshot_requests(evidence: DataFrame, per_page: int = SHOTS_PER_PAGE) -> DataFrame:
-    """Elements worth a picture: grave, locatable, one per component, few per page."""
+def screenshot_requests(evidence: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Elements worth a picture: grave, locatable, one per component (H11); a caller may take ``per_page`` (12 is usual)."""
     grave = evidence.filter(F.col("engine_impact").isin("critical", "serious") & ~F.coalesce("selector", F.lit("")).isin("", "body"))
     order = ["ordinal", "check_id", "id"]
     one = Window.partitionBy("page_url", "component_signature").orderBy(*order)
     few = Window.partitionBy("page_url").orderBy(*order)
     first = grave.withColumn("_rn", F.row_number().over(one)).filter(F.col("_rn") == 1)
-    return (
-        first.withColumn("_rn", F.row_number().over(few))
-        .filter(F.col("_rn") <= per_page)
-        .select("id", "site_id", "page_url", "component_signature", "selector", F.concat("site_id", F.lit("/"), "id", F.lit(".png")).alias("path"))
-    )
+    if per_page is not None:
+        first = first.withColumn("_rn", F.row_number().over(few)).filter(F.col("_rn") <= per_page)
+    return first.select("id", "site_id", "page_url", "component_signature", "selector", F.concat("site_id", F.lit("/"), "id", F.lit(".png")).alias("path"))
 
 
 def rule_tally(results: DataFrame, passes: DataFrame | None = None) -> DataFrame:

@@ -33,7 +33,6 @@ SINGLE_CAUSE = [
 COLOUR_CHECKS = ["axe:color-contrast", "contrast-hover-insufficient"]
 NOISY_RULES = ["color-contrast", "color-contrast-enhanced", "region", "scrollable-region-focusable"]
 REVIEW_THRESHOLD = 0.75
-CITATIONS = 25
 VERDICT_RANK = {"fail": 0, "needs-review": 1, "pass": 2, "inapplicable": 3}
 BANDS = ["critica", "alta", "media", "bassa"]
 
@@ -45,7 +44,7 @@ class Analysis(NamedTuple):
     """Findings and their bridge tables, all keyed by ``finding_id``."""
 
     findings: DataFrame
-    citations: DataFrame  # finding_id, rank, evidence_id
+    citations: DataFrame  # finding_id, rank, evidence_id, page_url, check_id, ordinal
     components: DataFrame  # finding_id, component
     templates: DataFrame  # finding_id, fingerprint
     sites: DataFrame  # finding_id, site_id
@@ -173,13 +172,10 @@ def extrapolated_occurrences(finding_templates: DataFrame, templates: DataFrame)
     )
 
 
-def total_pages(evidence: DataFrame, templates: DataFrame) -> int:
-    """Pages over all templates, else the number of evidence rows (I4).
-
-    One number, read once: as a scalar subquery it would be evaluated again at
-    every place the severity formula mentions it.
-    """
-    return templates.agg(F.sum("page_count")).first()[0] or evidence.count()
+def total_pages(evidence: DataFrame, templates: DataFrame) -> DataFrame:
+    """One row ``total``: pages over all templates, else the number of evidence rows (I4)."""
+    rows = evidence.agg(F.count("*")).scalar()
+    return templates.agg(F.coalesce(F.nullif(F.sum("page_count"), F.lit(0)), rows).alias("total"))
 
 
 def text_key(check_id: Column) -> Column:
@@ -187,22 +183,36 @@ def text_key(check_id: Column) -> Column:
     return F.when(check_id.startswith("axe"), F.regexp_replace(check_id, r"^axe(-incomplete)?:", "axe:")).otherwise(check_id)
 
 
-def cite(evidence: DataFrame, limit: int = CITATIONS) -> DataFrame:
-    """First evidence ids of every finding (I12); the cut happens before the shuffle."""
+def cite(evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Evidence ids of every finding in order, with what orders them.
+
+    All of them by default: a row is ranked within its page, and moved by the
+    rows of the pages before it, so no task sorts a whole finding. A caller may
+    take the first ``limit`` (25 is usual); that cut happens before the shuffle.
+    """
     keyed = evidence.select(dedupe_key().alias("key"), *FIRST)
-    order = Window.partitionBy("key").orderBy(*FIRST)
-    ranked = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"))
+    if limit is not None:
+        order = Window.partitionBy("key").orderBy(*FIRST)
+        ranked = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    else:
+        page = Window.partitionBy("key").orderBy("page_url")
+        pages = keyed.groupBy("key", "page_url").agg(F.count("*").alias("_n"))
+        pages = pages.withColumn("_before", F.sum("_n").over(page) - F.col("_n")).drop("_n")
+        own = F.row_number().over(Window.partitionBy("key", "page_url").orderBy(*FIRST))
+        ranked = keyed.withColumn("_own", own).join(pages, ["key", "page_url"]).withColumn("rank", (F.col("_before") + F.col("_own")).cast("int"))
+    return ranked.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"), "page_url", "check_id", "ordinal")
 
 
 def cited_evidence(citations: DataFrame, evidence: DataFrame, *columns: str) -> DataFrame:
     """Citations with columns of their evidence, one row per citation.
 
-    Only cited ids leave the evidence table; repeated ids are settled after the
-    join, on the few rows left.
+    The whole order key joins; where rows agree even in that, the least record
+    stands for them, so the answer is the same in every run.
     """
-    seen = evidence.select(F.col("id").alias("evidence_id"), *columns)
-    return citations.join(seen, "evidence_id").dropDuplicates(["finding_id", "rank"])
+    key = ["evidence_id", "page_url", "check_id", "ordinal"]
+    seen = evidence.withColumnRenamed("id", "evidence_id").select(*key, F.struct(*columns).alias("_record"))
+    joined = citations.join(seen, key).groupBy("finding_id", "rank").agg(F.min("_record").alias("_record"))
+    return joined.select("finding_id", "rank", "_record.*")
 
 
 def criteria_facts(groups: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -303,9 +313,10 @@ def analyse(
     occurrences = F.coalesce(F.nullif("occurrences", F.lit(0)), F.col("page_count"))
     trust = confidence(check, F.col("first.rule"), F.col("cat_confidence"), F.col("page_count"))
     scored = (
-        joined.withColumn("occurrence_count", occurrences)
+        joined.withColumn("_total", total_pages(evidence, templates).scalar())
+        .withColumn("occurrence_count", occurrences)
         .withColumn("trust", trust)
-        .withColumn("reach", reach_score(F.col("occurrence_count"), F.lit(total_pages(evidence, templates)), F.coalesce("primary", F.lit(False))))
+        .withColumn("reach", reach_score(F.col("occurrence_count"), F.col("_total"), F.coalesce("primary", F.lit(False))))
         .withColumn("score", severity_score(F.col("user_impact"), F.col("reach"), F.col("legal_exposure")))
     )
     undecided = check.startswith("axe-incomplete:")
@@ -372,6 +383,7 @@ def with_priority(findings: DataFrame) -> DataFrame:
     their bucket.
     """
     bucket = ["_v", "_s", "_d"]
+    score = ["_v", "_s"]
     keyed = findings.select(
         "*",
         verdict_rank(F.col("verdict")).alias("_v"),
@@ -379,8 +391,12 @@ def with_priority(findings: DataFrame) -> DataFrame:
         F.left("finding_id", F.lit(2)).alias("_d"),
     )
     counts = keyed.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*bucket, F.coalesce(before, F.lit(0)).alias("_before"))
+    # the digits of a score first, then the scores, of which there are a few thousand at most
+    inside = F.sum("_n").over(Window.partitionBy(*score).orderBy("_d")) - F.col("_n")
+    scores = counts.groupBy(*score).agg(F.sum("_n").alias("_all"))
+    ahead = F.sum("_all").over(Window.orderBy(*score)) - F.col("_all")
+    offsets = counts.withColumn("_inside", inside).join(scores.select(*score, ahead.alias("_ahead")), score)
+    offsets = offsets.select(*bucket, (F.col("_ahead") + F.col("_inside")).alias("_before"))
     local = F.row_number().over(Window.partitionBy(*bucket).orderBy("finding_id"))
     return (
         keyed.withColumn("_local", local)

@@ -35,22 +35,22 @@ def token_registry(page_tokens: DataFrame, key: str = "url") -> DataFrame:
     return page_tokens.select(key, "token").dropDuplicates().groupBy("token").agg(F.count("*").alias("pages"))
 
 
-def stable_classes(registry: DataFrame, sampled_pages: Column) -> DataFrame:
-    """Tokens of the registry fit for signatures."""
+def stable_classes(registry: DataFrame, sampled_pages: Column, accept_below: int = 0) -> DataFrame:
+    """Tokens of the registry fit for signatures (D4); a caller may waive frequency below ``accept_below`` pages (3 is usual)."""
     token, n = F.col("token"), sampled_pages
     frequent = (
-        F.when(n < 3, F.lit(True))
+        F.when(n < accept_below, F.lit(True))
         .when(is_bare_word(token), ~looks_hashed(token) & (F.col("pages") / n >= MIN_BARE_COVERAGE))
         .otherwise(F.col("pages") >= MIN_PAGES)
     )
     return registry.filter(syntactically_stable(token) & frequent)
 
 
-def stable_ids(registry: DataFrame, sampled_pages: Column, min_coverage: float = MIN_ID_COVERAGE) -> DataFrame:
-    """Ids that recur enough to name a slot."""
+def stable_ids(registry: DataFrame, sampled_pages: Column, min_coverage: float = MIN_ID_COVERAGE, accept_below: int = 0) -> DataFrame:
+    """Ids that recur enough to name a slot (D5); a caller may waive coverage below ``accept_below`` pages (4 is usual)."""
     token, n = F.col("token"), sampled_pages
     fit = (token != "") & (F.length(token) <= ID_CHARS) & ~is_junk(token)
-    return registry.filter(fit & ((n < 4) | (F.col("pages") / n >= min_coverage)))
+    return registry.filter(fit & ((n < accept_below) | (F.col("pages") / n >= min_coverage)))
 
 
 def generated_ratio(registry: DataFrame, stable: DataFrame) -> DataFrame:

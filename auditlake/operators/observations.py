@@ -98,11 +98,11 @@ def hit(check_id: str, when: Column, observation: Column, data=None) -> Column:
     )
 
 
-def on_elements(rows: DataFrame, hits: list[Column], chars: int = 200) -> DataFrame:
+def on_elements(rows: DataFrame, hits: list[Column], chars: int | None = None) -> DataFrame:
     """Element rows to observations: all ``hits`` of a family in one pass.
 
     Selector and chain are built after the explode, so only for elements that
-    hit. The hits are exploded without a filter column in between: a filter
+    hit; ``chars`` shortens their markup. The hits are exploded without a filter column in between: a filter
     would be pushed down and evaluate them twice.
     """
     tree = "lineage" in rows.columns

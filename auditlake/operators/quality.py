@@ -19,7 +19,6 @@ from .clusters import MIXED
 WEAK_SHARE = 0.15
 UNSTABLE_BLOCKING = 5
 FRAGMENT_LIMIT = 6
-MIXED_MIN_PAGES = 40
 MIXED_SECTIONS = 3
 MIXED_SHARE = 0.5
 LOSS_NOTE = 0.1
@@ -39,9 +38,9 @@ def _issue(kind: str, severity: Column, message: Column, samples: Column) -> lis
     ]
 
 
-def _first(rows: DataFrame, column: str, n: int) -> Column:
-    """Scalar array of the ``n`` smallest values; a distributed top-n, then a handful of rows."""
-    return rows.select(column).orderBy(column).limit(n).agg(F.array_sort(F.collect_list(column))).scalar()
+def _all(rows: DataFrame, column: str) -> Column:
+    """Scalar array of all distinct examples: one per group, class or text that a gate stops at."""
+    return rows.select(column).dropDuplicates().agg(F.array_sort(F.collect_list(column))).scalar()
 
 
 def identifier_spread(evidence: DataFrame, pages_scanned: Column) -> DataFrame:
@@ -113,13 +112,13 @@ def duplicate_groups(findings: DataFrame, spread: DataFrame) -> DataFrame:
 
 def duplicate_issue(findings: DataFrame, spread: DataFrame) -> DataFrame:
     bad = duplicate_groups(findings, spread).select(
-        F.concat(F.lit('"'), F.left("title", F.lit(44)), F.lit('": '), "a", F.lit(" / "), "b").alias("example")
+        F.concat(F.lit('"'), F.col("title"), F.lit('": '), "a", F.lit(" / "), "b").alias("example")
     )
     message = F.concat(F.col("n").cast("string"), F.lit(" gruppi di finding differiscono solo per identificatori deboli."))
     return (
         bad.agg(F.count("*").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*_issue("duplicate-findings", F.lit("bloccante"), message, _first(bad, "example", 6)))
+        .select(*_issue("duplicate-findings", F.lit("bloccante"), message, _all(bad, "example")))
     )
 
 
@@ -140,7 +139,7 @@ def unstable_issue(findings: DataFrame) -> DataFrame:
     return (
         bad.agg(F.count("*").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*_issue("unstable-signature", severity, message, _first(bad, "cls", 12)))
+        .select(*_issue("unstable-signature", severity, message, _all(bad, "cls")))
     )
 
 
@@ -164,10 +163,11 @@ def mixed_clusters(template_rows: DataFrame, pages: DataFrame) -> DataFrame:
     ).select("*", template_rows.agg(F.sum("page_count")).scalar().alias("total"))
 
 
-def mixed_issue(template_rows: DataFrame, pages: DataFrame) -> DataFrame:
+def mixed_issue(template_rows: DataFrame, pages: DataFrame, min_pages: int = 0) -> DataFrame:
+    """Gate on uneven clusters (J4); a caller may let runs under ``min_pages`` pages pass (40 is usual)."""
     facts = mixed_clusters(template_rows, pages).filter((F.col("clusters") > 0) & (F.col("total") > 0))
     share, top = F.col("pages") / F.col("total"), F.col("largest.page_count") / F.col("total")
-    collapsed = (F.col("total") >= MIXED_MIN_PAGES) & (top > MIXED_SHARE) & (F.col("largest.sections") >= MIXED_SECTIONS)
+    collapsed = (F.col("total") >= min_pages) & (top > MIXED_SHARE) & (F.col("largest.sections") >= MIXED_SECTIONS)
     severity = F.when(collapsed, "bloccante").when(share >= MIXED_SHARE, F.when(F.col("coherent"), "nota").otherwise("attenzione"))
 
     def percent(x: Column) -> Column:
@@ -215,7 +215,7 @@ def fragmented_issue(findings: DataFrame) -> DataFrame:
     bad = fragmented_checks(findings)
     # one row per check id: a small, closed set
     samples = F.transform(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("findings")).alias("k"), "check_id"))), 1, 5),
+        F.array_sort(F.collect_list(F.struct((-F.col("findings")).alias("k"), "check_id"))),
         lambda x: F.concat(x["check_id"], F.lit(": "), (-x["k"]).cast("string"), F.lit(" finding")),
     )
     return (
@@ -235,12 +235,12 @@ def broken_texts(findings: DataFrame) -> DataFrame:
 
 
 def text_issue(findings: DataFrame) -> DataFrame:
-    bad = broken_texts(findings).select(F.left("title", F.lit(70)).alias("title"))
+    bad = broken_texts(findings).select("title")
     message = F.concat(F.col("n").cast("string"), F.lit(" finding hanno testi non pronti."))
     return (
         bad.agg(F.count("*").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*_issue("untranslated-text", F.lit("attenzione"), message, _first(bad, "title", 6)))
+        .select(*_issue("untranslated-text", F.lit("attenzione"), message, _all(bad, "title")))
     )
 
 

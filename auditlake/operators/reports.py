@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import half_up
-from .findings import BANDS, cited_evidence, with_priority
+from .findings import BANDS, with_priority
 
 # Report vocabulary.
 OUTCOME_FAIL, OUTCOME_REVIEW = "Non conforme", "Da verificare"
@@ -50,7 +50,7 @@ def site_labels(finding_sites: DataFrame, sites: DataFrame) -> DataFrame:
     return named.groupBy("finding_id").agg(F.array_join(ordered, ", ").alias("sites"))
 
 
-def backlog(findings: DataFrame, citations: DataFrame, evidence: DataFrame, finding_sites: DataFrame, sites: DataFrame, criteria: DataFrame | None = None) -> DataFrame:
+def backlog(findings: DataFrame, citations: DataFrame, finding_sites: DataFrame, sites: DataFrame, criteria: DataFrame | None = None) -> DataFrame:
     """The 21-column backlog, in priority order (R2)."""
     table = dims.or_own(criteria, dims.criteria(findings.sparkSession))
     by_level = (
@@ -62,9 +62,7 @@ def backlog(findings: DataFrame, citations: DataFrame, evidence: DataFrame, find
     levels = by_level.groupBy("finding_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("pos", "level"))).getField("level"), "/").alias("levels")
     )
-    first = cited_evidence(citations.filter(F.col("rank") == 1), evidence, "page_url").select(
-        "finding_id", F.col("page_url").alias("sample_url")
-    )
+    first = citations.filter(F.col("rank") == 1).select("finding_id", F.col("page_url").alias("sample_url"))
     rows = (
         with_priority(findings)
         .join(levels, "finding_id", "left")
@@ -214,12 +212,11 @@ def results_by_facet(findings: DataFrame) -> DataFrame:
     )
 
 
-def comparison_rows(findings: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
+def comparison_rows(findings: DataFrame, citations: DataFrame) -> DataFrame:
     """Rows a person judges next to their own audit, gravest first."""
-    cited = cited_evidence(citations, evidence, "page_url").filter(F.coalesce("page_url", F.lit("")) != "")
-    pages = cited.groupBy("finding_id").agg(F.countDistinct("page_url").alias("pages"), F.min_by("page_url", "rank").alias("example"))
+    first = citations.filter(F.col("rank") == 1).select("finding_id", F.col("page_url").alias("example"))
     return (
-        findings.join(pages, "finding_id", "left")
+        findings.withColumn("pages", F.col("page_count")).join(first, "finding_id", "left")
         .select(
             "finding_id", "title", "description", "component", F.array_join("criteria", ", ").alias("criteria"), "band", "score", "verdict",
             "occurrence_count", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("example", F.lit("")).alias("example"), "owner",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -14,13 +14,6 @@ from ..functions.identity import page_usable_id, syntactically_stable
 LANDMARK_TAGS = ["header", "nav", "main", "aside", "footer", "form"]
 LANDMARK_ROLES = ["banner", "navigation", "main", "complementary", "contentinfo", "search", "form"]
 SKELETON_DEPTH = 4
-SKELETON_NODES = 400
-INVENTORY_NODES = 3000
-ALTERNATES = 20
-PATH_NODES = 6
-CHAIN_NODES = 9
-CHAIN_CLASSES = 6
-NAME_CHARS = 200
 
 
 def attr(name: str) -> Column:
@@ -57,10 +50,8 @@ def skeleton(elements: DataFrame) -> DataFrame:
         .filter(inside & (rel <= SKELETON_DEPTH))
         .select("url", "ordinal", rel.alias("depth"), "tag", class_list().alias("classes"))
     )
-    order = Window.partitionBy("url").orderBy("ordinal")
-    first = nodes.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= SKELETON_NODES)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "depth", "tag", "classes")))
-    return first.groupBy("url").agg(
+    return nodes.groupBy("url").agg(
         F.transform(ordered, lambda n: F.struct(n["depth"].alias("depth"), n["tag"].alias("tag"), n["classes"].alias("classes"))).alias("skeleton")
     )
 
@@ -89,28 +80,22 @@ def shape_counts(elements: DataFrame, key: str = "url") -> DataFrame:
 
 
 def class_inventory(elements: DataFrame, key: str = "url") -> DataFrame:
-    """Distinct ``(page, token)`` over the first classed elements of each page."""
+    """Distinct ``(page, token)`` over all classed elements."""
     classed = elements.filter(attr("class").isNotNull())
-    order = Window.partitionBy(key).orderBy("ordinal")
-    first = classed.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= INVENTORY_NODES)
-    return first.select(key, F.explode(class_list()).alias("token")).dropDuplicates()
+    return classed.select(key, F.explode(class_list()).alias("token")).dropDuplicates()
 
 
 def id_inventory(elements: DataFrame, key: str = "url") -> DataFrame:
-    """Distinct ``(page, token)`` over the first elements carrying an id."""
-    order = Window.partitionBy(key).orderBy("ordinal")
-    first = elements.filter(attr("id").isNotNull()).withColumn("_rn", F.row_number().over(order))
-    return first.filter((F.col("_rn") <= INVENTORY_NODES) & (attr("id") != "")).select(key, attr("id").alias("token")).dropDuplicates()
+    """Distinct ``(page, token)`` over all elements carrying an id."""
+    return elements.filter(attr("id") != "").select(key, attr("id").alias("token")).dropDuplicates()
 
 
 def alternates(elements: DataFrame) -> DataFrame:
-    """Declared translations ``(url, alt_url)``: first 20 per page, ``x-default`` tested on the href."""
+    """Declared translations ``(url, alt_url)``: ``x-default`` tested on the href."""
     rel = F.array_contains(F.split(F.lower(F.coalesce(attr("rel"), F.lit(""))), r"\s+"), "alternate")
     links = elements.filter((F.col("tag") == "link") & rel & attr("hreflang").isNotNull() & attr("href").isNotNull())
     resolved = links.select("url", "ordinal", U.canonical(attr("href"), F.col("url")).alias("alt_url"))
-    kept = resolved.filter(F.col("alt_url").isNotNull() & ~F.col("alt_url").rlike("(?i)x-default"))
-    order = Window.partitionBy("url").orderBy("ordinal")
-    return kept.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= ALTERNATES).select("url", "alt_url")
+    return resolved.filter(F.col("alt_url").isNotNull() & ~F.col("alt_url").rlike("(?i)x-default")).select("url", "alt_url")
 
 
 def nearest(*tags: str) -> Column:
@@ -159,7 +144,7 @@ def accessible_names(elements: DataFrame, of: Column) -> DataFrame:
     own = (
         F.when(is_field, field_name)
         .when(F.col("tag") == "img", F.trim(F.coalesce(attr("alt"), F.lit(""))))
-        .otherwise(F.left(F.coalesce("text", F.lit("")), F.lit(NAME_CHARS)))
+        .otherwise(F.coalesce("text", F.lit("")))
     )
     name = (
         F.when(F.coalesce(attr("aria-label"), F.lit("")) != "", F.trim(attr("aria-label")))
@@ -174,15 +159,19 @@ def visible(elements: DataFrame) -> DataFrame:
     return elements.filter("visible")
 
 
-def css_path(stable_class: Callable[[Column], Column] = syntactically_stable) -> Column:
-    """Short selector from the ``lineage`` column: at most six levels, ends at a usable id."""
-    nodes = F.slice("lineage", 1, PATH_NODES)
+def css_path(stable_class: Callable[[Column], Column] = syntactically_stable, levels: int | None = None, max_classes: int | None = None) -> Column:
+    """Selector from the ``lineage`` column, up to the nearest usable id.
+
+    A caller may shorten it to ``levels`` (6 is usual) and ``max_classes`` a level (2 is usual).
+    """
+    nodes = F.col("lineage") if levels is None else F.slice("lineage", 1, levels)
     usable = F.transform(nodes, lambda n: F.coalesce(page_usable_id(n["id"]), F.lit(False)))
     stop = F.array_position(usable, True).cast("int")
     kept = F.when(stop > 0, F.slice(nodes, F.lit(1), stop)).otherwise(nodes)
 
     def describe(n: Column) -> Column:
-        classes = F.slice(F.filter(F.array_distinct(n["classes"]), stable_class), 1, 2)
+        classes = F.filter(F.array_distinct(n["classes"]), stable_class)
+        classes = classes if max_classes is None else F.slice(classes, 1, max_classes)
         place = F.when(n["same"] > 1, F.concat(F.lit(":nth-of-type("), n["nth"].cast("string"), F.lit(")"))).otherwise(F.lit(""))
         words = F.when(F.size(classes) > 0, F.concat(F.lit("."), F.array_join(classes, "."))).otherwise(F.lit(""))
         by_id = F.coalesce(page_usable_id(n["id"]), F.lit(False))
@@ -192,8 +181,8 @@ def css_path(stable_class: Callable[[Column], Column] = syntactically_stable) ->
 
 
 def signature_input() -> Column:
-    """Recorded chain of an element as JSON: up to the landmark inclusive, at most nine nodes."""
-    nodes = F.slice("lineage", 1, CHAIN_NODES)
+    """Recorded chain of an element as JSON: up to the landmark inclusive."""
+    nodes = F.col("lineage")
     closest = F.array_position(F.transform(nodes, lambda n: n["landmark"]), True).cast("int")
     kept = F.when(closest > 0, F.slice(nodes, F.lit(1), closest)).otherwise(nodes)
     # named_struct, not aliases: those are dropped next to an explode in the same select
@@ -201,7 +190,7 @@ def signature_input() -> Column:
         kept,
         lambda n: F.named_struct(
             F.lit("tag"), n["tag"],
-            F.lit("classes"), F.slice(F.array_distinct(n["classes"]), 1, CHAIN_CLASSES),
+            F.lit("classes"), F.array_distinct(n["classes"]),
             F.lit("id"), n["id"],
             F.lit("role"), n["role"],
             F.lit("testAttr"), n["test_attr"],
@@ -212,14 +201,12 @@ def signature_input() -> Column:
 
 
 def flat_skeleton(elements: DataFrame, key: str = "url") -> DataFrame:
-    """Skeleton from a flat tag stream: everything after the body tag at depth 0, same skips and limit."""
+    """Skeleton from a flat tag stream: everything after the body tag at depth 0, same skips."""
     skip = ["script", "style", "noscript", "svg", "path", "br", "template"]
     body = elements.filter(F.col("tag") == "body").groupBy(key).agg(F.min("ordinal").alias("_body"))
     nodes = elements.filter(~F.col("tag").isin(skip)).join(body, key).filter(F.col("ordinal") > F.col("_body"))
-    order = Window.partitionBy(key).orderBy("ordinal")
-    first = nodes.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= SKELETON_NODES)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "tag", class_list().alias("classes"))))
-    return first.groupBy(key).agg(
+    return nodes.groupBy(key).agg(
         F.transform(ordered, lambda n: F.struct(F.lit(0).alias("depth"), n["tag"].alias("tag"), n["classes"].alias("classes"))).alias("skeleton")
     )
 

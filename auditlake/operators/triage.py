@@ -11,12 +11,10 @@ from .findings import cited_evidence, verdict_rank, with_priority
 # Pack sizes, enumerations, outcomes.
 PACK_SIZE = 12
 PACK_SAMPLES = 3
-PACK_HTML = 600
 VERDICTS = ["fail", "needs-review", "pass", "inapplicable"]
 OWNERS = ["frontend", "contenuti", "design", "cms", "fornitore-terzo", "da-definire"]
 EFFORTS = ["basso", "medio", "alto"]
 OUTCOMES = ["non-conforme", "conforme", "irrilevante", "da-approfondire"]
-REVIEW_PAGES = 5
 REVIEW_NOTES = 4
 
 ANSWER_DDL = (
@@ -49,16 +47,22 @@ def packs(findings: DataFrame, size: int = PACK_SIZE) -> DataFrame:
     )
 
 
-def pack_samples(citations: DataFrame, evidence: DataFrame, per_finding: int = PACK_SAMPLES) -> DataFrame:
-    """First cited evidence of each finding, markup cut."""
-    first = citations.filter(F.col("rank") <= per_finding)
+def pack_samples(citations: DataFrame, evidence: DataFrame, per_finding: int | None = None) -> DataFrame:
+    """Cited evidence of each finding (T2), all of it or the first ``per_finding`` rows."""
+    first = citations if per_finding is None else citations.filter(F.col("rank") <= per_finding)
     return cited_evidence(first, evidence, "page_url", "selector", "html", "observation", "data").select(
-        "finding_id", "rank", "page_url", "selector", F.left("html", F.lit(PACK_HTML)).alias("html"), "observation", "data"
+        "finding_id", "rank", "page_url", "selector", "html", "observation", "data"
     )
 
 
-def pack_rows(findings: DataFrame, citations: DataFrame, evidence: DataFrame, criteria: DataFrame | None = None) -> DataFrame:
-    """One self-contained row per candidate (T2): criterion details, cap, up to three samples."""
+def pack_rows(
+    findings: DataFrame, citations: DataFrame, evidence: DataFrame, criteria: DataFrame | None = None, per_finding: int = PACK_SAMPLES
+) -> DataFrame:
+    """One self-contained row per candidate (T2): criterion details, cap, samples.
+
+    A row is a message of bounded size, so it carries ``per_finding`` samples
+    beside the full ``evidence_count``; ``pack_samples`` has all as rows.
+    """
     table = dims.or_own(criteria, dims.criteria(findings.sparkSession))
     chosen = candidates(findings)
     details = (
@@ -81,7 +85,7 @@ def pack_rows(findings: DataFrame, citations: DataFrame, evidence: DataFrame, cr
         )
     )
     samples = (
-        pack_samples(citations, evidence)
+        pack_samples(citations, evidence, per_finding)
         .groupBy("finding_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "page_url", "selector", "html", "observation", "data"))).alias("samples"))
     )
@@ -167,21 +171,23 @@ def apply_triage(findings: DataFrame, answers: DataFrame, order: list[str] | Non
     return merged, refused
 
 
-def review_queue(findings: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """What a person has to look at, gravest first, with a few pages and notes each (T5)."""
+def review_queue(findings: DataFrame, citations: DataFrame, evidence: DataFrame, notes: int = REVIEW_NOTES) -> DataFrame:
+    """What a person has to look at, gravest first (T5).
+
+    ``n_pages`` and ``n_rows`` count all evidence. A row of the queue carries the
+    first ``notes`` records; ``citations`` lead to all others.
+    """
     waiting = findings.filter(F.col("verdict") == "needs-review")
     open_citations = citations.join(waiting.select("finding_id"), "finding_id", "left_semi")
-    cited = cited_evidence(open_citations, evidence, "page_url", "observation", "selector", "screenshot")
-    # at most 25 cited rows per finding from here on
-    pages = cited.filter(F.coalesce("page_url", F.lit("")) != "").groupBy("finding_id", "page_url").agg(F.min("rank").alias("rank"))
-    page_list = pages.groupBy("finding_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "page_url"))), 1, REVIEW_PAGES).getField("page_url").alias("pages")
-    )
-    notes = cited.groupBy("finding_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "observation", "selector"))), 1, REVIEW_NOTES).alias("notes"),
+    counted = open_citations.groupBy("finding_id", "page_url").agg(F.count("*").alias("n")).groupBy("finding_id")
+    counted = counted.agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_rows"))
+    cited = cited_evidence(open_citations.filter(F.col("rank") <= notes), evidence, "page_url", "observation", "selector", "screenshot")
+    # at most ``notes`` rows per finding from here on
+    listed = cited.groupBy("finding_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "page_url", "observation", "selector"))).alias("notes"),
         F.min_by("screenshot", F.when(F.coalesce("screenshot", F.lit("")) != "", F.col("rank"))).alias("screenshot"),
     )
-    rows = waiting.join(page_list, "finding_id", "left").join(notes, "finding_id", "left")
+    rows = waiting.join(counted, "finding_id", "left").join(listed, "finding_id", "left")
     return rows.orderBy(F.col("score").desc(), "finding_id")
 
 

@@ -43,8 +43,6 @@ SKELETON_SKIP = set("script style noscript svg path br template".split())
 NOT_RENDERED = set("head title meta link base script style template noscript".split())
 CONTEXT_TAGS = set("a button figure label fieldset form".split())
 TEXT_TAGS = set("a button h1 h2 h3 h4 h5 h6 label figcaption title option legend".split())
-LINEAGE_NODES = 9
-MARKUP_CHARS = 301
 BATCH_ROWS = 4096
 
 _TOKEN = re.compile(
@@ -161,14 +159,14 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _markup(source: str, el: Element) -> str:
-    """Collapsed outer markup, one character more than any report shows."""
+def _markup(source: str, el: Element, chars: int | None) -> str:
+    """Collapsed outer markup, all of it or the first ``chars`` characters."""
     stop = el.stop if el.stop is not None else len(source)
-    size = 4 * MARKUP_CHARS
+    size = len(source) if chars is None else 4 * chars
     while True:
         flat = re.sub(r"\s+", " ", source[el.start : min(stop, el.start + size)])
-        if len(flat) >= MARKUP_CHARS or el.start + size >= stop:
-            return flat[:MARKUP_CHARS]
+        if el.start + size >= stop or len(flat) >= (chars or 0):
+            return flat[:chars]
         size *= 4
 
 
@@ -280,13 +278,13 @@ def parse(source: str, vendor_rules=VENDOR_RULES) -> list[Element]:
 
 def _lineage(el: Element) -> list[dict]:
     out, node = [], el
-    while node is not None and len(out) < LINEAGE_NODES and (node.tag != "body" or node is el):
+    while node is not None and (node.tag != "body" or node is el):
         out.append(node.node())
         node = node.parent
     return out
 
 
-def element_rows(url: str, source: str, vendor_rules=VENDOR_RULES, detail: set[str] | None = None) -> Iterator[tuple]:
+def element_rows(url: str, source: str, vendor_rules=VENDOR_RULES, detail: set[str] | None = None, markup_chars: int | None = None) -> Iterator[tuple]:
     for el in parse(source, vendor_rules):
         detailed = detail is None or el.tag in detail or "role" in el.attrs
         text = None if el.texts is None else re.sub(r"\s+", " ", "".join(el.texts)).strip()
@@ -294,15 +292,17 @@ def element_rows(url: str, source: str, vendor_rules=VENDOR_RULES, detail: set[s
             url, el.ordinal, el.parent.ordinal if el.parent else None, el.depth, el.last, el.tag, list(el.attrs.items()), text,
             el.visible, el.skipped, vendor_rules[el.vendor][0] if el.vendor is not None else None,
             [{"ordinal": o, "tag": t} for o, t in el.context],
-            _lineage(el) if detailed else None, _markup(source, el) if detailed else None,
+            _lineage(el) if detailed else None, _markup(source, el, markup_chars) if detailed else None,
         )
 
 
-def element_tree(pages: DataFrame, vendor_rules=VENDOR_RULES, detail: set[str] | None = None) -> DataFrame:
+def element_tree(pages: DataFrame, vendor_rules=VENDOR_RULES, detail: set[str] | None = None, markup_chars: int | None = None) -> DataFrame:
     """``pages(url, html)`` to element rows.
 
     ``detail`` limits the wide columns (ancestor lineage, markup) to the tags a
-    caller needs; elements with a role always carry them. One page at a time is held in memory; batches are kept small
+    caller needs; elements with a role always carry them. A
+    caller that shows only the head of the markup may pass ``markup_chars``. One
+    page at a time is held in memory; batches are kept small
     because markup is wide (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
     rules = list(vendor_rules)
@@ -315,7 +315,7 @@ def element_tree(pages: DataFrame, vendor_rules=VENDOR_RULES, detail: set[str] |
         rows: list[tuple] = []
         for batch in batches:
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows.extend(element_rows(url, source or "", rules, detail))
+                rows.extend(element_rows(url, source or "", rules, detail, markup_chars))
                 if len(rows) >= BATCH_ROWS:
                     yield pack(rows)
                     rows = []

@@ -101,19 +101,19 @@ block(
     r"""SELECT p.url, 'heading-no-h1' AS check_id, 'body' AS selector, 0 AS ordinal, 'document' AS sig, 'Nella pagina manca un titolo h1.' AS observation
       FROM page p WHERE NOT EXISTS (SELECT 1 FROM head0 h WHERE h.url = p.url AND level = 1)
     UNION ALL SELECT url, 'heading-multiple-h1', 'h1', list_sort(list(ordinal))[2], 'unknown',
-      'Titoli h1 nella pagina: ' || count(*) || ' ("' || string_agg(left(text, 40), '", "' ORDER BY ordinal) || '").'
+      'Titoli h1 nella pagina: ' || count(*) || ' ("' || string_agg(text, '", "' ORDER BY ordinal) || '").'
       FROM head0 WHERE level = 1 GROUP BY url HAVING count(*) > 1
     UNION ALL SELECT url, 'heading-skipped-level', tag, ordinal, 'unknown',
-      'Da h' || from_level || ' ("' || left(from_text, 40) || '") si passa a h' || level || ' ("' || left(text, 40) || '").'
+      'Da h' || from_level || ' ("' || from_text || '") si passa a h' || level || ' ("' || text || '").'
       FROM head0 WHERE level - from_level > 1
     UNION ALL SELECT url, 'heading-empty', tag, ordinal, 'unknown', 'Titolo ' || tag || ' vuoto.'
-      FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS rn FROM head0 WHERE text = '') WHERE rn <= 5
+      FROM head0 WHERE text = ''
     UNION ALL SELECT url, 'landmark-no-main', 'body', 0, 'document', 'La pagina non delimita il contenuto principale.'
       FROM page p WHERE NOT EXISTS (SELECT 1 FROM el e WHERE e.url = p.url AND e.tag = 'main')
     UNION ALL SELECT url, 'title-missing', 'head > title', 0, 'document', 'Manca il titolo della pagina.' FROM title0 WHERE title = ''
     UNION ALL SELECT url, 'title-too-short', 'head > title', 0, 'document', 'Titolo troppo breve: "' || title || '".'
       FROM title0 WHERE title <> '' AND length(title) < 6
-    UNION ALL SELECT url, 'skiplink-missing', 'body', 0, 'document', 'Fra i primi collegamenti interni nessuno salta al contenuto.' FROM page
+    UNION ALL SELECT url, 'skiplink-missing', 'body', 0, 'document', 'Nessun collegamento interno salta al contenuto.' FROM page
     UNION ALL SELECT url, 'link-generic-text', 'a', ordinal, 'unknown', 'Testo vago: "' || text || '".' FROM link0
       WHERE regexp_matches(text, '(?i)^(leggi (tutto|di piu.?|l.articolo)|continua|clicca (qui|qua)|qui|qua|questo link|link|scopri( di piu.?)?|vai|dettagli|approfondisci|read more|more|click here|here|download|scarica)[\s.!:]*$')
     UNION ALL SELECT url, 'link-same-text-different-targets', 'a', 0, 'document',
@@ -161,7 +161,7 @@ for qid, family, check in [
 # ---------------------------------------------------------------- corpus evidence and findings
 block(
     "ev0",
-    """SELECT left(sha1(concat_ws('|', p.site_id, o.url, o.check_id, o.selector, left(o.observation, 80))), 16) AS id, o.check_id, o.url AS page_url,
+    """SELECT left(sha1(concat_ws('|', p.site_id, o.url, o.check_id, o.selector, o.observation)), 16) AS id, o.check_id, o.url AS page_url,
       p.site_id, pp.pattern AS fingerprint, string_split(m.criteria, ' ') AS criteria, o.selector, o.sig AS component_signature, o.observation, '{}' AS data,
       m.impact AS engine_impact, o.ordinal
     FROM obs0 o JOIN page p USING (url) JOIN page_pattern pp USING (url) JOIN dim_meta m USING (check_id)""",
@@ -330,9 +330,9 @@ def log_audit(spark, sf):
     return ev, templates, derived(spark, sf, "site_raw")
 
 
-def log_findings(spark, sf, stored=False):
-    """Analysis of the derived log; ``stored`` materialises the findings for plans that read them more than once."""
-    found = I.analyse(*log_audit(spark, sf))
+def log_findings(spark, sf, stored=False, inputs=None):
+    """Analysis of the derived log, or of ``inputs`` made from it before; ``stored`` materialises the findings for plans that read them more than once."""
+    found = I.analyse(*(inputs or log_audit(spark, sf)))
     return found._replace(findings=cut(found.findings)) if stored else found
 
 
@@ -361,7 +361,7 @@ def _(spark, sf):
 @query("i4_total_pages", "SELECT sum(page_count)::BIGINT AS total FROM tpl1")
 def _(spark, sf):
     ev, templates, _sites = log_audit(spark, sf)
-    return spark.range(1).select(F.lit(I.total_pages(ev, templates)).cast("bigint").alias("total"))
+    return I.total_pages(ev, templates)
 
 
 @query("i5_confidence", "SELECT finding_id, confidence FROM l_finding")
@@ -395,12 +395,12 @@ def _(spark, sf):
     return log_findings(spark, sf).findings.select("finding_id", "owner", "effort")
 
 
-block("l_cite", "SELECT left(sha1(key), 12) AS finding_id, rank::INTEGER AS rank, id AS evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rank FROM l_keyed) WHERE rank <= 25")
+block("l_cite", "SELECT left(sha1(key), 12) AS finding_id, rank::INTEGER AS rank, id AS evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rank FROM l_keyed)")
 
 
 @query("i12_citations", "SELECT finding_id, rank, evidence_id FROM l_cite")
 def _(spark, sf):
-    return I.cite(log_audit(spark, sf)[0])
+    return I.cite(log_audit(spark, sf)[0]).select("finding_id", "rank", "evidence_id")
 
 
 @query("i13_finding_ids", "SELECT DISTINCT key, left(sha1(key), 12) AS finding_id FROM l_keyed")

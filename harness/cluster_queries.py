@@ -71,7 +71,7 @@ def _(spark, sf):
     return ID.stable_classes(registry(spark, sf), token_pages(spark, sf))
 
 
-@query("d5_stable_ids", f"SELECT token, pages FROM registry, token_pages WHERE length(token) <= 60 AND NOT {JUNK} AND (n < 4 OR pages::DOUBLE / n >= 0.3)")
+@query("d5_stable_ids", f"SELECT token, pages FROM registry, token_pages WHERE length(token) <= 60 AND NOT {JUNK} AND pages::DOUBLE / n >= 0.3")
 def _(spark, sf):
     return ID.stable_ids(registry(spark, sf), token_pages(spark, sf))
 
@@ -98,10 +98,9 @@ block(
 block(
     "skel0",
     """SELECT url, string_agg(tag || CASE WHEN cls <> '' THEN '#' || cls ELSE '' END, '|' ORDER BY ordinal) AS skeleton FROM (
-      SELECT e.url, ordinal, tag, coalesce((SELECT min(c) FROM (SELECT unnest(e.classes) AS c) JOIN cls_stable s ON s.token = c), '') AS cls,
-        row_number() OVER (PARTITION BY e.url ORDER BY ordinal) AS rn
+      SELECT e.url, ordinal, tag, coalesce((SELECT min(c) FROM (SELECT unnest(e.classes) AS c) JOIN cls_stable s ON s.token = c), '') AS cls
       FROM el_cls e JOIN (SELECT url, min(ordinal) AS b FROM el_cls WHERE tag = 'body' GROUP BY url) x ON x.url = e.url AND e.ordinal > x.b
-      WHERE tag NOT IN ('script', 'style', 'noscript', 'svg', 'path', 'br', 'template')) WHERE rn <= 400 GROUP BY url""",
+      WHERE tag NOT IN ('script', 'style', 'noscript', 'svg', 'path', 'br', 'template')) GROUP BY url""",
 )
 block(
     "print0",
@@ -146,7 +145,7 @@ def _(spark, sf):
 
 block(
     "assigned0",
-    """SELECT g.url, g.site_id, CASE WHEN kinds = 1 THEN only_print WHEN kinds > 1 THEN coalesce(own, left('mixed-' || g.pattern, 48)) ELSE 'unknown' END AS fingerprint
+    """SELECT g.url, g.site_id, CASE WHEN kinds = 1 THEN only_print WHEN kinds > 1 THEN coalesce(own, 'mixed-' || sha1(g.pattern)) ELSE 'unknown' END AS fingerprint
     FROM grouped0 g LEFT JOIN (SELECT group_key, count(DISTINCT fingerprint) AS kinds, min(fingerprint) AS only_print FROM probe0 JOIN print0 USING (url) WHERE url LIKE 'https:%' GROUP BY group_key) USING (group_key)
     LEFT JOIN (SELECT url, fingerprint AS own FROM probe0 JOIN print0 USING (url) WHERE url LIKE 'https:%') USING (url)""",
 )
@@ -202,7 +201,7 @@ def _(spark, sf):
 
 block(
     "lang_size",
-    """SELECT fingerprint, page_count, least(page_count, greatest(3, least(ceil(sqrt(page_count::DOUBLE)), 8)) + CASE WHEN fingerprint = 'unknown' OR fingerprint LIKE 'mixed-%' THEN 1 ELSE 0 END)::BIGINT AS sample_size FROM lang_tpl""",
+    """SELECT fingerprint, page_count, least(page_count, greatest(3, ceil(sqrt(page_count::DOUBLE))) + CASE WHEN fingerprint = 'unknown' OR fingerprint LIKE 'mixed-%' THEN 1 ELSE 0 END)::BIGINT AS sample_size FROM lang_tpl""",
 )
 
 
@@ -227,6 +226,16 @@ def _(spark, sf):
     return lang_samples(spark, sf)
 
 
+@query(
+    "e8_samples_hundred",
+    """SELECT fingerprint, url FROM (SELECT fingerprint, url, row_number() OVER (PARTITION BY fingerprint ORDER BY len(string_split(regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1), '/')), length(url), url) AS rn
+      FROM lang_page) JOIN lang_tpl USING (fingerprint)
+    WHERE rn <= greatest(100, ceil(sqrt(page_count::DOUBLE))) + CASE WHEN fingerprint = 'unknown' OR fingerprint LIKE 'mixed-%' THEN 1 ELSE 0 END""",
+)
+def _(spark, sf):
+    return E.samples(derived(spark, sf, "lang_page"), E.sample_size(lang_templates(spark, sf), per_template=100))
+
+
 @query("e9_pages_to_measure", "SELECT site_id, url FROM lang_page WHERE url IN (SELECT url FROM lang_sample)")
 def _(spark, sf):
     return E.to_measure(derived(spark, sf, "lang_page"), lang_samples(spark, sf)).select("site_id", "url")
@@ -258,8 +267,7 @@ def _(spark, sf):
 
 block(
     "lang_shape",
-    """SELECT fingerprint, min(shape) AS shape FROM (SELECT fingerprint, CASE WHEN code IS NOT NULL THEN len(seg) || ':' || coalesce(seg[2], '') END AS shape,
-      row_number() OVER (PARTITION BY fingerprint ORDER BY url) AS rn FROM lang_of) WHERE rn <= 30 GROUP BY fingerprint HAVING count(DISTINCT shape) = 1 AND count(shape) = count(*)""",
+    """SELECT fingerprint, min(shape) AS shape FROM (SELECT fingerprint, CASE WHEN code IS NOT NULL THEN len(seg) || ':' || coalesce(seg[2], '') END AS shape FROM lang_of) GROUP BY fingerprint HAVING count(DISTINCT shape) = 1 AND count(shape) = count(*)""",
 )
 
 

@@ -31,7 +31,8 @@ def stops(spark, sf):
 
 def keyboard(check):
     def run(spark, sf):
-        pages = stops(spark, sf).select("url").dropDuplicates().unionByName(spark.range(3).select(F.concat(F.lit("silent"), "id").alias("url")))
+        customers = table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("url"))
+        pages = stops(spark, sf).select("url").unionByName(customers).dropDuplicates()
         return G.keyboard_checks(pages, stops(spark, sf)).filter(F.col("check_id") == check).select("url", "ordinal", "selector", "observation")
 
     return run
@@ -53,12 +54,12 @@ for name, check, sql in [
         """SELECT url, 0 AS ordinal, 'body' AS selector, 'Il focus risale ' || count(*) || ' volte.' AS observation FROM (SELECT url, top, lag(top) OVER (PARTITION BY url ORDER BY idx) AS prev FROM walk_stop)
         WHERE top < prev - 80 GROUP BY url HAVING count(*) >= 3""",
     ),
-    ("g6_no_focusable", "keyboard-no-focusable", "SELECT 'silent' || i AS url, 0 AS ordinal, 'body' AS selector, 'Nessun elemento riceve il focus.' AS observation FROM range(3) t(i)"),
+    ("g6_no_focusable", "keyboard-no-focusable", "SELECT 'u' || c_custkey AS url, 0 AS ordinal, 'body' AS selector, 'Nessun elemento riceve il focus.' AS observation FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"),
 ]:
     query(name, sql)(keyboard(check))
 
 
-@query("g7_tab_order", 'SELECT url, idx AS "index", selector, label, component FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY idx) AS rn FROM live_stop) WHERE rn <= 60')
+@query("g7_tab_order", 'SELECT url, idx AS "index", selector, label, component FROM live_stop')
 def _(spark, sf):
     return G.tab_order(stops(spark, sf))
 
@@ -119,9 +120,9 @@ def _(spark, sf):
     """SELECT url, ordinal, selector FROM (
       SELECT r.*, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS k FROM (
         SELECT *, row_number() OVER (PARTITION BY url, signature ORDER BY ordinal) AS s FROM (
-          SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS c FROM colour_ratio WHERE state = 'rest') WHERE c <= 40) r WHERE s = 1) x
+          SELECT * FROM colour_ratio WHERE state = 'rest')) r WHERE s = 1) x
     JOIN (SELECT url, ordinal, ratio AS hover_ratio, color AS hover_color FROM colour_ratio WHERE state = 'hover') h USING (url, ordinal)
-    WHERE k <= 12 AND NOT painted AND ratio >= 1.05 AND hover_color <> color
+    WHERE NOT painted AND ratio >= 1.05 AND hover_color <> color
       AND hover_ratio < CASE WHEN font_size >= 24 OR (font_size >= 18.66::DOUBLE AND font_weight = '700') THEN 3 ELSE 4.5 END""",
 )
 def _(spark, sf):
@@ -147,7 +148,7 @@ block(
 
 @query(
     "g10_reflow",
-    """SELECT url, 'reflow-overflowing-element' AS check_id, ordinal, selector, 'A 320px div sporge di ' || (floor("right" + 0.5::DOUBLE)::INTEGER - viewport) || 'px.' AS observation FROM box_outer WHERE rn <= 6
+    """SELECT url, 'reflow-overflowing-element' AS check_id, ordinal, selector, 'A 320px div sporge di ' || (floor("right" + 0.5::DOUBLE)::INTEGER - viewport) || 'px.' AS observation FROM box_outer
     UNION ALL SELECT url, 'reflow-horizontal-scroll', 0, 'body', 'A 320px la pagina è larga ' || max(doc_width) || 'px.' FROM box_narrow WHERE url NOT IN (SELECT url FROM box_outer) GROUP BY url""",
 )
 def _(spark, sf):
@@ -156,8 +157,8 @@ def _(spark, sf):
 
 @query(
     "g11_text_spacing",
-    """SELECT url, ordinal, selector, observation FROM (SELECT *, 'Testo alto ' || scroll_height || 'px tagliato a ' || client_height || 'px.' AS observation, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS rn FROM layout_box
-      WHERE (overflow IN ('hidden', 'clip') OR overflow_y = 'hidden') AND text_length > 20 AND scroll_height > client_height + 4) WHERE rn <= 5""",
+    """SELECT url, ordinal, selector, observation FROM (SELECT *, 'Testo alto ' || scroll_height || 'px tagliato a ' || client_height || 'px.' AS observation FROM layout_box
+      WHERE (overflow IN ('hidden', 'clip') OR overflow_y = 'hidden') AND text_length > 20 AND scroll_height > client_height + 4)""",
 )
 def _(spark, sf):
     return G.spacing_check(derived(spark, sf, "layout_box")).select("url", "ordinal", "selector", "observation")
@@ -165,7 +166,7 @@ def _(spark, sf):
 
 @query(
     "g12_background_images",
-    """SELECT url, ordinal, selector FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS rn FROM layout_box WHERE visible AND background_image <> 'none' AND width > 200 AND height > 80) WHERE rn <= 5""",
+    """SELECT url, ordinal, selector FROM (SELECT * FROM layout_box WHERE visible AND background_image <> 'none' AND width > 200 AND height > 80)""",
 )
 def _(spark, sf):
     return G.background_check(derived(spark, sf, "layout_box")).select("url", "ordinal", "selector")
@@ -267,7 +268,7 @@ def _rule_line(spark, sf):
 
     contrast = '{"contrastRatio":3.1,"fgColor":"#777","bgColor":"#fff","fontSize":"12px","fontWeight":"bold","expectedContrastRatio":"4.5:1"}'
     overlap = F.when(key % 3 == 0, F.lit("Element is overlapped by another element")).otherwise(F.lit("background gradient"))
-    undecided = F.concat(F.lit("["), F.concat_ws(",", *[node(i, overlap if i % 2 == 0 else F.lit("contains an image node"), "{}") for i in range(7)]), F.lit("]"))
+    undecided = F.concat(F.lit("["), F.concat_ws(",", *[F.when(key % 7 >= i, node(i, overlap if i % 2 == 0 else F.lit("contains an image node"), "{}")) for i in range(7)]), F.lit("]"))
     impact = F.when(key % 4 == 0, F.lit("null")).otherwise(F.lit('"serious"'))
     rule = F.when(key % 2 == 0, F.lit("color-contrast")).otherwise(F.lit("strange"))
     tags = F.when(key % 5 == 0, F.lit('["cat.color","wcag2aa","wcag143","wcag1410"]')).otherwise(F.lit("[]"))
@@ -282,7 +283,7 @@ def _rule_line(spark, sf):
 @query(
     "a8_rule_results",
     """SELECT 'https://c.example/' || c_custkey AS page_url, 'violation' AS outcome, CASE WHEN c_custkey % 2 = 0 THEN 'color-contrast' ELSE 'strange' END AS rule_id, 1 AS nodes FROM customer
-    UNION ALL SELECT 'https://c.example/' || c_custkey, 'incomplete', 'color-contrast', 7 FROM customer""",
+    UNION ALL SELECT 'https://c.example/' || c_custkey, 'incomplete', 'color-contrast', (c_custkey % 7 + 1)::INTEGER FROM customer""",
 )
 def _(spark, sf):
     return logs.parse_rule_results(_rule_line(spark, sf)).select("page_url", "outcome", "rule_id", F.size("nodes").alias("nodes"))
@@ -295,19 +296,13 @@ def _(spark, sf):
       CASE WHEN c_custkey % 2 = 0 THEN 'Contrasto 3.1:1 fra testo #777 e sfondo #fff, 12px, bold; soglia 4.5:1.' ELSE 'Aiuto. Fix this' END AS observation FROM customer
     UNION ALL SELECT 'https://c.example/' || c_custkey, 'axe-incomplete:color-contrast', i, '1.4.3', 'minor',
       'Contrasto non misurabile in automatico: va guardato a mano. — la verifica automatica non ha potuto decidere: serve un controllo manuale.'
-    FROM customer, (SELECT unnest(range(5))::INTEGER AS i) WHERE i % 2 = 1 OR c_custkey % 3 <> 0""",
+    FROM customer, (SELECT unnest(range(7))::INTEGER AS i) WHERE i <= c_custkey % 7 AND (i % 2 = 1 OR c_custkey % 3 <> 0)""",
 )
 def _(spark, sf):
     obs = H.rule_observations(logs.parse_rule_results(_rule_line(spark, sf)))
     return obs.select("url", "check_id", "ordinal", F.array_join("criteria", " ").alias("criteria"), "engine_impact", "observation")
 
 
-@query("h10_consent_marked", "SELECT 'https://c.example/' || c_custkey AS url, true AS marked, '[banner di consenso] ' AS prefix FROM customer")
-def _(spark, sf):
-    obs = H.mark_consent(H.rule_observations(logs.parse_rule_results(_rule_line(spark, sf)))).filter(F.col("check_id").startswith("axe:"))
-    return obs.select("url", H.is_consent_marked(F.col("data")).alias("marked"), F.left("observation", F.lit(21)).alias("prefix"))
-
-
-@query("h12_rule_tally", "SELECT 'https://c.example/' || c_custkey AS url, 7::BIGINT AS incomplete_count FROM customer")
+@query("h12_rule_tally", "SELECT 'https://c.example/' || c_custkey AS url, (c_custkey % 7 + 1)::BIGINT AS incomplete_count FROM customer")
 def _(spark, sf):
     return H.rule_tally(logs.parse_rule_results(_rule_line(spark, sf)))

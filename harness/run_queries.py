@@ -25,8 +25,8 @@ block(
 
 
 def scanned(ev):
-    """Pages scanned, read once as a number: the gates mention it in several places."""
-    return F.lit(ev.select("page_url").distinct().count())
+    """Pages scanned, as a scalar subquery."""
+    return ev.select("page_url").distinct().agg(F.count("*")).scalar()
 
 
 @query("j1_identifier_spread", "SELECT token, pages, weak FROM l_spread")
@@ -52,8 +52,9 @@ block(
     GROUP BY title, tags""",
 )
 def _(spark, sf):
-    ev = log_audit(spark, sf)[0]
-    findings = log_findings(spark, sf, stored=True).findings
+    inputs = log_audit(spark, sf)
+    ev = inputs[0]
+    findings = log_findings(spark, sf, stored=True, inputs=inputs).findings
     return J.duplicate_groups(findings, J.identifier_spread(ev, scanned(ev))).select("title", "skeleton")
 
 
@@ -115,15 +116,15 @@ def _(spark, sf):
     UNION ALL SELECT 'unstable-signature', CASE WHEN n > 5 THEN 'bloccante' ELSE 'attenzione' END FROM (SELECT count(*) AS n FROM (""" + ORACLES["j3_unstable_signatures"] + """)) WHERE n > 0
     UNION ALL SELECT 'fragmented-check', 'attenzione' FROM (SELECT count(*) AS n FROM (""" + ORACLES["j6_fragmented_checks"] + """)) WHERE n > 0
     UNION ALL SELECT 'untranslated-text', 'attenzione' FROM (SELECT count(*) AS n FROM (""" + ORACLES["j7_text_hygiene"] + """)) WHERE n > 0
-    UNION ALL SELECT 'mixed-clusters', CASE WHEN total >= 40 AND top > 0.5 * total AND sections >= 3 THEN 'bloccante' WHEN coherent THEN 'nota' ELSE 'attenzione' END
+    UNION ALL SELECT 'mixed-clusters', CASE WHEN top > 0.5 * total AND sections >= 3 THEN 'bloccante' WHEN coherent THEN 'nota' ELSE 'attenzione' END
       FROM (SELECT clusters, pages, coherent, largest_sections AS sections, total, (SELECT max(page_count) FROM tpl1 WHERE fingerprint LIKE 'mixed-%') AS top FROM (""" + ORACLES["j4_mixed_clusters"] + """))
-      WHERE (total >= 40 AND top > 0.5 * total AND sections >= 3) OR pages >= 0.5 * total
+      WHERE (top > 0.5 * total AND sections >= 3) OR pages >= 0.5 * total
     UNION ALL SELECT kind, severity FROM (""" + ORACLES["j5_coverage_loss"] + """)""",
 )
 def _(spark, sf):
     ev, templates, sites = log_audit(spark, sf)
     pages = derived(spark, sf, "template_raw")
-    issues = J.self_check(log_findings(spark, sf, stored=True).findings, ev, templates, pages, pages.agg(F.count("*")).scalar(), scanned(ev))
+    issues = J.self_check(log_findings(spark, sf, stored=True, inputs=(ev, templates, sites)).findings, ev, templates, pages, pages.agg(F.count("*")).scalar(), scanned(ev))
     return issues.select("kind", "severity")
 
 
@@ -137,10 +138,10 @@ block("l_cand", "SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'fail'
 block("ev1_one", "SELECT id, min(page_url) AS page_url, min(selector) AS selector, min(observation) AS observation, min(data) AS data, min(check_id) AS check_id, min(screenshot) AS screenshot FROM ev1 GROUP BY id")
 
 
-@query("t2_pack_samples", "SELECT finding_id, c.rank, e.page_url, e.selector, e.observation, e.data FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id WHERE c.rank <= 3")
+@query("t2_pack_samples", "SELECT finding_id, c.rank, e.page_url, e.selector, e.observation, e.data FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id")
 def _(spark, sf):
-    ev = log_audit(spark, sf)[0].withColumn("html", F.lit(""))
-    return T.pack_samples(log_findings(spark, sf).citations, ev).drop("html")
+    inputs = log_audit(spark, sf)
+    return T.pack_samples(log_findings(spark, sf, inputs=inputs).citations, inputs[0].withColumn("html", F.lit(""))).drop("html")
 
 
 @query(
@@ -152,8 +153,9 @@ def _(spark, sf):
     FROM l_cand""",
 )
 def _(spark, sf):
-    audit = log_findings(spark, sf, stored=True)
-    ev = log_audit(spark, sf)[0].withColumn("html", F.lit(""))
+    inputs = log_audit(spark, sf)
+    audit = log_findings(spark, sf, stored=True, inputs=inputs)
+    ev = inputs[0].withColumn("html", F.lit(""))
     rows = T.pack_rows(audit.findings, audit.citations, ev)
     details = F.array_join(F.transform("criteria_details", lambda c: F.concat_ws("/", c["title"], c["level"], c["automation"])), ";")
     return rows.select("finding_id", "pack_id", "max_verdict", details.alias("details"), F.size("samples").alias("samples"))
@@ -168,8 +170,8 @@ def _(spark, sf):
     return T.packs(T.candidates(log_findings(spark, sf, stored=True).findings))
 
 
-# answers and decisions keyed by the first two hex digits of the finding id
-block("l_numbered", "SELECT *, (strpos('0123456789abcdef', finding_id[1]) - 1) * 16 + strpos('0123456789abcdef', finding_id[2]) - 1 AS k FROM l_finding")
+# answers and decisions: each label speaks of one finding, by its place in the ranking
+block("l_numbered", "SELECT *, priority - 1 AS k FROM l_ranked")
 block(
     "answer_log",
     """SELECT n.finding_id, 'f' || doc_id % 5 AS file, doc_id AS position, CASE quality * 2 + toxic WHEN 0 THEN 'needs-review' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' ELSE 'inapplicable' END AS verdict,
@@ -181,7 +183,7 @@ block(
 def answers(spark, sf, findings):
     from .core import table
 
-    numbered = findings.select("finding_id", F.conv(F.left("finding_id", F.lit(2)), 16, 10).cast("bigint").alias("k"))
+    numbered = I.with_priority(findings).select("finding_id", (F.col("priority") - 1).alias("k"))
     marks = table(spark, sf, "labels")
     code = F.col("quality") * 2 + F.col("toxic")
     return marks.join(numbered, F.col("k") == F.col("doc_id") % 150).select(
@@ -223,15 +225,17 @@ def _(spark, sf):
 
 @query(
     "t5_review_queue",
-    """SELECT f.finding_id, f.score, (SELECT count(DISTINCT page_url) FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id WHERE c.finding_id = f.finding_id) AS n_pages,
+    """SELECT f.finding_id, f.score, page_count AS n_pages,
       (SELECT string_agg(observation, '|' ORDER BY rank) FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id WHERE c.finding_id = f.finding_id AND rank <= 4) AS notes,
-      (SELECT arg_min(screenshot, rank) FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id WHERE c.finding_id = f.finding_id AND screenshot <> '') AS screenshot
-    FROM l_finding f WHERE verdict = 'needs-review'""".replace("SELECT count(DISTINCT page_url)", "SELECT least(count(DISTINCT page_url), 5)::INTEGER"),
+      (SELECT arg_min(screenshot, rank) FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id WHERE c.finding_id = f.finding_id AND screenshot <> '' AND rank <= 4) AS screenshot,
+      evidence_count AS n_rows
+    FROM l_finding f WHERE verdict = 'needs-review'""",
 )
 def _(spark, sf):
-    audit = log_findings(spark, sf, stored=True)
-    queue = T.review_queue(audit.findings, audit.citations, log_audit(spark, sf)[0])
-    return queue.select("finding_id", "score", F.size("pages").alias("n_pages"), F.array_join("notes.observation", "|").alias("notes"), "screenshot")
+    inputs = log_audit(spark, sf)
+    audit = log_findings(spark, sf, stored=True, inputs=inputs)
+    queue = T.review_queue(audit.findings, audit.citations, inputs[0])
+    return queue.select("finding_id", "score", "n_pages", F.array_join("notes.observation", "|").alias("notes"), "screenshot", "n_rows")
 
 
 block(
@@ -251,7 +255,7 @@ def reviewed(spark, sf):
     from .core import table
 
     findings = log_findings(spark, sf, stored=True).findings
-    numbered = findings.select("finding_id", F.conv(F.left("finding_id", F.lit(2)), 16, 10).cast("bigint").alias("k"))
+    numbered = I.with_priority(findings).select("finding_id", (F.col("priority") - 1).alias("k"))
     kinds = F.array(*[F.lit(o) for o in [*T.OUTCOMES, "boh"]])
     log = table(spark, sf, "labels").join(numbered, F.col("k") == F.col("doc_id") % 170 + 20).select(
         "finding_id",
@@ -290,7 +294,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev, templates, sites = log_audit(spark, sf)
     pages = derived(spark, sf, "template_raw")
-    return R.synopsis(log_findings(spark, sf, stored=True).findings, ev, templates, sites, pages.agg(F.count("*")).scalar(), scanned(ev))
+    return R.synopsis(log_findings(spark, sf, stored=True, inputs=(ev, templates, sites)).findings, ev, templates, sites, pages.agg(F.count("*")).scalar(), scanned(ev))
 
 
 @query(
@@ -305,9 +309,9 @@ def _(spark, sf):
     FROM l_ranked f""",
 )
 def _(spark, sf):
-    ev, _templates, sites = log_audit(spark, sf)
-    a = log_findings(spark, sf, stored=True)
-    return R.backlog(a.findings, a.citations, ev, a.sites, sites)
+    inputs = log_audit(spark, sf)
+    a = log_findings(spark, sf, stored=True, inputs=inputs)
+    return R.backlog(a.findings, a.citations, a.sites, inputs[2])
 
 
 @query(
@@ -342,7 +346,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev, templates, sites = log_audit(spark, sf)
-    return R.dashboard_tiles(log_findings(spark, sf).findings, ev, templates, sites, scanned(ev))
+    return R.dashboard_tiles(log_findings(spark, sf, inputs=(ev, templates, sites)).findings, ev, templates, sites, scanned(ev))
 
 
 @query(
@@ -380,12 +384,12 @@ def _(spark, sf):
 @query(
     "r11_comparison_rows",
     """SELECT finding_id, title, component, band, score, verdict, occurrence_count,
-      (SELECT count(DISTINCT page_url) FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id WHERE c.finding_id = f.finding_id) AS pages, owner,
+      page_count AS pages, owner,
       floor(confidence * 100 + 0.5::DOUBLE)::INTEGER AS confidence FROM l_finding f""",
 )
 def _(spark, sf):
     a = log_findings(spark, sf, stored=True)
-    rows = R.comparison_rows(a.findings, a.citations, log_audit(spark, sf)[0])
+    rows = R.comparison_rows(a.findings, a.citations)
     return rows.select("finding_id", "title", "component", "band", "score", "verdict", "occurrence_count", "pages", "owner", "confidence")
 
 
@@ -535,7 +539,7 @@ def _(spark, sf):
     "h11_screenshot_requests",
     """SELECT page_url, component_signature FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY ordinal, check_id, id) AS k FROM (
       SELECT *, row_number() OVER (PARTITION BY page_url, component_signature ORDER BY ordinal, check_id, id) AS rn FROM ev1
-      WHERE engine_impact IN ('critical', 'serious') AND selector NOT IN ('', 'body')) WHERE rn = 1) WHERE k <= 12""",
+      WHERE engine_impact IN ('critical', 'serious') AND selector NOT IN ('', 'body')) WHERE rn = 1)""",
 )
 def _(spark, sf):
     from auditlake.operators import evidence as H

@@ -133,7 +133,7 @@ block(
       UNION ALL SELECT url, 'landmark-nav-unlabeled', 'Aree di navigazione: 2, senza etichetta: ' || CASE WHEN n % 4 = 0 THEN 1 ELSE 2 END || '.' FROM shop_page WHERE n % 2 = 0
       UNION ALL SELECT url, 'title-missing', 'Manca il titolo della pagina.' FROM shop_page WHERE n % 11 = 4
       UNION ALL SELECT url, 'title-too-short', 'Titolo troppo breve: "Shop".' FROM shop_page WHERE n % 11 = 6
-      UNION ALL SELECT url, 'skiplink-missing', 'Fra i primi collegamenti interni nessuno salta al contenuto.' FROM shop_page WHERE n % 5 <> 1)""",
+      UNION ALL SELECT url, 'skiplink-missing', 'Nessun collegamento interno salta al contenuto.' FROM shop_page WHERE n % 5 <> 1)""",
 )
 
 FAMILIES = {
@@ -240,14 +240,30 @@ def _(spark, sf):
     return tree(spark, sf).filter(F.col("vendor").isNotNull()).select("url", "tag", "vendor")
 
 
-@query("c12_snippets", """SELECT url, '<span id="s' || k || '">Codice...' AS html FROM shop_item WHERE v = 23""")
+@query(
+    "c12_snippets",
+    """SELECT url, '<span id="s' || k || '">Codice CAP</span>' AS html, '<span id="s...' AS head FROM shop_item WHERE v = 23""",
+)
 def _(spark, sf):
     from auditlake.functions.text import snippet
 
     chosen = (F.col("tag") == "span") & ST.attr("id").isNotNull()
-    limit = F.length(F.regexp_extract("html", r"^(.*?Codice)", 1))
     rows = tree(spark, sf).filter(chosen)
-    return rows.select("url", F.concat(F.left("html", limit), F.substr(snippet(F.col("html"), 5), F.lit(6))).alias("html"))
+    return rows.select("url", snippet(F.col("html")).alias("html"), snippet(F.col("html"), 11).alias("head"))
+
+
+@query(
+    "h10_consent_marked",
+    """SELECT url, check_id, check_id = 'img-alt-duplicates-caption' AS marked, CASE WHEN check_id = 'img-alt-duplicates-caption' THEN '[banner di consenso] ' ELSE '' END || observation AS observation
+    FROM shop_obs o WHERE check_id LIKE 'img-%' AND (SELECT count(*) FROM shop_item i WHERE i.url = o.url AND v = 5) <= 1""",
+)
+def _(spark, sf):
+    """Image findings, the figure of a page standing for its banner."""
+    e = tree(spark, sf, S.CHECK_TAGS)
+    figures = e.filter("tag = 'figure'").groupBy("url").agg(F.count("*").alias("n"), F.min("ordinal").alias("ordinal"), F.min("last").alias("last"))
+    several = figures.filter("n > 1").select("url")
+    obs = H.mark_consent(S.image_checks(e).join(several, "url", "left_anti"), figures)
+    return obs.select("url", "check_id", H.is_consent_marked(F.col("data")).alias("marked"), "observation")
 
 
 def store_registry(spark, sf):

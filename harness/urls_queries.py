@@ -270,9 +270,7 @@ shared(
 
 @query(
     "b7_link_reach",
-    """SELECT site_id, url, depth::INTEGER AS depth FROM (
-      SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY depth, url) AS rn FROM (
-        SELECT site_id, url, min(depth) AS depth FROM reach GROUP BY site_id, url)) WHERE rn <= 200""",
+    """SELECT site_id, url, min(depth)::INTEGER AS depth FROM reach GROUP BY site_id, url""",
 )
 def _(spark, sf):
     g = derived(spark, sf, "link_graph")
@@ -286,7 +284,7 @@ def _(spark, sf):
 block(
     "reach",
     """SELECT DISTINCT site_id, 'https://' || site_id || '.example/' || substr(site_id, 2) AS url, 0 AS depth FROM link_graph
-    UNION SELECT g.site_id, g.dst, r.depth + 1 FROM reach r JOIN link_graph g ON g.site_id = r.site_id AND g.src = r.url WHERE r.depth < 3""",
+    UNION SELECT g.site_id, g.dst, r.depth + 1 FROM reach r JOIN link_graph g ON g.site_id = r.site_id AND g.src = r.url WHERE r.depth < 40""",
 )
 
 

@@ -87,10 +87,11 @@ def test_overlap_messages(spark):
 
 
 def test_consent_mark_keeps_the_record(spark):
-    df = spark.createDataFrame([("{}", "x"), ('{"a":1}', "y")], "data string, observation string")
-    marked = H.mark_consent(df)
-    assert marked.filter(H.is_consent_marked(marked["data"])).count() == 2
-    assert rows(marked.selectExpr("get_json_object(data, '$.a') a"), "a") == [("1",), (None,)]
+    data = [("u", 5, "{}", "x"), ("u", 6, '{"a":1}', "y"), ("u", 9, "{}", "z"), ("v", 5, "{}", "x")]
+    df = spark.createDataFrame(data, "url string, ordinal int, data string, observation string")
+    marked = H.mark_consent(df, spark.createDataFrame([("u", 4, 6)], "url string, ordinal int, last int"))
+    assert rows(marked.filter(H.is_consent_marked(marked["data"])), "url", "ordinal") == [("u", 5), ("u", 6)]
+    assert rows(marked.selectExpr("get_json_object(data, '$.a') a"), "a") == [("1",), (None,), (None,), (None,)]
 
 
 def test_rule_texts_never_have_holes(spark):

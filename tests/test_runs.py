@@ -44,7 +44,7 @@ def test_partitioning_does_not_matter(spark):
     assert one == many
 
 
-def test_hot_finding_keeps_every_row_and_cites_25(spark):
+def test_hot_finding_keeps_and_cites_every_row(spark):
     ev = spark.range(3000).select(
         F.format_string("%016x", "id").alias("id"), F.lit("link-generic-text").alias("check_id"), F.concat(F.lit("https://x.example/"), "id").alias("page_url"),
         F.lit("x").alias("site_id"), F.lit("t1").alias("fingerprint"), F.array(F.lit("2.4.4")).alias("criteria"), F.lit("a").alias("selector"),
@@ -54,7 +54,9 @@ def test_hot_finding_keeps_every_row_and_cites_25(spark):
     a = analysed(spark, ev)
     row = a.findings.collect()
     assert len(row) == 1 and (row[0]["page_count"], row[0]["component_count"], row[0]["evidence_count"]) == (3000, 700, 3000)
-    assert a.citations.count() == 25 and a.components.count() == 700
+    assert a.components.count() == 700
+    assert sorted(r for (r,) in rows(a.citations, "rank")) == list(range(1, 3001))
+    assert I.cite(ev, limit=25).count() == 25
     assert row[0]["component"].endswith("e altri 699 componenti")
 
 

@@ -60,8 +60,8 @@ class Parser:
 
     ``table[state + symbol]`` is the next state, states being offsets of rows. A
     match that cannot go on ends its phrase; the entry is then the state after
-    the symbol from the root, negated. The last symbol pads blocks and keeps the
-    state.
+    the symbol from the root, negated. A symbol that the root doesn't know leads
+    to a last state of which every way ends a phrase.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
@@ -71,8 +71,7 @@ class Parser:
         self.symbol = np.where(_letters(), OTHER, GAP).astype(np.int32)
         for i, (c, _) in enumerate(sorted(letters.most_common(ALPHABET))):
             self.symbol[ord(c)] = i + 2
-        self.width = min(len(letters), ALPHABET) + 3
-        self.pad = self.width - 1
+        self.width = min(len(letters), ALPHABET) + 2
         tables, self.roots, self.sizes, at = [], [], [], 1
         for lang in self.languages:
             learned = np.concatenate([self.symbols(t)[0][:SAMPLE_SYMBOLS] for t in texts[lang]] or [np.zeros(0, np.int32)])
@@ -80,12 +79,10 @@ class Parser:
             self.roots.append(at * self.width)
             self.sizes.append(max(2, len(learned)))
             goes = table >= 0
-            following = np.where(goes, table + at, 0)
-            start = np.where(goes[0], following[0], at)
-            coded = np.where(goes, following, -start[None, :]).astype(np.int64) * self.width
-            coded[:, self.pad] = (np.arange(len(table)) + at) * self.width
-            tables.append(coded.astype(np.int32))
-            at += len(table)
+            start = np.where(goes[0], table[0], len(table)) + at
+            coded = np.vstack([np.where(goes, table + at, -start), -start])
+            tables.append((coded.astype(np.int64) * self.width).astype(np.int32))
+            at += len(coded)
         self.table = np.concatenate([np.zeros((1, self.width), np.int32), *tables]).ravel()
 
     def _automaton(self, text: list[int]) -> np.ndarray:
@@ -148,7 +145,8 @@ class Parser:
             n = live[step]
             symbol = found[first[:n] + step]
             after = self.table.take(state[:, :n] + symbol)
-            count[:, :n] += after < 0
+            if step:  # each block begins a phrase, which is counted already
+                count[:, :n] += after < 0
             state[:, :n] = np.abs(after)
         return np.stack([np.bincount(of, c, len(sizes)) for c in count])
 

@@ -75,7 +75,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     either side, as far as the text goes.
     """
     parts = []
-    for first in range(0, max(1, len(text) - LENGTH + 1), SEGMENT):
+    for first in range(0, max(1, len(text) - ANCHOR + 1), SEGMENT):
         low, high = max(0, first - 2 * LENGTH), min(len(text), first + SEGMENT + 2 * LENGTH)
         data = np.frombuffer(text, np.uint8, high - low, low)
         if len(data) < LENGTH:

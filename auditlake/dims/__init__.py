@@ -34,7 +34,7 @@ def texts(spark: SparkSession) -> DataFrame:
 
 
 def rule_criteria(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v.split()) for k, v in RULE_CRITERIA.items()], "rule_id string, rule_criteria array<string>")
+    return spark.createDataFrame([(k, list(v)) for k, v in RULE_CRITERIA.items()], "rule_id string, rule_criteria array<string>")
 
 
 def vendor_rules(spark: SparkSession) -> DataFrame:

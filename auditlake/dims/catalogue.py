@@ -53,7 +53,7 @@ RULES = {
     "label": ("Campo senza etichetta", "Il campo viene annunciato senza nome.", "Associare un'etichetta.", "<label for=\"q\">Cerca</label>", "frontend", "basso", 0.95),
     "select-name": ("Tendina senza etichetta", "La tendina non ha nome.", "Associare un'etichetta.", None, "frontend", "basso", 0.95),
     "document-title": ("Documento senza titolo", "Manca l'elemento title.", "Compilarlo.", None, "cms", "basso", 0.95),
-    "duplicate-id": ("Id ripetuti", "Lo stesso id compare più volte.", "Renderli unici.", None, "frontend", "medio", 0.9),
+    "duplicate-id": ("Id ripetuti", "Due elementi portano un solo id.", "Renderli unici.", None, "frontend", "medio", 0.9),
     "duplicate-id-active": ("Id ripetuti su controlli", "Etichette e comandi puntano a un doppione.", "Renderli unici.", None, "frontend", "medio", 0.9),
     "heading-order": ("Titoli fuori ordine", "La gerarchia dei titoli salta.", "Rimettere in fila i livelli.", None, "frontend", "basso", 0.85),
     "landmark-one-main": ("Area main mancante", "Il contenuto non è delimitato.", "Usare main.", None, "frontend", "basso", 0.9),

@@ -2,63 +2,63 @@
 
 # Criteria of rules that carry no criterion tag.
 RULE_CRITERIA = {
-    "color-contrast": "1.4.3",
-    "color-contrast-enhanced": "1.4.6",
-    "image-alt": "1.1.1",
-    "input-image-alt": "1.1.1",
-    "area-alt": "1.1.1 2.4.4",
-    "label": "3.3.2 4.1.2",
-    "link-name": "2.4.4 4.1.2",
-    "button-name": "4.1.2",
-    "document-title": "2.4.2",
-    "html-has-lang": "3.1.1",
-    "html-lang-valid": "3.1.1",
-    "valid-lang": "3.1.2",
-    "duplicate-id": "4.1.1",
-    "duplicate-id-active": "4.1.1",
-    "duplicate-id-aria": "4.1.1",
-    "heading-order": "1.3.1",
-    "landmark-one-main": "1.3.1",
-    "region": "1.3.1",
-    "list": "1.3.1",
-    "listitem": "1.3.1",
-    "definition-list": "1.3.1",
-    "td-headers-attr": "1.3.1",
-    "th-has-data-cells": "1.3.1",
-    "aria-required-attr": "4.1.2",
-    "aria-required-children": "1.3.1 4.1.2",
-    "aria-required-parent": "1.3.1 4.1.2",
-    "aria-roles": "4.1.2",
-    "aria-valid-attr": "4.1.2",
-    "aria-valid-attr-value": "4.1.2",
-    "aria-hidden-focus": "1.3.1 4.1.2",
-    "aria-allowed-attr": "4.1.2",
-    "bypass": "2.4.1",
-    "frame-title": "2.4.1 4.1.2",
-    "meta-viewport": "1.4.4",
-    "meta-refresh": "2.2.1",
-    "autocomplete-valid": "1.3.5",
-    "avoid-inline-spacing": "1.4.12",
-    "scrollable-region-focusable": "2.1.1",
-    "tabindex": "2.4.3",
-    "select-name": "4.1.2",
-    "object-alt": "1.1.1",
-    "video-caption": "1.2.2",
-    "audio-caption": "1.2.1",
-    "blink": "2.2.2",
-    "marquee": "2.2.2",
-    "server-side-image-map": "2.1.1",
-    "nested-interactive": "4.1.2",
-    "form-field-multiple-labels": "3.3.2",
-    "aria-command-name": "4.1.2",
-    "aria-input-field-name": "4.1.2",
-    "aria-toggle-field-name": "4.1.2",
-    "aria-meter-name": "1.1.1",
-    "aria-progressbar-name": "1.1.1",
-    "aria-tooltip-name": "4.1.2",
-    "svg-img-alt": "1.1.1",
-    "role-img-alt": "1.1.1",
-    "target-size": "2.5.8",
+    "color-contrast": ("1.4.3",),
+    "color-contrast-enhanced": ("1.4.6",),
+    "image-alt": ("1.1.1",),
+    "input-image-alt": ("1.1.1",),
+    "area-alt": ("1.1.1", "2.4.4"),
+    "label": ("3.3.2", "4.1.2"),
+    "link-name": ("2.4.4", "4.1.2"),
+    "button-name": ("4.1.2",),
+    "document-title": ("2.4.2",),
+    "html-has-lang": ("3.1.1",),
+    "html-lang-valid": ("3.1.1",),
+    "valid-lang": ("3.1.2",),
+    "duplicate-id": ("4.1.1",),
+    "duplicate-id-active": ("4.1.1",),
+    "duplicate-id-aria": ("4.1.1",),
+    "heading-order": ("1.3.1",),
+    "landmark-one-main": ("1.3.1",),
+    "region": ("1.3.1",),
+    "list": ("1.3.1",),
+    "listitem": ("1.3.1",),
+    "definition-list": ("1.3.1",),
+    "td-headers-attr": ("1.3.1",),
+    "th-has-data-cells": ("1.3.1",),
+    "aria-required-attr": ("4.1.2",),
+    "aria-required-children": ("1.3.1", "4.1.2"),
+    "aria-required-parent": ("1.3.1", "4.1.2"),
+    "aria-roles": ("4.1.2",),
+    "aria-valid-attr": ("4.1.2",),
+    "aria-valid-attr-value": ("4.1.2",),
+    "aria-hidden-focus": ("1.3.1", "4.1.2"),
+    "aria-allowed-attr": ("4.1.2",),
+    "bypass": ("2.4.1",),
+    "frame-title": ("2.4.1", "4.1.2"),
+    "meta-viewport": ("1.4.4",),
+    "meta-refresh": ("2.2.1",),
+    "autocomplete-valid": ("1.3.5",),
+    "avoid-inline-spacing": ("1.4.12",),
+    "scrollable-region-focusable": ("2.1.1",),
+    "tabindex": ("2.4.3",),
+    "select-name": ("4.1.2",),
+    "object-alt": ("1.1.1",),
+    "video-caption": ("1.2.2",),
+    "audio-caption": ("1.2.1",),
+    "blink": ("2.2.2",),
+    "marquee": ("2.2.2",),
+    "server-side-image-map": ("2.1.1",),
+    "nested-interactive": ("4.1.2",),
+    "form-field-multiple-labels": ("3.3.2",),
+    "aria-command-name": ("4.1.2",),
+    "aria-input-field-name": ("4.1.2",),
+    "aria-toggle-field-name": ("4.1.2",),
+    "aria-meter-name": ("1.1.1",),
+    "aria-progressbar-name": ("1.1.1",),
+    "aria-tooltip-name": ("4.1.2",),
+    "svg-img-alt": ("1.1.1",),
+    "role-img-alt": ("1.1.1",),
+    "target-size": ("2.5.8",),
 }
 
 # Third-party widgets by element: vendor, tag ('' = any), attribute, operator, value.

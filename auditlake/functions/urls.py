@@ -26,8 +26,10 @@ LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 LOCALE_SEGMENT = r"(?i)^[a-z]{2}(-[a-z]{2})?$"
 LANGUAGE_SEGMENT = r"(?i)^([a-z]{2})([-_][a-z]{2,4})?$"
 KNOWN_LANGUAGES = (
-    "it en fr de es pt nl da sv no fi pl cs sk sl hu ro bg el ru uk tr ar he zh ja ko ca eu gl ga cy et lv lt sr hr mt is"
-).split()
+    "it", "en", "fr", "de", "es", "pt", "nl", "da", "sv", "no", "fi", "pl", "cs", "sk", "sl", "hu", "ro", "bg",
+    "el", "ru", "uk", "tr", "ar", "he", "zh", "ja", "ko", "ca", "eu", "gl", "ga", "cy", "et", "lv", "lt", "sr",
+    "hr", "mt", "is",
+)
 
 # scheme, authority, path, query, in one pass; the fragment is dropped
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(?:#.*)?$"

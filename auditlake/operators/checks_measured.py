@@ -323,7 +323,7 @@ def unreachable_banner_check(reachability: DataFrame) -> DataFrame:
 def exclude_polluted(evidence: DataFrame, reachability: DataFrame, page_column: str = "page_url") -> tuple[DataFrame, DataFrame]:
     """Evidence without the pages whose banner stayed up, and those pages with a reason."""
     stuck = reachability.filter(~F.col("dismissed"))
-    reason = F.concat(F.lit("banner di consenso non chiudibile ("), "platform", F.lit(", selettore "), "container", F.lit("): pagina esclusa"))
+    reason = F.concat(F.lit("avviso sui cookie rimasto aperto ("), "platform", F.lit(", selettore "), "container", F.lit("), pagina saltata"))
     kept = evidence.join(stuck.select(F.col("url").alias(page_column)).dropDuplicates(), page_column, "left_anti")
     return kept, stuck.select("url", reason.alias("reason"))
 

@@ -15,9 +15,9 @@ SAMPLES_PER_TEMPLATE = 3
 LANGUAGE_SHARE = 0.6
 UNKNOWN = "unknown"
 MIXED = "mixed-"
-UNKNOWN_LABEL = "Pagine non classificate (sonda fallita)"
-UNNAMED_LABEL = "Template non classificato"
-MIXED_SUFFIX = " - struttura non uniforme"
+UNKNOWN_LABEL = "Pagine senza tipo"
+UNNAMED_LABEL = "Tipo senza nome"
+MIXED_SUFFIX = " (strutture diverse)"
 GENERIC_LABELS = ["Pagina di contenuto", "Pagina con tabelle", "Pagina con form", "Elenco", "Contenuto con sidebar"]
 
 

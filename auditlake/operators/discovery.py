@@ -108,7 +108,7 @@ def exclude_offsite(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``(url, final_url, ...)`` into kept pages and ``(url, reason)`` for off-site arrivals."""
     stays = U.same_site(F.col("final_url"), F.col("url"))
     reason = F.concat(
-        F.lit("reindirizza a un altro sito ("), F.coalesce(U.host(F.col("final_url")), F.lit("")), F.lit("): esclusa dall'audit")
+        F.lit("porta fuori dal sito ("), F.coalesce(U.host(F.col("final_url")), F.lit("")), F.lit("), tolta dal giro")
     )
     return results.filter(stays), results.filter(~stays).select("url", reason.alias("reason"))
 
@@ -116,7 +116,7 @@ def exclude_offsite(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 def exclude_errors(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``(url, http_status, ...)`` into kept pages and broken links with a reason."""
     broken = F.coalesce(F.col("http_status"), F.lit(0)) >= 400
-    reason = F.concat(F.lit("pagina non disponibile (HTTP "), F.col("http_status").cast("string"), F.lit("): esclusa dall'audit"))
+    reason = F.concat(F.lit("risposta HTTP "), F.col("http_status").cast("string"), F.lit(", tolta dal giro"))
     return results.filter(~broken), results.filter(broken).select("url", "http_status", reason.alias("reason"))
 
 

@@ -13,7 +13,7 @@ SALTS = 8
 CONSENT_MARK = "__consentBanner"
 CONSENT_TEXT = "[banner di consenso] "
 OVERLAP = r"(?i)overlap(ped|s)\b"
-UNDECIDED_SUFFIX = " — la verifica automatica non ha potuto decidere: serve un controllo manuale."
+UNDECIDED_SUFFIX = " (esito incerto: da guardare a mano)."
 
 NODE_DDL = (
     "struct<html:string,target:string,failure_summary:string,component_signature:string,"

@@ -14,43 +14,43 @@ COLUMNS = [
 
 # Criteria and impact of every own check.
 CHECK_META = {
-    "heading-no-h1": ("1.3.1 2.4.6", "serious"),
-    "heading-multiple-h1": ("1.3.1", "moderate"),
-    "heading-skipped-level": ("1.3.1", "moderate"),
-    "heading-empty": ("1.3.1 2.4.6", "moderate"),
-    "landmark-no-main": ("1.3.1 2.4.1", "serious"),
-    "landmark-multiple-main": ("1.3.1", "moderate"),
-    "landmark-nav-unlabeled": ("1.3.1 2.4.6", "moderate"),
-    "title-missing": ("2.4.2", "serious"),
-    "title-too-short": ("2.4.2", "minor"),
-    "skiplink-missing": ("2.4.1", "moderate"),
-    "img-empty-alt-in-link": ("1.1.1 2.4.4", "critical"),
-    "img-empty-alt-review": ("1.1.1", "minor"),
-    "img-alt-is-filename": ("1.1.1", "serious"),
-    "img-alt-placeholder": ("1.1.1", "serious"),
-    "img-alt-too-long": ("1.1.1", "minor"),
-    "img-alt-duplicates-caption": ("1.1.1", "minor"),
-    "bg-image-review": ("1.1.1 1.4.5", "minor"),
-    "link-generic-text": ("2.4.4", "moderate"),
-    "link-new-window-unannounced": ("3.2.1 2.4.4", "minor"),
-    "link-raw-url-text": ("2.4.4", "minor"),
-    "link-same-text-different-targets": ("2.4.4", "moderate"),
-    "form-placeholder-as-label": ("3.3.2 4.1.2", "serious"),
-    "form-required-not-indicated": ("3.3.2", "minor"),
-    "form-missing-autocomplete": ("1.3.5", "moderate"),
-    "form-radiogroup-no-fieldset": ("1.3.1 3.3.2", "moderate"),
-    "form-search-no-submit": ("2.1.1", "moderate"),
-    "contrast-hover-insufficient": ("1.4.3", "serious"),
-    "reflow-horizontal-scroll": ("1.4.10", "serious"),
-    "reflow-overflowing-element": ("1.4.10", "serious"),
-    "text-spacing-clipped": ("1.4.12", "moderate"),
-    "keyboard-trap-suspected": ("2.1.2", "critical"),
-    "keyboard-focus-on-hidden": ("2.4.3 2.4.7", "serious"),
-    "focus-not-visible": ("2.4.7", "serious"),
-    "keyboard-positive-tabindex": ("2.4.3", "moderate"),
-    "focus-order-suspicious": ("2.4.3 1.3.2", "moderate"),
-    "keyboard-no-focusable": ("2.1.1", "critical"),
-    "consent-not-keyboard-reachable": ("2.1.1 2.4.3", "critical"),
+    "heading-no-h1": (("1.3.1", "2.4.6"), "serious"),
+    "heading-multiple-h1": (("1.3.1",), "moderate"),
+    "heading-skipped-level": (("1.3.1",), "moderate"),
+    "heading-empty": (("1.3.1", "2.4.6"), "moderate"),
+    "landmark-no-main": (("1.3.1", "2.4.1"), "serious"),
+    "landmark-multiple-main": (("1.3.1",), "moderate"),
+    "landmark-nav-unlabeled": (("1.3.1", "2.4.6"), "moderate"),
+    "title-missing": (("2.4.2",), "serious"),
+    "title-too-short": (("2.4.2",), "minor"),
+    "skiplink-missing": (("2.4.1",), "moderate"),
+    "img-empty-alt-in-link": (("1.1.1", "2.4.4"), "critical"),
+    "img-empty-alt-review": (("1.1.1",), "minor"),
+    "img-alt-is-filename": (("1.1.1",), "serious"),
+    "img-alt-placeholder": (("1.1.1",), "serious"),
+    "img-alt-too-long": (("1.1.1",), "minor"),
+    "img-alt-duplicates-caption": (("1.1.1",), "minor"),
+    "bg-image-review": (("1.1.1", "1.4.5"), "minor"),
+    "link-generic-text": (("2.4.4",), "moderate"),
+    "link-new-window-unannounced": (("3.2.1", "2.4.4"), "minor"),
+    "link-raw-url-text": (("2.4.4",), "minor"),
+    "link-same-text-different-targets": (("2.4.4",), "moderate"),
+    "form-placeholder-as-label": (("3.3.2", "4.1.2"), "serious"),
+    "form-required-not-indicated": (("3.3.2",), "minor"),
+    "form-missing-autocomplete": (("1.3.5",), "moderate"),
+    "form-radiogroup-no-fieldset": (("1.3.1", "3.3.2"), "moderate"),
+    "form-search-no-submit": (("2.1.1",), "moderate"),
+    "contrast-hover-insufficient": (("1.4.3",), "serious"),
+    "reflow-horizontal-scroll": (("1.4.10",), "serious"),
+    "reflow-overflowing-element": (("1.4.10",), "serious"),
+    "text-spacing-clipped": (("1.4.12",), "moderate"),
+    "keyboard-trap-suspected": (("2.1.2",), "critical"),
+    "keyboard-focus-on-hidden": (("2.4.3", "2.4.7"), "serious"),
+    "focus-not-visible": (("2.4.7",), "serious"),
+    "keyboard-positive-tabindex": (("2.4.3",), "moderate"),
+    "focus-order-suspicious": (("2.4.3", "1.3.2"), "moderate"),
+    "keyboard-no-focusable": (("2.1.1",), "critical"),
+    "consent-not-keyboard-reachable": (("2.1.1", "2.4.3"), "critical"),
 }
 
 
@@ -58,7 +58,7 @@ def _meta(check_id: str) -> list[Column]:
     criteria, impact = CHECK_META[check_id]
     return [
         F.lit(check_id).alias("check_id"),
-        F.array(*[F.lit(c) for c in criteria.split()]).alias("criteria"),
+        F.array(*[F.lit(c) for c in criteria]).alias("criteria"),
         F.lit(impact).alias("engine_impact"),
     ]
 
@@ -90,7 +90,7 @@ def hit(check_id: str, when: Column, observation: Column, data=None) -> Column:
         when,
         F.named_struct(
             F.lit("check_id"), F.lit(check_id),
-            F.lit("criteria"), F.array(*[F.lit(c) for c in criteria.split()]),
+            F.lit("criteria"), F.array(*[F.lit(c) for c in criteria]),
             F.lit("engine_impact"), F.lit(impact),
             F.lit("observation"), observation,
             F.lit("data"), _json(data),

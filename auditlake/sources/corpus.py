@@ -13,16 +13,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that arrives in fewer splits than cores.
-
-    Only small inputs do; a large table already has more splits and passes
-    through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def canonical_pages(pages: DataFrame) -> DataFrame:
     """One ``(page_id, url, site_id)`` row per canonical URL: the smallest page id wins.
 

@@ -13,16 +13,23 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..dims.rules import VENDOR_RULES
+from .. import dims
 
 # Element classes and attribute lists.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = set("script style textarea title".split())
-CLOSES_P = set(
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
-)
+VOID = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+}
+RAW_TEXT = {
+    "script", "style", "textarea", "title",
+}
+CLOSES_P = {
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
+    "table", "ul",
+}
 # start tag -> (open tags it ends, tags the search stops at)
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -35,15 +42,31 @@ IMPLIED_END = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-HEAD_TAGS = set("title meta link base style script".split())
-LANDMARK_TAGS = set("header nav main aside footer form".split())
-LANDMARK_ROLES = set("banner navigation main complementary contentinfo search".split())
-TEST_ATTRS = "data-testid data-test-id data-cy data-component data-qa data-block".split()
-SKELETON_SKIP = set("script style noscript svg path br template".split())
-NOT_RENDERED = set("head title meta link base script style template noscript".split())
-CONTEXT_TAGS = set("a button figure label fieldset form".split())
-TEXT_TAGS = set("a button h1 h2 h3 h4 h5 h6 label figcaption title option legend".split())
-BATCH_ROWS = 4096
+HEAD_TAGS = {
+    "title", "meta", "link", "base", "style", "script",
+}
+LANDMARK_TAGS = {
+    "header", "nav", "main", "aside", "footer", "form",
+}
+LANDMARK_ROLES = {
+    "banner", "navigation", "main", "complementary", "contentinfo", "search",
+}
+TEST_ATTRS = (
+    "data-testid", "data-test-id", "data-cy", "data-component", "data-qa", "data-block",
+)
+SKELETON_SKIP = {
+    "script", "style", "noscript", "svg", "path", "br", "template",
+}
+NOT_RENDERED = {
+    "head", "title", "meta", "link", "base", "script", "style", "template", "noscript",
+}
+CONTEXT_TAGS = {
+    "a", "button", "figure", "label", "fieldset", "form",
+}
+TEXT_TAGS = {
+    "a", "button", "h1", "h2", "h3", "h4", "h5", "h6", "label", "figcaption", "title", "option", "legend",
+}
+BATCH_PAGES = 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -63,58 +86,44 @@ NODE_TYPE = pa.struct(
         ("same", pa.int32()),
     ]
 )
-ARROW_SCHEMA = pa.schema(
-    [
-        ("url", pa.string()),
-        ("ordinal", pa.int32()),
-        ("parent", pa.int32()),
-        ("depth", pa.int32()),
-        ("last", pa.int32()),
-        ("tag", pa.string()),
-        ("attrs", pa.map_(pa.string(), pa.string())),
-        ("text", pa.string()),
-        ("visible", pa.bool_()),
-        ("skipped", pa.bool_()),
-        ("vendor", pa.string()),
-        ("context", pa.list_(pa.struct([("ordinal", pa.int32()), ("tag", pa.string())]))),
-        ("lineage", pa.list_(NODE_TYPE)),
-        ("html", pa.string()),
-    ]
+ELEMENTS = pa.list_(
+    pa.struct(
+        [
+            ("ordinal", pa.int32()),
+            ("parent", pa.int32()),
+            ("depth", pa.int32()),
+            ("last", pa.int32()),
+            ("tag", pa.string()),
+            ("attrs", pa.map_(pa.string(), pa.string())),
+            ("text", pa.string()),
+            ("context", pa.list_(pa.struct([("ordinal", pa.int32()), ("tag", pa.string())]))),
+            ("lineage", pa.list_(NODE_TYPE)),
+            ("html", pa.string()),
+        ]
+    )
 )
+COLUMNS = ("ordinal", "parent", "depth", "last", "tag", "attrs", "text", "visible", "skipped", "vendor", "context", "lineage", "html")
 NODE_DDL = (
     "struct<tag:string,classes:array<string>,id:string,role:string,test_attr:string,landmark:boolean,nth:int,same:int>"
 )
-ELEMENT_DDL = (
-    "url string, ordinal int, parent int, depth int, last int, tag string, attrs map<string,string>, text string, "
-    "visible boolean, skipped boolean, vendor string, context array<struct<ordinal:int,tag:string>>, "
-    f"lineage array<{NODE_DDL}>, html string"
+ELEMENTS_DDL = (
+    "array<struct<ordinal:int,parent:int,depth:int,last:int,tag:string,attrs:map<string,string>,text:string,"
+    f"context:array<struct<ordinal:int,tag:string>>,lineage:array<{NODE_DDL}>,html:string>>"
 )
 
 
 class Element:
-    __slots__ = ("ordinal", "parent", "depth", "last", "tag", "attrs", "start", "stop", "texts", "nth", "kinds",
-                 "shown", "visible", "skipped", "vendor", "context", "classes")
+    __slots__ = ("ordinal", "parent", "depth", "last", "tag", "attrs", "start", "stop", "words", "said", "nth", "kinds", "context", "classes")
 
-    def __init__(self, ordinal, parent, tag, attrs, start, vendor_rules):
+    def __init__(self, ordinal, parent, tag, attrs, start, words):
         self.ordinal, self.parent, self.tag, self.attrs, self.start = ordinal, parent, tag, attrs, start
         self.depth = parent.depth + 1 if parent else 0
         self.last, self.stop, self.kinds = ordinal, None, {}
-        self.texts = [] if tag in TEXT_TAGS or "id" in attrs else None
+        self.words = self.said = words
         self.nth = 1
         if parent:
             self.nth = parent.kinds[tag] = parent.kinds.get(tag, 0) + 1
         self.classes = attrs.get("class", "").split()
-        style = attrs.get("style", "").lower().replace(" ", "")
-        rendered, seen = parent.shown if parent else (True, True)
-        rendered = rendered and tag not in NOT_RENDERED and "hidden" not in attrs and "display:none" not in style
-        if "visibility:" in style:
-            seen = "visibility:hidden" not in style
-        self.shown = (rendered, seen)
-        self.visible = rendered and seen and not re.search(r"opacity:0*\.?0*(;|$)", style)
-        self.skipped = tag in SKELETON_SKIP or bool(parent and parent.skipped)
-        own = _vendor(self, vendor_rules)
-        above = parent.vendor if parent else None
-        self.vendor = min((v for v in (own, above) if v is not None), default=None)
         inner = parent.context if parent else ()
         self.context = ((ordinal, tag), *inner) if tag in CONTEXT_TAGS else inner
 
@@ -133,25 +142,6 @@ class Element:
         }
 
 
-def _vendor(el, rules):
-    """Order of the first vendor rule the element itself meets."""
-    if not el.attrs and "-" not in el.tag:
-        return None
-    for order, (_, tag, attr, op, value) in enumerate(rules):
-        if tag and tag != el.tag:
-            continue
-        if not attr:
-            return order
-        have = el.attrs.get(attr)
-        if have is None:
-            continue
-        if op == "?" or (op == "=" and have == value) or (op == "*" and value in have):
-            return order
-        if (op == "^" and have.startswith(value)) or (op == "~" and value in have.split()):
-            return order
-    return None
-
-
 def _attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(raw):
@@ -170,36 +160,33 @@ def _markup(source: str, el: Element, chars: int | None) -> str:
         size *= 4
 
 
-def parse(source: str, vendor_rules=VENDOR_RULES) -> list[Element]:
-    """Elements of one page in document order."""
+def parse(source: str) -> tuple[list[Element], list[str]]:
+    """Elements of one page in document order, and its pieces of text; an element holds a range of those."""
     elements: list[Element] = []
     stack: list[Element] = []
+    said: list[str] = []
 
     def push(tag, attrs, start):
-        el = Element(len(elements), stack[-1] if stack else None, tag, attrs, start, vendor_rules)
+        el = Element(len(elements), stack[-1] if stack else None, tag, attrs, start, len(said))
         elements.append(el)
         stack.append(el)
         return el
 
     def pop(end):
         el = stack.pop()
-        el.stop, el.last = end, len(elements) - 1
+        el.stop, el.last, el.said = end, len(elements) - 1, len(said)
 
     def words(raw):
         if raw:
-            plain = entities.unescape(raw)
-            for el in stack:
-                if el.texts is not None:
-                    el.texts.append(plain)
+            said.append(entities.unescape(raw))
 
     def prepare(tag, at):
         """Close what the start tag implies and supply html, head and body."""
         if not stack:
             push("html", {}, at)
-        names = [e.tag for e in stack]
         if len(stack) == 1 and tag not in ("head", "body", "frameset"):
             push("head" if tag in HEAD_TAGS and not any(e.tag in ("head", "body") for e in elements) else "body", {}, at)
-        elif names[1:2] == ["head"] and len(stack) == 2 and tag not in HEAD_TAGS and tag != "noscript":
+        elif len(stack) == 2 and stack[1].tag == "head" and tag not in HEAD_TAGS and tag != "noscript":
             pop(at)
             if tag not in ("body", "frameset"):
                 push("body", {}, at)
@@ -273,7 +260,7 @@ def parse(source: str, vendor_rules=VENDOR_RULES) -> list[Element]:
             at = end.start() if end else len(source)
     while stack:
         pop(len(source))
-    return elements
+    return elements, said
 
 
 def _lineage(el: Element) -> list[dict]:
@@ -284,42 +271,96 @@ def _lineage(el: Element) -> list[dict]:
     return out
 
 
-def element_rows(url: str, source: str, vendor_rules=VENDOR_RULES, detail: set[str] | None = None, markup_chars: int | None = None) -> Iterator[tuple]:
-    for el in parse(source, vendor_rules):
+def page_elements(source: str, detail: set[str] | None = None, markup_chars: int | None = None) -> list[dict]:
+    """Elements of a page as records: tags, attributes, places, texts, ancestors."""
+    elements, said = parse(source)
+    out = []
+    for el in elements:
         detailed = detail is None or el.tag in detail or "role" in el.attrs
-        text = None if el.texts is None else re.sub(r"\s+", " ", "".join(el.texts)).strip()
-        yield (
-            url, el.ordinal, el.parent.ordinal if el.parent else None, el.depth, el.last, el.tag, list(el.attrs.items()), text,
-            el.visible, el.skipped, vendor_rules[el.vendor][0] if el.vendor is not None else None,
-            [{"ordinal": o, "tag": t} for o, t in el.context],
-            _lineage(el) if detailed else None, _markup(source, el, markup_chars) if detailed else None,
+        told = el.tag in TEXT_TAGS or "id" in el.attrs
+        out.append({
+            "ordinal": el.ordinal, "parent": el.parent.ordinal if el.parent else None, "depth": el.depth, "last": el.last, "tag": el.tag, "attrs": list(el.attrs.items()),
+            "text": re.sub(r"\s+", " ", "".join(said[el.words : el.said])).strip() if told else None, "context": [{"ordinal": o, "tag": t} for o, t in el.context],
+            "lineage": _lineage(el) if detailed else None, "html": _markup(source, el, markup_chars) if detailed else None,
+        })
+    return out
+
+
+def with_state(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pages(url, elements)`` to element rows with ``visible``, ``skipped`` and ``vendor``.
+
+    All three pass from an element to what is inside it, that is to the ordinals
+    up to its ``last``. They are found within the page's row, so no element
+    crosses a shuffle. Not rendered are the tags that never are, ``hidden`` and
+    ``display:none``; the closest ``visibility`` decides; ``opacity:0`` hides the
+    element alone. The first vendor rule that an element or one around it meets
+    names its vendor; ``rules`` is a closed list.
+    """
+    table = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "vendor", "tag", "attr", "op", "value")))).scalar()
+    of = {n: F.col(n) for n in ("off", "seen", "quiet", "owned")}
+
+    def style(e: Column) -> Column:
+        return F.replace(F.lower(F.coalesce(e["attrs"]["style"], F.lit(""))), F.lit(" "), F.lit(""))
+
+    def meets(e: Column, r: Column) -> Column:
+        have = e["attrs"][r["attr"]]
+        tagged = (r["tag"] == "") | (r["tag"] == e["tag"])
+        told = (
+            F.when(r["op"] == "?", F.lit(True)).when(r["op"] == "=", have == r["value"]).when(r["op"] == "*", F.contains(have, r["value"]))
+            .when(r["op"] == "^", F.startswith(have, r["value"])).when(r["op"] == "~", F.array_contains(F.split(have, r"\s+"), r["value"]))
         )
+        return tagged & F.coalesce(F.when(r["attr"] == "", F.lit(True)).when(have.isNotNull(), told), F.lit(False))
+
+    def first_rule(e: Column) -> Column:
+        worth = (F.size(e["attrs"]) > 0) | F.contains(e["tag"], F.lit("-"))
+        return F.when(worth, F.get(F.filter(F.col("rules"), lambda r: meets(e, r)), 0)["rule_order"])
+
+    def places(keep, value=None) -> Column:
+        made = F.transform("elements", lambda e: F.struct(e["ordinal"].alias("a"), e["last"].alias("b"), (value(e) if value else F.lit(0)).alias("v"), keep(e).alias("keep")))
+        return F.filter(made, lambda m: m["keep"])
+
+    def around(name: str, e: Column) -> Column:
+        return F.filter(of[name], lambda m: (m["a"] <= e["ordinal"]) & (e["ordinal"] <= m["b"]))
+
+    hides = lambda e: e["tag"].isin(*sorted(NOT_RENDERED)) | F.map_contains_key(e["attrs"], "hidden") | F.contains(style(e), F.lit("display:none"))
+    marked = pages.withColumn("rules", table).select(
+        "url", "elements", "rules",
+        places(hides).alias("off"),
+        places(lambda e: F.contains(style(e), F.lit("visibility:")), lambda e: F.contains(style(e), F.lit("visibility:hidden"))).alias("seen"),
+        places(lambda e: e["tag"].isin(*sorted(SKELETON_SKIP))).alias("quiet"),
+        F.filter(F.transform("elements", lambda e: F.struct(e["ordinal"].alias("a"), e["last"].alias("b"), first_rule(e).alias("v"))), lambda m: m["v"].isNotNull()).alias("owned"),
+    )
+
+    def whole(e: Column) -> Column:
+        unseen = F.coalesce(F.element_at(F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(False).alias("v"), F.lit(True).alias("keep"))), around("seen", e)), -1)["v"], F.lit(False))
+        clear = style(e).rlike(r"opacity:0*\.?0*(;|$)")
+        order = F.array_min(F.transform(around("owned", e), lambda m: m["v"]))
+        state = {
+            "visible": (F.size(around("off", e)) == 0) & ~unseen & ~clear,
+            "skipped": F.size(around("quiet", e)) > 0,
+            "vendor": F.get(F.filter(F.col("rules"), lambda r: r["rule_order"] == order), 0)["vendor"],
+        }
+        return F.struct(*[state[c].alias(c) if c in state else e[c].alias(c) for c in COLUMNS])
 
+    return marked.select("url", F.inline(F.transform("elements", whole)))
 
-def element_tree(pages: DataFrame, vendor_rules=VENDOR_RULES, detail: set[str] | None = None, markup_chars: int | None = None) -> DataFrame:
+
+def element_tree(pages: DataFrame, rules: DataFrame | None = None, detail: set[str] | None = None, markup_chars: int | None = None) -> DataFrame:
     """``pages(url, html)`` to element rows.
 
     ``detail`` limits the wide columns (ancestor lineage, markup) to the tags a
-    caller needs; elements with a role always carry them. A
-    caller that shows only the head of the markup may pass ``markup_chars``. One
-    page at a time is held in memory; batches are kept small
-    because markup is wide (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    caller needs; elements with a role always carry them. A caller that shows
+    only the head of the markup may pass ``markup_chars``. Pages are parsed one
+    at a time; batches are kept small because markup is wide
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
-    rules = list(vendor_rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(rows):
-            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), ARROW_SCHEMA)]
-            return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
-
-        rows: list[tuple] = []
         for batch in batches:
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows.extend(element_rows(url, source or "", rules, detail, markup_chars))
-                if len(rows) >= BATCH_ROWS:
-                    yield pack(rows)
-                    rows = []
-        if rows:
-            yield pack(rows)
-
-    return pages.select("url", "html").mapInArrow(run, ELEMENT_DDL)
+            for first in range(0, batch.num_rows, BATCH_PAGES):
+                part = batch.slice(first, BATCH_PAGES)
+                parsed = [page_elements(source or "", detail, markup_chars) for source in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(parsed, ELEMENTS)], names=["url", "elements"])
+
+    parsed = pages.select("url", "html").mapInArrow(run, f"url string, elements {ELEMENTS_DDL}")
+    return with_state(parsed, rules if rules is not None else dims.vendor_rules(pages.sparkSession))

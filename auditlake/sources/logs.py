@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,16 @@ RUN_RELATIONS = ["sites", "pages", "templates", "evidence", "findings"]
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines log as ``(value)``; a missing path is an empty log."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(conf).globStatus(hadoop_path):
+    try:
+        return spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "value string")
-    return spark.read.text(path)
 
 
-def parse_results(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log lines ``(value)`` to result rows and rejected lines (A5).
+def parse_results(lines: DataFrame, keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Log lines ``(value)`` to result rows, with the line itself on demand, and rejected lines (A5).
 
     Blank lines are skipped; a line cut short by an interrupted write is
     rejected, not half read: it does not end the object it began.
@@ -43,7 +45,7 @@ def parse_results(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     results = good.select(
         "r.url", F.col("r.siteId").alias("site_id"), "r.fingerprint", "r.title", "r.evidence", F.col("r.tabOrder").alias("tab_order"),
         F.col("r.passedRules").alias("passed_rules"), "r.consent", F.col("r.httpStatus").alias("http_status"), "r.error",
-        F.col("r.durationMs").alias("duration_ms"), F.coalesce("r.coldPass", F.lit(False)).alias("cold_pass"),
+        F.col("r.durationMs").alias("duration_ms"), F.coalesce("r.coldPass", F.lit(False)).alias("cold_pass"), *([keep] if keep else []),
     )
     return results, parsed.filter(F.col("r.url").isNull()).select("value")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.triage import OUTCOMES, latest
 from ..sources.logs import parse_results
@@ -12,48 +16,53 @@ from ..sources.logs import parse_results
 REVIEW_DDL = "finding_id string, outcome string, note string, reviewer string, ts timestamp"
 
 
-def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    return spark.read.parquet(path) if fs.exists(target) and fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")) else None
+def _first_of_page(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The quickest result of a page, once; ties go to the smaller line."""
+    if state.exists:
+        return
+    best = None
+    for rows in batches:
+        for line in zip(rows["duration_ms"].fillna(1 << 62), rows["value"]):
+            best = line if best is None else min(best, line)
+    state.update((True,))
+    yield pd.DataFrame({"value": [best[1]]})
 
 
-def scan_intake(spark: SparkSession, log_dir: str, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append parsed page results to ``target``, each page once.
+def scan_intake(lines: DataFrame, target: str, rejected: str, checkpoint: str, **trigger) -> tuple[StreamingQuery, StreamingQuery]:
+    """Append parsed page results to ``target``, each page once, and lines that can't be read to ``rejected``.
 
-    Every micro-batch overwrites its own ``batch=`` folder, so a batch replayed
-    after a failure leaves no duplicate. Pages already stored by *other* batches
-    are skipped by an anti-join, so no state grows with the stream.
+    ``lines(value)`` is a stream. Which pages are known is keyed state,
+    partitioned by URL, so a batch costs what it brings and nothing stored is
+    read again. Every micro-batch overwrites its own ``batch=`` folder, so one
+    replayed after a failure leaves no duplicate.
     """
-    lines = spark.readStream.text(log_dir)
+    when = trigger or {"availableNow": True}
+    present = lines.filter(F.trim("value") != "")
+    good, bad = parse_results(present, keep="value")
+    first = good.select("url", "duration_ms", "value").groupBy("url").applyInPandasWithState(_first_of_page, "value string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        results, _rejected = parse_results(batch)
         # VARIANT records travel as JSON text in the stored table
-        rows = results.withColumn("evidence", F.to_json("evidence"))
-        rows = rows.groupBy("url").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "url"]), F.col("duration_ms")).alias("r")).select("url", "r.*")
-        stored = _read_if_any(batch.sparkSession, target)
-        if stored is not None:
-            rows = rows.join(stored.filter(F.col("batch") != batch_id).select("url"), "url", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        parse_results(batch)[0].withColumn("evidence", F.to_json("evidence")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    results = first.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/results").trigger(**when).start()
+    refused = bad.writeStream.format("parquet").option("path", rejected).option("checkpointLocation", f"{checkpoint}/rejected").trigger(**when).start()
+    return results, refused
 
 
-def review_intake(spark: SparkSession, inbox: str, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+def review_intake(decisions: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append review decisions as they arrive (N2); readers take the latest per finding.
 
-    Append-only, one folder per batch: concurrent reviewers never overwrite each
-    other, and a replayed batch rewrites only itself.
+    ``decisions`` is a stream with the columns of ``REVIEW_DDL``. Append-only,
+    one folder per batch: concurrent reviewers never overwrite each other, and a
+    replayed batch rewrites only itself.
     """
-    rows = spark.readStream.schema(REVIEW_DDL).json(inbox)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         known = batch.filter(F.col("outcome").isin(OUTCOMES) & F.col("finding_id").isNotNull())
         latest(known, "finding_id", ["ts"]).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return decisions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_reviews(spark: SparkSession, target: str) -> DataFrame:

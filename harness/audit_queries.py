@@ -28,7 +28,7 @@ block(
         "text_key, cat_title, cat_description, cat_remediation, cat_code, cat_owner, cat_effort, cat_confidence",
     ),
 )
-block("dim_meta", values([(k, *v) for k, v in CHECK_META.items()], "check_id, criteria, impact"))
+block("dim_meta", values([(k, " ".join(c), i) for k, (c, i) in CHECK_META.items()], "check_id, criteria, impact"))
 
 # ---------------------------------------------------------------- flat elements
 DECODE = "text"

@@ -183,7 +183,7 @@ def _(spark, sf):
 
 block(
     "lang_label",
-    r"""SELECT fingerprint, page_count, CASE WHEN fingerprint = 'unknown' THEN 'Pagine non classificate (sonda fallita)' WHEN fingerprint LIKE 'mixed-%' THEN from_url || ' - struttura non uniforme'
+    r"""SELECT fingerprint, page_count, CASE WHEN fingerprint = 'unknown' THEN 'Pagine senza tipo' WHEN fingerprint LIKE 'mixed-%' THEN from_url || ' (strutture diverse)'
         WHEN fingerprint LIKE 'f1%' THEN 'Scheda prodotto' ELSE from_url END AS label
     FROM (SELECT *, 'Scheda sec ' || regexp_extract(first_url, 'sec-(\d+)', 1) AS from_url FROM lang_tpl)""",
 )

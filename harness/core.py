@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.sources.corpus import spread
+from auditlake.lineage import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,14 +71,27 @@ def with_blocks(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A driver table. The driver's small ones are single files of one row group, which no split setting divides: those are dealt out."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
-def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A shared derived table on the Spark side."""
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A driver table as a stream."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder on shared storage for what a query writes itself."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def derived(spark: SparkSession, sf: str, name: str, read=table) -> DataFrame:
+    """A shared derived table on the Spark side, over tables or (``read=stream``) streams."""
     text = SHARED[name]
-    inputs = {t: table(spark, sf, t) for t in TABLES if "{" + t + "}" in text}
-    inputs |= {s: derived(spark, sf, s) for s in SHARED if "{" + s + "}" in text}
+    inputs = {t: read(spark, sf, t) for t in TABLES if "{" + t + "}" in text}
+    inputs |= {s: derived(spark, sf, s, read) for s in SHARED if "{" + s + "}" in text}
     # other braces in the text (JSON literals) are not placeholders
     text = text.replace("{", "{{").replace("}", "}}")
     for name in inputs:

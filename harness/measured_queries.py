@@ -235,7 +235,7 @@ def _(spark, sf):
     return G.unreachable_banner_check(reach(spark, sf)).select("url", "check_id", "selector")
 
 
-@query("g15_excluded_pages", "SELECT url, 'banner di consenso non chiudibile (' || platform || ', selettore ' || container || '): pagina esclusa' AS reason FROM banner_state WHERE NOT dismissed")
+@query("g15_excluded_pages", "SELECT url, 'avviso sui cookie rimasto aperto (' || platform || ', selettore ' || container || '), pagina saltata' AS reason FROM banner_state WHERE NOT dismissed")
 def _(spark, sf):
     ev = derived(spark, sf, "banner_control").withColumnRenamed("url", "page_url")
     return G.exclude_polluted(ev, reach(spark, sf))[1]
@@ -295,7 +295,7 @@ def _(spark, sf):
       CASE WHEN c_custkey % 5 = 0 THEN '1.4.3 1.4.10' WHEN c_custkey % 2 = 0 THEN '1.4.3' ELSE '' END AS criteria, CASE WHEN c_custkey % 4 = 0 THEN 'moderate' ELSE 'serious' END AS engine_impact,
       CASE WHEN c_custkey % 2 = 0 THEN 'Contrasto 3.1:1 fra testo #777 e sfondo #fff, 12px, bold; soglia 4.5:1.' ELSE 'Aiuto. Fix this' END AS observation FROM customer
     UNION ALL SELECT 'https://c.example/' || c_custkey, 'axe-incomplete:color-contrast', i, '1.4.3', 'minor',
-      'Contrasto non misurabile in automatico: va guardato a mano. — la verifica automatica non ha potuto decidere: serve un controllo manuale.'
+      'Contrasto non misurabile in automatico: va guardato a mano. (esito incerto: da guardare a mano).'
     FROM customer, (SELECT unnest(range(7))::INTEGER AS i) WHERE i <= c_custkey % 7 AND (i % 2 = 1 OR c_custkey % 3 <> 0)""",
 )
 def _(spark, sf):

@@ -11,9 +11,10 @@ from auditlake.operators import replay as M
 from auditlake.operators import reports as R
 from auditlake.operators import triage as T
 from auditlake.sources import logs
+from auditlake.streaming import intake
 
 from .audit_queries import flat_findings, log_audit, log_findings
-from .core import ORACLES, block, derived, query, shared
+from .core import ORACLES, block, derived, query, scratch, shared, stream
 
 # ---------------------------------------------------------------- quality gates
 block("l_scanned", "SELECT count(DISTINCT page_url) AS n FROM ev1")
@@ -579,3 +580,85 @@ def _(spark, sf):
 @query("a9_rejected_files", "SELECT n || '.json' AS file FROM answer_file WHERE n NOT IN (SELECT n FROM answer_good)")
 def _(spark, sf):
     return T.parse_answers(answer_files(spark, sf))[1]
+
+
+# ---------------------------------------------------------------- stored runs, reports, streams
+def run_document(spark, sf):
+    """Sites and templates of the derived run as one JSON document in a file."""
+    path = scratch(spark)
+    templates = derived(spark, sf, "template_raw").groupBy("fingerprint").agg(F.count("*").alias("pages"))
+    listed = templates.agg(F.collect_list(F.struct("*"))).scalar().alias("templates")
+    sites = derived(spark, sf, "site_raw").agg(F.collect_list(F.struct("*")).alias("sites"))
+    sites.select(F.to_json(F.struct("sites", listed))).write.text(path)
+    return path
+
+
+@query("a6_run_document", "SELECT fingerprint, page_count AS pages FROM tpl1")
+def _(spark, sf):
+    return logs.load_run(spark, run_document(spark, sf))["templates"].select("fingerprint", "pages")
+
+
+@query("a7_stored_run", "SELECT fingerprint, page_count FROM tpl1 WHERE fingerprint LIKE 'tpl-%'")
+def _(spark, sf):
+    root, templates = scratch(spark), log_audit(spark, sf)[1]
+    logs.store_run({"templates": templates}, root, "r1")
+    logs.store_run({"templates": templates}, root, "r2")
+    logs.store_run({"templates": templates.filter("fingerprint LIKE 'tpl-%'")}, root, "r1")
+    return logs.read_run(spark, root, "templates", "r1")
+
+
+@query("a10_written_reports", "SELECT band, owner, findings::VARCHAR AS findings FROM (" + ORACLES["r10_results_by_facet"] + ")")
+def _(spark, sf):
+    root = scratch(spark)
+    logs.write_reports({"facets": R.results_by_facet(log_findings(spark, sf).findings)}, root, "csv")
+    return spark.read.option("header", True).option("escape", '"').csv(f"{root}/facets")
+
+
+@query("m7_reused_discovery", "SELECT 'templates' AS relation, (SELECT count(*) FROM tpl1) AS n UNION ALL SELECT 'sites', (SELECT count(*) FROM site1) UNION ALL SELECT 'evidence', 0")
+def _(spark, sf):
+    evidence, templates, sites = log_audit(spark, sf)
+    kept = M.reuse_discovery({"templates": templates, "sites": sites, "evidence": evidence})
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n") for name, df in kept.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("j8_trustworthy", "SELECT count(*) AS issues, NOT coalesce(bool_or(severity = 'bloccante'), false) AS trustworthy FROM (" + ORACLES["j8_quality_gates"] + ")")
+def _(spark, sf):
+    ev, templates, sites = log_audit(spark, sf)
+    pages = derived(spark, sf, "template_raw")
+    findings = log_findings(spark, sf, stored=True, inputs=(ev, templates, sites)).findings
+    return J.trustworthy(J.self_check(findings, ev, templates, pages, pages.agg(F.count("*")).scalar(), scanned(ev)))
+
+
+def taken(spark, sf):
+    root = scratch(spark)
+    lines = derived(spark, sf, "scan_line", stream).select("value")
+    for running in intake.scan_intake(lines, f"{root}/results", f"{root}/rejected", f"{root}/state"):
+        running.awaitTermination()
+    return root
+
+
+@query("n1_scan_stream", ORACLES["a5_scan_log"].replace(", CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END::INTEGER AS evidence", ""))
+def _(spark, sf):
+    return spark.read.parquet(f"{taken(spark, sf)}/results").select("url", "site_id", "duration_ms")
+
+
+@query("n1_rejected_lines", ORACLES["a5_rejected_lines"])
+def _(spark, sf):
+    return spark.read.parquet(f"{taken(spark, sf)}/rejected").select("value")
+
+
+# decisions on fifty findings; every seventh says nothing known
+shared(
+    "decision",
+    """SELECT 'f' || CAST(doc_id % 50 AS STRING) AS finding_id, CASE WHEN doc_id % 7 = 0 THEN 'boh' WHEN quality = 1 THEN 'conforme' ELSE 'non-conforme' END AS outcome, '' AS note, 'r' AS reviewer, doc_id
+    FROM {labels}""",
+)
+
+
+@query("n2_review_stream", "SELECT finding_id, arg_max(outcome, doc_id) AS outcome FROM decision WHERE outcome <> 'boh' GROUP BY finding_id")
+def _(spark, sf):
+    root = scratch(spark)
+    decisions = derived(spark, sf, "decision", stream).withColumn("ts", F.timestamp_seconds("doc_id")).drop("doc_id")
+    intake.review_intake(decisions, f"{root}/reviews", f"{root}/state").awaitTermination()
+    return T.latest_reviews(intake.read_reviews(spark, f"{root}/reviews")).select("finding_id", "outcome")

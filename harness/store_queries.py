@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditlake.dims.rules import VENDOR_RULES
 from auditlake.lineage import cut
 from auditlake.operators import checks_static as S
 from auditlake.operators import evidence as H
@@ -218,6 +219,61 @@ def _(spark, sf):
     return tree(spark, sf).filter(~F.col("visible") & rendered).select("url", "tag")
 
 
+def wrapped(spark, sf, inner):
+    """One page per customer around the markup ``inner`` makes of its key."""
+    url = F.concat(F.lit("https://c.example/"), "c_custkey")
+    return table(spark, sf, "customer").select(url.alias("url"), inner.alias("html"))
+
+
+HIDING = [
+    "<div hidden><h2>a</h2></div><h3>b</h3>",
+    '<div style="color:red; Display : none"><h2>a</h2></div><h3>b</h3>',
+    '<div style="visibility: hidden"><h2>a</h2></div><h3>b</h3>',
+    '<div style="visibility:hidden"><h2 style="visibility:visible">a</h2><h3>b</h3></div>',
+    '<div style="opacity:0"><h2>a</h2></div><h3 style="opacity: .0;">b</h3>',
+    "<template><h2>a</h2></template><h3>b</h3>",
+    "<p>x<body hidden><h2>a</h2><h3>b</h3>",
+    '<h2 style="opacity:0.5">a</h2><h3 style="visibility:visible">b</h3>',
+]
+
+
+@query(
+    "c8_ways_of_hiding",
+    """SELECT 'https://c.example/' || c_custkey AS url, tag FROM customer, (VALUES (0, 'div'), (0, 'h2'), (1, 'div'), (1, 'h2'), (2, 'div'), (2, 'h2'), (3, 'div'), (3, 'h3'), (4, 'div'), (4, 'h3'),
+      (5, 'h2'), (6, 'body'), (6, 'p'), (6, 'h2'), (6, 'h3')) t(way, tag) WHERE c_custkey % 8 = way""",
+)
+def _(spark, sf):
+    pages = wrapped(spark, sf, F.get(F.array(*[F.lit(h) for h in HIDING]), (F.col("c_custkey") % len(HIDING)).cast("int")))
+    e = html_tree.element_tree(pages, detail=set())
+    return e.filter(~F.col("visible") & ~F.col("tag").isin(sorted(html_tree.NOT_RENDERED))).select("url", "tag")
+
+
+block("vendor_rule", values([(i, *r) for i, r in enumerate(VENDOR_RULES)], "i, vendor, tag, attr, op, val"))
+block(
+    "vendor_case",
+    f"""SELECT c_custkey AS k, CASE WHEN tag = '' THEN 'div' ELSE tag END AS tag, attr,
+      CASE op WHEN '=' THEN val WHEN '*' THEN 'x' || val || 'y' WHEN '^' THEN val || 'z' WHEN '~' THEN 'a ' || val || ' b' ELSE 'q' END AS have
+    FROM customer JOIN vendor_rule ON i = c_custkey % {len(VENDOR_RULES)}""",
+)
+
+
+@query(
+    "c11_every_vendor_rule",
+    """SELECT 'https://c.example/' || k AS url, t AS tag, vendor FROM (
+      SELECT c.k, c.tag, arg_min(r.vendor, r.i) AS vendor FROM vendor_case c JOIN vendor_rule r ON (r.tag = '' OR r.tag = c.tag)
+        AND (r.attr = '' OR (r.attr = c.attr AND CASE r.op WHEN '?' THEN true WHEN '=' THEN c.have = r.val WHEN '*' THEN contains(c.have, r.val) WHEN '^' THEN starts_with(c.have, r.val) ELSE list_contains(string_split(c.have, ' '), r.val) END))
+      GROUP BY c.k, c.tag) x, (SELECT unnest([x.tag, 'b']) AS t)""",
+)
+def _(spark, sf):
+    def markup(vendor, tag, attr, op, value):
+        have = {"=": value, "*": f"x{value}y", "^": f"{value}z", "~": f"a {value} b"}.get(op, "q")
+        tag = tag or "div"
+        return f"<{tag}" + (f' {attr}="{have}"' if attr else "") + f"><b>x</b></{tag}>"
+
+    pages = wrapped(spark, sf, F.get(F.array(*[F.lit(markup(*r)) for r in VENDOR_RULES]), (F.col("c_custkey") % len(VENDOR_RULES)).cast("int")))
+    return html_tree.element_tree(pages, detail=set()).filter("vendor IS NOT NULL").select("url", "tag", "vendor")
+
+
 @query("c9_css_paths", "SELECT url, 'main#contenuto > section.card-box > div > a.cta-link.aBcDeF' AS path FROM shop_item WHERE v = 29 UNION ALL SELECT url, 'input#t' || k FROM shop_item WHERE v = 12")
 def _(spark, sf):
     chosen = F.coalesce(ST.attr("class").contains("cta-link"), F.lit(False)) | ST.attr("required").isNotNull()

@@ -244,7 +244,7 @@ shared(
 
 @query(
     "b5_offsite_pages",
-    """SELECT url, 'reindirizza a un altro sito (elsewhere.example): esclusa dall''audit' AS reason FROM probe_log WHERE k % 11 = 3""",
+    """SELECT url, 'porta fuori dal sito (elsewhere.example), tolta dal giro' AS reason FROM probe_log WHERE k % 11 = 3""",
 )
 def _(spark, sf):
     return D.exclude_offsite(derived(spark, sf, "probe_log"))[1]
@@ -252,7 +252,7 @@ def _(spark, sf):
 
 @query(
     "b6_broken_links",
-    """SELECT url, http_status, 'pagina non disponibile (HTTP ' || http_status || '): esclusa dall''audit' AS reason
+    """SELECT url, http_status, 'risposta HTTP ' || http_status || ', tolta dal giro' AS reason
     FROM probe_log WHERE k % 13 IN (2, 5)""",
 )
 def _(spark, sf):

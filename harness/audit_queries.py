@@ -11,13 +11,12 @@ from auditlake.operators import checks_static as S
 from auditlake.operators import evidence as H
 from auditlake.operators import findings as I
 from auditlake.lineage import cut
-from auditlake.plans.corpus import audit_inputs
 from auditlake.operators import structure as ST
 from auditlake.operators.observations import CHECK_META
-from auditlake.sources import html_flat
+from auditlake.sources import html_flat, html_tree
 
 from .core import block, derived, query, shared, table, values
-from .urls_queries import pages, url_pool
+from .urls_queries import pages
 
 # ---------------------------------------------------------------- dimensions
 block("dim_criteria", values([(c[0], c[1], c[2], c[3], c[4], c[5], c[6]) for c in CRITERIA], "criterion, title, level, principle, automation, baseline, plain_language"))
@@ -120,22 +119,30 @@ block(
       'Il testo "' || lower(text) || '" porta a ' || count(DISTINCT href) || ' mete diverse.'
       FROM link0 WHERE text <> '' AND length(text) < 60 GROUP BY url, lower(text) HAVING count(DISTINCT href) > 1""",
 )
-HEAD_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+
+
+def corpus_tree(spark, sf):
+    """Tree element rows of the canonical corpus pages, parsed once and stored."""
+    rows = html_tree.element_tree(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), "html"), detail=S.CHECK_TAGS, markup_chars=300)
+    own = pages(spark, sf).select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("page_url"))
+    return cut(rows.join(own, rows["url"] == own["page_id"]).drop("url", "page_id").withColumnRenamed("page_url", "url"))
+
+
 FAMILIES = {
-    "headings": (HEAD_TAGS, lambda p, e: S.heading_checks(p, e)),
-    "landmarks": (["main", "nav"], lambda p, e: S.landmark_checks(p, e)),
-    "titles": (["title"], lambda p, e: S.title_checks(p, e)),
-    "skip": (["a"], lambda p, e: S.skip_link_check(p, e)),
-    "links": (["a"], lambda p, e: S.link_checks(e)),
+    "headings": (lambda p, e: S.heading_checks(p, e)),
+    "landmarks": (lambda p, e: S.landmark_checks(p, e)),
+    "titles": (lambda p, e: S.title_checks(p, e)),
+    "skip": (lambda p, e: S.skip_link_check(p, e)),
+    "links": (lambda p, e: S.link_checks(e)),
 }
 
 
 def _static(family, check):
-    tags, fn = FAMILIES[family]
+    fn = FAMILIES[family]
 
     def run(spark, sf):
-        obs = fn(pages(spark, sf), elements(spark, sf, tags)).filter(F.col("check_id") == check)
-        return obs.select("url", "check_id", F.array_join("criteria", " ").alias("criteria"), "engine_impact", "selector", "observation")
+        obs = fn(pages(spark, sf), corpus_tree(spark, sf)).filter(F.col("check_id") == check)
+        return obs.select("url", "check_id", F.array_join("criteria", " ").alias("criteria"), "engine_impact", "observation")
 
     return run
 
@@ -154,32 +161,11 @@ for qid, family, check in [
 ]:
     query(
         f"{qid}_{check.replace('-', '_')}",
-        f"""SELECT url, check_id, m.criteria, m.impact AS engine_impact, selector, observation
+        f"""SELECT url, check_id, m.criteria, m.impact AS engine_impact, observation
         FROM obs0 JOIN dim_meta m USING (check_id) WHERE check_id = '{check}'""",
     )(_static(family, check))
 
-# ---------------------------------------------------------------- corpus evidence and findings
-block(
-    "ev0",
-    """SELECT left(sha1(concat_ws('|', p.site_id, o.url, o.check_id, o.selector, o.observation)), 16) AS id, o.check_id, o.url AS page_url,
-      p.site_id, pp.pattern AS fingerprint, string_split(m.criteria, ' ') AS criteria, o.selector, o.sig AS component_signature, o.observation, '{}' AS data,
-      m.impact AS engine_impact, o.ordinal
-    FROM obs0 o JOIN page p USING (url) JOIN page_pattern pp USING (url) JOIN dim_meta m USING (check_id)""",
-)
-block("tpl0", "SELECT pp.pattern AS fingerprint, count(*) AS page_count FROM page JOIN page_pattern pp USING (url) GROUP BY 1")
-block("site0", "SELECT DISTINCT site_id, CASE WHEN site_id LIKE 'blog.%' THEN 'primary' ELSE 'secondary' END AS tier FROM page")
-
-
-def corpus_audit(spark, sf):
-    """Evidence, templates and sites of the crawl corpus; URL patterns stand in for templates."""
-    return audit_inputs(table(spark, sf, "pages"), url_pool(spark, sf).select("url"))
-
-
-@query("h1_evidence_ids", "SELECT id, check_id, page_url, site_id, fingerprint FROM ev0")
-def _(spark, sf):
-    return corpus_audit(spark, sf)[0].select("id", "check_id", "page_url", "site_id", "fingerprint")
-
-
+# ---------------------------------------------------------------- findings
 def finding_blocks(p: str, ev: str, tpl: str, sites: str) -> None:
     """SQL counterpart of the analysis over one evidence block."""
     single = ", ".join(f"'{c}'" for c in I.SINGLE_CAUSE)
@@ -256,7 +242,6 @@ def finding_blocks(p: str, ev: str, tpl: str, sites: str) -> None:
     )
 
 
-finding_blocks("c", "ev0", "tpl0", "site0")
 FINDING_SQL = """SELECT finding_id, title, array_to_string(criteria, ' ') AS criteria, verdict, confidence, user_impact, reach, legal::INTEGER AS legal_exposure,
   score, band, component, occurrence_count, page_count, evidence_count, description, remediation, code_example, owner, effort FROM {p}_finding"""
 FINDING_COLUMNS = [
@@ -269,11 +254,6 @@ def flat_findings(findings):
     return findings.select(*[F.array_join("criteria", " ").alias("criteria") if c is F.array_join else c for c in FINDING_COLUMNS])
 
 
-@query("flagship_ranked_findings", FINDING_SQL.format(p="c"))
-def _(spark, sf):
-    return flat_findings(I.ranked(I.analyse(*corpus_audit(spark, sf)).findings))
-
-
 # ---------------------------------------------------------------- a large evidence log derived from line items
 shared(
     "evidence_raw",
@@ -336,6 +316,12 @@ def log_findings(spark, sf, stored=False, inputs=None):
     return found._replace(findings=cut(found.findings)) if stored else found
 
 
+@query("h1_evidence_ids", "SELECT left(sha1(concat_ws('|', site_id, page_url, check_id, selector, observation)), 16) AS id, check_id, page_url, site_id, fingerprint FROM ev1")
+def _(spark, sf):
+    made = H.evidence_id(F.col("site_id"), F.col("page_url"), F.col("check_id"), F.col("selector"), F.col("observation"))
+    return log_audit(spark, sf)[0].select(made.alias("id"), "check_id", "page_url", "site_id", "fingerprint")
+
+
 @query("i1_dedupe_keys", "SELECT key, count(*) AS n FROM l_keyed GROUP BY key")
 def _(spark, sf):
     ev = log_audit(spark, sf)[0]

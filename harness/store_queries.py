@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from auditlake.dims.rules import VENDOR_RULES
 from auditlake.lineage import cut
+from auditlake.operators import checks_measured as G
 from auditlake.operators import checks_static as S
 from auditlake.operators import evidence as H
+from auditlake.operators import findings as I
 from auditlake.operators import identity as ID
 from auditlake.operators import structure as ST
+from auditlake.plans.corpus import audit_inputs
 from auditlake.sources import html_tree
 
-from .core import block, query, table, values
+from .audit_queries import FINDING_SQL, finding_blocks, flat_findings
+from .core import ORACLES, block, query, table, values
 
 FORMS = [
     '<p><img src="/img/{under}.jpg?w=3" alt="{dash}"></p>',
@@ -410,3 +414,113 @@ def _(spark, sf):
     e = tree(spark, sf)
     classes, _ids = store_registry(spark, sf)
     return ID.page_fingerprints(ST.page_material(e), classes).select("url", "fingerprint", "inferred_label")
+
+
+# ---------------------------------------------------------------- the whole audit over the shop
+def shop_corpus(spark, sf):
+    n = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
+    return store_pages(spark, sf).select(n.alias("page_id"), "url", "html")
+
+
+def shop_rules(spark, sf):
+    """Rule-engine rows: every other page fails on contrast, every third has no language."""
+    check = '[{"id":"color-contrast","message":"m","data":"{\\"fgColor\\":\\"#777777\\",\\"bgColor\\":\\"#ffffff\\",\\"contrastRatio\\":4.4}"}]'
+    node = '{"html":"<i>","target":"main > i","component_signature":"main > i","any":%s}'
+
+    def rows(rule, every, any_checks, tag):
+        nodes = F.from_json(F.lit("[" + node % any_checks + "]"), f"array<{H.NODE_DDL}>")
+        return shop_corpus(spark, sf).filter(F.col("page_id") % every == 0).select(
+            F.col("url").alias("page_url"), F.lit("violation").alias("outcome"), F.lit(rule).alias("rule_id"), F.lit("serious").alias("impact"), F.lit("Aiuto").alias("help"),
+            F.lit("Ensure it").alias("description"), F.lit("https://r.example").alias("help_url"), F.array(F.lit(tag)).alias("tags"), nodes.alias("nodes"),
+        )
+
+    return rows("color-contrast", 2, check, "wcag143").unionByName(rows("html-has-lang", 3, "[]", "wcag311"))
+
+
+def shop_boxes(spark, sf):
+    """A box too wide on every page, its content cut on the odd ones."""
+    page = F.col("page_id")
+    return shop_corpus(spark, sf).select(
+        "url", F.lit(320).alias("viewport"), F.lit(400).alias("doc_width"), F.lit(3).alias("ordinal"), F.lit(-1).alias("parent"), F.lit("table").alias("selector"),
+        F.lit("main > table").alias("signature"), F.lit("table").alias("tag"), F.lit("<table>").alias("html"), F.lit(390.0).alias("right"), F.lit(390.0).alias("width"), F.lit(True).alias("visible"),
+        F.lit("hidden").alias("overflow"), F.lit("visible").alias("overflow_y"), F.lit(50).alias("text_length"), F.when(page % 2 == 1, 200).otherwise(100).alias("scroll_height"), F.lit(100).alias("client_height"),
+    )
+
+
+def shop_audit(spark, sf):
+    """Evidence, templates and sites of the shop."""
+    measured = G.reflow_checks(shop_boxes(spark, sf)).unionByName(G.spacing_check(shop_boxes(spark, sf)))
+    return audit_inputs(shop_corpus(spark, sf), rule_results=shop_rules(spark, sf), measurements=measured)
+
+
+# where each observation sits: check, form, component, how often a form shows it
+block(
+    "shop_place",
+    values(
+        [("img-alt-is-filename", 0, "main#contenuto > p > img"), ("img-alt-placeholder", 1, "main#contenuto > img"), ("img-alt-placeholder", 32, "main#contenuto > img"),
+         ("img-empty-alt-in-link", 2, "main#contenuto > a > img"), ("img-empty-alt-in-link", 33, "main#contenuto > button > img"), ("img-empty-alt-review", 3, "main#contenuto > img"),
+         ("img-empty-alt-review", 34, "main#contenuto > button > img"), ("img-alt-too-long", 4, "main#contenuto > img"), ("img-alt-duplicates-caption", 5, "main#contenuto > figure > img"),
+         ("link-new-window-unannounced", 6, "main#contenuto > a"), ("link-raw-url-text", 8, "main#contenuto > a"), ("link-generic-text", 9, "main#contenuto > a"), ("link-generic-text", 10, "main#contenuto > a"),
+         ("link-same-text-different-targets", 9, "document"), ("form-placeholder-as-label", 11, "form > input"), ("form-placeholder-as-label", 27, "main#contenuto > p > textarea"),
+         ("form-missing-autocomplete", 11, "form > input"), ("form-missing-autocomplete", 22, "main#contenuto > p > label > input"), ("form-missing-autocomplete", 23, "main#contenuto > p > input"),
+         ("form-missing-autocomplete", 24, "main#contenuto > p > input"), ("form-required-not-indicated", 12, "main#contenuto > input"), ("form-required-not-indicated", 26, "main#contenuto > p > select"),
+         ("form-radiogroup-no-fieldset", 13, "main#contenuto > p > input"), ("form-search-no-submit", 15, "form[search] > input"), ("heading-empty", 17, "main#contenuto > h2"),
+         ("heading-empty", 31, "main#contenuto > h3"), ("heading-skipped-level", 18, "main#contenuto > h4")],
+        "check_id, v, sig",
+    ),
+)
+block(
+    "shop_seen",
+    """SELECT url, n, check_id, sig, '{}' AS data FROM shop_item JOIN shop_place USING (v) WHERE check_id <> 'link-raw-url-text' OR k >= 10
+      UNION ALL SELECT i.url, i.n, 'heading-skipped-level', 'main#contenuto > h3', '{}' FROM shop_item i WHERE v = 31 AND n % 7 <> 3
+      UNION ALL SELECT url, n, 'heading-no-h1', 'document', '{}' FROM shop_page WHERE n % 7 = 3
+      UNION ALL SELECT url, n, 'heading-multiple-h1', 'main#contenuto > h1', '{}' FROM shop_page WHERE n % 7 = 5
+      UNION ALL SELECT url, n, 'landmark-multiple-main', 'main.second-main > ', '{}' FROM shop_page WHERE n % 3 = 0
+      UNION ALL SELECT url, n, 'landmark-nav-unlabeled', 'nav.main-nav > ', '{}' FROM shop_page WHERE n % 2 = 0
+      UNION ALL SELECT url, n, 'title-missing', 'document', '{}' FROM shop_page WHERE n % 11 = 4
+      UNION ALL SELECT url, n, 'title-too-short', 'document', '{}' FROM shop_page WHERE n % 11 = 6
+      UNION ALL SELECT url, n, 'skiplink-missing', 'document', '{}' FROM shop_page WHERE n % 5 <> 1
+      UNION ALL SELECT url, n, 'axe:color-contrast', 'main > i', '{"checks":[{"data":{"fgColor":"#777777","bgColor":"#ffffff"}}],"axeRule":"color-contrast","axeDescription":"Ensure it","helpUrl":"https://r.example"}' FROM shop_page WHERE n % 2 = 0
+      UNION ALL SELECT url, n, 'axe:html-has-lang', 'main > i', '{"axeRule":"html-has-lang","axeDescription":"Ensure it","helpUrl":"https://r.example"}' FROM shop_page WHERE n % 3 = 0
+      UNION ALL SELECT url, n, 'reflow-overflowing-element', 'main > table', '{}' FROM shop_page
+      UNION ALL SELECT url, n, 'text-spacing-clipped', 'main > table', '{}' FROM shop_page WHERE n % 2 = 1""",
+)
+block("shop_mark", "SELECT url, fingerprint FROM (" + ORACLES["tree_page_fingerprints"] + ")")
+# one URL pattern: its two shortest URLs are probed, their structures differ, so all other pages share a mixed template
+block(
+    "shop_key",
+    """SELECT url, n, CASE WHEN rn <= 2 THEN fingerprint ELSE 'mixed-' || sha1('shop.example/it/c/:num') END AS fingerprint
+    FROM (SELECT url, n, row_number() OVER (ORDER BY length(url), url) AS rn FROM shop_page) JOIN shop_mark USING (url)""",
+)
+block("tpl_shop", "SELECT fingerprint, count(*) AS page_count FROM shop_key GROUP BY fingerprint")
+block("site_shop", "SELECT 'shop.example' AS site_id, 'secondary' AS tier")
+block(
+    "shop_sample",
+    """SELECT url, fingerprint FROM (SELECT url, fingerprint, row_number() OVER (PARTITION BY fingerprint ORDER BY length(url), url) AS rn FROM shop_key) JOIN tpl_shop USING (fingerprint)
+    WHERE rn <= least(page_count, greatest(3, ceil(sqrt(page_count::DOUBLE))) + CASE WHEN fingerprint LIKE 'mixed-%' THEN 1 ELSE 0 END)""",
+)
+block("rule_meta", values([("axe:color-contrast", "1.4.3", "serious"), ("axe:html-has-lang", "3.1.1", "serious")], "check_id, criteria, impact"))
+block(
+    "ev_shop",
+    """SELECT '' AS id, s.check_id, url AS page_url, 'shop.example' AS site_id, fingerprint, string_split(m.criteria, ' ') AS criteria, sig AS component_signature, coalesce(o.observation, '') AS observation, data,
+      m.impact AS engine_impact, 0 AS ordinal
+    FROM shop_seen s JOIN shop_sample USING (url) JOIN (SELECT * FROM dim_meta UNION ALL SELECT * FROM rule_meta) m USING (check_id)
+    LEFT JOIN (SELECT check_id, min(observation) AS observation FROM shop_obs GROUP BY check_id) o USING (check_id)""",
+)
+finding_blocks("s", "ev_shop", "tpl_shop", "site_shop")
+
+
+@query("flagship_ranked_findings", FINDING_SQL.format(p="s"))
+def _(spark, sf):
+    """The whole audit: structure, samples, static checks, rule engine and measurements, deduplicated and ranked."""
+    return flat_findings(I.ranked(I.analyse(*shop_audit(spark, sf)).findings))
+
+
+@query("audit_templates", "SELECT fingerprint, page_count FROM tpl_shop")
+def _(spark, sf):
+    return shop_audit(spark, sf)[1]
+
+
+@query("audit_evidence", "SELECT check_id, page_url, fingerprint, component_signature, count(*) AS n FROM ev_shop GROUP BY ALL")
+def _(spark, sf):
+    return shop_audit(spark, sf)[0].groupBy("check_id", "page_url", "fingerprint", "component_signature").agg(F.count("*").alias("n"))

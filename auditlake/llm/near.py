@@ -152,40 +152,72 @@ def _confirmed(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFram
     return full.filter(linked("text_u", "text_v")).select("u", "v")
 
 
-def _across(crowded: DataFrame, signs: DataFrame, component: DataFrame, best_only: bool) -> DataFrame:
-    """Promising pairs within a bucket whose nodes are in different components.
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links across components, from rows ordered by ``key, block, asks``.
 
-    Members of the component that owns most of a bucket are split into blocks;
-    all other members meet each block. ``best_only`` keeps the most promising
-    pair of a node and a component.
+    Members of a block are held, rows that ask pass by one at a time. A pair is
+    looked at in the first band it shares only, and no further for a component
+    once a link to it is found.
+    """
+    place, held, signs = None, [], None
+    parent: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+
+    def root(part: int) -> int:
+        while parent.get(part, part) != part:
+            part = parent[part]
+        return part
+
+    for batch in batches:
+        out = []
+        places = list(zip(batch["key"], batch["block"]))
+        for at, asks, band, node, part, size, sign, text in zip(places, *(batch[c] for c in ("asks", "band", "node", "component", "n_shingles", "signature", "text"))):
+            if at != place:
+                place, held, signs, parent, sets = at, [], None, {}, {}
+            if not asks:
+                held.append((node, part, size, sign, text))
+                continue
+            if signs is None and held:
+                signs = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(-1, HASHES)
+                parts, sizes = np.array([h[1] for h in held]), np.array([h[2] for h in held])
+            if signs is None:
+                continue
+            same = signs == np.frombuffer(sign, np.uint32)
+            like = same.mean(1)
+            good = np.flatnonzero((parts != part) & (like >= PROMISING) & (100 * np.minimum(sizes, size) >= SIMILAR * np.maximum(sizes, size)))
+            good = good[same[good].reshape(-1, BANDS, BAND).all(2).argmax(1) == band] if len(good) else good
+            own = None
+            for i in good[np.argsort(-like[good], kind="stable")]:
+                if root(part) == root(int(parts[i])):
+                    continue
+                own = shingles(text) if own is None else own
+                if i not in sets:
+                    sets[i] = shingles(held[i][4])
+                if similar(own, sets[i]):
+                    parent[root(part)] = root(int(parts[i]))
+                    out.append((node, held[i][0]))
+        yield pd.DataFrame(out, columns=["u", "v"])
+
+
+def _across(crowded: DataFrame, signs: DataFrame, texts: DataFrame, component: DataFrame) -> DataFrame:
+    """Links ``u, v`` within buckets whose nodes are still in different components.
+
+    Members of the component that owns most of a bucket are dealt to blocks of
+    bounded size; all other members are dealt too, and meet each block as they
+    pass by. No pair is a row, and no task holds more than a block.
     """
     placed = crowded.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     share = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     per_key = share.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_rows = placed.join(per_key.select("key", F.col("main.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    asks = F.col("component") != F.col("main")
     met = F.array(F.struct(own.alias("block"), F.lit(False).alias("asks")))
     asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("asks")))
-    rows = open_rows.select("key", "node", "component", F.inline(F.when(asks, F.concat(met, asked)).otherwise(met))).join(signs, "node")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        asking, there = group[group["asks"]], group[~group["asks"]]
-        sizes = there["n_shingles"].to_numpy()
-        signs = np.frombuffer(b"".join(there["signature"]), np.uint32).reshape(-1, HASHES)
-        nodes, parts = there["node"].to_numpy(), there["component"].to_numpy()
-        out = []
-        for node, part, size, sign in zip(asking["node"], asking["component"], asking["n_shingles"], asking["signature"]):
-            like = (signs == np.frombuffer(sign, np.uint32)).mean(1)
-            good = (parts != part) & (like >= PROMISING) & (100 * np.minimum(sizes, size) >= SIMILAR * np.maximum(sizes, size))
-            found = pd.DataFrame({"u": node, "v": nodes[good], "part": parts[good], "like": like[good]})
-            out.append(found.sort_values(["like", "v"], ascending=[False, True]).drop_duplicates("part") if best_only else found)
-        return pd.concat(out)[["u", "v", "part", "like"]] if out else pd.DataFrame({"u": [], "v": [], "part": [], "like": []})
-
-    pairs = rows.groupBy("key", "block").applyInPandas(compare, "u long, v long, part long, like double")
-    if best_only:
-        pairs = pairs.groupBy("u", "part").agg(F.max_by("v", F.struct("like", "v")).alias("v"))
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    places = F.when(F.col("component") != F.col("main"), F.concat(met, asked)).otherwise(met)
+    rows = open_rows.select("key", "band", "node", "component", F.inline(places)).join(signs, "node").join(texts, "node")
+    ordered = rows.repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    found = ordered.select("key", "block", "asks", "band", "node", "component", "n_shingles", "signature", "text").mapInPandas(_compared, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,8 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of any number cost one row per task. Classes that share a band are linked
     to the member of the bucket that meets most others (a star, not all pairs);
     links are checked by signature, then on the full sets. Buckets whose members
-    are still in several components are compared across them, first the most
-    promising pairs, then all promising ones that are left, so a link between
+    are still in several components are compared across them, so a link between
     two members is only left out where they are connected anyway. Components
     come from alternating large and small stars.
 
@@ -212,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes)
     nodes = classes.filter("node IS NOT NULL")
 
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = cut(banded.join(sizes, "key"))
     candidates = crowded.select("node").distinct()
@@ -225,14 +256,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = crowded.join(hubs.select("key", (-F.col("hub.minus")).alias("v")), "key").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
     links = cut(_confirmed(stars, signs, texts))
     component = cut(components(links))
-    for best_only in (True, False):
-        more = cut(_confirmed(_across(crowded, signs, component, best_only), signs, texts))
-        if not more.isEmpty():
-            known = component.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            merged = cut(components(known.unionByName(more)))
-            release(component)
-            component = merged
-        release(more)
+    more = cut(_across(crowded, signs, texts, component))
+    if not more.isEmpty():
+        known = component.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        merged = cut(components(known.unionByName(more)))
+        release(component)
+        component = merged
+    release(more)
     release(crowded, signs, texts, links)
 
     of_set = classes.select("set_a", "set_b", "node").join(component, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,29 +16,61 @@ from .common import ranked, shuffled
 CAPACITY = 2048
 #: Id that ends each document.
 END = 0
-#: Words whose ids a worker keeps at most, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 300_000, 64
+#: Words and pieces of words whose ids a worker keeps at most, and the longest of them in bytes.
+CACHED, CACHED_BYTES = 250_000, 64
+# fixed values: the vocabulary's pieces, and the first letter beyond those that its normaliser leaves as they are but for case
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PLAIN = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own where it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
-    """Ids of a word as bytes, encoded once and kept while there is room.
+    """Ids of a word as bytes, found once and kept while there is room.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn. Words of printable letters up to ``PLAIN``,
+    which its normaliser only lower-cases, are taken to pieces here and each
+    piece goes to the tokenizer's model; all others go to the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.cut, self.pieces = regex.compile(PIECE), {}
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            found = packed([t.id for t in self.model.tokenize(spelled)])
+            if len(self.pieces) >= CACHED:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
+        text = word.decode()
+        if len(word) > CACHED_BYTES or max(text) >= PLAIN or not text.isprintable():
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = b"".join([self.piece(p) for p in self.cut.findall(text.lower())])
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -53,7 +85,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
-        end = np.array([END], "<u4").tobytes()
+        end = packed([END])
         for batch in batches:
             of, piece, start, length, ids = [], [], [], [], []
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -213,10 +212,12 @@ def identify(docs: DataFrame, learned: dict[str, list[str]] | None = None) -> Da
     return d.withColumn("found", predict(F.col("text"), learned)).select("row", "doc_id", "found.*")
 
 
-def accepted(bits: Column, symbols: Column, lang_pred: Column, alphabet: int = 26) -> Column:
+def accepted(bits: Column, symbols: Column, lang_pred: Column, limit: float = 6.0) -> Column:
     """Whether a text is in one of the learned languages.
 
     Not accepted are texts without letters, and those of 200 symbols and more
-    that no automaton codes in fewer bits per symbol than random letters take.
+    that even the best automaton codes in ``limit`` bits per symbol or more.
+    Prose of a learned language takes two to three, random letters about five;
+    the default lets go only what is in other letters altogether.
     """
-    return (lang_pred != UNKNOWN) & ((symbols < 200) | (bits < math.log2(alphabet + 1)))
+    return (lang_pred != UNKNOWN) & ((symbols < 200) | (bits < limit))

@@ -8,6 +8,7 @@ are bridge tables, not arrays.
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,7 +87,8 @@ def touches(evidence: DataFrame) -> DataFrame:
     """Distinct ``(key, kind, value)``: pages, components, templates, sites and criteria per problem.
 
     One narrow pass over the evidence serves every distinct count and bridge
-    table; the wide columns stay out of it.
+    table; the wide columns stay out of it, and rows that touch the same are
+    one before they are taken apart.
     """
 
     def one(kind: str, value: Column) -> Column:
@@ -94,7 +96,8 @@ def touches(evidence: DataFrame) -> DataFrame:
 
     single = F.array(*[one(k, F.coalesce(c, F.lit(""))) for k, c in TOUCHED.items()])
     listed = F.transform(F.coalesce("criteria", F.array().cast("array<string>")), lambda c: one("criterion", c))
-    rows = evidence.select(dedupe_key().alias("key"), F.explode(F.concat(single, listed)).alias("t")).select("key", "t.kind", "t.value")
+    alike = evidence.select(dedupe_key().alias("key"), *TOUCHED.values(), "criteria").dropDuplicates()
+    rows = alike.select("key", F.explode(F.concat(single, listed)).alias("t")).select("key", "t.kind", "t.value")
     return rows.filter((F.col("value") != "") | (F.col("kind") == "page")).dropDuplicates()
 
 
@@ -104,24 +107,32 @@ def touched_values(touched: DataFrame, kind: str) -> DataFrame:
     return rows.select(finding_id(F.col("key")).alias("finding_id"), F.col("value").alias(TOUCHED[kind]))
 
 
+def _join(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal join in which nulls are equal to one another."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return left.join(other, same).drop(*[f"_{c}" for c in columns])
+
+
 def group_evidence(evidence: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """One row per dedupe key with counts and extremes.
 
-    Only extremes and a count are taken from the wide rows; distinct counts come
-    from ``touches``. The first row of a group carries its record as text,
-    parsed once per group.
+    Extremes and counts come from narrow rows, distinct counts from
+    ``touches``. The first row of a group, found by its order columns, brings its
+    record, of which one per group is read and parsed.
     """
     component = F.when(F.col("component_signature") != "", F.col("component_signature"))
-    grouped = (
-        evidence.withColumn("key", dedupe_key())
-        .groupBy("key")
-        .agg(
-            F.min(F.struct(*FIRST, "component_signature", "data", "observation")).alias("_first"),
-            F.min(F.when(component.isNotNull(), F.struct(*FIRST, "component_signature"))).alias("_named"),
-            F.max(impact_score(F.coalesce("engine_impact", F.lit("moderate")))).alias("user_impact"),
-            F.count("*").alias("evidence_count"),
-        )
+    keyed = evidence.withColumn("key", dedupe_key())
+    grouped = keyed.groupBy("key").agg(
+        F.min(F.struct(*FIRST)).alias("_at"),
+        F.min(F.when(component.isNotNull(), F.struct(*FIRST, "component_signature"))).alias("_named"),
+        F.max(impact_score(F.coalesce("engine_impact", F.lit("moderate")))).alias("user_impact"),
+        F.count("*").alias("evidence_count"),
     )
+    record = F.struct("check_id", "component_signature", "data", "observation")
+    firsts = grouped.select("key", *[F.col(f"_at.{c}").alias(c) for c in FIRST])
+    firsts = _join(keyed, firsts, ["key", *FIRST]).groupBy("key").agg(F.min(record).alias("_first"))
+    grouped = grouped.join(firsts, "key")
     touched = touched if touched is not None else touches(evidence)
     # criteria are a closed list of a few dozen values, so the set per key is small
     counts = touched.groupBy("key").agg(
@@ -199,7 +210,7 @@ def cite(evidence: DataFrame, limit: int | None = None) -> DataFrame:
         pages = keyed.groupBy("key", "page_url").agg(F.count("*").alias("_n"))
         pages = pages.withColumn("_before", F.sum("_n").over(page) - F.col("_n")).drop("_n")
         own = F.row_number().over(Window.partitionBy("key", "page_url").orderBy(*FIRST))
-        ranked = keyed.withColumn("_own", own).join(pages, ["key", "page_url"]).withColumn("rank", (F.col("_before") + F.col("_own")).cast("int"))
+        ranked = _join(keyed.withColumn("_own", own), pages, ["key", "page_url"]).withColumn("rank", (F.col("_before") + F.col("_own")).cast("int"))
     return ranked.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"), "page_url", "check_id", "ordinal")
 
 
@@ -211,7 +222,7 @@ def cited_evidence(citations: DataFrame, evidence: DataFrame, *columns: str) ->
     """
     key = ["evidence_id", "page_url", "check_id", "ordinal"]
     seen = evidence.withColumnRenamed("id", "evidence_id").select(*key, F.struct(*columns).alias("_record"))
-    joined = citations.join(seen, key).groupBy("finding_id", "rank").agg(F.min("_record").alias("_record"))
+    joined = _join(citations, seen, key).groupBy("finding_id", "rank").agg(F.min("_record").alias("_record"))
     return joined.select("finding_id", "rank", "_record.*")
 
 

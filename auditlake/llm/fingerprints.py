@@ -155,7 +155,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     dealt = d.select("doc_id", "text", "text_key", F.inline(places(known, null, F.col("text_key"))))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "turn", F.col("doc_id").asc_nulls_last(), "text_key").select("bucket", "turn", "doc_id", "text")
+    # a range is a partition
+    return dealt.repartitionById(len(cuts) + 2, "bucket").sortWithinPartitions("bucket", "turn", F.col("doc_id").asc_nulls_last(), "text_key").select("bucket", "turn", "doc_id", "text")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:

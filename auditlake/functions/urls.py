@@ -229,7 +229,7 @@ def language(url: Column) -> Column:
     segs = segments(url)
     first = F.when(F.size(segs) > 0, F.element_at(segs, 1))
     code = F.lower(F.regexp_extract(first, LANGUAGE_SEGMENT, 1))
-    return F.when(code.isin(KNOWN_LANGUAGES), code)
+    return F.when(code.isin(*KNOWN_LANGUAGES), code)
 
 
 def neutral_path(url: Column) -> Column:

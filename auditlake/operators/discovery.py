@@ -9,6 +9,7 @@ from ..functions import urls as U
 from ..lineage import cut, release
 
 # Crawl defaults.
+MIN_LINK_PAGES = 60
 SITEMAP_NAMES = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
 COLLECTION_CHILDREN = 4
 COLLECTION_LEAF_SHARE = 0.85
@@ -127,9 +128,9 @@ def link_reach(
 
     ``seeds(site_id, url)``, ``edges(site_id, src, dst)``. All reachable pages
     by default. A caller may stop at ``max_depth`` (3 is usual; those pages are
-    kept and not expanded) and keep the first ``max_pages`` of a site by
-    (depth, url); expansion runs level by level, so pages past that cap could
-    only have led to pages past the cap. The edges are stored once, as every
+    kept and not expanded), and with ``max_pages`` keep the first quarter of that
+    many pages of a site, 60 at least, by (depth, url); expansion runs level by
+    level, so pages past that cap could only have led to pages past it. The edges are stored once, as every
     level reads them.
     """
     edges = cut(edges.select("site_id", F.col("src").alias("url"), "dst").repartition("site_id", "url"))
@@ -152,7 +153,7 @@ def link_reach(
     if max_pages is None:
         return visited
     order = Window.partitionBy("site_id").orderBy("depth", "url")
-    return visited.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_pages).drop("_rn")
+    return visited.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(MIN_LINK_PAGES, max_pages // 4)).drop("_rn")
 
 
 def merge_discoveries(from_sitemap: DataFrame, from_links: DataFrame) -> DataFrame:

@@ -80,3 +80,6 @@ def test_link_reach_cap_is_by_depth_then_url(spark):
     out = D.link_reach(seeds, spark.createDataFrame(edges, "site_id string, src string, dst string"), max_pages=100)
     got = rows(out, "url")
     assert len(got) == 60 and ("https://x.example/058",) in got and ("https://x.example/059",) not in got
+    chain = [("s", f"https://x.example/{i}", f"https://x.example/{i + 1}") for i in range(6)] + [("s", "https://x.example/6", "https://x.example/0")]
+    far = D.link_reach(spark.createDataFrame([("s", "https://x.example/0")], "site_id string, url string"), spark.createDataFrame(chain, "site_id string, src string, dst string"))
+    assert [d for (d,) in rows(far, "depth")] == list(range(7))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: the white space of all contracts, as a class body
@@ -19,6 +19,13 @@ def rows(docs: DataFrame, **columns: Column | str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are wide: at most ``rows`` of them go to a Python worker at once in this session, which keeps workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def word_count(text: str) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.lineage import cut
 
 from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, urls
+from .common import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 

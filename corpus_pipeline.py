@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut
 from auditlake.llm import language, lines, mixing, near, packing
+from auditlake.llm.common import small_batches
 from auditlake.llm.queries import vocabulary
 
 
@@ -22,6 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     parses better than random letters. All labelled languages are learned.
     Repeated rows are judged alike; an empty table stays empty.
     """
+    small_batches(spark)
     found = language.identify(docs)
     return found.filter(language.accepted(F.col("bits"), F.col("symbols"), F.col("lang_pred"))).select("row.*")
 
@@ -42,6 +44,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of rows that repeat that id, the one with the smallest text hash stays; rows
     without id stay unless a row with an id has their set of shingles.
     """
+    small_batches(spark)
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     kept = near.near_duplicates(docs).filter("kept").select("doc_id").distinct()
     stays = keyed.select("doc_id", "text_key").join(kept, keyed["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
@@ -61,6 +64,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with checksums of their ids and places in sequences."""
+    small_batches(spark)
     pieces = packing.tokenise(docs, vocabulary())
     digests = cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packing.place(digests)

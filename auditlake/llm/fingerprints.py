@@ -32,7 +32,9 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     of ``S`` characters, by hash, stands at its start or its end. That depends
     on the run alone, so equal passages have equal anchors wherever they stand,
     and no ``K - S`` neighbouring runs are without one. A text shorter than
-    ``K`` is one anchor; an empty one has none.
+    ``K`` is one anchor. A text of up to ``2K - S - 2`` characters may hold no
+    such run; its anchor is the run around the least of all inner runs. Only an
+    empty text has none.
     """
     point = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     if len(point) < K:
@@ -50,6 +52,8 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     if size < window:
         least = np.minimum(least[: len(least) - (window - size)], least[window - size :])
     at = np.flatnonzero((inner[: len(least)] == least) | (inner[window - 1 :] == least))
+    if not len(at):  # the least inner run is inside of all runs
+        at = np.clip(inner.argmin(keepdims=True) - (K - S) // 2, 0, len(point) - K)
     whole = inner[at]
     for i in range(S, K, S):
         whole = whole * MULTIPLY + inner[at + i]

@@ -203,6 +203,23 @@ def test_likeness(prose):
     assert fingerprints.likeness(f(""), f("")) == 1.0 and fingerprints.likeness(f(""), f("x")) == 0.0 and fingerprints.likeness(f("x"), f("x")) == 1.0
 
 
+def test_short_texts_have_anchors():
+    rng, f, bare = random.Random(8), fingerprints.anchors, 0
+    for n in [*range(1, 60)] * 5:
+        one, two = ("".join(rng.choice("abcdefghilmnoprstuvz ") for _ in range(n)) for _ in range(2))
+        bare += n >= fingerprints.K and not closed(one)
+        marks, edited = f(one), f(one[: n - n // 2] + two[: n // 2])
+        assert len(marks[0]) and fingerprints.likeness(marks, f(one)) == 1.0
+        back = fingerprints.read(fingerprints.written(*marks))
+        assert back[0].tolist() == marks[0].tolist() and back[1].tolist() == marks[1].tolist()
+        if n >= 8:  # of fewer, two may be equal
+            assert fingerprints.likeness(marks, f(two)) == 0.0 and fingerprints.likeness(marks, f("")) == 0.0
+            assert fingerprints.likeness(marks, edited) < 1.0
+        if n >= fingerprints.K and closed(one):
+            assert marks[1].tolist() == closed(one)
+    assert bare > 20
+
+
 def test_edits_against_brute_force(frame, clashing, prose, odd):
     rows = [(i * 7 - 300, prose(i % 90, 1 + i % 40)) for i in range(120)] + [(10**15 + 1, ""), (10**15 + 2, None), (10**15 + 3, "𝒳é" * 30)]
     got = {r["doc_id"]: r for r in fingerprints.compare_edits(frame(rows, 5)).collect()}

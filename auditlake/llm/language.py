@@ -15,14 +15,14 @@ from .common import rows, shuffled
 
 #: Bounds of the learning sample: documents per language, and symbols of each.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 64, 700
-#: Letters that the automata know at most; others match nothing.
-ALPHABET = 120
 #: A text is parsed in blocks of that many symbols, all of them side by side.
 BLOCK = 1024
 #: Symbols that are parsed at once, a bound on a task's memory.
 AT_ONCE = 1 << 21
 GAP, OTHER = 0, 1
 UNKNOWN = "und"
+# fixed value: odd multiplier of the hash
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 RESULT = "lang_pred string, score double, bits double, symbols long"
 
@@ -55,46 +55,46 @@ def _letters() -> np.ndarray:
 
 
 class Parser:
-    """Suffix automata of all languages in one transition table.
+    """Suffix automata of all languages, their edges in one hash table.
 
-    ``table[state + symbol]`` is the next state, states being offsets of rows. A
-    match that cannot go on ends its phrase; the entry is then the state after
-    the symbol from the root, negated. A symbol that the root doesn't know leads
-    to a last state of which every way ends a phrase.
+    States are numbered through all automata. An edge's key is its state and
+    symbol (``state * width + symbol``). A match that cannot go on ends its
+    phrase; the next state is then the one after the symbol from the root
+    (``starts``). A symbol that the root doesn't know leads to state 0, which has
+    no edges, so every way ends a phrase.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        lowered = {lang: " ".join(texts[lang]).lower() for lang in self.languages}
-        letters = Counter(c for t in lowered.values() for c in t if c.isalpha())
+        letters = sorted({c for t in texts.values() for c in "".join(x.lower() for x in t) if c.isalpha()})
         self.symbol = np.where(_letters(), OTHER, GAP).astype(np.int32)
-        for i, (c, _) in enumerate(sorted(letters.most_common(ALPHABET))):
-            self.symbol[ord(c)] = i + 2
-        self.width = min(len(letters), ALPHABET) + 2
-        tables, self.roots, self.sizes, at = [], [], [], 1
-        for lang in self.languages:
+        self.symbol[[ord(c) for c in letters]] = np.arange(len(letters)) + 2
+        self.width = len(letters) + 2
+        self.starts = np.zeros((len(self.languages), self.width), np.int64)
+        keys, ends, self.roots, self.sizes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], 1
+        for i, lang in enumerate(self.languages):
             learned = np.concatenate([self.symbols(t)[0][:SAMPLE_SYMBOLS] for t in texts[lang]] or [np.zeros(0, np.int32)])
-            table = self._automaton(learned.tolist())
-            self.roots.append(at * self.width)
+            moves = self._automaton(learned.tolist())
+            self.roots.append(at)
             self.sizes.append(max(2, len(learned)))
-            goes = table >= 0
-            start = np.where(goes[0], table[0], len(table)) + at
-            coded = np.vstack([np.where(goes, table + at, -start), -start])
-            tables.append((coded.astype(np.int64) * self.width).astype(np.int32))
-            at += len(coded)
-        self.table = np.concatenate([np.zeros((1, self.width), np.int32), *tables]).ravel()
-
-    def _automaton(self, text: list[int]) -> np.ndarray:
-        """Transitions of the suffix automaton of ``text``, -1 where there is none."""
-        none = [-1] * self.width
-        moves, link, longest, last = [none[:]], [-1], [0], 0
+            states = np.repeat(np.arange(len(moves)) + at, [len(m) for m in moves])
+            keys.append(states * self.width + np.fromiter((c for m in moves for c in m), np.int64, len(states)))
+            ends.append(np.fromiter((q for m in moves for q in m.values()), np.int64, len(states)) + at)
+            self.starts[i, list(moves[0])] = np.array(list(moves[0].values()), np.int64) + at
+            at += len(moves)
+        self._store(np.concatenate(keys), np.concatenate(ends))
+
+    @staticmethod
+    def _automaton(text: list[int]) -> list[dict[int, int]]:
+        """Transitions of each state of the suffix automaton of ``text``."""
+        moves, link, longest, last = [{}], [-1], [0], 0
         for c in text:
             new = len(moves)
-            moves.append(none[:])
+            moves.append({})
             link.append(0)
             longest.append(longest[last] + 1)
             p = last
-            while p >= 0 and moves[p][c] < 0:
+            while p >= 0 and c not in moves[p]:
                 moves[p][c] = new
                 p = link[p]
             if p >= 0:
@@ -103,17 +103,48 @@ class Parser:
                     link[new] = q
                 else:
                     clone = len(moves)
-                    moves.append(moves[q][:])
+                    moves.append(moves[q].copy())
                     link.append(link[q])
                     longest.append(longest[p] + 1)
-                    while p >= 0 and moves[p][c] == q:
+                    while p >= 0 and moves[p].get(c) == q:
                         moves[p][c] = clone
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        table = np.array(moves, np.int32)
-        table[:, OTHER] = -1
-        return table
+        return moves
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MULTIPLY) >> self.shift).view(np.int64)
+
+    def _store(self, keys: np.ndarray, ends: np.ndarray) -> None:
+        """The edges in a table at most half full; one whose place is taken goes to the next free place."""
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ends = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, place = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[place] < 0)
+            taken, first = np.unique(place[free], return_index=True)
+            won = free[first]
+            self.keys[taken], self.ends[taken] = keys[left[won]], ends[left[won]]
+            left, place = np.delete(left, won), (np.delete(place, won) + 1) & self.mask
+
+    def _ends(self, keys: np.ndarray) -> np.ndarray:
+        """The states that edges lead to, 0 where there is no such edge."""
+        place = self._home(keys)
+        there = self.keys.take(place)
+        same = there == keys
+        out = self.ends.take(place) * same
+        look = np.flatnonzero(~same & (there >= 0))
+        flat, keys, place = out.ravel(), keys.ravel(), place.ravel()
+        while len(look):
+            at = (place[look] + 1) & self.mask
+            place[look] = at
+            there = self.keys[at]
+            hit = there == keys[look]
+            flat[look[hit]] = self.ends[at[hit]]
+            look = look[~hit & (there >= 0)]
+        return flat.reshape(out.shape)
 
     def symbols(self, *texts: str) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts in turn, runs of what is no letter as one gap; and how many each has."""
@@ -137,16 +168,17 @@ class Parser:
         length = np.minimum(BLOCK, sizes[of] - within * BLOCK)
         order = np.argsort(-length, kind="stable")
         first, length, of = first[order], length[order], of[order]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(of), 1)
+        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(of), 1)
         count = np.ones((len(self.languages), len(of)), np.int32)
         live = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
         for step in range(int(length[0]) if len(length) else 0):
             n = live[step]
             symbol = found[first[:n] + step]
-            after = self.table.take(state[:, :n] + symbol)
+            after = self._ends(state[:, :n] * self.width + symbol)
+            ended = after == 0
             if step:  # each block begins a phrase, which is counted already
-                count[:, :n] += after < 0
-            state[:, :n] = np.abs(after)
+                count[:, :n] += ended
+            state[:, :n] = np.where(ended, self.starts[:, symbol], after)
         return np.stack([np.bincount(of, c, len(sizes)) for c in count])
 
     def judge(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:

@@ -84,6 +84,19 @@ def test_sample_is_bounded(frame, tongues):
     assert learned == language.sample(frame(rows, 1))
 
 
+def test_languages_of_many_letters(frame):
+    """Two of 400 letters in common, in different words, beside one of few letters that are all the most frequent."""
+    rng, ideographs = random.Random(6), [chr(0x4E00 + i) for i in range(400)]
+    speak = {"ja": tongue(21, ideographs), "zh": tongue(22, ideographs), "la": tongue(23, "abcdefgh")}
+    learned = {k: [t(rng, 60) for _ in range(8)] for k, t in speak.items()}
+    parser = language.Parser(learned)
+    letters = {c for t in learned.values() for c in "".join(t) if c != " "}
+    assert len(letters) > 120 and parser.width == len(letters) + 2
+    assert all(parser.symbols(c)[0].tolist() != [language.OTHER] for c in letters)
+    texts = [(k, t(rng, 12)) for k, t in speak.items() for _ in range(20)]
+    assert parser.judge([t for _, t in texts])[0] == [k for k, _ in texts]
+
+
 # ---------------------------------------------------------------- packing
 def best_fit(counts, capacity):
     rooms, n = [], 0

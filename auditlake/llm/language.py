@@ -19,12 +19,16 @@ SAMPLE_DOCS, SAMPLE_SYMBOLS = 64, 700
 BLOCK = 1024
 #: Symbols that are parsed at once, a bound on a task's memory.
 AT_ONCE = 1 << 21
+#: Lengths in symbols at which the rate of clean texts is measured.
+LENGTHS = (16, 32, 64, 128, 256, 512, 1024)
+#: Values that a measured rate needs at least.
+LEAST = 4
 GAP, OTHER = 0, 1
 UNKNOWN = "und"
 # fixed value: odd multiplier of the hash
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
-RESULT = "lang_pred string, score double, bits double, symbols long"
+RESULT = "lang_pred string, score double, bits double, symbols long, strange double"
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
@@ -181,19 +185,77 @@ class Parser:
             state[:, :n] = np.where(ended, self.starts[:, symbol], after)
         return np.stack([np.bincount(of, c, len(sizes)) for c in count])
 
-    def judge(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, bits per symbol and number of symbols of each text."""
+    def strange(self, found: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Share of each text's letters that the learned text of its language (``of``) doesn't hold."""
+        ends = np.cumsum(sizes)
+        letter = found != GAP
+        unknown = letter & (self.starts[np.repeat(of, sizes), found] == 0)
+        of_letters, of_unknown = (np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (letter, unknown))
+        return of_unknown / np.maximum(of_letters, 1)
+
+    def judge(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, bits per symbol, number of symbols and share of unknown letters of each text."""
         found, sizes = self.symbols(*texts)
         has = np.add.reduceat(np.append(found != GAP, False), np.minimum(np.cumsum(sizes) - sizes, len(found))) * (sizes > 0) > 0
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), sizes
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), sizes, has.astype(float)
         # a phrase is a place in the learned text
         bits = self.phrases(found, sizes) * np.log2(self.sizes)[:, None] / np.maximum(sizes, 1)
         best = bits.argmin(0)
         low = bits.min(0)
         second = np.partition(bits, 1, 0)[1] if len(bits) > 1 else np.full(len(texts), np.inf)
         score = np.where(has, 1 / (1 + low / np.maximum(second, 1e-9)), 0.0)
-        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has)], score, low, sizes
+        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has)], score, low, sizes, self.strange(found, sizes, best)
+
+
+def _held_in(learned: list[str], held: list[str], rng: np.random.Generator) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+    """Share of unknown letters in ``held``, and by length the bits per symbol of its windows, as they are and shuffled."""
+    parser = Parser({"": learned})
+    texts = [parser.symbols(t)[0] for t in held]
+    sizes = np.array([len(t) for t in texts])
+    all_of_them = np.concatenate(texts)
+    strange = float(parser.strange(all_of_them, np.array([len(all_of_them)]), np.array([0]))[0])
+    rates = []
+    for mixed in (False, True):
+        source = [rng.permutation(t) for t in texts] if mixed else texts
+        of_lengths = []
+        for n in LENGTHS:
+            windows = [t[i : i + n] for t in source for i in range(0, len(t) - n + 1, n)]
+            counts = parser.phrases(np.concatenate(windows), np.full(len(windows), n))[0] if windows else np.zeros(0)
+            of_lengths.append(counts * np.log2(parser.sizes[0]) / n)
+        rates.append(of_lengths)
+    return strange, *rates
+
+
+def references(texts: dict[str, list[str]]) -> dict[str, tuple[float, list[float | None]]]:
+    """What clean texts of each language reach: share of unknown letters, and bits per symbol at each of ``LENGTHS``.
+
+    Each half of a language's sample (of its only text, if there is one) is
+    parsed by the automaton of the other half, in windows. The limit at a length
+    is the median and five times the spread of what lies above it, and at least a
+    third of the way from the median to the same text with its symbols shuffled.
+    Lengths with fewer than ``LEAST`` windows have the limit of the next shorter
+    one, or None. Of letters, half of those that clean text knows may be unknown.
+    """
+    rng, out = np.random.default_rng(7), {}
+    for lang, sample_texts in sorted(texts.items()):
+        t = sample_texts
+        if len(t) == 1:
+            t = [t[0][: len(t[0]) // 2], t[0][len(t[0]) // 2 :]]
+        half = len(t) // 2
+        folds = [_held_in(a, b, rng) for a, b in ((t[:half], t[half:]), (t[half:], t[:half])) if a and b]
+        limits: list[float | None] = []
+        for i in range(len(LENGTHS)):
+            clean, mixed = (np.concatenate([f[k][i] for f in folds] or [np.zeros(0)]) for k in (1, 2))
+            if len(clean) < LEAST:
+                limits.append(limits[-1] if limits else None)
+                continue
+            middle = float(np.median(clean))
+            above = clean[clean > middle] - middle
+            spread = float(np.sqrt(np.mean(above**2))) if len(above) else 0.0
+            limits.append(middle + max(5 * spread, (float(np.median(mixed)) - middle) / 3))
+        out[lang] = ((1 + max([f[0] for f in folds], default=0.0)) / 2, limits)
+    return out
 
 
 @functools.lru_cache(1)
@@ -203,7 +265,7 @@ def _parser(texts: tuple) -> Parser:
 
 
 def predict(text: Column, learned: dict[str, list[str]]) -> Column:
-    """Struct ``lang_pred, score, bits, symbols`` of a text, by the samples in ``learned``.
+    """Struct ``lang_pred, score, bits, symbols, strange`` of a text, by the samples in ``learned``.
 
     The language whose automaton parses the text into the fewest phrases, each
     weighed by the logarithm of the learned text's size, wins; equal counts go
@@ -223,10 +285,10 @@ def predict(text: Column, learned: dict[str, list[str]]) -> Column:
                 last, n = first, 0
                 while last < len(texts) and (n == 0 or n + len(texts[last]) <= AT_ONCE):
                     n, last = n + len(texts[last]) + 1, last + 1
-                lang, score, bits, symbols = parser.judge(texts[first:last])
-                results.append(pd.DataFrame({"lang_pred": lang, "score": score, "bits": bits, "symbols": symbols}))
+                lang, score, bits, symbols, strange = parser.judge(texts[first:last])
+                results.append(pd.DataFrame({"lang_pred": lang, "score": score, "bits": bits, "symbols": symbols, "strange": strange}))
                 first = last
-            yield pd.concat(results) if results else pd.DataFrame({"lang_pred": [], "score": [], "bits": [], "symbols": []})
+            yield pd.concat(results) if results else pd.DataFrame({"lang_pred": [], "score": [], "bits": [], "symbols": [], "strange": []})
 
     return parsed.asNondeterministic()(text)
 
@@ -235,7 +297,7 @@ def identify(docs: DataFrame, learned: dict[str, list[str]] | None = None) -> Da
     """Every row with the language of its text.
 
     Returns ``row`` (the whole input row), ``doc_id, lang_pred, score, bits,
-    symbols``. Without ``learned``, a sample of ``docs`` itself is learned; an
+    symbols, strange`` (the share of letters that the language's sample lacks). Without ``learned``, a sample of ``docs`` itself is learned; an
     empty one leaves every text ``und``. Rows are judged one by one: ties and
     repeated rows have equal results, and other columns have no effect.
     """
@@ -244,12 +306,23 @@ def identify(docs: DataFrame, learned: dict[str, list[str]] | None = None) -> Da
     return d.withColumn("found", predict(F.col("text"), learned)).select("row", "doc_id", "found.*")
 
 
-def accepted(bits: Column, symbols: Column, lang_pred: Column, limit: float = 6.0) -> Column:
+def accepted(bits: Column, symbols: Column, lang_pred: Column, limit: float = 6.0, strange: Column | None = None, reference: dict | None = None) -> Column:
     """Whether a text is in one of the learned languages.
 
-    Not accepted are texts without letters, and those of 200 symbols and more
-    that even the best automaton codes in ``limit`` bits per symbol or more.
-    Prose of a learned language takes two to three, random letters about five;
-    the default lets go only what is in other letters altogether.
+    With ``strange`` and the sample's ``references``, a text goes when more of
+    its letters are unknown to the language than the reference allows, whatever
+    its length, or when it takes more bits per symbol than the reference of the
+    longest length it reaches. Where there is no reference, texts of 200 symbols
+    and more go at ``limit`` bits. Texts without letters always go.
     """
-    return (lang_pred != UNKNOWN) & ((symbols < 200) | (bits < limit))
+    known = lang_pred != UNKNOWN
+    fixed = (symbols < 200) | (bits < limit)
+    if not reference or strange is None:
+        return known & fixed
+    reach = sum((symbols >= n).cast("int") for n in LENGTHS)
+    # one entry per learned language
+    shares = F.create_map(*[F.lit(x) for lang, (share, _) in reference.items() for x in (lang, share)])
+    rates = F.create_map(*[x for lang, (_, limits) in reference.items() for x in (F.lit(lang), F.array(*[F.lit(v).cast("double") for v in limits]))])
+    measured = F.when(reach > 0, F.get(rates[lang_pred], reach - 1))
+    fits = F.when(reach == 0, F.lit(True)).when(measured.isNull(), fixed).otherwise(bits <= measured)
+    return known & (strange <= F.coalesce(shares[lang_pred], F.lit(0.5))) & fits

@@ -19,13 +19,15 @@ from auditlake.llm.queries import vocabulary
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the table.
 
-    Texts without letters (nulls too) go, and longer texts that no language
-    parses better than random letters. All labelled languages are learned.
-    Repeated rows are judged alike; an empty table stays empty.
+    Texts without letters (nulls too) go, those mostly in letters that their
+    language's sample lacks, and those that take more bits per symbol than clean
+    texts of that length (``language.references``). All labelled languages are
+    learned. Repeated rows are judged alike; an empty table stays empty.
     """
     small_batches(spark)
-    found = language.identify(docs)
-    return found.filter(language.accepted(F.col("bits"), F.col("symbols"), F.col("lang_pred"))).select("row.*")
+    learned = language.sample(docs)
+    found = language.identify(docs, learned)
+    return found.filter(language.accepted(F.col("bits"), F.col("symbols"), F.col("lang_pred"), strange=F.col("strange"), reference=language.references(learned))).select("row.*")
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,28 @@ def test_clean_short_texts_are_accepted(spark, frame):
     assert corpus_pipeline.known_language(spark, frame(rows), "").count() == 3
     judged = spark.createDataFrame([(9.0, 500, "en"), (2.0, 500, "en"), (9.0, 10, "en"), (0.0, 0, "und")], "bits double, symbols long, lang string")
     assert [r["ok"] for r in judged.select(language.accepted(F.col("bits"), F.col("symbols"), F.col("lang")).alias("ok")).collect()] == [False, True, True, False]
+
+
+def test_only_learned_languages_stay(spark, frame):
+    import random
+
+    rng, letters = random.Random(4), "aeilnorstdmpu"
+    speak = {"xx": tongue(31, letters), "yy": tongue(32, letters)}
+    clean = [t(rng, 4 + 5 * (i % 20)) for t in speak.values() for i in range(40)]
+    labelled = [(i, t, lang) for i, (lang, t) in enumerate((lang, t(rng, 60)) for lang, t in speak.items() for _ in range(30))]
+    unlearned, noise = tongue(33, letters), lambda n: "".join(rng.choice(letters + "   ") for _ in range(n))
+    foreign = [unlearned(rng, 20 + 9 * i) for i in range(20)] + [noise(90 + 60 * i) for i in range(20)] + ["Привет, мир", "да", "короткий текст", "中文", "Γειά σου Κόσμε"]
+    rows = labelled + [(1000 + i, t) for i, t in enumerate(clean)] + [(5000 + i, t) for i, t in enumerate(foreign)]
+    got = {r["doc_id"] for r in corpus_pipeline.known_language(spark, frame(rows), "").collect()}
+    assert got == {i for i, *_ in rows if i < 5000}
+
+
+def test_clean_texts_of_many_letters_stay(spark, frame):
+    """Unseen words of many letters take more bits than six a symbol."""
+    import random
+
+    rng = random.Random(5)
+    odds = [1 / (i + 1) for i in range(600)]
+    speak = lambda n: "".join(chr(0x4E00 + i) for i in rng.choices(range(600), odds, k=n))
+    rows = [(i, speak(400), "zh") for i in range(30)] + [(1000 + i, speak(20 + 40 * i)) for i in range(20)]
+    assert corpus_pipeline.known_language(spark, frame(rows), "").count() == 50

@@ -33,7 +33,7 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: The trees are fitted on that many labelled URLs at most, the first by digest.
+#: The trees are fitted on that many distinct labelled URLs at most, of each kind the first by digest.
 SAMPLE = 8000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dash_count", "entropy", "parameters", "has_fragment", "secure", "tld_rate", "domain_rate"]
@@ -90,7 +90,7 @@ def lexical(d: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, suffix: str) -> DataFrame:
-    """Smoothed share of blocked URLs per host suffix, at most one row per labelled URL of the sample."""
+    """Smoothed share of blocked URLs per host suffix, over all labelled rows."""
     return labelled.groupBy(suffix).agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias(f"{suffix}_rate"))
 
 
@@ -100,9 +100,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPL
     Returns ``row`` (the whole input row), ``page_id, host, path, rule,
     verdict``. A URL that a rule fits has the verdict of the longest one. These
     URLs are also the labels: gradient-boosted trees are fitted on at most
-    ``sample`` of them, by length, depth, digit ratio, entropy, parameter counts
-    and statistics of host suffixes, and judge all others. Without labels of
-    both kinds the one kind there is decides, and without any, all are allowed.
+    ``sample`` distinct ones, by length, depth, digit ratio, entropy, parameter
+    counts and statistics of host suffixes over all labelled rows, and judge all
+    others. A kind has half of the sample, or what the other leaves, and weighs
+    as much as its distinct URLs are. Without labels of both kinds the one kind
+    there is decides, and without any, all are allowed.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule
     and is judged like the rest. Repeated rows have equal results.
@@ -115,23 +117,33 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPL
     d = d.withColumn("fits", longest_rule(F.col("host"), F.col("path"), rules))
 
     labelled = d.filter("fits IS NOT NULL").select("url", "host", "path", (F.col("fits.verdict") == "block").cast("double").alias("label"))
-    # the sample is small by its bound, and one partition keeps the fit the same in every run
-    train = cut(lexical(labelled.orderBy(F.md5("url"), "url").limit(sample)).coalesce(1))
-    kinds = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
-    if len(kinds) < 2:
-        method = F.lit("block" if kinds == [1.0] else "allow")
+    # a URL has one label: rules see nothing else
+    distinct = labelled.distinct()
+    # two rows at most
+    counts = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        method = F.lit("block" if 1.0 in counts else "allow")
         judged = d
     else:
-        tld, domain = cut(_rates(train, "tld").coalesce(1)), cut(_rates(train, "domain").coalesce(1))
+        share = {kind: min(n, max(sample // 2, sample - counts[1.0 - kind])) for kind, n in counts.items()}
+        taken = [
+            distinct.filter(F.col("label") == kind).orderBy(F.md5("url"), "url").limit(n).withColumn("weight", F.lit(counts[kind] / n))
+            for kind, n in sorted(share.items())
+        ]
+        # the sample is small by its bound, and one partition keeps the fit the same in every run
+        train = cut(lexical(taken[0].unionByName(taken[1])).coalesce(1))
+        suffixed = lexical(labelled)
+        tld, domain = cut(_rates(suffixed, "tld")), cut(_rates(suffixed, "domain"))
 
         def features(frame: DataFrame) -> DataFrame:
-            # at most `sample` rows each
-            frame = frame.join(F.broadcast(tld), "tld", "left").join(F.broadcast(domain), "domain", "left")
+            # as many rows as there are labelled suffixes: Spark's size check decides how to join
+            frame = frame.join(tld, "tld", "left").join(domain, "domain", "left")
             frame = frame.fillna(0.5, ["tld_rate", "domain_rate"])
             return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame)
 
-        trees = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, seed=7, maxMemoryInMB=64)
-        model = trees.fit(features(train).select("features", "label").coalesce(1))
+        trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=7, maxMemoryInMB=64)
+        fitted = features(train).select("url", "features", "label", "weight").coalesce(1).sortWithinPartitions("url")
+        model = trees.fit(fitted)
         judged = model.transform(features(lexical(d)))
         method = F.when(F.col("prediction") == 1, "block").otherwise("allow")
     return judged.select("row", "page_id", "host", "path", F.col("fits.text").alias("rule"), F.coalesce(F.col("fits.verdict"), method).alias("verdict"))

@@ -213,3 +213,20 @@ def test_urls_without_labels(spark):
     assert {r["verdict"] for r in urls.judge(pages(spark, ["x://y.net/es/", "x://z.org/"])).collect()} == {"block"}
     named = pages(spark, ["x://y.org/"] * 2).withColumns({c: F.lit(1) for c in ("row", "host", "path", "fits", "features", "prediction", "tld_rate")})
     assert urls.judge(named).select("row.*").columns == named.columns
+
+
+def test_all_labels_count(spark):
+    """One URL in a third of all rows and first by digest, a rare kind, and a suffix of few labels."""
+    rules = (urls.Rule("block", "bad.org", "/"), urls.Rule("allow", "good.org", "/"))
+    many = [f"http://h{i}.good.org/about" for i in range(200)]
+    digest = lambda u: hashlib.md5(u.encode()).hexdigest()
+    first = min((f"http://r{i}.good.org/" for i in range(30000)), key=digest)
+    rare = sorted((f"http://h{i}.bad.org/" + "9" * (30 + i % 7) for i in range(400)), key=digest)[-4:]
+    assert digest(first) < min(map(digest, many)) and digest(rare[0]) > sorted(map(digest, many))[40]
+    new = ["http://k.new.org/" + "9" * 33, "http://k.new.org/about"]
+    got = urls.judge(pages(spark, [first] * 100 + many + rare + new), rules, sample=40)
+    found = {r["url"]: r["verdict"] for r in got.select("row.url", "verdict").collect()}
+    assert got.count() == 100 + len(many) + len(rare) + len(new)
+    assert [found[u] for u in new] == ["block", "allow"]
+    rates = {r["domain"]: r["domain_rate"] for r in urls._rates(spark.createDataFrame([("a.b", 1.0)] * 6 + [("c.d", 0.0)] * 2, "domain string, label double"), "domain").collect()}
+    assert rates == {"a.b": 7 / 8, "c.d": 1 / 4}

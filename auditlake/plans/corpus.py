@@ -22,7 +22,7 @@ def audit_inputs(
     pattern_urls: DataFrame | None = None,
     rule_results: DataFrame | None = None,
     measurements: DataFrame | None = None,
-    markup_chars: int | None = 300,
+    markup_chars: int | None = None,
     per_template: int = E.SAMPLES_PER_TEMPLATE,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``raw_pages(page_id, url, html)`` to evidence, templates and sites.
@@ -33,7 +33,7 @@ def audit_inputs(
     pages; ``rule_results`` (rule-engine rows) and ``measurements`` (observation
     rows) join them there. ``pattern_urls`` widens the URL set that patterns are
     inferred from; ``markup_chars`` is how much of an element's markup evidence
-    shows.
+    shows, all by default (300 is usual).
     """
     pages = cut(corpus.canonical_pages(raw_pages))
     parsed = html_tree.element_tree(

@@ -123,7 +123,7 @@ block(
 
 def corpus_tree(spark, sf):
     """Tree element rows of the canonical corpus pages, parsed once and stored."""
-    rows = html_tree.element_tree(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), "html"), detail=S.CHECK_TAGS, markup_chars=300)
+    rows = html_tree.element_tree(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), "html"), detail=S.CHECK_TAGS)
     own = pages(spark, sf).select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("page_url"))
     return cut(rows.join(own, rows["url"] == own["page_id"]).drop("url", "page_id").withColumnRenamed("page_url", "url"))
 

@@ -74,3 +74,13 @@ def test_many_menus_make_one_same_text_row(spark):
     p = page(spark, links)
     found = S.link_checks(html_tree.element_tree(p)).filter("check_id = 'link-same-text-different-targets'").collect()
     assert len(found) == 1 and '"targetCount":300' in found[0]["data"]
+
+
+def test_evidence_shows_whole_markup(spark):
+    from auditlake.plans.corpus import audit_inputs
+
+    link = f'<a href="/x" title="{"lungo " * 100}">clicca qui</a>'
+    pages = [(i, f"https://a.example.org/p/{i}", f'<html lang="it"><body><main><h1>T</h1><p>{link}</p></main></body></html>') for i in range(3)]
+    evidence = audit_inputs(spark.createDataFrame(pages, "page_id long, url string, html string"))[0]
+    shown = {r["html"] for r in evidence.filter("check_id = 'link-generic-text'").select("node.html" if "node" in evidence.columns else "html").collect()}
+    assert shown == {link}

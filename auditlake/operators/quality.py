@@ -1,8 +1,9 @@
 """Gates on the analysis itself.
 
 Issue rows: ``(kind, severity, message, samples array<string>)``. Every gate is
-an aggregate; at most a handful of samples is kept, and that limit is the
-feature of a sample list.
+an aggregate. Duplicates, unstable classes and broken texts grow with the
+corpus: their issues hold the count alone, and ``examples`` has every one of
+them as a row.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ def _issue(kind: str, severity: Column, message: Column, samples: Column) -> lis
     ]
 
 
-def _all(rows: DataFrame, column: str) -> Column:
-    """Scalar array of all distinct examples: one per group, class or text that a gate stops at."""
-    return rows.select(column).dropDuplicates().agg(F.array_sort(F.collect_list(column))).scalar()
+def _examples(issue: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """All distinct examples of an issue, one per group, class or text that its gate stops at."""
+    found = rows.select(F.col(column).alias("example")).dropDuplicates()
+    # one row at most
+    return found.crossJoin(F.broadcast(issue.select("kind", "severity"))).select("kind", "severity", "example")
 
 
 def identifier_spread(evidence: DataFrame, pages_scanned: Column) -> DataFrame:
@@ -111,14 +114,12 @@ def duplicate_groups(findings: DataFrame, spread: DataFrame) -> DataFrame:
 
 
 def duplicate_issue(findings: DataFrame, spread: DataFrame) -> DataFrame:
-    bad = duplicate_groups(findings, spread).select(
-        F.concat(F.lit('"'), F.col("title"), F.lit('": '), "a", F.lit(" / "), "b").alias("example")
-    )
+    bad = duplicate_groups(findings, spread)
     message = F.concat(F.col("n").cast("string"), F.lit(" gruppi di finding differiscono solo per identificatori deboli."))
     return (
         bad.agg(F.count("*").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*_issue("duplicate-findings", F.lit("bloccante"), message, _all(bad, "example")))
+        .select(*_issue("duplicate-findings", F.lit("bloccante"), message, F.array()))
     )
 
 
@@ -139,7 +140,7 @@ def unstable_issue(findings: DataFrame) -> DataFrame:
     return (
         bad.agg(F.count("*").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*_issue("unstable-signature", severity, message, _all(bad, "cls")))
+        .select(*_issue("unstable-signature", severity, message, F.array()))
     )
 
 
@@ -235,12 +236,12 @@ def broken_texts(findings: DataFrame) -> DataFrame:
 
 
 def text_issue(findings: DataFrame) -> DataFrame:
-    bad = broken_texts(findings).select("title")
+    bad = broken_texts(findings)
     message = F.concat(F.col("n").cast("string"), F.lit(" finding hanno testi non pronti."))
     return (
         bad.agg(F.count("*").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*_issue("untranslated-text", F.lit("attenzione"), message, _all(bad, "title")))
+        .select(*_issue("untranslated-text", F.lit("attenzione"), message, F.array()))
     )
 
 
@@ -263,6 +264,17 @@ def self_check(
     return out
 
 
+def examples(findings: DataFrame, evidence: DataFrame, scanned: Column) -> DataFrame:
+    """What the gates on duplicates, unstable classes and texts stop at: ``(kind, severity, example)``."""
+    spread = identifier_spread(evidence, scanned)
+    pair = F.concat(F.lit('"'), F.col("title"), F.lit('": '), "a", F.lit(" / "), "b").alias("example")
+    return (
+        _examples(duplicate_issue(findings, spread), duplicate_groups(findings, spread).select(pair), "example")
+        .unionByName(_examples(unstable_issue(findings), unstable_signatures(findings), "cls"))
+        .unionByName(_examples(text_issue(findings), broken_texts(findings), "title"))
+    )
+
+
 def trustworthy(issues: DataFrame) -> DataFrame:
     """One row: no blocking issue."""
     return issues.agg(

@@ -207,3 +207,20 @@ def test_run_document_and_reports(spark, tmp_path):
     assert rows(loaded["pages"]) == [("u1",), ("u2",)] and "findings" not in loaded
     logs.write_reports({"pagine": loaded["pages"]}, str(tmp_path / "rep"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "rep" / "pagine")).count() == 2
+
+
+def test_gates_count_and_examples_are_rows(spark):
+    classes = [f"xK{i}d" for i in range(30)]
+    found = [(f"f{i}", f"NaN titolo {i}", "testo", f"div.{c} > a", "x") for i, c in enumerate(classes)]
+    found += [(f"g{i}", "Titolo", "testo", f"p.solo{i}", "y") for i in range(2)]
+    findings = spark.createDataFrame(found, "finding_id string, title string, description string, component string, check_id string")
+    evidence = spark.createDataFrame([(f"u{i}", f"p.solo{i}") for i in range(2)], "page_url string, component_signature string")
+    scanned = F.lit(100)
+    tables = spark.createDataFrame([], "fingerprint string, page_count long"), spark.createDataFrame([], "fingerprint string, url string")
+    issues = {r["kind"]: r for r in J.self_check(findings, evidence, *tables, F.lit(2), F.lit(100)).collect()}
+    told = rows(J.examples(findings, evidence, scanned))
+    for kind, n in (("duplicate-findings", 1), ("unstable-signature", 30), ("untranslated-text", 30)):
+        own = [(severity, example) for k, severity, example in told if k == kind]
+        assert not issues[kind]["samples"] and issues[kind]["message"].startswith(f"{n} ")
+        assert len(own) == n and {severity for severity, _ in own} == {issues[kind]["severity"]}
+    assert {e for k, _, e in told if k == "unstable-signature"} == set(classes)

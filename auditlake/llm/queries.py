@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut
 
-from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, urls
+from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, spelling, urls
 from .common import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     less = passages.remove_repeated(documents(spark, sf))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return less.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_spelling_variants", spelling.SQL)
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    word = spelling.slipped(F.col("run"), F.col("doc_id"))
+    return spelling.variants(spelling.counted(spelling.runs(documents(spark, sf)).select(word.alias("word"))))

@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return stored
 
 
+def folder(spark: SparkSession) -> str:
+    """A new place for files in the shared folder, deleted with the tables of ``cut`` when the application ends."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_database(spark)}/f{uuid.uuid4().hex}"
+
+
 def release(*stored: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for df in stored:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.lineage import cut
+from auditlake.lineage import cut, folder
 
-from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, spelling, urls
+from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, spelling, tokenfiles, urls
 from .common import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,12 @@ def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     word = spelling.slipped(F.col("run"), F.col("doc_id"))
     return spelling.variants(spelling.counted(spelling.runs(documents(spark, sf)).select(word.alias("word"))))
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    place = folder(spark)
+    tokenfiles.write(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), place)
+    return tokenfiles.read(spark, place, ids=False)

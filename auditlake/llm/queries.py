@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut, folder
 
-from . import exact, fingerprints, language, lines, mixing, near, packing, passages, pii, spelling, tokenfiles, urls
+from . import exact, fingerprints, language, lines, mixing, near, packing, passages, phrases, pii, spelling, tokenfiles, urls
 from .common import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
     place = folder(spark)
     tokenfiles.write(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), place)
     return tokenfiles.read(spark, place, ids=False)
+
+
+@query("op13_collocations", phrases.SQL)
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf))

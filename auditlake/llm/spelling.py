@@ -13,6 +13,8 @@ from auditlake.lineage import cut, release
 LETTERS, LEAST_LENGTH, LEAST_COUNT, RATIO = "A-Za-zÀ-ÿ", 6, 5, 5
 #: Letters of a gram; one edit spoils at most this many, so one gram more is a prefix, and two that share no letter are pivots.
 GRAM, PREFIX, PIVOTS = 2, 3, 2
+#: Parts that the words with one gram are dealt to.
+SALTS = 64
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -84,8 +86,10 @@ def marked(vocabulary: DataFrame) -> DataFrame:
     """
     length = F.length("word")
     places = vocabulary.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), length - GRAM + 1), lambda i: F.substring(F.col("word"), i, F.lit(GRAM)))).alias("at", "own"))
-    weights = places.groupBy("own").agg(F.count(F.lit(1)).alias("w"))
-    known = places.join(weights, "own").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("grams"))
+    # a gram may be in most words, so its weight is there once for each salt
+    weights = places.groupBy("own").agg(F.count(F.lit(1)).alias("w")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = places.withColumn("salt", F.pmod(F.hash("word"), F.lit(SALTS)))
+    known = salted.join(weights, ["own", "salt"]).groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("grams"))
     return known.withColumn("m", _marks("word", F.transform("grams", lambda g: g["w"]))).select("word", "n", "m.*")
 
 

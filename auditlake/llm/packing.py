@@ -41,15 +41,19 @@ class WordIds(dict):
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words in turn. Words of printable letters up to ``PLAIN``,
     which its normaliser only lower-cases, are taken to pieces here and each
-    piece goes to the tokenizer's model; all others go to the whole tokenizer.
+    piece goes to the tokenizer's model; all others go to the whole tokenizer,
+    words that hold the content of an added token among them. With ``spelled``
+    such contents are ordinary characters, as the tokenizer's flag
+    ``encode_special_tokens`` has it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spelled: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelled
+        self.added = [] if spelled else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.cut, self.pieces = regex.compile(PIECE), {}
 
@@ -65,7 +69,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(word) > CACHED_BYTES or max(text) >= PLAIN or not text.isprintable():
+        if len(word) > CACHED_BYTES or max(text) >= PLAIN or not text.isprintable() or any(t in text for t in self.added):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         ids = b"".join([self.piece(p) for p in self.cut.findall(text.lower())])
         if len(self) >= CACHED:
@@ -74,17 +78,19 @@ class WordIds(dict):
         return ids
 
 
-def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spelled: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, ids``.
 
     ``ids`` holds little-endian unsigned 32-bit ids. Every document ends with id
     ``END``; a null text is empty and has that id alone. Only documents longer
-    than ``capacity`` have more than one piece.
+    than ``capacity`` have more than one piece. The content of an added token in
+    a text (``<|endoftext|>``) has that token's id, as by the tokenizer's
+    defaults; with ``spelled`` it is spelled out, so that no text can hold one.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = WordIds(tokenizer, spelled)
         end = packed([END])
         for batch in batches:
             of, piece, start, length, ids = [], [], [], [], []
@@ -168,7 +174,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, seed: str = "pack") -> Da
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spelled: bool = False) -> DataFrame:
     """Documents as packed sequences: pieces with their ids and places.
 
     Returns ``doc_id, piece, start, length, ids, sequence_id, offset``. Texts
@@ -176,4 +182,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     lengths before any piece has its place. Rows that repeat an id are packed
     each for itself. An empty table gives an empty result.
     """
-    return place(cut(tokenise(docs, tokenizer, capacity)), capacity)
+    return place(cut(tokenise(docs, tokenizer, capacity, spelled)), capacity)

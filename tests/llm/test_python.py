@@ -133,14 +133,18 @@ def test_plan_is_best_fit_decreasing(seed):
         assert at <= capacity
 
 
-def test_pack_round_trip(frame, prose, odd):
+@pytest.mark.parametrize("spelled", [False, True])
+def test_pack_round_trip(frame, prose, odd, spelled):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
+    if spelled:
+        tokenizer.encode_special_tokens = True
+    assert len(tokenizer.encode("a <|endoftext|>", add_special_tokens=False).ids) == (7 if spelled else 2)
     strange = "a\x1cb c d\u0085e <|endoftext|> I'll don't 12³ é ̈x İSTANBUL ΟΔΟΣ ΟΔΟΣ. 你好 🙂🙂 ﻿x​y"
     rows = odd + [(100 + i, prose(i, 1 + 7 * i)) for i in range(60)] + [(300, strange)]
-    got = packing.pack(frame(rows), vocabulary()).collect()
+    rows += [(301, "x<|endoftext|>y<|endoftext|> <|startoftext|>\n<|END<|endoftext|", None, None), (302, "<|endoftext|> " * 3000, None, None)]
+    got = packing.pack(frame(rows), vocabulary(), spelled=spelled).collect()
     want = Counter()
     for i, t, *_ in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]

@@ -58,7 +58,9 @@ def audit_inputs(
         parts.append(H.rule_observations(rule_results))
     if measurements is not None:
         parts.append(measurements)
-    evidence = cut(H.to_evidence(union(*parts), sampled, classes, ids))
+    # signatures read their rows several times, so the checks are run and stored first
+    observations = cut(union(*parts))
+    evidence = cut(H.to_evidence(observations, sampled, classes, ids))
     tier = F.when(F.col("site_id").startswith("blog."), "primary").otherwise("secondary")
     sites = pages.select("site_id", tier.alias("tier")).dropDuplicates()
     return evidence, templates.select("fingerprint", "page_count"), sites

@@ -37,9 +37,8 @@ def rule_criteria(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, list(v)) for k, v in RULE_CRITERIA.items()], "rule_id string, rule_criteria array<string>")
 
 
-def vendor_rules(spark: SparkSession) -> DataFrame:
-    rows = [(i, *r) for i, r in enumerate(VENDOR_RULES)]
-    return spark.createDataFrame(rows, "rule_order int, vendor string, tag string, attr string, op string, value string")
+def vendor_rule_rows() -> list[tuple[int, str, str, str, str, str]]:
+    return [(i, *r) for i, r in enumerate(VENDOR_RULES)]
 
 
 def consent_platforms(spark: SparkSession) -> DataFrame:

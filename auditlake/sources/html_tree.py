@@ -3,17 +3,19 @@
 A documented, simpler tree than a browser's: optional end tags are implied for
 paragraphs, list items, options and table parts; void and raw-text elements are
 honoured; a missing body is supplied; unclosed formatting elements are *not*
-re-opened in the next block. Everything after this step is column expressions.
+re-opened in the next block. What passes from an element to what is inside it
+(visibility, vendor) is found in the same sweep; everything after this step is
+column expressions.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -72,6 +74,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+_CLEAR = re.compile(r"opacity:0*\.?0*(;|$)")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 NODE_TYPE = pa.struct(
@@ -96,19 +99,21 @@ ELEMENTS = pa.list_(
             ("tag", pa.string()),
             ("attrs", pa.map_(pa.string(), pa.string())),
             ("text", pa.string()),
+            ("visible", pa.bool_()),
+            ("skipped", pa.bool_()),
+            ("vendor", pa.string()),
             ("context", pa.list_(pa.struct([("ordinal", pa.int32()), ("tag", pa.string())]))),
             ("lineage", pa.list_(NODE_TYPE)),
             ("html", pa.string()),
         ]
     )
 )
-COLUMNS = ("ordinal", "parent", "depth", "last", "tag", "attrs", "text", "visible", "skipped", "vendor", "context", "lineage", "html")
 NODE_DDL = (
     "struct<tag:string,classes:array<string>,id:string,role:string,test_attr:string,landmark:boolean,nth:int,same:int>"
 )
 ELEMENTS_DDL = (
     "array<struct<ordinal:int,parent:int,depth:int,last:int,tag:string,attrs:map<string,string>,text:string,"
-    f"context:array<struct<ordinal:int,tag:string>>,lineage:array<{NODE_DDL}>,html:string>>"
+    f"visible:boolean,skipped:boolean,vendor:string,context:array<struct<ordinal:int,tag:string>>,lineage:array<{NODE_DDL}>,html:string>>"
 )
 
 
@@ -271,96 +276,88 @@ def _lineage(el: Element) -> list[dict]:
     return out
 
 
-def page_elements(source: str, detail: set[str] | None = None, markup_chars: int | None = None) -> list[dict]:
-    """Elements of a page as records: tags, attributes, places, texts, ancestors."""
+class Rules:
+    """Vendor rules by what they look at, so that an element meets only those on its own tag and attributes."""
+
+    def __init__(self, rows: Iterable[tuple[int, str, str, str, str, str]]):
+        self.vendors: dict[int, str] = {}
+        self.by: dict[str, list[tuple[int, str, str, str]]] = {}
+        for order, vendor, tag, attr, op, value in sorted(rows):
+            self.vendors[order] = vendor
+            self.by.setdefault(attr, []).append((order, tag, op, value))
+
+    def first(self, el: Element) -> int | None:
+        """Order of the first rule that the element itself meets."""
+        told = {"?": lambda have, value: True, "=": str.__eq__, "*": str.__contains__, "^": str.startswith, "~": lambda have, value: value in have.split()}
+        met = [order for order, tag, _, _ in self.by.get("", ()) if tag in ("", el.tag) and (el.attrs or "-" in el.tag)]
+        for name, have in el.attrs.items():
+            if name:
+                met += [order for order, tag, op, value in self.by.get(name, ()) if tag in ("", el.tag) and told[op](have, value)]
+        return min(met, default=None)
+
+
+def states(elements: list[Element], rules: Rules) -> Iterator[tuple[bool, bool, str | None]]:
+    """Whether each element is visible, whether the skeleton skips it, and its vendor.
+
+    All three pass from an element to what is inside it. Elements come in
+    document order, so one sweep finds what is around an element at its parent:
+    not rendered are the tags that never are, ``hidden`` and ``display:none``;
+    the closest ``visibility`` decides; ``opacity:0`` hides the element alone;
+    the first vendor rule that the element or one around it meets names the vendor.
+    """
+    seen: list[tuple[bool, bool, bool, int | None]] = []
+    for el in elements:
+        off, unseen, quiet, rule = seen[el.parent.ordinal] if el.parent else (False, False, False, None)
+        style = el.attrs.get("style", "").lower().replace(" ", "")
+        off = off or el.tag in NOT_RENDERED or "hidden" in el.attrs or "display:none" in style
+        unseen = "visibility:hidden" in style if "visibility:" in style else unseen
+        quiet = quiet or el.tag in SKELETON_SKIP
+        own = rules.first(el)
+        rule = own if rule is None or (own is not None and own < rule) else rule
+        seen.append((off, unseen, quiet, rule))
+        yield not (off or unseen or _CLEAR.search(style)), quiet, rules.vendors.get(rule)
+
+
+def page_elements(source: str, rules: Rules, detail: set[str] | None = None, markup_chars: int | None = None) -> list[dict]:
+    """Elements of a page as records: tags, attributes, places, texts, states, ancestors.
+
+    Markup is copied for tags of ``detail`` and for main and navigation areas
+    only: other areas may nest, and would each repeat what is inside them.
+    """
     elements, said = parse(source)
     out = []
-    for el in elements:
-        detailed = detail is None or el.tag in detail or "role" in el.attrs
+    for el, (visible, skipped, vendor) in zip(elements, states(elements, rules)):
+        shown = detail is None or el.tag in detail or el.attrs.get("role") in ("main", "navigation")
+        detailed = shown or "role" in el.attrs
         told = el.tag in TEXT_TAGS or "id" in el.attrs
         out.append({
             "ordinal": el.ordinal, "parent": el.parent.ordinal if el.parent else None, "depth": el.depth, "last": el.last, "tag": el.tag, "attrs": list(el.attrs.items()),
-            "text": re.sub(r"\s+", " ", "".join(said[el.words : el.said])).strip() if told else None, "context": [{"ordinal": o, "tag": t} for o, t in el.context],
-            "lineage": _lineage(el) if detailed else None, "html": _markup(source, el, markup_chars) if detailed else None,
+            "text": re.sub(r"\s+", " ", "".join(said[el.words : el.said])).strip() if told else None, "visible": visible, "skipped": skipped, "vendor": vendor,
+            "context": [{"ordinal": o, "tag": t} for o, t in el.context],
+            "lineage": _lineage(el) if detailed else None, "html": _markup(source, el, markup_chars) if shown else None,
         })
     return out
 
 
-def with_state(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``pages(url, elements)`` to element rows with ``visible``, ``skipped`` and ``vendor``.
-
-    All three pass from an element to what is inside it, that is to the ordinals
-    up to its ``last``. They are found within the page's row, so no element
-    crosses a shuffle. Not rendered are the tags that never are, ``hidden`` and
-    ``display:none``; the closest ``visibility`` decides; ``opacity:0`` hides the
-    element alone. The first vendor rule that an element or one around it meets
-    names its vendor; ``rules`` is a closed list.
-    """
-    table = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "vendor", "tag", "attr", "op", "value")))).scalar()
-    of = {n: F.col(n) for n in ("off", "seen", "quiet", "owned")}
-
-    def style(e: Column) -> Column:
-        return F.replace(F.lower(F.coalesce(e["attrs"]["style"], F.lit(""))), F.lit(" "), F.lit(""))
-
-    def meets(e: Column, r: Column) -> Column:
-        have = e["attrs"][r["attr"]]
-        tagged = (r["tag"] == "") | (r["tag"] == e["tag"])
-        told = (
-            F.when(r["op"] == "?", F.lit(True)).when(r["op"] == "=", have == r["value"]).when(r["op"] == "*", F.contains(have, r["value"]))
-            .when(r["op"] == "^", F.startswith(have, r["value"])).when(r["op"] == "~", F.array_contains(F.split(have, r"\s+"), r["value"]))
-        )
-        return tagged & F.coalesce(F.when(r["attr"] == "", F.lit(True)).when(have.isNotNull(), told), F.lit(False))
-
-    def first_rule(e: Column) -> Column:
-        worth = (F.size(e["attrs"]) > 0) | F.contains(e["tag"], F.lit("-"))
-        return F.when(worth, F.get(F.filter(F.col("rules"), lambda r: meets(e, r)), 0)["rule_order"])
-
-    def places(keep, value=None) -> Column:
-        made = F.transform("elements", lambda e: F.struct(e["ordinal"].alias("a"), e["last"].alias("b"), (value(e) if value else F.lit(0)).alias("v"), keep(e).alias("keep")))
-        return F.filter(made, lambda m: m["keep"])
-
-    def around(name: str, e: Column) -> Column:
-        return F.filter(of[name], lambda m: (m["a"] <= e["ordinal"]) & (e["ordinal"] <= m["b"]))
-
-    hides = lambda e: e["tag"].isin(*sorted(NOT_RENDERED)) | F.map_contains_key(e["attrs"], "hidden") | F.contains(style(e), F.lit("display:none"))
-    marked = pages.withColumn("rules", table).select(
-        "url", "elements", "rules",
-        places(hides).alias("off"),
-        places(lambda e: F.contains(style(e), F.lit("visibility:")), lambda e: F.contains(style(e), F.lit("visibility:hidden"))).alias("seen"),
-        places(lambda e: e["tag"].isin(*sorted(SKELETON_SKIP))).alias("quiet"),
-        F.filter(F.transform("elements", lambda e: F.struct(e["ordinal"].alias("a"), e["last"].alias("b"), first_rule(e).alias("v"))), lambda m: m["v"].isNotNull()).alias("owned"),
-    )
-
-    def whole(e: Column) -> Column:
-        unseen = F.coalesce(F.element_at(F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(False).alias("v"), F.lit(True).alias("keep"))), around("seen", e)), -1)["v"], F.lit(False))
-        clear = style(e).rlike(r"opacity:0*\.?0*(;|$)")
-        order = F.array_min(F.transform(around("owned", e), lambda m: m["v"]))
-        state = {
-            "visible": (F.size(around("off", e)) == 0) & ~unseen & ~clear,
-            "skipped": F.size(around("quiet", e)) > 0,
-            "vendor": F.get(F.filter(F.col("rules"), lambda r: r["rule_order"] == order), 0)["vendor"],
-        }
-        return F.struct(*[state[c].alias(c) if c in state else e[c].alias(c) for c in COLUMNS])
-
-    return marked.select("url", F.inline(F.transform("elements", whole)))
-
-
 def element_tree(pages: DataFrame, rules: DataFrame | None = None, detail: set[str] | None = None, markup_chars: int | None = None) -> DataFrame:
     """``pages(url, html)`` to element rows.
 
-    ``detail`` limits the wide columns (ancestor lineage, markup) to the tags a
-    caller needs; elements with a role always carry them. A caller that shows
-    only the head of the markup may pass ``markup_chars``. Pages are parsed one
-    at a time; batches are kept small because markup is wide
+    ``detail`` limits the wide columns to the tags a caller needs: ancestor
+    lineage, which elements with a role always carry, and markup, which main and
+    navigation areas always carry. A caller that shows only the head of the
+    markup may pass ``markup_chars``. ``rules`` is a closed list of vendor rules.
+    Pages are parsed one at a time, in time linear in their elements; batches
+    are kept small because markup is wide
     (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
+    table = Rules(map(tuple, rules.select("rule_order", "vendor", "tag", "attr", "op", "value").collect()) if rules is not None else dims.vendor_rule_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH_PAGES):
                 part = batch.slice(first, BATCH_PAGES)
-                parsed = [page_elements(source or "", detail, markup_chars) for source in part.column(1).to_pylist()]
+                parsed = [page_elements(source or "", table, detail, markup_chars) for source in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(parsed, ELEMENTS)], names=["url", "elements"])
 
     parsed = pages.select("url", "html").mapInArrow(run, f"url string, elements {ELEMENTS_DDL}")
-    return with_state(parsed, rules if rules is not None else dims.vendor_rules(pages.sparkSession))
+    return parsed.select("url", F.inline("elements"))

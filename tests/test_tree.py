@@ -84,3 +84,47 @@ def test_evidence_shows_whole_markup(spark):
     evidence = audit_inputs(spark.createDataFrame(pages, "page_id long, url string, html string"))[0]
     shown = {r["html"] for r in evidence.filter("check_id = 'link-generic-text'").select("node.html" if "node" in evidence.columns else "html").collect()}
     assert shown == {link}
+
+
+def _work(body: str) -> int:
+    """Python calls and lines that a page takes: a measure of work that no clock disturbs."""
+    import sys
+
+    from auditlake import dims
+
+    rules, steps = html_tree.Rules(dims.vendor_rule_rows()), 0
+
+    def trace(frame, event, arg):
+        nonlocal steps
+        steps += 1
+        return trace
+
+    sys.settrace(trace)
+    try:
+        html_tree.page_elements(body, rules, S.CHECK_TAGS)
+    finally:
+        sys.settrace(None)
+    return steps
+
+
+def test_work_grows_with_the_elements_of_a_page():
+    icons = lambda n: "<p hidden>a</p><br><svg class='fb-root'></svg>" * n
+    assert _work(icons(2000)) < 2.1 * _work(icons(1000))
+
+
+def test_nested_areas_do_not_repeat_their_markup(spark):
+    inner = "<p>lungo</p>" * 2000
+    p = page(spark, "<div role=region>" * 50 + inner + "</div>" * 50 + "<nav><a href=/x>vai</a></nav>")
+    shown = html_tree.element_tree(p, detail=S.CHECK_TAGS).filter("html is not null")
+    assert rows(shown, "tag") == [("a",), ("nav",)]
+
+
+def test_states_of_nested_elements(spark):
+    body = '<div hidden><p style="visibility:visible">a</p></div><svg><path></path></svg><p style="opacity: 0.00">b</p><iframe x=1 y="in q z"><b>c</b></iframe>'
+    given = spark.createDataFrame([(2, "late", "", "x", "=", "1"), (1, "early", "b", "", "", ""), (3, "word", "iframe", "y", "~", "q")], "rule_order int, vendor string, tag string, attr string, op string, value string")
+    e = html_tree.element_tree(page(spark, body), given).filter("tag not in ('html', 'body')")
+    got = [tuple(r) for r in e.orderBy("ordinal").select("tag", "visible", "skipped", "vendor").collect()]
+    assert got == [
+        ("div", False, False, None), ("p", False, False, None), ("svg", True, True, None), ("path", True, True, None),
+        ("p", False, False, None), ("iframe", True, False, "late"), ("b", True, False, "late"),
+    ]

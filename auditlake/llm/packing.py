@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -78,6 +79,12 @@ class WordIds(dict):
         return ids
 
 
+@functools.cache
+def word_ids(tokenizer: str, spelled: bool) -> WordIds:
+    """One per worker, for all its tasks."""
+    return WordIds(tokenizer, spelled)
+
+
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spelled: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, ids``.
 
@@ -90,7 +97,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spelled:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer, spelled)
+        words = word_ids(tokenizer, spelled)
         end = packed([END])
         for batch in batches:
             of, piece, start, length, ids = [], [], [], [], []

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import running
 from ..functions.text import half_up
 from ..lineage import cut
 from .identity import VENDOR_PREFIX
@@ -45,11 +46,20 @@ class Analysis(NamedTuple):
     """Findings and their bridge tables, all keyed by ``finding_id``."""
 
     findings: DataFrame
-    citations: DataFrame  # finding_id, rank, evidence_id, page_url, check_id, ordinal
+    evidence: DataFrame
     components: DataFrame  # finding_id, component
     templates: DataFrame  # finding_id, fingerprint
     sites: DataFrame  # finding_id, site_id
 
+    @property
+    def citations(self) -> DataFrame:
+        """All citations (see ``cite``), made anew at each use."""
+        return cite(self.evidence)
+
+    def cited(self, limit: int) -> DataFrame:
+        """The first ``limit`` citations of each finding."""
+        return cite(self.evidence, limit)
+
 
 def dedupe_key() -> Column:
     """What makes two pieces of evidence the same problem."""
@@ -117,22 +127,18 @@ def _join(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
 def group_evidence(evidence: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """One row per dedupe key with counts and extremes.
 
-    Extremes and counts come from narrow rows, distinct counts from
-    ``touches``. The first row of a group, found by its order columns, brings its
-    record, of which one per group is read and parsed.
+    Extremes and counts come from one pass, distinct counts from ``touches``.
+    The first row of a group, by its order columns, brings its record along:
+    tasks keep one record per group, so wide rows don't cross the shuffle.
     """
     component = F.when(F.col("component_signature") != "", F.col("component_signature"))
-    keyed = evidence.withColumn("key", dedupe_key())
+    keyed = evidence.select(dedupe_key().alias("key"), *FIRST, "component_signature", "data", "observation", "engine_impact")
     grouped = keyed.groupBy("key").agg(
-        F.min(F.struct(*FIRST)).alias("_at"),
+        F.min(F.struct(*FIRST, "component_signature", "data", "observation")).alias("_first"),
         F.min(F.when(component.isNotNull(), F.struct(*FIRST, "component_signature"))).alias("_named"),
         F.max(impact_score(F.coalesce("engine_impact", F.lit("moderate")))).alias("user_impact"),
         F.count("*").alias("evidence_count"),
     )
-    record = F.struct("check_id", "component_signature", "data", "observation")
-    firsts = grouped.select("key", *[F.col(f"_at.{c}").alias(c) for c in FIRST])
-    firsts = _join(keyed, firsts, ["key", *FIRST]).groupBy("key").agg(F.min(record).alias("_first"))
-    grouped = grouped.join(firsts, "key")
     touched = touched if touched is not None else touches(evidence)
     # criteria are a closed list of a few dozen values, so the set per key is small
     counts = touched.groupBy("key").agg(
@@ -197,21 +203,17 @@ def text_key(check_id: Column) -> Column:
 def cite(evidence: DataFrame, limit: int | None = None) -> DataFrame:
     """Evidence ids of every finding in order, with what orders them.
 
-    All of them by default: a row is ranked within its page, and moved by the
-    rows of the pages before it, so no task sorts a whole finding. A caller may
-    take the first ``limit`` (25 is usual); that cut happens before the shuffle.
+    All of them by default, ranked in two levels (``running.ranked``), so no
+    task sorts a whole finding. A caller may take the first ``limit`` (25 is
+    usual); that cut happens before the shuffle.
     """
     keyed = evidence.select(dedupe_key().alias("key"), *FIRST)
     if limit is not None:
         order = Window.partitionBy("key").orderBy(*FIRST)
-        ranked = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        numbered = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     else:
-        page = Window.partitionBy("key").orderBy("page_url")
-        pages = keyed.groupBy("key", "page_url").agg(F.count("*").alias("_n"))
-        pages = pages.withColumn("_before", F.sum("_n").over(page) - F.col("_n")).drop("_n")
-        own = F.row_number().over(Window.partitionBy("key", "page_url").orderBy(*FIRST))
-        ranked = _join(keyed.withColumn("_own", own), pages, ["key", "page_url"]).withColumn("rank", (F.col("_before") + F.col("_own")).cast("int"))
-    return ranked.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"), "page_url", "check_id", "ordinal")
+        numbered = running.ranked(keyed, "key", FIRST, "rank").withColumn("rank", F.col("rank").cast("int"))
+    return numbered.select(finding_id(F.col("key")).alias("finding_id"), "rank", F.col("id").alias("evidence_id"), "page_url", "check_id", "ordinal")
 
 
 def cited_evidence(citations: DataFrame, evidence: DataFrame, *columns: str) -> DataFrame:
@@ -370,7 +372,7 @@ def analyse(
         F.lit(False).alias("ai_generated"),
         "can_fail",
     )
-    return Analysis(findings, cite(evidence), touched_values(touched, "component"), finding_templates, finding_sites)
+    return Analysis(findings, evidence, touched_values(touched, "component"), finding_templates, finding_sites)
 
 
 def verdict_rank(value: Column) -> Column:

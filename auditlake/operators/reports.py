@@ -189,7 +189,7 @@ def search(
     site: str = "",
     owner: str = "",
 ) -> DataFrame:
-    """Faceted finding search; an empty facet does not filter."""
+    """Faceted finding search; an empty facet does not filter (R8). ``search_all`` answers many at once."""
     out = findings
     for column, value in (("verdict", verdict), ("band", band), ("owner", owner)):
         if value:
@@ -203,6 +203,28 @@ def search(
     return out
 
 
+def search_all(findings: DataFrame, finding_sites: DataFrame, requests: DataFrame) -> DataFrame:
+    """Answers to any number of searches (R8): ``request_id, finding_id``.
+
+    ``requests(request_id, text, verdict, band, site, owner)``; an empty or null
+    facet does not filter. A finding stands under each of its facet values and
+    under none, for every combination of the four, so requests meet their
+    findings by an equal join on all facets; only then is the text looked for.
+    Facets have few values and a finding few sites, so that is some tens of
+    narrow rows each.
+    """
+    wanted = requests.select("request_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("needle"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("verdict", "band", "site", "owner")])
+    words = F.lower(F.concat_ws(" ", "title", "component", F.array_join("criteria", " "), "description", "owner"))
+    rows = findings.select("finding_id", words.alias("words"), "verdict", "band", "owner")
+    for facet in ("verdict", "band", "owner"):
+        under = F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce(facet, F.lit("")))))
+        rows = rows.select(*[c for c in rows.columns if c != facet], under.alias(facet))
+    everywhere = findings.select("finding_id", F.lit("").alias("site"))
+    at = everywhere.unionByName(finding_sites.filter(F.col("site_id") != "").select("finding_id", F.col("site_id").alias("site"))).dropDuplicates()
+    met = rows.join(at, "finding_id").join(wanted, ["verdict", "band", "site", "owner"])
+    return met.filter((F.col("needle") == "") | F.contains("words", F.col("needle"))).select("request_id", "finding_id")
+
+
 def results_by_facet(findings: DataFrame) -> DataFrame:
     """Counts by band, by owner and by both, in one cube."""
     return (

@@ -61,7 +61,8 @@ def pack_rows(
     """One self-contained row per candidate (T2): criterion details, cap, samples.
 
     A row is a message of bounded size, so it carries ``per_finding`` samples
-    beside the full ``evidence_count``; ``pack_samples`` has all as rows.
+    beside the full ``evidence_count``, and ``citations`` need hold no more than
+    these; ``pack_samples`` has all as rows.
     """
     table = dims.or_own(criteria, dims.criteria(findings.sparkSession))
     chosen = candidates(findings)
@@ -171,23 +172,27 @@ def apply_triage(findings: DataFrame, answers: DataFrame, order: list[str] | Non
     return merged, refused
 
 
+def review_notes(findings: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """All that ``citations`` lead to for findings that wait for a person, one row per record (T5)."""
+    waiting = findings.filter(F.col("verdict") == "needs-review").select("finding_id")
+    return cited_evidence(citations.join(waiting, "finding_id", "left_semi"), evidence, "page_url", "observation", "selector", "screenshot")
+
+
 def review_queue(findings: DataFrame, citations: DataFrame, evidence: DataFrame, notes: int = REVIEW_NOTES) -> DataFrame:
     """What a person has to look at, gravest first (T5).
 
     ``n_pages`` and ``n_rows`` count all evidence. A row of the queue carries the
-    first ``notes`` records; ``citations`` lead to all others.
+    first ``notes`` records, so ``citations`` need hold no more than these;
+    ``review_notes`` has all as rows.
     """
-    waiting = findings.filter(F.col("verdict") == "needs-review")
-    open_citations = citations.join(waiting.select("finding_id"), "finding_id", "left_semi")
-    counted = open_citations.groupBy("finding_id", "page_url").agg(F.count("*").alias("n")).groupBy("finding_id")
-    counted = counted.agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_rows"))
-    cited = cited_evidence(open_citations.filter(F.col("rank") <= notes), evidence, "page_url", "observation", "selector", "screenshot")
+    waiting = findings.filter(F.col("verdict") == "needs-review").withColumns({"n_pages": F.col("page_count"), "n_rows": F.col("evidence_count")})
+    cited = review_notes(waiting, citations.filter(F.col("rank") <= notes), evidence)
     # at most ``notes`` rows per finding from here on
     listed = cited.groupBy("finding_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "page_url", "observation", "selector"))).alias("notes"),
         F.min_by("screenshot", F.when(F.coalesce("screenshot", F.lit("")) != "", F.col("rank"))).alias("screenshot"),
     )
-    rows = waiting.join(counted, "finding_id", "left").join(listed, "finding_id", "left")
+    rows = waiting.join(listed, "finding_id", "left")
     return rows.orderBy(F.col("score").desc(), "finding_id")
 
 

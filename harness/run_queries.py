@@ -157,7 +157,7 @@ def _(spark, sf):
     inputs = log_audit(spark, sf)
     audit = log_findings(spark, sf, stored=True, inputs=inputs)
     ev = inputs[0].withColumn("html", F.lit(""))
-    rows = T.pack_rows(audit.findings, audit.citations, ev)
+    rows = T.pack_rows(audit.findings, audit.cited(T.PACK_SAMPLES), ev)
     details = F.array_join(F.transform("criteria_details", lambda c: F.concat_ws("/", c["title"], c["level"], c["automation"])), ";")
     return rows.select("finding_id", "pack_id", "max_verdict", details.alias("details"), F.size("samples").alias("samples"))
 
@@ -235,10 +235,21 @@ def _(spark, sf):
 def _(spark, sf):
     inputs = log_audit(spark, sf)
     audit = log_findings(spark, sf, stored=True, inputs=inputs)
-    queue = T.review_queue(audit.findings, audit.citations, inputs[0])
+    queue = T.review_queue(audit.findings, audit.cited(T.REVIEW_NOTES), inputs[0])
     return queue.select("finding_id", "score", "n_pages", F.array_join("notes.observation", "|").alias("notes"), "screenshot", "n_rows")
 
 
+@query(
+    "t5_review_notes",
+    """SELECT finding_id, c.rank, e.page_url, e.observation, e.selector, e.screenshot FROM l_cite c JOIN ev1_one e ON e.id = c.evidence_id
+    JOIN l_finding USING (finding_id) WHERE verdict = 'needs-review'""",
+)
+def _(spark, sf):
+    inputs = log_audit(spark, sf)
+    audit = log_findings(spark, sf, inputs=inputs)
+    return T.review_notes(audit.findings, audit.citations, inputs[0])
+
+
 block(
     "review_log",
     """SELECT n.finding_id, CASE doc_id % 5 WHEN 0 THEN 'non-conforme' WHEN 1 THEN 'conforme' WHEN 2 THEN 'irrilevante' WHEN 3 THEN 'da-approfondire' ELSE 'boh' END AS outcome, doc_id AS ts
@@ -312,7 +323,7 @@ def _(spark, sf):
 def _(spark, sf):
     inputs = log_audit(spark, sf)
     a = log_findings(spark, sf, stored=True, inputs=inputs)
-    return R.backlog(a.findings, a.citations, a.sites, inputs[2])
+    return R.backlog(a.findings, a.cited(1), a.sites, inputs[2])
 
 
 @query(
@@ -364,8 +375,31 @@ def _(spark, sf):
     return R.criteria_frequency(log_findings(spark, sf).findings)
 
 
+# every combination of facets, absent and unknown values among them, with and without text
+SEARCHED = {
+    "text": ["", " BLK-1", "Contrast", "qwertz"], "verdict": ["", "fail", "needs-review", "pass"], "band": ["", "critica", "alta", "media", "bassa"],
+    "site": ["", "s0", "s3", "nowhere"], "owner": ["", *T.OWNERS],
+}
+block("searched", "SELECT concat_ws('/', text, verdict, band, site, owner) AS request_id, * FROM " + ", ".join(f"(VALUES {', '.join(f"('{v}')" for v in vs)}) {c}_({c})" for c, vs in SEARCHED.items()))
+
+
 @query(
     "r8_finding_search",
+    """SELECT request_id, finding_id FROM l_finding f JOIN searched s ON (s.verdict IN ('', f.verdict)) AND (s.band IN ('', f.band)) AND (s.owner IN ('', f.owner))
+      AND contains(lower(concat_ws(' ', title, component, array_to_string(criteria, ' '), description, f.owner)), lower(trim(s.text)))
+    WHERE s.site = '' OR EXISTS (SELECT 1 FROM l_keyed k WHERE k.key = f.key AND site_id = s.site)""",
+)
+def _(spark, sf):
+    a = log_findings(spark, sf, stored=True)
+    requests = spark.range(1)
+    for column, kinds in SEARCHED.items():
+        requests = requests.withColumn(column, F.explode(F.array(*map(F.lit, kinds))))
+    requests = requests.withColumn("request_id", F.concat_ws("/", *SEARCHED))
+    return R.search_all(a.findings, a.sites, requests)
+
+
+@query(
+    "r8_one_search",
     """SELECT finding_id FROM l_finding f WHERE verdict = 'needs-review' AND band = 'bassa' AND owner = 'frontend' AND contains(lower(title || ' ' || component), 'blk-1')
       AND EXISTS (SELECT 1 FROM l_keyed k WHERE k.key = f.key AND site_id = 's3')""",
 )
@@ -390,7 +424,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     a = log_findings(spark, sf, stored=True)
-    rows = R.comparison_rows(a.findings, a.citations)
+    rows = R.comparison_rows(a.findings, a.cited(1))
     return rows.select("finding_id", "title", "component", "band", "score", "verdict", "occurrence_count", "pages", "owner", "confidence")
 
 

@@ -235,20 +235,41 @@ def _(spark, sf):
     return ST.alternates(tree(spark, sf))
 
 
-block(
-    "field_name",
-    values(
-        [(11, "input", ""), (12, "input", "Recapito tel"), (13, "input", "uno"), (13, "input", "due"), (14, "input", "uno"), (14, "input", "due"), (15, "input", "Cerca"),
-         (16, "input", "Cerca"), (22, "input", "Email"), (23, "input", "Codice CAP"), (24, "input", "Cognome e nome"), (25, "input", "Parola"), (26, "select", "Paese"),
-         (27, "textarea", ""), (36, "input", "")],
-        "v, tag, name",
-    ),
-)
+# what each form adds, element by element: tag and name, {k} and {name} to be filled in
+FORM_NAMES = [
+    "p=|img={dash}", "img=Foto {k}", "a=|img=", "span=|img=", "img={long}x", "figure=|div=|img={name} bello|figcaption={name} Bello", "a=Scheda {name}", "a=Altra {name}",
+    "a=https://shop.example/it/percorso/lungo/{k}", "a=Leggi di piu'", "a=Leggi di piu'", "form=|input=", "label=Recapito tel|input=Recapito tel", "p=|input=uno|input=due",
+    "fieldset=|legend=Q|input=uno|input=due", "form=|input=Cerca", "form=|input=Cerca|button=Vai", "h2=", "h4={name}", "div=|img=foto|h6=x", "img=", "ul=|li=|a=Uno {k}|li=|p=|p=",
+    "label=Email|input=Email", "span=Codice CAP|input=Codice CAP", "input=Cognome e nome", "input=Parola", "select=Paese|option=IT|option=FR", "textarea=", "div=|div=|button=",
+    "section=|div=|a=Vai alla scheda {k}", "div=|a=Test {k}", "h3=", "img=Logo", "button=|img=", "button=Ok|img=", "a=Torna su", "input=", "a=Testo composto|span=|b=", "img={name} in mostra", "div=|p=",
+]
+# and what it says aloud
+FORM_TEXTS = {
+    5: "{name} Bello", 6: "Scheda {name}", 7: "Altra {name}", 8: "https://shop.example/it/percorso/lungo/{k}", 9: "Leggi di piu'", 10: " Leggi di piu' ", 12: "Recapito tel", 14: "Q", 16: "Vai", 17: " ",
+    18: "{name}", 19: "x", 21: "Uno {k}dueaabb", 22: "Email ", 23: "Codice CAP", 26: "ITFR", 29: "Vai alla scheda {k}", 30: "Test {k}", 34: "Ok ", 35: "Torna su", 37: "Testo composto", 39: "Testo",
+}
+block("form_name", values([(v, *e.split("=", 1)) for v, form in enumerate(FORM_NAMES) for e in form.split("|")], "v, tag, name"))
+block("form_text", values([(v, FORM_TEXTS.get(v, "")) for v in range(len(FORMS))], "v, said"))
+FILLED = "replace(replace(replace(replace({}, '{{dash}}', replace(i.name, ' ', '-')), '{{long}}', repeat(i.name || ' ', 40)), '{{name}}', i.name), '{{k}}', i.k::VARCHAR)"
 
 
-@query("c7_accessible_names", "SELECT url, tag, f.name FROM shop_item JOIN field_name f USING (v)")
+@query(
+    "c7_accessible_names",
+    f"""SELECT i.url, f.tag, {FILLED.format("f.name")} AS name FROM shop_item i JOIN form_name f USING (v)
+    UNION ALL SELECT url, tag, name FROM shop_page, (VALUES ('html', ''), ('head', ''), ('link', ''), ('link', ''), ('style', ''), ('body', ''), ('header', ''), ('nav', ''), ('ul', ''), ('li', ''), ('li', ''),
+      ('a', 'Home'), ('a', 'Domande'), ('footer', ''), ('p', '')) t(tag, name)
+    UNION ALL SELECT url, 'title', CASE n % 11 WHEN 4 THEN '' WHEN 6 THEN 'Shop' ELSE 'Catalogo & ' || n END FROM shop_page
+    UNION ALL SELECT url, 'a', 'Salta al contenuto' FROM shop_page WHERE n % 5 = 1
+    UNION ALL SELECT url, 'h1', 'Catalogo ' || n FROM shop_page WHERE n % 7 <> 3
+    UNION ALL SELECT url, 'h1', 'Bis' FROM shop_page WHERE n % 7 = 5
+    UNION ALL SELECT url, 'main', '' FROM shop_page WHERE n % 3 = 0
+    UNION ALL SELECT url, 'nav', CASE WHEN n % 4 = 0 THEN 'Servizio' ELSE '' END FROM shop_page WHERE n % 2 = 0
+    UNION ALL SELECT url, 'main', trim(regexp_replace(CASE WHEN n % 7 = 3 THEN '' ELSE 'Catalogo ' || n END || CASE WHEN n % 7 = 5 THEN 'Bis' ELSE '' END
+        || string_agg({FILLED.format("t.said")}, chr(10) ORDER BY k), '\\s+', ' ', 'g'))
+      FROM shop_item i JOIN form_text t USING (v) GROUP BY url, n""",
+)
 def _(spark, sf):
-    named = ST.accessible_names(tree(spark, sf), F.col("tag").isin("input", "select", "textarea"))
+    named = ST.accessible_names(tree(spark, sf), F.lit(True))
     return named.select("url", "tag", "name")
 
 
@@ -313,21 +334,57 @@ def _(spark, sf):
     return html_tree.element_tree(pages, detail=set()).filter("vendor IS NOT NULL").select("url", "tag", "vendor")
 
 
-@query("c9_css_paths", "SELECT url, 'main#contenuto > section.card-box > div > a.cta-link.aBcDeF' AS path FROM shop_item WHERE v = 29 UNION ALL SELECT url, 'input#t' || k FROM shop_item WHERE v = 12")
+# tag, path with places of list items and paragraphs left open, chain to the closest area, signature
+block(
+    "corpus_place",
+    values(
+        [
+            ("html", "html", "html", "body > html"), ("head", "html > head", "head<html", "body > html > head"), ("meta", "html > head > meta", "meta<head<html", "body > html > head > meta"),
+            ("title", "html > head > title", "title<head<html", "body > html > head > title"), ("style", "html > head > style", "style<head<html", "body > html > head > style"),
+            ("script", "html > head > script", "script<head<html", "body > html > head > script"), ("body", "html > body", "body<html", "body > html > body"),
+            ("nav", "nav", "nav*", "nav > "), ("ul", "nav > ul", "ul<nav*", "nav > ul"), ("li", "nav > ul > li{li}", "li<ul<nav*", "nav > ul > li"),
+            ("a", "nav > ul > li{li} > a", "a<li<ul<nav*", "nav > ul > li > a"), ("div", "div.ad", "div.ad", "body > div.ad"), ("article", "article", "article", "body > article"),
+            ("h1", "article > h1", "h1<article", "body > article > h1"), ("p", "article > p{p}", "p<article", "body > article > p"), ("b", "article > p{p} > b", "b<p<article", "body > article > p > b"),
+            ("br", "article > p{p} > b > br", "br<b<p<article", "body > article > p > b > br"), ("footer", "footer", "footer*", "footer > "),
+        ],
+        "tag, path, chain, signature",
+    ),
+)
+# every start tag of the corpus in turn, whose layout is the same on all pages: lists of links and paragraphs vary
+block(
+    "corpus_tag",
+    r"""SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS seq FROM (
+      SELECT page_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script)[^>]*>.*?</script\s*>', '\1>', 'gsi'), '(<style)[^>]*>.*?</style\s*>', '\1>', 'gsi'),
+        '<([a-zA-Z][a-zA-Z0-9-]*)', 1), lambda t: lower(t)) AS l FROM pages)""",
+)
+block(
+    "corpus_el",
+    """SELECT page_id, seq, tag, p.path, p.chain, p.signature,
+      CASE WHEN lis > 1 THEN ':nth-of-type(' || li || ')' ELSE '' END AS li, CASE WHEN ps > 1 THEN ':nth-of-type(' || p || ')' ELSE '' END AS p
+    FROM (SELECT *, count(*) FILTER (tag = 'li') OVER w AS li, count(*) FILTER (tag = 'p') OVER w AS p, count(*) FILTER (tag = 'li') OVER (PARTITION BY page_id) AS lis,
+        count(*) FILTER (tag = 'p') OVER (PARTITION BY page_id) AS ps FROM corpus_tag WINDOW w AS (PARTITION BY page_id ORDER BY seq))
+    JOIN corpus_place p USING (tag)""",
+)
+def corpus_elements(spark, sf):
+    """Element rows of all corpus pages with all their columns."""
+    return html_tree.element_tree(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), "html"))
+
+
+def by_page(rows):
+    return rows.withColumn("page_id", F.col("url").cast("long")).drop("url")
+
+
+@query("c9_css_paths", "SELECT page_id, tag, replace(replace(path, '{li}', li), '{p}', p) AS path FROM corpus_el")
 def _(spark, sf):
-    chosen = F.coalesce(ST.attr("class").contains("cta-link"), F.lit(False)) | ST.attr("required").isNotNull()
-    return tree(spark, sf).filter(chosen).select("url", ST.css_path().alias("path"))
+    return by_page(corpus_elements(spark, sf).select("url", "tag", ST.css_path().alias("path")))
 
 
-@query(
-    "c10_ancestor_chains",
-    """SELECT url, tag, nodes FROM (SELECT url, 'a' AS tag, 4 AS nodes FROM shop_item WHERE v = 29 UNION ALL SELECT url, 'h4', 2 FROM shop_item WHERE v = 18
-      UNION ALL SELECT url, 'figcaption', 3 FROM shop_item WHERE v = 5)""",
-)
+@query("c10_ancestor_chains", "SELECT page_id, tag, chain FROM corpus_el")
 def _(spark, sf):
-    chosen = F.col("tag").isin("h4", "figcaption") | F.coalesce(ST.attr("class").contains("cta-link"), F.lit(False))
+    """A node is its tag, classes after dots, ``*`` for an area; the element comes first."""
     chain = F.from_json(ST.signature_input(), ID.CHAIN_DDL)["chain"]
-    return tree(spark, sf).filter(chosen).select("url", "tag", F.size(chain).alias("nodes"))
+    node = lambda n: F.concat(n["tag"], F.array_join(F.transform(n["classes"], lambda c: F.concat(F.lit("."), c)), ""), F.when(n["landmark"], "*").otherwise(""))
+    return by_page(corpus_elements(spark, sf).select("url", "tag", F.array_join(F.transform(chain, node), "<").alias("chain")))
 
 
 @query("c11_vendors", "SELECT url, tag, 'Google Maps' AS vendor FROM shop_item, (VALUES ('div'), ('div'), ('button')) t(tag) WHERE v = 28")
@@ -335,16 +392,29 @@ def _(spark, sf):
     return tree(spark, sf).filter(F.col("vendor").isNotNull()).select("url", "tag", "vendor")
 
 
-@query(
-    "c12_snippets",
-    """SELECT url, '<span id="s' || k || '">Codice CAP</span>' AS html, '<span id="s...' AS head FROM shop_item WHERE v = 23""",
+# a paragraph ends where it is closed, where the next one starts or with its article; what it leaves open ends before that
+block(
+    "corpus_p",
+    """SELECT page_id, CASE WHEN contains(t, '</p>') THEN split_part(t, '</p>', 1) ELSE split_part(t, '</article>', 1) END AS inside, contains(t, '</p>') AS closed
+    FROM (SELECT page_id, unnest(string_split(regexp_replace(regexp_extract(html, '<article>.*</article>', 0, 's'), '<!--.*?-->', '', 'gs'), '<p>')[2:]) AS t FROM pages)""",
+)
+PAIRED = ("head", "title", "style", "script", "nav", "ul", "li", "a", "div", "article", "h1", "footer")
+block(
+    "corpus_markup",
+    "SELECT page_id, 'meta' AS tag, unnest(regexp_extract_all(html, '<meta[^>]*>')) AS html FROM pages"
+    + "".join(f" UNION ALL SELECT page_id, '{t}', unnest(regexp_extract_all(html, '(?s)<{t}(?: [^>]*)?>.*?</{t}>')) FROM pages" for t in PAIRED)
+    + "".join(f" UNION ALL SELECT page_id, '{t}', regexp_extract(html, '(?s)<{t}(?: [^>]*)?>.*') FROM pages" for t in ("html", "body"))
+    + """ UNION ALL SELECT page_id, 'p', '<p>' || inside || CASE WHEN closed THEN '</p>' ELSE '' END FROM corpus_p
+    UNION ALL SELECT page_id, 'b', '<b>' || split_part(inside, '<b>', 2) FROM corpus_p WHERE contains(inside, '<b>')
+    UNION ALL SELECT page_id, 'br', '<br>' FROM corpus_p WHERE contains(inside, '<br>')""",
 )
+
+
+@query("c12_snippets", r"""SELECT page_id, tag, flat AS html, CASE WHEN length(flat) > 11 THEN left(flat, 11) || '...' ELSE flat END AS head FROM (SELECT page_id, tag, regexp_replace(html, '\s+', ' ', 'g') AS flat FROM corpus_markup)""")
 def _(spark, sf):
     from auditlake.functions.text import snippet
 
-    chosen = (F.col("tag") == "span") & ST.attr("id").isNotNull()
-    rows = tree(spark, sf).filter(chosen)
-    return rows.select("url", snippet(F.col("html")).alias("html"), snippet(F.col("html"), 11).alias("head"))
+    return by_page(corpus_elements(spark, sf).select("url", "tag", snippet(F.col("html")).alias("html"), snippet(F.col("html"), 11).alias("head")))
 
 
 @query(
@@ -369,39 +439,50 @@ def store_registry(spark, sf):
     return classes, ids
 
 
+# form, check, signature of the element it finds; forms 22 to 27 stand in the paragraph that form 21 leaves open
+FORM_SIGNATURES = [
+    (0, "img-alt-is-filename", "main#contenuto > p > img"), (1, "img-alt-placeholder", "main#contenuto > img"), (32, "img-alt-placeholder", "main#contenuto > img"),
+    (2, "img-empty-alt-in-link", "main#contenuto > a > img"), (33, "img-empty-alt-in-link", "main#contenuto > button > img"), (3, "img-empty-alt-review", "main#contenuto > img"),
+    (34, "img-empty-alt-review", "main#contenuto > button > img"), (4, "img-alt-too-long", "main#contenuto > img"), (5, "img-alt-duplicates-caption", "main#contenuto > figure > img"),
+    (6, "link-new-window-unannounced", "main#contenuto > a"), (8, "link-raw-url-text", "main#contenuto > a"), (9, "link-generic-text", "main#contenuto > a"), (10, "link-generic-text", "main#contenuto > a"),
+    (9, "link-same-text-different-targets", "document"), (11, "form-placeholder-as-label", "form > input"), (27, "form-placeholder-as-label", "main#contenuto > p > textarea"),
+    (11, "form-missing-autocomplete", "form > input"), (22, "form-missing-autocomplete", "main#contenuto > p > label > input"), (23, "form-missing-autocomplete", "main#contenuto > p > input"),
+    (24, "form-missing-autocomplete", "main#contenuto > p > input"), (12, "form-required-not-indicated", "main#contenuto > input"), (26, "form-required-not-indicated", "main#contenuto > p > select"),
+    (13, "form-radiogroup-no-fieldset", "main#contenuto > p > input"), (15, "form-search-no-submit", "form[search] > input"), (17, "heading-empty", "main#contenuto > h2"),
+    (31, "heading-empty", "main#contenuto > h3"), (18, "heading-skipped-level", "main#contenuto > h4"), (31, "heading-skipped-level", "main#contenuto > h3"),
+]
+block("form_signature", values(FORM_SIGNATURES, "v, check_id, signature"))
 block(
     "shop_signature",
-    """SELECT url, 'link-raw-url-text' AS check_id, 'main#contenuto > a' AS signature FROM shop_item WHERE v = 8 AND k >= 10
-      UNION ALL SELECT url, 'img-empty-alt-review', CASE v WHEN 3 THEN 'main#contenuto > img' ELSE 'main#contenuto > button > img' END FROM shop_item WHERE v IN (3, 34)
-      UNION ALL SELECT url, 'img-alt-duplicates-caption', 'main#contenuto > figure > img' FROM shop_item WHERE v = 5
-      UNION ALL SELECT url, 'form-search-no-submit', 'form[search] > input' FROM shop_item WHERE v = 15""",
+    """SELECT url, check_id, signature FROM shop_item JOIN form_signature USING (v) WHERE (v <> 8 OR k >= 10) AND (v <> 31 OR check_id <> 'heading-skipped-level' OR n % 7 <> 3)
+      UNION ALL SELECT url, check_id, 'document' FROM shop_obs WHERE check_id IN ('heading-no-h1', 'title-missing', 'title-too-short', 'skiplink-missing')
+      UNION ALL SELECT url, check_id, 'main#contenuto > h1' FROM shop_obs WHERE check_id = 'heading-multiple-h1'
+      UNION ALL SELECT url, check_id, 'main.second-main > ' FROM shop_obs WHERE check_id = 'landmark-multiple-main'
+      UNION ALL SELECT url, check_id, 'nav.main-nav > ' FROM shop_obs WHERE check_id = 'landmark-nav-unlabeled'""",
 )
 
 
 @query("d9_d12_signatures", "SELECT url, check_id, signature FROM shop_signature")
 def _(spark, sf):
+    """Signatures of all that the static checks find in the shop."""
+    pages = store_pages(spark, sf).select("url")
     e = tree(spark, sf, S.CHECK_TAGS)
-    total = store_pages(spark, sf).agg(F.count("*")).scalar()
+    total = pages.agg(F.count("*")).scalar()
     classes = ID.stable_classes(ID.token_registry(ST.class_inventory(e)), total)
     ids = ID.stable_ids(ID.token_registry(ST.id_inventory(e)), total)
-    obs = S.image_checks(e).unionByName(S.link_checks(e)).unionByName(S.form_checks(e))
-    wanted = ["link-raw-url-text", "img-empty-alt-review", "img-alt-duplicates-caption", "form-search-no-submit"]
-    rows = cut(obs.filter(F.col("check_id").isin(wanted)).withColumnRenamed("component_signature", "signature_input"))
+    rows = cut(S.static_checks(pages, e).withColumnRenamed("component_signature", "signature_input"))
     return H.resolve_signatures(rows, classes, ids).select("url", "check_id", F.col("component_signature").alias("signature"))
 
 
-@query(
-    "d9_element_signatures",
-    """SELECT url, 'a' AS tag, 'main#contenuto > section.card-box > a.cta-link' AS signature FROM shop_item WHERE v = 29
-      UNION ALL SELECT url, 'a', 'main#contenuto > div[data-testid=box-' || k || '] > a[button]' FROM shop_item WHERE v = 30
-      UNION ALL SELECT url, 'button', 'terze-parti:Google Maps' FROM shop_item WHERE v = 28""",
-)
+@query("d9_element_signatures", "SELECT page_id, tag, signature FROM corpus_el")
 def _(spark, sf):
-    classes, ids = store_registry(spark, sf)
-    cls, role = F.coalesce(ST.attr("class"), F.lit("")), F.coalesce(ST.attr("role"), F.lit(""))
-    chosen = cls.contains("cta-link") | cls.contains("gm-control") | ((role == "button") & (F.col("tag") == "a"))
-    rows = tree(spark, sf).filter(chosen).select("url", "tag", ST.signature_input().alias("signature_input"), F.lit("{}").alias("data"))
-    return H.resolve_signatures(rows, classes, ids).select("url", "tag", F.col("component_signature").alias("signature"))
+    """Signatures of every element of the corpus under the registry of its own tokens."""
+    e = cut(corpus_elements(spark, sf))
+    total = table(spark, sf, "pages").agg(F.count("*")).scalar()
+    classes = ID.stable_classes(ID.token_registry(ST.class_inventory(e)), total)
+    ids = ID.stable_ids(ID.token_registry(ST.id_inventory(e)), total)
+    rows = e.select("url", "tag", ST.signature_input().alias("signature_input"), F.lit("{}").alias("data"))
+    return by_page(H.resolve_signatures(rows, classes, ids).select("url", "tag", F.col("component_signature").alias("signature")))
 
 
 @query(

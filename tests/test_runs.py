@@ -56,7 +56,7 @@ def test_hot_finding_keeps_and_cites_every_row(spark):
     assert len(row) == 1 and (row[0]["page_count"], row[0]["component_count"], row[0]["evidence_count"]) == (3000, 700, 3000)
     assert a.components.count() == 700
     assert sorted(r for (r,) in rows(a.citations, "rank")) == list(range(1, 3001))
-    assert I.cite(ev, limit=25).count() == 25
+    assert I.cite(ev, limit=25).count() == a.cited(25).count() == 25
     assert row[0]["component"].endswith("e altri 699 componenti")
 
 
@@ -224,3 +224,35 @@ def test_gates_count_and_examples_are_rows(spark):
         assert not issues[kind]["samples"] and issues[kind]["message"].startswith(f"{n} ")
         assert len(own) == n and {severity for severity, _ in own} == {issues[kind]["severity"]}
     assert {e for k, _, e in told if k == "unstable-signature"} == set(classes)
+
+
+def test_a_finding_on_a_million_pages_is_ranked_in_many_tasks(spark):
+    """The largest task holds a share of it, not all."""
+    from auditlake.functions import running
+
+    n = 1_000_000
+    rows = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.lit("rare")).otherwise(F.lit("hot")).alias("key"), F.md5(F.col("id").cast("string")).alias("page"))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = running.ranked(rows, "key", ["page"], "rank")
+        checked = ranked.groupBy("key", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.countDistinct("rank").alias("kinds")).collect()
+        order = ranked.groupBy("key").agg(F.min_by("page", "rank").alias("first"), F.min("page").alias("least")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for key, size in (("hot", n * 9 // 10), ("rare", n // 10)):
+        own = [r for r in checked if r["key"] == key]
+        assert sum(r["n"] for r in own) == sum(r["kinds"] for r in own) == max(r["high"] for r in own) == size and min(r["low"] for r in own) == 1
+    assert max(r["n"] for r in checked) < n // 8
+    assert all(r["first"] == r["least"] for r in order)
+
+
+def test_running_sums_of_ties_and_nulls(spark):
+    from auditlake.functions import running
+
+    rows = [(k, o, v) for k in ("a", None, "b") for o, v in ((None, 5), ("x", 1), ("x", 1), ("y", 2))]
+    df = spark.createDataFrame(rows, "k string, o string, v long").repartition(3)
+    got = running.running_sum(df, "k", ["o"], F.col("v"), "s")
+    assert sorted((r["k"] or "", r["s"]) for r in got.collect()) == sorted((k or "", s) for k in ("a", None, "b") for s in (5, 6, 7, 9))
+    assert running.ranked(df.limit(0), "k", ["o"], "r").count() == 0

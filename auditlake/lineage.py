@@ -17,8 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where none is named, one in the (equally shared) warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, as in tests, it is one in the warehouse, if executors
+    see that too: they do in local mode, and where the warehouse is not on a
+    machine's own disk. Otherwise this raises, as each executor would write to
+    a disk that no other reads.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    own_disk = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if own_disk and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse + "/checkpoints"
 
 
 def _database(spark: SparkSession) -> str:

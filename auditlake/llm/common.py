@@ -36,6 +36,20 @@ def shuffled(seed: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
 
 
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """``df`` with the columns of ``counted``, its rows counted by ``keys`` in ``n`` and some of these dropped.
+
+    Keys with more than one in ``share`` of all that ``counted`` counts are
+    fewer than ``share``: these are broadcast, so that however many rows one of
+    them has, no task gathers them. The other keys meet in a shuffle.
+    ``counted`` should be stored, as it is read three times.
+    """
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(counted.filter(F.col("n") * share > total))
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(counted.filter(F.col("n") * share <= total), keys)
+    return df.join(hot, keys).unionByName(rest)
+
+
 def ranked(df: DataFrame, key: str, order: list[str], out: str, digits: int = 3) -> DataFrame:
     """``df`` with ``out``: the rank (from 0) of each row within ``key``.
 

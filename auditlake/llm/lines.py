@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut
 
-from .common import rows
+from .common import join_counted, rows
 
 # fixed values
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +40,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
 
     Lines are split at newlines, their normalised keys hashed to 128 bits, and
     documents counted per hash with partial sums before the shuffle, so that a
-    line of any frequency sends one row per task. A shared line stays in the
+    line of any frequency sends one row per task, and its places find that it is
+    shared without meeting in one (``join_counted``). A shared line stays in the
     smallest ``doc_id`` that holds it. Only positions of lines to drop travel
     back to the texts, which are put together again by position.
 
@@ -58,11 +59,11 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
 
     once = narrow.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).filter("key IS NOT NULL")
     counted = once.groupBy("key.a", "key.b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
-    shared = counted.filter(F.col("n") >= min_docs)
+    shared = cut(counted.filter(F.col("n") >= min_docs))
 
     placed = narrow.select("doc_id", "text_key", F.posexplode("keys").alias("at", "key")).filter("key IS NOT NULL")
     placed = placed.select("doc_id", "text_key", "at", "key.a", "key.b")
-    dropped = placed.join(shared, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    dropped = join_counted(placed, shared, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     dropped = dropped.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("dropped"))
 
     dropped = dropped.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})

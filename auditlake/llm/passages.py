@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from auditlake.lineage import cut, release
 
-from .common import rows
+from .common import join_counted, rows
 
 #: Bytes of a passage, and of the anchor that each passage holds.
 LENGTH, ANCHOR = 400, 256
@@ -203,24 +203,27 @@ def _counted_contexts(contexts: DataFrame, kind: str) -> DataFrame:
 def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Stretches of bytes that repeated passages cover: ``doc_id, text_key, stretches``.
 
-    Only anchors that occur twice go on. Contexts with equal digests are
+    Only anchors that occur twice go on; the places of a very common one never
+    meet in a task (``join_counted``). Contexts with equal digests are
     repeated as a whole; where an anchor has differing contexts, one of each
     kind is fetched and sorted column by column with the others. Anchors with
     more than ``crowd`` differing contexts are counted by passage instead, so
     that no task has to hold them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = _occurrences(docs)
-    twice = every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    found = cut(every.join(twice, "a", "left_semi"))
+    every = cut(_occurrences(docs))
+    twice = cut(every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = cut(join_counted(every, twice, ["a"]).drop("n"))
+    release(every, twice)
     kinds = cut(found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("first")))
 
     # a repeated context is covered from end to end, as every byte of it is in a passage with the anchor
-    whole = found.join(kinds.filter("n > 1").select("a", "c"), ["a", "c"], "left_semi")
+    repeats = cut(kinds.filter("n > 1").select("a", "c", "n"))
+    whole = join_counted(found, repeats, ["a", "c"])
     whole = whole.select("doc_id", "text_key", F.greatest(F.lit(0), F.col("at") - SIDE).alias("lo"), (F.col("at") + ANCHOR + SIDE).alias("hi"))
 
-    mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(mixed, "a").select("first.doc_id", "first.text_key", F.struct("a", "kinds", "first.at").alias("mark"))
+    mixed = cut(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    wanted = join_counted(kinds.drop("n"), mixed, ["a"]).select("first.doc_id", "first.text_key", F.struct("a", F.col("n").alias("kinds"), "first.at").alias("mark"))
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("mark").alias("marks")).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     near = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
     near = near.select("doc_id", "text_key", F.col("text").cast("binary").alias("data"), F.inline("marks"))
@@ -234,7 +237,7 @@ def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         parts = parts.unionByName(_counted_contexts(many, kind))
     stretches = whole.unionByName(parts).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
     stored = cut(stretches)
-    release(found, kinds, contexts)
+    release(found, kinds, repeats, mixed, contexts)
     return stored
 
 

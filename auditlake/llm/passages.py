@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,18 +16,29 @@ from auditlake.lineage import cut, release
 
 from .common import join_counted, rows
 
-#: Bytes of a passage, and of the anchor that each passage holds.
-LENGTH, ANCHOR = 400, 256
-#: Bytes on either side of an anchor within passages that hold it.
-SIDE = LENGTH - ANCHOR
-WIDTH = ANCHOR + 2 * SIDE
+
+
+class Sizes(NamedTuple):
+    """Bytes of a passage, and of the anchor that each passage holds."""
+
+    length: int
+    anchor: int
+
+    @property
+    def side(self) -> int:
+        """Bytes on either side of an anchor within passages that hold it."""
+        return self.length - self.anchor
+
+
+#: Passages that are removed, and shorter ones of which a run is told if it has over ``WORDS`` words.
+PASSAGE, SHORT, WORDS = Sizes(400, 256), Sizes(256, 160), 50
 #: Contexts that are sorted together, and how many of one anchor are; beyond, passages are counted by digest.
 TOGETHER, CROWD = 1 << 14, 1 << 15
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 20
 
 SPAN = StructType().add("start", IntegerType()).add("end", IntegerType())
-LESS = StructType().add("kept", BinaryType()).add("spans", ArrayType(SPAN))
+LESS = StructType().add("kept", BinaryType()).add("spans", ArrayType(SPAN)).add("passages", IntegerType())
 
 _draw = np.random.Generator(np.random.PCG64(7))
 VALUES = _draw.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,26 +79,26 @@ def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(out[: len(out) - (width - size)], out[width - size :]) if size < width else out
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hashes, context digests and positions: in every passage, the runs of ``ANCHOR`` bytes with the least hash.
+def anchors(text: bytes, sizes: Sizes = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hashes, context digests and positions: in every passage, the runs of an anchor's bytes with the least hash.
 
     The choice depends on the passage's bytes alone, so equal passages have
-    equal anchors at equal places. A context is an anchor with ``SIDE`` bytes on
-    either side, as far as the text goes.
+    equal anchors at equal places. A context is an anchor with ``sizes.side``
+    bytes on either side, as far as the text goes.
     """
-    parts = []
-    for first in range(0, max(1, len(text) - ANCHOR + 1), SEGMENT):
-        low, high = max(0, first - 2 * LENGTH), min(len(text), first + SEGMENT + 2 * LENGTH)
+    length, anchor, side, parts = sizes.length, sizes.anchor, sizes.side, []
+    for first in range(0, max(1, len(text) - anchor + 1), SEGMENT):
+        low, high = max(0, first - 2 * length), min(len(text), first + SEGMENT + 2 * length)
         data = np.frombuffer(text, np.uint8, high - low, low)
-        if len(data) < LENGTH:
+        if len(data) < length:
             continue
         one, two = Hashes(data, 0), Hashes(data, 1)
-        start = np.arange(len(data) - ANCHOR + 1)
-        h = one.of(start, start + ANCHOR)
-        least = _sliding(h, SIDE + 1, np.minimum)
-        chosen = np.flatnonzero(h == _sliding(np.pad(least, SIDE), SIDE + 1, np.maximum))
+        start = np.arange(len(data) - anchor + 1)
+        h = one.of(start, start + anchor)
+        least = _sliding(h, side + 1, np.minimum)
+        chosen = np.flatnonzero(h == _sliding(np.pad(least, side), side + 1, np.maximum))
         chosen = chosen[(chosen + low >= first) & (chosen + low < first + SEGMENT)]
-        left, right = np.maximum(0, chosen - SIDE), np.minimum(len(data), chosen + ANCHOR + SIDE)
+        left, right = np.maximum(0, chosen - side), np.minimum(len(data), chosen + anchor + side)
         context = two.of(left, right) + (chosen - left).astype(np.uint64) * BASE
         parts.append((h[chosen], context, chosen + low))
     if not parts:
@@ -94,24 +106,24 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def repeated_starts(contexts: list[bytes], left: np.ndarray) -> np.ndarray:
-    """For each context, which of its ``SIDE + 1`` passages start like one of another context.
+def repeated_starts(contexts: list[bytes], left: np.ndarray, sizes: Sizes = PASSAGE) -> np.ndarray:
+    """For each context, which of its ``sizes.side + 1`` passages start like one of another context.
 
     Contexts stand side by side with their anchors in the same columns. From the
     last column to the first, each round inserts one symbol per context: the
     order of suffixes is sorted stably by it, which moves the transform one
     column on, and the common prefix of neighbours is one more than the least
     between them before. A passage is repeated where a neighbour shares
-    ``LENGTH`` symbols. What is outside a text equals nothing.
+    ``sizes.length`` symbols. What is outside a text equals nothing.
     """
-    n = len(contexts)
-    grid = np.full((n, WIDTH), 256, np.int16)
+    n, side, width = len(contexts), sizes.side, sizes.anchor + 2 * sizes.side
+    grid = np.full((n, width), 256, np.int16)
     for i, (context, lead) in enumerate(zip(contexts, left)):
-        grid[i, SIDE - lead : SIDE - lead + len(context)] = np.frombuffer(context, np.uint8)
+        grid[i, side - lead : side - lead + len(context)] = np.frombuffer(context, np.uint8)
     columns = np.ascontiguousarray(grid.T)
     order, common = np.arange(n), np.zeros(n, np.int32)
-    flags = np.zeros((SIDE + 1, n), bool)
-    for column in range(WIDTH - 1, -1, -1):
+    flags = np.zeros((side + 1, n), bool)
+    for column in range(width - 1, -1, -1):
         symbol = columns[column][order]
         moved = np.argsort(symbol, kind="stable")
         symbol = symbol[moved]
@@ -123,22 +135,22 @@ def repeated_starts(contexts: list[bytes], left: np.ndarray) -> np.ndarray:
                 # least common prefix from one suffix of this symbol to the next
                 after[first + 1 : last] = np.minimum.reduceat(common[: place[-1] + 1], place[:-1] + 1) + 1
         order, common = order[moved], after
-        if column <= SIDE:
-            like = common >= LENGTH
+        if column <= side:
+            like = common >= sizes.length
             like[:-1] |= like[1:]
             flags[column, order] = like
     return flags.T
 
 
-def _stretches(flags: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stretches(flags: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index, start and end of the bytes covered by each run of flagged passages."""
     edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     of, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    return of, at[of] - SIDE + first, at[of] - SIDE + last + LENGTH
+    return of, at[of] - sizes.side + first, at[of] - sizes.side + last + sizes.length
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, sizes: Sizes) -> DataFrame:
     """Every anchor of every text: ``doc_id, text_key, a, c, at``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -146,24 +158,24 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                marks = [anchors(t.as_py()) for t in part.column(2)]
+                marks = [anchors(t.as_py(), sizes) for t in part.column(2)]
                 offsets = pa.array(np.cumsum([0] + [len(m[0]) for m in marks]), pa.int32())
                 columns = [np.concatenate([m[k] for m in marks]) for k in range(3)]
                 entries = pa.StructArray.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), pa.array(columns[2].astype(np.int32))], ["a", "c", "at"])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, entries)], names=["doc_id", "text_key", "marks"])
 
-    long = docs.filter(F.octet_length("text") >= LENGTH).select("doc_id", "text_key", F.col("text").cast("binary").alias("text"))
+    long = docs.filter(F.octet_length("text") >= sizes.length).select("doc_id", "text_key", F.col("text").cast("binary").alias("text"))
     return long.mapInArrow(found, f"doc_id {kind}, text_key long, marks array<struct<a:long,c:long,at:int>>").select("doc_id", "text_key", F.inline("marks"))
 
 
-def _sorted_contexts(contexts: DataFrame, kind: str) -> DataFrame:
+def _sorted_contexts(contexts: DataFrame, kind: str, sizes: Sizes) -> DataFrame:
     """Stretches ``doc_id, text_key, lo, hi`` that other contexts of the same anchor repeat."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def result(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.reset_index(drop=True)
-            flags = repeated_starts(list(frame["context"]), frame["lead"].to_numpy())
-            of, lo, hi = _stretches(flags, frame["at"].to_numpy())
+            flags = repeated_starts(list(frame["context"]), frame["lead"].to_numpy(), sizes)
+            of, lo, hi = _stretches(flags, frame["at"].to_numpy(), sizes)
             return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[of], "text_key": frame["text_key"].to_numpy()[of], "lo": lo, "hi": hi})
 
         held: list[pd.DataFrame] = []
@@ -182,26 +194,26 @@ def _sorted_contexts(contexts: DataFrame, kind: str) -> DataFrame:
     return contexts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(compared, "doc_id string, text_key long, lo int, hi int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _counted_contexts(contexts: DataFrame, kind: str) -> DataFrame:
+def _counted_contexts(contexts: DataFrame, kind: str, sizes: Sizes) -> DataFrame:
     """The same for anchors with very many contexts: passages counted by 128-bit digest, with partial sums."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 data = np.frombuffer(r.context, np.uint8)
-                start = np.arange(len(data) - LENGTH + 1)
-                one, two = Hashes(data, 0).of(start, start + LENGTH), Hashes(data, 1).of(start, start + LENGTH)
+                start = np.arange(len(data) - sizes.length + 1)
+                one, two = Hashes(data, 0).of(start, start + sizes.length), Hashes(data, 1).of(start, start + sizes.length)
                 lo = start + r.at - r.lead
                 yield pd.DataFrame({"doc_id": r.doc_id, "text_key": r.text_key, "a": r.a, "off": start - r.lead, "one": one.view(np.int64), "two": two.view(np.int64), "lo": lo})
 
     each = contexts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(digests, "doc_id string, text_key long, a long, off int, one long, two long, lo int")
     keys = ["a", "off", "one", "two"]
     twice = each.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return each.join(twice, keys).select(F.col("doc_id").cast(kind).alias("doc_id"), "text_key", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    return each.join(twice, keys).select(F.col("doc_id").cast(kind).alias("doc_id"), "text_key", "lo", (F.col("lo") + sizes.length).alias("hi"))
 
 
-def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Stretches of bytes that repeated passages cover: ``doc_id, text_key, stretches``.
+def repeated(docs: DataFrame, crowd: int = CROWD, sizes: Sizes = PASSAGE) -> DataFrame:
+    """Stretches of bytes that repeated passages cover: ``doc_id, text_key, lo, hi``.
 
     Only anchors that occur twice go on; the places of a very common one never
     meet in a task (``join_counted``). Contexts with equal digests are
@@ -211,7 +223,7 @@ def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     that no task has to hold them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = cut(_occurrences(docs))
+    every = cut(_occurrences(docs, sizes))
     twice = cut(every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     found = cut(join_counted(every, twice, ["a"]).drop("n"))
     release(every, twice)
@@ -220,62 +232,83 @@ def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     # a repeated context is covered from end to end, as every byte of it is in a passage with the anchor
     repeats = cut(kinds.filter("n > 1").select("a", "c", "n"))
     whole = join_counted(found, repeats, ["a", "c"])
-    whole = whole.select("doc_id", "text_key", F.greatest(F.lit(0), F.col("at") - SIDE).alias("lo"), (F.col("at") + ANCHOR + SIDE).alias("hi"))
+    whole = whole.select("doc_id", "text_key", F.greatest(F.lit(0), F.col("at") - sizes.side).alias("lo"), (F.col("at") + sizes.anchor + sizes.side).alias("hi"))
 
     mixed = cut(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     wanted = join_counted(kinds.drop("n"), mixed, ["a"]).select("first.doc_id", "first.text_key", F.struct("a", F.col("n").alias("kinds"), "first.at").alias("mark"))
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("mark").alias("marks")).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     near = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
     near = near.select("doc_id", "text_key", F.col("text").cast("binary").alias("data"), F.inline("marks"))
-    near = near.withColumn("lead", F.least("at", F.lit(SIDE)))
-    near = near.select("doc_id", "text_key", "a", "kinds", "at", "lead", F.substring(F.col("data"), F.col("at") - F.col("lead") + 1, F.col("lead") + ANCHOR + SIDE).alias("context"))
+    near = near.withColumn("lead", F.least("at", F.lit(sizes.side)))
+    near = near.select("doc_id", "text_key", "a", "kinds", "at", "lead", F.substring(F.col("data"), F.col("at") - F.col("lead") + 1, F.col("lead") + sizes.anchor + sizes.side).alias("context"))
     contexts = cut(near)
     few = contexts.filter(F.col("kinds") <= crowd).drop("kinds").repartition("a").sortWithinPartitions("a")
     many = contexts.filter(F.col("kinds") > crowd).drop("kinds")
-    parts = _sorted_contexts(few, kind)
+    parts = _sorted_contexts(few, kind, sizes)
     if not many.isEmpty():
-        parts = parts.unionByName(_counted_contexts(many, kind))
-    stretches = whole.unionByName(parts).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
-    stored = cut(stretches)
+        parts = parts.unionByName(_counted_contexts(many, kind, sizes))
+    stored = cut(whole.unionByName(parts))
     release(found, kinds, repeats, mixed, contexts)
     return stored
 
 
+def _runs(stretches: list[dict], size: int) -> list[dict]:
+    """Maximal runs of bytes that stretches make together."""
+    runs: list[dict] = []
+    for lo, hi in sorted((s["lo"], min(s["hi"], size)) for s in stretches):
+        if runs and lo <= runs[-1]["end"]:
+            runs[-1]["end"] = max(hi, runs[-1]["end"])
+        else:
+            runs.append({"start": int(lo), "end": int(hi)})
+    return runs
+
+
+def _words(text: bytes, start: int, end: int) -> int:
+    """Whole words of a text within a run of its bytes."""
+    words = len(text[start:end].split())
+    cut_off = [at for at in (start, end) if 0 < at < len(text) and not text[at - 1 : at].isspace() and not text[at : at + 1].isspace()]
+    return words - len(cut_off)
+
+
 @F.pandas_udf(LESS)
 def _without(texts: pd.Series, stretches: pd.Series) -> pd.DataFrame:
-    """Texts less their stretches, and the runs they make together; nulls where there are none."""
-    kept, spans = [], []
+    """Texts less their stretches, the runs these make together, and the runs of short ones of many words; nulls where there are none."""
+    kept, spans, passages = [], [], []
     for text, own in zip(texts, stretches):
         if text is None or own is None:
-            kept.append(None), spans.append(None)
+            kept.append(None), spans.append(None), passages.append(None)
             continue
-        runs: list[dict] = []
-        for lo, hi in sorted((s["lo"], min(s["hi"], len(text))) for s in own):
-            if runs and lo <= runs[-1]["end"]:
-                runs[-1]["end"] = max(hi, runs[-1]["end"])
-            else:
-                runs.append({"start": int(lo), "end": int(hi)})
+        runs = _runs([s for s in own if not s["short"]], len(text))
         edges = [0, *(e for r in runs for e in (r["start"], r["end"])), len(text)]
         kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
         spans.append(runs)
-    return pd.DataFrame({"kept": kept, "spans": spans})
+        passages.append(sum(_words(text, r["start"], r["end"]) > WORDS for r in _runs([s for s in own if s["short"]], len(text))))
+    return pd.DataFrame({"kept": kept, "spans": spans, "passages": passages})
 
 
-def remove_repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Every row with its text less all passages of ``LENGTH`` bytes that start anywhere else too.
+def remove_repeated(docs: DataFrame, crowd: int = CROWD, sizes: Sizes = PASSAGE, short: Sizes | None = None) -> DataFrame:
+    """Every row with its text less all passages of ``sizes.length`` bytes that start anywhere else too.
 
     Returns ``row`` (the whole input row), ``doc_id, n_bytes, kept`` (binary: a
-    passage may end within a character) and ``spans``, the maximal removed runs
-    of bytes. Passages never cross documents; a passage that occurs twice in one
-    text, overlaps included, is removed as well. A null text is empty. Rows that
-    repeat an id and a text repeat each other's passages. An empty table gives
-    an empty result.
+    passage may end within a character), ``spans``, the maximal removed runs of
+    bytes, and ``n_passages``: with ``short``, a smaller size, how many runs of
+    repeated passages of that size have over ``WORDS`` words (0 without). These
+    are told, not removed. Passages never cross documents; a passage that
+    occurs twice in one text, overlaps included, counts as well. A null text is
+    empty. Rows that repeat an id and a text repeat each other's passages. An
+    empty table gives an empty result.
     """
     base = rows(docs, doc_id="doc_id", text=F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = base.withColumn("text_key", F.xxhash64("text"))
-    found = repeated(base.drop("row"), crowd).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
+    found = repeated(base.drop("row"), crowd, sizes).withColumn("short", F.lit(False))
+    if short is not None:
+        found = found.unionByName(repeated(base.drop("row"), crowd, short).withColumn("short", F.lit(True)))
+    found = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi", "short")).alias("stretches")).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
     data = F.col("text").cast("binary")
     joined = joined.withColumn("less", _without(F.when(F.col("stretches").isNotNull(), data), F.col("stretches")))
     spans = F.coalesce("less.spans", F.array().cast("array<struct<start:int,end:int>>"))
-    return joined.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("less.kept", data).alias("kept"), spans.alias("spans"))
+    return joined.select(
+        "row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("less.kept", data).alias("kept"), spans.alias("spans"),
+        F.coalesce("less.passages", F.lit(0)).cast("long").alias("n_passages"),
+    )

@@ -98,9 +98,9 @@ def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_repeated_passages")
 def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
-    less = passages.remove_repeated(documents(spark, sf))
+    less = passages.remove_repeated(documents(spark, sf), short=passages.SHORT)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return less.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return less.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 @query("op11_spelling_variants", spelling.SQL)

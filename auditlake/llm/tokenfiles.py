@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut
 
-from .packing import CACHED_BYTES, END, byte_letters
+from .packing import CACHED_BYTES, END, PLAIN, byte_letters
 
 MAGIC, HEADER, CODE = b"TOKIDS01", struct.Struct("<iiiiiqq"), struct.Struct("<qiiii")
 #: Set bits from one kept place to the next.
@@ -175,7 +175,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else ("I", 4)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.cut = re.compile(f" (?=[^{WHITE}])").split, regex.compile(PIECE).findall
@@ -183,13 +183,18 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def spelled(self, piece: str) -> bytes:
+        """Ids of one piece, from the tokenizer's model."""
+        plain = piece.isascii() and piece.isprintable()
+        letters = piece.replace(" ", self.letters[32]) if plain else "".join([self.letters[b] for b in piece.encode()])
+        return self.packed([t.id for t in self.model.tokenize(letters)])
 
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            spelled = "".join([self.letters[b] for b in piece.encode()])
-            found = self.packed([t.id for t in self.model.tokenize(spelled)])
+            found = self.spelled(piece)
             if len(piece) <= CACHED_BYTES:
                 if len(self.pieces) >= CACHED:
                     self.pieces.clear()
@@ -197,8 +202,11 @@ class Encoder:
         return found
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a space and ``chunk``."""
-        found = b"".join([self.piece(p) for p in self.cut(" " + chunk)])
+        """Ids of a space and ``chunk``; letters alone are one piece."""
+        if chunk.isalpha() and max(chunk) < PLAIN:
+            found = self.spelled(" " + chunk)
+        else:
+            found = b"".join([self.piece(p) for p in self.cut(" " + chunk)])
         if len(chunk) <= CACHED_BYTES:
             if len(self.chunks) >= CACHED:
                 self.chunks.clear()

@@ -258,7 +258,7 @@ def test_edits_against_brute_force(frame, clashing, prose, odd):
 
 
 # ---------------------------------------------------------------- passages
-def removed(texts, width=passages.LENGTH):
+def removed(texts, width=passages.PASSAGE.length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
     out = []
@@ -299,6 +299,19 @@ def test_segments_do_not_matter(frame, prose, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, passages.anchors(text)))
 
 
+def test_short_passages_of_many_words_are_told(frame, prose):
+    words = prose(31, 400).split()
+    passage = " ".join(words[:55])
+    assert 256 < len(passage) < 400
+    short, foot = " ".join(words[100:148]), " ".join(words[200:280])
+    assert 256 < len(short) and len(foot) > 400
+    rows = [(1, f"{prose(1, 80)} {passage} {prose(2, 30)}"), (2, f"{passage}. {prose(3, 90)}"), (3, f"{prose(4, 60)} {short}"), (4, f"{short} {prose(5, 60)}")]
+    rows += [(5, f"{prose(6, 20)}\n{foot}"), (6, f"{foot} {prose(7, 20)} {passage[:200]}"), (7, None), (8, prose(8, 300))]
+    got = {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["spans"]), r["n_passages"]) for r in passages.remove_repeated(frame(rows), short=passages.SHORT).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1, 7: 0, 8: 0}
+    assert {k for k, v in got.items() if v[0]} == {5, 6}
+
+
 def test_passages_of_odd_rows(frame, clashing, odd, prose):
     df = clashing(odd + [(None, prose(9, 120)), (90, prose(9, 120)), (90, prose(9, 120))])
     out = passages.remove_repeated(df)

@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..lineage import cut, release
 from ..operators.triage import OUTCOMES, latest
 from ..sources.logs import parse_results
 
+#: Parts of the store of review decisions.
+REVIEW_BUCKETS = 64
 REVIEW_DDL = "finding_id string, outcome string, note string, reviewer string, ts timestamp"
 
 
@@ -50,21 +54,40 @@ def scan_intake(lines: DataFrame, target: str, rejected: str, checkpoint: str, *
     return results, refused
 
 
-def review_intake(decisions: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append review decisions as they arrive (N2); readers take the latest per finding.
+def review_intake(decisions: DataFrame, target: str, checkpoint: str, buckets: int = REVIEW_BUCKETS, **trigger) -> StreamingQuery:
+    """Keep the latest review decision of each finding as decisions arrive.
 
-    ``decisions`` is a stream with the columns of ``REVIEW_DDL``. Append-only,
-    one folder per batch: concurrent reviewers never overwrite each other, and a
-    replayed batch rewrites only itself.
+    ``decisions`` is a stream with the columns of ``REVIEW_DDL``. The store is
+    dealt to ``buckets`` by finding: a batch reads the buckets it touches, merges
+    them with what it brings, the later decision winning, and replaces just
+    these. The store grows with findings, not with decisions, and a batch
+    replayed after a failure changes nothing, as the latest of the same rows is
+    the same.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         known = batch.filter(F.col("outcome").isin(OUTCOMES) & F.col("finding_id").isNotNull())
-        latest(known, "finding_id", ["ts"]).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        known = cut(latest(known, "finding_id", ["ts"]).withColumn("bucket", F.pmod(F.xxhash64("finding_id"), F.lit(buckets)).cast("int")))
+        stored = _stored_reviews(batch.sparkSession, target)
+        touched = stored.join(known.select("bucket").distinct(), "bucket", "left_semi")
+        # stored apart before the buckets it comes from are replaced
+        merged = cut(latest(touched.unionByName(known), "finding_id", ["ts"]))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        release(known, merged)
 
     return decisions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _stored_reviews(spark: SparkSession, target: str) -> DataFrame:
+    schema = f"{REVIEW_DDL}, bucket int"
+    try:
+        return spark.read.schema(schema).parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_reviews(spark: SparkSession, target: str) -> DataFrame:
-    """All stored decisions; pass them to ``apply_reviews``."""
-    return spark.read.parquet(target).drop("batch")
+    """The stored decisions, one row a finding; pass them to ``apply_reviews``."""
+    return _stored_reviews(spark, target).drop("bucket")

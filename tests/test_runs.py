@@ -182,6 +182,12 @@ def test_review_stream_latest_wins(spark, tmp_path):
 
     say("1.json", ("f1", "conforme", "2026-01-01T10:00:00Z"), ("f2", "boh", "2026-01-01T10:00:00Z"))
     say("2.json", ("f1", "non-conforme", "2026-01-02T10:00:00Z"), ("f3", "irrilevante", "2026-01-02T10:00:00Z"))
+    say("3.json", ("f1", "irrilevante", "2026-01-01T09:00:00Z"), ("f5", "boh", "2026-01-03T10:00:00Z"))
+    kept = rows(intake.read_reviews(spark, target), "finding_id", "outcome")
+    assert kept == [("f1", "non-conforme"), ("f3", "irrilevante")]  # one row a finding, the later one
+    state = str(tmp_path / "again")  # all files once more, as after a lost checkpoint
+    say("4.json")
+    assert rows(intake.read_reviews(spark, target), "finding_id", "outcome") == kept
     findings = spark.createDataFrame([(f, "needs-review") for f in ("f1", "f2", "f3", "f4")], "finding_id string, verdict string")
     done = T.apply_reviews(findings, intake.read_reviews(spark, target))
     assert rows(done, "finding_id", "verdict") == [("f1", "fail"), ("f2", "needs-review"), ("f3", "needs-review"), ("f4", "needs-review")]

@@ -54,7 +54,8 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = spelled
-        self.added = [] if spelled else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [] if spelled else [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.holds_added = regex.compile("|".join(added) or r"(?!)").search
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.cut, self.pieces = regex.compile(PIECE), {}
 
@@ -70,9 +71,10 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(word) > CACHED_BYTES or max(text) >= PLAIN or not text.isprintable() or any(t in text for t in self.added):
+        if len(word) > CACHED_BYTES or max(text) >= PLAIN or not text.isprintable() or self.holds_added(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        ids = b"".join([self.piece(p) for p in self.cut.findall(text.lower())])
+        text = text.lower()
+        ids = self.piece(text) if text.isalpha() else b"".join([self.piece(p) for p in self.cut.findall(text)])
         if len(self) >= CACHED:
             self.clear()
         self[word] = ids

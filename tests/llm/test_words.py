@@ -1,5 +1,6 @@
 """Spelling variants, token files and collocations against plain versions on small fixtures."""
 
+import os
 import random
 import re
 import zlib
@@ -172,6 +173,23 @@ def test_files_round_trip(spark, clashing, odd, byte_level, file_ids):
     assert whole.decode(file.ids(file.find(10)[0]).tolist()[:-1]) == "text 10 " * 3 and not file.find(12)
 
 
+def test_query_of_files_against_the_tokenizer(spark, byte_level):
+    from tokenizers import Tokenizer
+
+    from auditlake.llm.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("no tables")
+    whole, start, want = Tokenizer.from_file(byte_level), 0, []
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = whole.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = QUERIES["op12_token_files"](spark, small).orderBy("doc_id").select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_files_of_nothing(spark, frame, byte_level):
     place = folder(spark)
     tokenfiles.write(frame([(1, "x")]).limit(0), byte_level, place)

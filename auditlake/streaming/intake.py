@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..lineage import cut, release
 from ..operators.triage import OUTCOMES, latest
@@ -20,36 +16,45 @@ REVIEW_BUCKETS = 64
 REVIEW_DDL = "finding_id string, outcome string, note string, reviewer string, ts timestamp"
 
 
-def _first_of_page(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The quickest result of a page, once; ties go to the smaller line."""
-    if state.exists:
-        return
-    best = None
-    for rows in batches:
-        for line in zip(rows["duration_ms"].fillna(1 << 62), rows["value"]):
-            best = line if best is None else min(best, line)
-    state.update((True,))
-    yield pd.DataFrame({"value": [best[1]]})
+def _known_pages(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
+    """Addresses that batches before ``batch_id`` have stored, none where there is no store yet."""
+    try:
+        return spark.read.schema("url string, batch long").parquet(target).filter(F.col("batch") < batch_id).select("url")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def scan_intake(lines: DataFrame, target: str, rejected: str, checkpoint: str, **trigger) -> tuple[StreamingQuery, StreamingQuery]:
     """Append parsed page results to ``target``, each page once, and lines that can't be read to ``rejected``.
 
-    ``lines(value)`` is a stream. Which pages are known is keyed state,
-    partitioned by URL, so a batch costs what it brings and nothing stored is
-    read again. Every micro-batch overwrites its own ``batch=`` folder, so one
-    replayed after a failure leaves no duplicate.
+    ``lines(value)`` is a stream. Of a page's results in one micro-batch the
+    quickest counts, ties going to the smaller line; a page that an earlier
+    batch has stored is left out. The store itself tells these: a batch reads
+    the addresses of the store, and no other column, against its own, and
+    nothing is held in memory between batches. Every micro-batch overwrites its
+    own ``batch=`` folder, so one replayed after a failure leaves no duplicate.
     """
     when = trigger or {"availableNow": True}
     present = lines.filter(F.trim("value") != "")
     good, bad = parse_results(present, keep="value")
-    first = good.select("url", "duration_ms", "value").groupBy("url").applyInPandasWithState(_first_of_page, "value string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        # lines are dealt by page before they are compared, so that no task sorts all it has read
+        quickest = F.min(F.struct(F.coalesce("duration_ms", F.lit(1 << 62)), "value"))
+        first = batch.repartition("url").groupBy("url").agg(quickest.alias("_best")).select("url", "_best.value")
+        known, held = _known_pages(batch.sparkSession, target, batch_id), []
+        if known is not None:
+            # stored, so that a small batch is known to be small and meets the store without a shuffle
+            first = cut(first)
+            held.append(first)
+            first = first.join(known.join(first.select("url"), "url", "left_semi"), "url", "left_anti")
         # VARIANT records travel as JSON text in the stored table
-        parse_results(batch)[0].withColumn("evidence", F.to_json("evidence")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        parse_results(first.select("value"))[0].withColumn("evidence", F.to_json("evidence")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        release(*held)
 
-    results = first.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/results").trigger(**when).start()
+    results = good.select("url", "duration_ms", "value").writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/results").trigger(**when).start()
     refused = bad.writeStream.format("parquet").option("path", rejected).option("checkpointLocation", f"{checkpoint}/rejected").trigger(**when).start()
     return results, refused
 

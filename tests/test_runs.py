@@ -172,6 +172,21 @@ def test_stream_intake_keeps_each_page_once(spark, tmp_path):
     assert rows(spark.read.parquet(bad)) == [(json.dumps(result(9))[:40],)]
 
 
+def test_stream_intake_keeps_no_state_and_asks_the_store(spark, tmp_path):
+    inbox, target, bad, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "state")
+    inbox.mkdir()
+
+    def line(i, ms, title):
+        return json.dumps(result(i) | {"durationMs": ms, "title": title})
+
+    for n, lines in enumerate([[line(1, 9, "a"), line(1, 5, "b"), line(1, 5, "a"), line(2, 7, "x")], [line(1, 1, "late"), line(3, None, "z"), line(3, 8, "y")]]):
+        (inbox / f"{n}.jsonl").write_text("\n".join(lines))
+        for query in intake.scan_intake(spark.readStream.text(str(inbox)), target, bad, state):
+            query.awaitTermination()
+            assert all(not p["stateOperators"] for p in query.recentProgress)
+    assert rows(spark.read.parquet(target), "url", "duration_ms", "title") == [("u1", 5, "a"), ("u2", 7, "x"), ("u3", 8, "y")]
+
+
 def test_review_stream_latest_wins(spark, tmp_path):
     inbox, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     inbox.mkdir()

@@ -60,6 +60,45 @@ def test_hot_finding_keeps_and_cites_every_row(spark):
     assert row[0]["component"].endswith("e altri 699 componenti")
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_are_found_without_sorting_the_evidence(spark):
+    """Also with nulls and repeated rows, the first of a group is the least of all its rows."""
+    rng = random.Random(4)
+    pick = lambda *values: rng.choice([None, *values])
+    data = [
+        (pick("1", "2"), rng.choice(["focus-not-visible", "axe:label"]), pick("p", "q"), "x", pick("t"), ["2.4.7"], "a", pick("main > a", "main > b", ""), pick("o", "u"), "{}", "serious", pick(0, 1, 2))
+        for _ in range(80)
+    ]
+    ev = spark.createDataFrame(data + data[:20], EVIDENCE)
+    got = I.group_evidence(ev)
+    assert "LeftSemi" in planned(got)
+    named = F.when(F.col("component_signature") != "", F.struct(*I.FIRST, "component_signature"))
+    want = ev.withColumn("key", I.dedupe_key()).groupBy("key").agg(
+        F.min(F.struct(*I.FIRST, "component_signature", "data", "observation")).alias("f"), F.min(named).alias("n"), F.count("*").alias("c")
+    )
+    assert rows(got, "key", "first.component_signature", "first.observation", "first_component", "evidence_count") == rows(
+        want, "key", "f.component_signature", "f.observation", "n.component_signature", "c"
+    )
+    assert planned(I.touches(ev)).count("Exchange") == 1
+
+
+def test_cited_records_cross_one_shuffle(spark):
+    ev = evidence(spark, 30).withColumn("page_url", F.when(F.col("ordinal") % 3 > 0, F.col("page_url")))
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(conf)
+    cited = I.cite(ev)
+    spark.conf.set(conf, "-1")
+    try:
+        whole = I.cited_evidence(cited.localCheckpoint(), ev.localCheckpoint(), "selector", "component_signature")
+        assert planned(whole).count("Exchange hashpartitioning") == 2
+        assert whole.count() == 30
+    finally:
+        spark.conf.set(conf, old)
+
+
 def test_priority_equals_a_global_sort(spark):
     found = analysed(spark, evidence(spark, 200)).findings
     got = [i for i, _ in sorted(((r["finding_id"], r["priority"]) for r in I.with_priority(found).collect()), key=lambda x: x[1])]

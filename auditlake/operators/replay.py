@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .evidence import is_consent_marked
 from .findings import Analysis, analyse
 from .identity import CONSENT_PREFIX, component_signatures, rederive
@@ -22,7 +23,9 @@ def replay_signatures(evidence: DataFrame, stable: DataFrame, ids: DataFrame | N
     computed = component_signatures(recorded.select("signature_input"), stable, ids)
     prefix = F.when(is_consent_marked(F.col("data")), F.lit(CONSENT_PREFIX)).otherwise(F.lit(""))
     fresh = recorded.join(computed, "signature_input").withColumn("_new", F.concat(prefix, "signature")).drop("signature")
-    older = legacy.withColumn("_new", rederive(F.col("component_signature")))
+    # once per distinct signature, of which there are few, and these are stored, so that rows meet them without a shuffle
+    rederived = cut(legacy.select("component_signature").dropDuplicates().withColumn("_new", rederive(F.col("component_signature"))))
+    older = legacy.join(rederived, "component_signature", "left")
     return (
         fresh.unionByName(older)
         .withColumn("changed", F.col("_new") != F.col("component_signature"))

@@ -96,6 +96,13 @@ def test_replay_is_idempotent(spark):
     assert M.replay_signatures(once.drop("changed"), words(spark, "voce-menu")).filter("changed").count() == 0
 
 
+def test_replay_rederives_each_signature_once(spark):
+    ev = spark.createDataFrame([("1", None, "main.qwpzrS > a", "{}"), ("2", "", "main.qwpzrS > a", "{}"), ("3", None, None, "{}")], "id string, signature_input string, component_signature string, data string")
+    out = M.replay_signatures(ev, words(spark))
+    assert "BroadcastHashJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "regexp_extract" not in plan
+    assert rows(out, "id", "component_signature", "changed") == [("1", "main > a", True), ("2", "main > a", True), ("3", None, None)]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     nodes = [f"n{i:03d}" for i in range(120)]

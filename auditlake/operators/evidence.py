@@ -10,6 +10,7 @@ from .identity import CONSENT_PREFIX, component_signatures
 
 # Limits, prefixes and impact defaults.
 SALTS = 8
+COMMON = 1000
 CONSENT_MARK = "__consentBanner"
 CONSENT_TEXT = "[banner di consenso] "
 OVERLAP = r"(?i)overlap(ped|s)\b"
@@ -53,11 +54,17 @@ def resolve_signatures(rows: DataFrame, stable: DataFrame, ids: DataFrame | None
     prefix = F.when(is_consent_marked(F.col("data")), F.lit(CONSENT_PREFIX)).otherwise(F.lit(""))
     # rows without a chain (nulls, "document", "unknown") need no lookup and would meet on one key
     has_chain = F.coalesce(F.col("signature_input").startswith("{"), F.lit(False))
-    chained = rows.filter(has_chain)
-    # one chain may own a share of all rows: copies of its signature serve as many join keys
-    computed = component_signatures(chained, stable, ids).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = chained.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    found = salted.join(computed, ["signature_input", "_salt"], "left").drop("_salt")
+    # texts stay out of the join: a chain is met by its digest
+    chained = rows.filter(has_chain).withColumn("_k", F.md5("signature_input"))
+    # one chain may own a share of all rows: those with over a thousandth of them, fewer than a thousand, serve as several join keys
+    share = chained.agg(F.count("*") / F.lit(COMMON)).scalar()
+    common = F.broadcast(chained.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > share).select("_k", F.lit(True).alias("_common")))
+    copies = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    own = F.when(F.col("_common"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    signatures = component_signatures(chained, stable, ids).select(F.md5("signature_input").alias("_k"), "signature")
+    computed = signatures.join(common, "_k", "left").select("_k", "signature", F.explode(copies).alias("_salt"))
+    salted = chained.join(common, "_k", "left").withColumn("_salt", own).drop("_common")
+    found = salted.join(computed, ["_k", "_salt"], "left").drop("_k", "_salt")
     plain = rows.filter(~has_chain).withColumn("signature", F.lit(None).cast("string"))
     return found.unionByName(plain).withColumn("component_signature", F.concat(prefix, F.coalesce("signature", "signature_input"))).drop("signature")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import identity as FI
 from auditlake.operators import clusters as E
+from auditlake.operators import evidence as H
 from auditlake.operators import identity as ID
 from auditlake.operators import replay as M
 from tests.conftest import rows
@@ -146,3 +147,19 @@ def test_language_families(spark):
     declared = [("https://x.example/it/eventi/v1", "https://x.example/en/events/v1")]
     assert language_case(spark, slugs, declared) == {"a": ("it", True), "b": ("en", False)}
     assert language_case(spark, {"a": ["https://x.example/"], "b": ["https://x.example/servizi/x"]}) == {}
+
+
+def test_signatures_meet_by_digest_and_only_common_chains_are_copied(spark):
+    text = '{"chain":[{"tag":"a","classes":["x-%s"]},{"tag":"header","classes":[],"landmark":true}]}'
+    chains = [text % i for i in range(1500)] + [text % "hot"] * 3000 + [None, "unknown"]
+    rows = spark.createDataFrame([(i, c, "{}") for i, c in enumerate(chains)], "k int, signature_input string, data string")
+    stable = spark.createDataFrame([("x-hot",), ("x-7",)], "token string")
+    out = H.resolve_signatures(rows, stable)
+    found = {r.k: r.component_signature for r in out.collect()}
+    wanted = {7: "header > a.x-7", 1500: "header > a.x-hot", 4499: "header > a.x-hot", 4500: None, 4501: "unknown"}
+    assert len(found) == len(chains) and all(found[k] == v for k, v in wanted.items())
+    assert {found[k] for k in range(1500) if k != 7} == {"header > a"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line and "_salt" in line]
+    assert joins and not any("signature_input" in line for line in joins)
+    assert "_common" in plan

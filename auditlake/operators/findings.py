@@ -235,11 +235,16 @@ def cited_evidence(citations: DataFrame, evidence: DataFrame, *columns: str) ->
     The whole order key joins; where rows agree even in that, the least record
     stands for them, so the answer is the same in every run.
     """
-    at = F.struct("evidence_id", "page_url", "check_id", "ordinal")
-    seen = evidence.withColumnRenamed("id", "evidence_id").select(at.alias("_at"), F.struct(*columns).alias("_record"))
+    place = ["page_url", "check_id", "ordinal"]
+    at = F.struct("evidence_id", *place)
+    # what the order key holds is not carried twice
+    rest = [c for c in columns if c not in place]
+    record = F.struct(*rest) if rest else F.lit(True)
+    seen = evidence.withColumnRenamed("id", "evidence_id").select(at.alias("_at"), record.alias("_record"))
     # nulls within equal structs are equal; the grouping stays where the join has dealt its rows
     joined = citations.select("finding_id", "rank", at.alias("_at")).join(seen, "_at")
-    return joined.groupBy("_at", "finding_id", "rank").agg(F.min("_record").alias("_record")).select("finding_id", "rank", "_record.*")
+    grouped = joined.groupBy("_at", "finding_id", "rank").agg(F.min("_record").alias("_record"))
+    return grouped.select("finding_id", "rank", *[f"_at.{c}" if c in place else f"_record.{c}" for c in columns])
 
 
 def criteria_facts(groups: DataFrame, criteria: DataFrame) -> DataFrame:

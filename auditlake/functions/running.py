@@ -31,7 +31,7 @@ def ranked(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     """``rows`` with ``out``: the rank, from 1, of each row within ``key``, keys of any size split.
 
     As ``running_sum`` of ones, but rows are numbered in order as the ranges are
-    stored, so they cross one shuffle: a row's rank is its distance from the
+    stored, so no window deals them again: a row's rank is its distance from the
     first of its key in the range, and what earlier ranges hold.
     """
     sorted_ranges = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
@@ -39,7 +39,6 @@ def ranked(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     firsts = numbered.groupBy("_range", key).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
-    # stored, so that its size is known: where it is small it meets the rows by broadcast
-    shifts = cut(firsts.select(F.col("_range").alias("_of"), F.col(key).alias("_key"), before))
+    shifts = firsts.select(F.col("_range").alias("_of"), F.col(key).alias("_key"), before)
     joined = numbered.join(shifts, (F.col("_range") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
     return joined.withColumn(out, F.col("_row") + F.col("_shift")).drop("_range", "_row", "_of", "_key", "_shift")

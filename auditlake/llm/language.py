@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import rows, shuffled
@@ -159,8 +159,9 @@ class Parser:
         keep[1:] = (found[1:] != GAP) | (found[:-1] != GAP)
         starts = ends - [len(t) for t in lowered]
         keep[starts[starts < len(found)]] = True
-        before = np.concatenate([[0], np.cumsum(keep)])
-        return found[keep], before[ends] - before[starts]
+        before = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(keep, out=before[1:])
+        return found[keep], (before[ends] - before[starts]).astype(np.int64)
 
     def phrases(self, found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases per language and text, from the symbols of texts that follow one another."""
@@ -258,12 +259,6 @@ def references(texts: dict[str, list[str]]) -> dict[str, tuple[float, list[float
     return out
 
 
-@functools.lru_cache(1)
-def _parser(texts: tuple) -> Parser:
-    """The automata, built once in each worker."""
-    return Parser({lang: list(t) for lang, t in texts})
-
-
 def predict(text: Column, learned: dict[str, list[str]]) -> Column:
     """Struct ``lang_pred, score, bits, symbols, strange`` of a text, by the samples in ``learned``.
 
@@ -272,12 +267,14 @@ def predict(text: Column, learned: dict[str, list[str]]) -> Column:
     to the smaller code. ``score`` is the second best count's share of the two
     best (0.5: no difference), and 0 for null texts and those without letters,
     which are ``und``. All of a text is parsed, in blocks of ``BLOCK`` symbols.
+    The automata are built here once and broadcast: workers hold their finished
+    tables, not what building them takes.
     """
-    frozen = tuple((lang, tuple(t)) for lang, t in sorted(learned.items()))
+    shared = SparkSession.active().sparkContext.broadcast(Parser(learned))
 
     @F.pandas_udf(RESULT)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = _parser(frozen)
+        parser = shared.value
         for batch in batches:
             texts = ["" if t is None else t for t in batch]
             results, first = [], 0

@@ -76,6 +76,18 @@ def test_languages_of_odd_rows(frame, clashing, odd):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_automata_are_built_once_by_the_driver(frame, tongues, monkeypatch):
+    """Workers get finished tables: building takes several times their memory."""
+    learned = {lang: [speak(random.Random(i), 60) for i in range(3)] for lang, speak in tongues.items()}
+    texts = [tongues["aa"](random.Random(9), 30), tongues["cc"](random.Random(9), 30), ""]
+    by_hand = language.Parser(learned).judge(texts)
+    built, init = [], language.Parser.__init__
+    monkeypatch.setattr(language.Parser, "__init__", lambda self, texts: (built.append(1), init(self, texts))[1])
+    got = language.identify(frame(list(enumerate(texts))), learned).orderBy("doc_id").collect()
+    assert len(built) == 1
+    assert [(r["lang_pred"], r["score"], r["bits"], r["symbols"], r["strange"]) for r in got] == list(zip(*[list(x) for x in by_hand]))
+
+
 def test_sample_is_bounded(frame, tongues):
     rng = random.Random(3)
     rows = [(i, tongues["aa"](rng, 40), "aa") for i in range(300)] + [(1000 + i, tongues["bb"](rng, 40), "bb") for i in range(5)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+_kept: dict[tuple, Any] = {}
+
+
+def kept(make: Callable, *args) -> Any:
+    """``make(*args)``, held by a worker for all its tasks until it is asked to keep something else.
+
+    Workers outlive their stages: what a stage has kept would stay beside what later ones keep.
+    """
+    key = (make, *args)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
 def word_count(text: str) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

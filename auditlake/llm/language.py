@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows, shuffled
+from .common import kept, rows, shuffled
 
 #: Bounds of the learning sample: documents per language, and symbols of each.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 64, 700
@@ -274,7 +274,7 @@ def predict(text: Column, learned: dict[str, list[str]]) -> Column:
 
     @F.pandas_udf(RESULT)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = shared.value
+        parser = kept(getattr, shared, "value")
         for batch in batches:
             texts = ["" if t is None else t for t in batch]
             results, first = [], 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import struct
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut
 
-from .common import ranked, shuffled
+from .common import kept, ranked, shuffled
 
 CAPACITY = 2048
 #: Id that ends each document.
@@ -81,12 +80,6 @@ class WordIds(dict):
         return ids
 
 
-@functools.cache
-def word_ids(tokenizer: str, spelled: bool) -> WordIds:
-    """One per worker, for all its tasks."""
-    return WordIds(tokenizer, spelled)
-
-
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spelled: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, ids``.
 
@@ -99,7 +92,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spelled:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer, spelled)
+        words = kept(WordIds, tokenizer, spelled)
         end = packed([END])
         for batch in batches:
             of, piece, start, length, ids = [], [], [], [], []

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.llm import fingerprints, language, near, packing, passages
+from auditlake.llm.common import kept
 from auditlake.llm.queries import vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +78,16 @@ def test_languages_of_odd_rows(frame, clashing, odd):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_workers_keep_the_state_of_one_stage():
+    """A worker that packed and then parses holds no word cache beside the automata."""
+    words = kept(packing.WordIds, vocabulary(), False)
+    assert kept(packing.WordIds, vocabulary(), False) is words
+    gone = weakref.ref(words)
+    del words
+    kept(str, "automata")
+    assert gone() is None
+
+
 def test_automata_are_built_once_by_the_driver(frame, tongues, monkeypatch):
     """Workers get finished tables: building takes several times their memory."""
     learned = {lang: [speak(random.Random(i), 60) for i in range(3)] for lang, speak in tongues.items()}

@@ -105,7 +105,9 @@ def touches(evidence: DataFrame) -> DataFrame:
 
     single = F.array(*[one(k, F.coalesce(c, F.lit(""))) for k, c in TOUCHED.items()])
     listed = F.transform(F.coalesce("criteria", F.array().cast("array<string>")), lambda c: one("criterion", c))
-    rows = evidence.select(dedupe_key().alias("key"), F.explode(F.concat(single, listed)).alias("t")).select("key", "t.kind", "t.value")
+    # the key is made before rows are taken apart, beside the explode it would be made for each part
+    keyed = evidence.select(dedupe_key().alias("key"), F.concat(single, listed).alias("_parts"))
+    rows = keyed.select("key", F.explode("_parts").alias("t")).select("key", "t.kind", "t.value")
     return rows.filter((F.col("value") != "") | (F.col("kind") == "page")).dropDuplicates()
 
 

@@ -85,6 +85,12 @@ def test_first_rows_are_found_without_sorting_the_evidence(spark):
     assert planned(I.touches(ev)).count("Exchange") == 1
 
 
+def test_keys_are_made_before_rows_are_taken_apart(spark):
+    plan = I.touches(evidence(spark))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode")
+    assert "get_json_object" not in above and "get_json_object" in below
+
+
 def test_cited_records_cross_one_shuffle(spark):
     ev = evidence(spark, 30).withColumn("page_url", F.when(F.col("ordinal") % 3 > 0, F.col("page_url")))
     conf = "spark.sql.autoBroadcastJoinThreshold"

@@ -36,18 +36,20 @@ from pyspark.sql import functions as F
 
 from auditlake.lineage import cut
 
-from .packing import CACHED_BYTES, END, PLAIN, byte_letters
+from .packing import END, ENDING, LETTER, MARK, NUMBER, PLAIN, Found, PieceIds
 
 MAGIC, HEADER, CODE = b"TOKIDS01", struct.Struct("<iiiiiqq"), struct.Struct("<qiiii")
 #: Set bits from one kept place to the next.
 EVERY = 256
 #: Ids of a file at most, but for a document that alone has more; bytes of text that one task encodes, where shuffle partitions don't make them fewer.
 FILE_IDS, RANGE_BYTES = 1 << 24, 1 << 27
-#: Chunks and pieces whose ids a worker keeps at most.
+#: Chunks, and pieces, whose ids a worker keeps at most.
 CACHED = 1 << 19
 # fixed values: white space, and the pieces of the byte-level vocabulary
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# the same in plain text
+PLAIN_PIECE = rf"{ENDING}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[{MARK}]+|\s+(?!\S)|\s+"
 
 
 class EliasFano:
@@ -161,66 +163,44 @@ def file_bytes(of_range: int, turn: int, width: int, doc_ids: list[int | None],
     return b"".join([MAGIC, head, *ids, EliasFano.of(ends).written(), EliasFano.of(known - least).written()])
 
 
-class Encoder:
-    """Ids of whole texts as little-endian bytes.
+class Encoder(Found):
+    """Ids of whole texts as little-endian bytes, of chunks where a text isn't plain.
 
-    A space before anything but white space always starts a new piece of the
-    vocabulary, so texts are split there and the ids of a chunk are found once
-    and kept while there is room. Texts that hold the content of an added token
-    go to the tokenizer whole, which alone knows where that counts.
+    Plain text is taken to pieces at once, and the ids of a piece are found once
+    and kept while there is room. In other texts a space before anything but
+    white space always starts a new piece of the vocabulary, so these are split
+    there and the ids of a chunk are kept likewise. Texts that hold the content
+    of an added token go to the tokenizer whole, which alone knows where that
+    counts.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__(CACHED)
         self.tokenizer = Tokenizer.from_file(path)
         self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else ("I", 4)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.cut = re.compile(f" (?=[^{WHITE}])").split, regex.compile(PIECE).findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.odd, self.cut_plain = re.compile(f"[^{PLAIN}]").search, re.compile(PLAIN_PIECE).findall
+        self.pieces = PieceIds(self.tokenizer, CACHED, self.width)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def spelled(self, piece: str) -> bytes:
-        """Ids of one piece, from the tokenizer's model."""
-        plain = piece.isascii() and piece.isprintable()
-        letters = piece.replace(" ", self.letters[32]) if plain else "".join([self.letters[b] for b in piece.encode()])
-        return self.packed([t.id for t in self.model.tokenize(letters)])
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.spelled(piece)
-            if len(piece) <= CACHED_BYTES:
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a space and ``chunk``; letters alone are one piece."""
-        if chunk.isalpha() and max(chunk) < PLAIN:
-            found = self.spelled(" " + chunk)
-        else:
-            found = b"".join([self.piece(p) for p in self.cut(" " + chunk)])
-        if len(chunk) <= CACHED_BYTES:
-            if len(self.chunks) >= CACHED:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
+    def make(self, chunk: str) -> bytes:
+        """Ids of a space and ``chunk``."""
+        return b"".join([self.pieces[p] for p in self.cut(" " + chunk)])
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        pieces = self.pieces
+        if not self.odd(text):
+            return b"".join([pieces[p] for p in self.cut_plain(text)])
         first, *rest = self.split(text)
-        known, chunk = self.chunks.get, self.chunk
-        out = [self.piece(p) for p in self.cut(first)]
-        out += [known(c) or chunk(c) for c in rest]
-        return b"".join(out)
+        return b"".join([pieces[p] for p in self.cut(first)] + [self[c] for c in rest])
 
 
 @functools.cache

@@ -149,6 +149,16 @@ def test_chunks_have_the_ids_of_the_whole_text(byte_level):
         assert np.frombuffer(own.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)[:80]
 
 
+def test_plain_text_is_taken_to_pieces_at_once(byte_level):
+    """Its chunks are neither split off nor kept, and all its characters have the tokenizer's ids."""
+    own = tokenfiles.Encoder(byte_level)
+    plain = [chr(c) for c in range(0x250) if not own.odd(chr(c))]
+    texts = ["".join(plain), "", " ", "  a\n\n b \r\n c ", "Don't we'll 's", *[f"a {c}{c}1 {c}\n{c}" for c in plain]]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u2").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)[:80]
+    assert not own and own.pieces
+
+
 @pytest.mark.parametrize("file_ids", [tokenfiles.FILE_IDS, 40])
 def test_files_round_trip(spark, clashing, odd, byte_level, file_ids):
     from tokenizers import Tokenizer

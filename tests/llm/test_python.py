@@ -88,6 +88,41 @@ def test_workers_keep_the_state_of_one_stage():
     assert gone() is None
 
 
+class Upper(packing.Found):
+    def __init__(self, most):
+        super().__init__(most)
+        self.made = []
+
+    def make(self, key):
+        self.made.append(key)
+        return key.upper()
+
+
+def test_what_comes_often_is_found_once():
+    """Rare words don't drive out a common one, and no more are kept than there is room for."""
+    found = Upper(20)
+    for i in range(100):
+        assert found["often"] == "OFTEN" and found[f"rare{i}"] == f"RARE{i}"
+        assert len(found) + len(found.older) <= 20
+    assert found.made.count("often") == 1
+    long = "x" * (packing.CACHED_CHARS + 1)
+    assert found[long] == found[long] == long.upper() and found.made.count(long) == 2
+
+
+def test_plain_text_has_the_ids_of_the_whole_tokenizer():
+    """Every character of plain text, in pieces without a look at its words; other texts word by word."""
+    words = packing.WordIds(vocabulary())
+    plain = [chr(c) for c in range(0x250) if not words.special(chr(c))]
+    texts = ["".join(plain)] + [t for c in plain for t in (f"a{c}b", f"1{c}2", f".{c}!", f" {c} {c.upper()}")] + ["Don't we'LL 'S x'", "word, Word. WORD"]
+
+    def whole(text):
+        return packing.packed(words.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    assert all(words.encode(t) == whole(t) for t in texts if not words.special(t)) and not words
+    others = ["caf\u00e9 \u201cx\u201d word", "J\u030c \u0130 \u023a", "a <|endoftext|> B", "nul \x00 \xa0 \x85 \x1c", "\u4e2d\u6587 word"]
+    assert all(words.encode(t) == whole(t) for t in others) and b"word" in words
+
+
 def test_automata_are_built_once_by_the_driver(frame, tongues, monkeypatch):
     """Workers get finished tables: building takes several times their memory."""
     learned = {lang: [speak(random.Random(i), 60) for i in range(3)] for lang, speak in tongues.items()}
